@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, decontam, secrets, simhash, toxicity
+from ledgerloom.llm import bpe, chat, decontam, flac, secrets, simhash, toxicity, url_filters, warc
 from ledgerloom.llm.shared import fresh_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,10 +17,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(_table(spark, sf_dir, "pages"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(_table(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", chat.PROBE), (-7, 1, "assistant", chat.PROBE)], rows.schema)
+    return chat.read_back(chat.segments(rows.unionByName(probe)))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -38,12 +52,24 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_history(_table(spark, sf_dir, "documents").select("doc_id", "text"), fresh_path(spark, "ledger")))
 
 
+def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digests(flac.encode_table(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
+    "op2_warc": op2_warc,
     "op3_decontamination": op3_decontamination,
+    "op4_chat": op4_chat,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
     "op9_secrets": op9_secrets,
+    "op10_flac": op10_flac,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_url_filters": url_filters.sql(),
+    "op2_warc": warc.SQL,
+    "op4_chat": chat.sql(),
+}
