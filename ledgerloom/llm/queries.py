@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, chat, decontam, flac, secrets, simhash, toxicity, url_filters, warc
+from ledgerloom.llm import bpe, chat, decontam, flac, fm_dedup, secrets, simhash, toxicity, url_filters, warc
 from ledgerloom.llm.shared import fresh_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +48,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.digests(fm_dedup.dedup(_table(spark, sf_dir, "documents")))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_history(_table(spark, sf_dir, "documents").select("doc_id", "text"), fresh_path(spark, "ledger")))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
+    "op8_fm_dedup": op8_fm_dedup,
     "op9_secrets": op9_secrets,
     "op10_flac": op10_flac,
 }
