@@ -30,9 +30,9 @@ from ledgerloom.llm.textkit import ASCII_SPACE, Words, chunks, mix
 WINDOW = 50
 GRAM = 8
 #: Words of an index from which on a shard is closed at the next key.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 #: Distinct segments of a key in a part.
-PART = 20_000
+PART = 3_000
 _SLIDE = np.uint64(0x9E3779B97F4A7C15)
 
 
