@@ -139,9 +139,11 @@ def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: s
     blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     found = scan_history(docs.select("doc_id", "text"), ledger, rules).where(F.size("spans") > 0).select("blob_id", "spans").dropDuplicates(["blob_id"])
     joined = docs.withColumn("__blob", blob).join(found.select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans")), "__blob", "left")
+    # In a step of its own: inside a lambda, a select's new `text` would come before the old one.
     new = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.coalesce(F.col("__spans"), F.array().cast(_SPAN))))
-    columns = {"text": new} | ({"n_chars": F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(new).cast("long"))} if "n_chars" in docs.columns else {})
-    return joined.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+    done = joined.withColumn("__text", new)
+    columns = {"text": F.col("__text"), "n_chars": F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast("long"))}
+    return done.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
 
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
