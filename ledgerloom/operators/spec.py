@@ -47,3 +47,59 @@ def relative_high_value(ledger: DataFrame) -> DataFrame:
 def batch_daily(events: DataFrame) -> DataFrame:
     """What the streaming daily totals come to once all events are in."""
     return events.groupBy(F.to_date("ts").alias("d"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("amount_c"))
+
+
+def multi_hop(ledger: DataFrame, days: int = 3) -> DataFrame:
+    """Money sent to one party and back from another within three days at most five percent off."""
+    out = _side(ledger.where("debit_c > 0"), "l", "seq", "d", "debit_c", "counterparty")
+    back = _side(ledger.where("credit_c > 0"), "r", "seq", "d", "credit_c", "counterparty")
+    pairs = within_days(out, back, days).where((F.col("l_counterparty") != F.col("r_counterparty")) & (F.abs(F.col("r_credit_c") - F.col("l_debit_c")) * 20 <= F.col("l_debit_c")))
+    return pairs.select(A, F.col("l_seq").alias("out_seq"), F.col("r_seq").alias("in_seq"))
+
+
+def inter_account(ledger: DataFrame) -> DataFrame:
+    """Debits of one account that another takes in with the same amount on the same day or the next: an
+    equi-join on amount and day."""
+    out = ledger.where("debit_c > 0").select(F.col(A).alias("from_account"), F.col("seq").alias("out_seq"), F.col("debit_c").alias("amount_c"), F.explode(F.array("d", F.date_add("d", 1))).alias("d"))
+    back = ledger.where("credit_c > 0").select(F.col(A).alias("to_account"), F.col("seq").alias("in_seq"), F.col("credit_c").alias("amount_c"), "d")
+    return out.join(back, ["amount_c", "d"]).where("from_account <> to_account").select("from_account", "out_seq", "to_account", "in_seq", "amount_c")
+
+
+def deposit_then_withdrawal(ledger: DataFrame, least_c: int = 5_000_000) -> DataFrame:
+    """Large credits with as much or more taken out on the day or the next."""
+    big = _side(ledger.where(F.col("credit_c") >= least_c), "l", "seq", "d", "credit_c")
+    out = _side(ledger.where("debit_c > 0"), "r", "seq", "d", "debit_c")
+    return within_days(big, out, 1).groupBy(A, "l_seq", "l_credit_c").agg(F.sum("r_debit_c").alias("out_c")).where(F.col("out_c") >= F.col("l_credit_c")).select(A, F.col("l_seq").alias("seq"), F.col("l_credit_c").alias("credit_c"), "out_c")
+
+
+def weekend_rows(ledger: DataFrame, holidays: DataFrame) -> DataFrame:
+    """Cheque rows on a Sunday or a listed holiday (d)."""
+    marked = ledger.where(F.col("description").startswith("CLG/")).join(holidays.select("d", F.lit(True).alias("holiday")).distinct(), "d", "left")
+    return marked.where(F.col("holiday") | (F.dayofweek("d") == 1)).groupBy(A).agg(F.count("*").alias("n"))
+
+
+def bounce_rates(ledger: DataFrame) -> DataFrame:
+    """Bounces against cheques presented, and days since the last bounce."""
+    b = F.contains(F.upper("description"), F.lit("RETURN CHARGES"))
+    s = ledger.groupBy(A).agg(F.count_if(b).alias("bounces"), F.count_if(F.col("description").startswith("CLG/")).alias("cheques"), F.datediff(F.max("d"), F.max(F.when(b, F.col("d")))).cast("long").alias("days_since"))
+    return s.withColumn("rate", F.round(F.try_divide(F.col("bounces").cast("double"), F.col("cheques").cast("double")), 4))
+
+
+def upi_apps(ledger: DataFrame) -> DataFrame:
+    """Rows by the app that a VPA's handle belongs to."""
+    handle = F.lower(F.regexp_extract("description", r"@([A-Za-z]+)", 1))
+    return ledger.withColumn("handle", handle).where("handle <> ''").groupBy("handle").agg(F.count("*").alias("n"), F.countDistinct(A).alias("accounts"))
+
+
+def balance_trend(ledger: DataFrame) -> DataFrame:
+    """Whether the last month's closing balance is above the first's."""
+    m = ledger.groupBy(A, "ym").agg(F.max_by("balance_c", "seq").alias("b")).groupBy(A).agg(F.min_by("b", "ym").alias("first_c"), F.max_by("b", "ym").alias("last_c"))
+    return m.withColumn("trend", F.when(F.col("last_c") > F.col("first_c"), "UP").when(F.col("last_c") < F.col("first_c"), "DOWN").otherwise("FLAT"))
+
+
+def variance_bands(declared: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Declared monthly turnover (account_id, ym, declared_c) against credits: within 10 percent MATCH, within
+    25 REVIEW, else MISMATCH; a month without a declaration is MISSING."""
+    m = ledger.groupBy(A, "ym").agg(F.sum("credit_c").alias("credit_c")).join(declared, [A, "ym"], "left")
+    off = F.abs(F.col("credit_c") - F.col("declared_c")) * 100
+    return m.select(A, "ym", F.when(F.col("declared_c").isNull(), "MISSING").when(off <= F.col("declared_c") * 10, "MATCH").when(off <= F.col("declared_c") * 25, "REVIEW").otherwise("MISMATCH").alias("band"))

@@ -17,10 +17,10 @@ from ledgerloom.sources.tables import EVENTS_SQL, LEDGER_SQL, ledger_events, led
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-_KEYWORDS = ", ".join(f"('{k}', '{c}', '{s}', '{n}', {o})" for k, c, s, n, o in classify.KEYWORDS)
+KEYWORDS_SQL = ", ".join(f"('{k}', '{c}', '{s}', '{n}', {o})" for k, c, s, n, o in classify.KEYWORDS)
 CLASSIFIED_SQL = (
     LEDGER_SQL
-    + f""", kw(keyword, kc, ks, kl, ord) as (values {_KEYWORDS}),
+    + f""", kw(keyword, kc, ks, kl, ord) as (values {KEYWORDS_SQL}),
 hit as (select description, arg_max(kw, length(kw.keyword) * 1000 - kw.ord) as k from (select distinct description from ledger) join kw on regexp_matches(lower(description), '(^|[^a-z0-9])' || keyword || '([^a-z0-9]|$)') group by description),
 lk as (select l.*, k.keyword as keyword, k.kc as kc, k.ks as ks, k.kl as kl, upper(l.description) as u from ledger l left join hit using (description)),
 ck as (select *, case when u like 'EBA/MFP-%' then 1 when u like 'ACH/%' and debit_c > 0 then 2 when u like 'ACH/%' then 3 when contains(u, 'CASH WDL') then 4 when contains(u, 'RETURN CHARGES') then 5 when u like 'CLG/%' then 6
@@ -135,7 +135,7 @@ for _n, (_bank, _parser) in enumerate(classify.PARSERS.items(), 1):
 on_ledger("c7_token_parser", lambda l: l.select("account_id", "seq", classify.parse_tokens(F.col("description")).alias("x")).select("account_id", "seq", "x.*"))
 on_ledger("c8_parser_dispatch", lambda l: l.select("account_id", "seq", classify.parse(F.element_at(F.array(*[F.lit(b) for b in classify.PARSERS]), (F.col("account_id") % 6 + 1).cast("int")), F.col("description")).alias("x")).groupBy("x.rail").agg(F.count("*").alias("n"), F.countDistinct("x.payee").alias("payees")))
 on_ledger("c10_keyword_longest", lambda l: classify.longest_keyword(l).select("account_id", "seq", "keyword", "k_category", "k_subcategory"),
-    f"""select account_id, seq, k.keyword as keyword, k.kc as k_category, k.ks as k_subcategory from ledger left join hit using (description)""", f"kw(keyword, kc, ks, kl, ord) as (values {_KEYWORDS}), hit as (select description, arg_max(kw, length(kw.keyword) * 1000 - kw.ord) as k from (select distinct description from ledger) join kw on regexp_matches(lower(description), '(^|[^a-z0-9])' || keyword || '([^a-z0-9]|$)') group by description)")
+    f"""select account_id, seq, k.keyword as keyword, k.kc as k_category, k.ks as k_subcategory from ledger left join hit using (description)""", f"kw(keyword, kc, ks, kl, ord) as (values {KEYWORDS_SQL}), hit as (select description, arg_max(kw, length(kw.keyword) * 1000 - kw.ord) as k from (select distinct description from ledger) join kw on regexp_matches(lower(description), '(^|[^a-z0-9])' || keyword || '([^a-z0-9]|$)') group by description)")
 _HANDLES = ", ".join(f"('{h}', '{m}', '{c}', '{s}', {o})" for h, m, c, s, o in classify.HANDLES)
 on_ledger("c17_vpa_directory", lambda l: classify.vpa_directory(l).groupBy("account_id", "merchant", "category", "subcategory").agg(F.count("*").alias("n")),
     "select account_id, h.merchant as merchant, case when credit_c > 0 and h.c = 'Expense' then 'Income' else h.c end as category, case when credit_c > 0 and h.c = 'Expense' then h.merchant || ' Refund' else h.s end as subcategory, count(*) as n from (select *, lower(regexp_extract(description, '([A-Za-z0-9.]+@[A-Za-z]+)', 1)) as vpa from ledger) join best using (vpa) group by 1, 2, 3, 4",

@@ -1,7 +1,7 @@
 """Every core query against its SQL; those without SQL must run and give rows."""
 
 import pytest
-from ledgerloom.plans import registry
+from ledgerloom.plans import catalog
 
 from oracle import connect, same
 
@@ -14,10 +14,10 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, sf_dir, con, name):
-    df = registry.QUERIES[name](spark, sf_dir)
-    if name in registry.SQL:
-        same(df, con.execute(registry.SQL[name]))
+    df = catalog.QUERIES[name](spark, sf_dir)
+    if name in catalog.SQL:
+        same(df, con.execute(catalog.SQL[name]))
     else:
         assert name in MAY_BE_EMPTY or df.count() > 0
