@@ -149,8 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     got = _sample(docs, labels, sample).toArrow().sort_by([("doc_id", "ascending")])
     ids = got.column("doc_id").to_numpy()
     order = np.argsort((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20), kind="stable")
-    sets = got.column("features").to_pylist()
-    rows = [np.array(sets[i], np.int64) for i in order]
+    sets = got.column("features").combine_chunks()
+    at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+    rows = [flat[at[i] : at[i + 1]] for i in order]
     low, toxic = 1 - got.column("quality").to_numpy()[order], got.column("toxic").to_numpy()[order]
     return fit_chain(rows, np.stack([low, toxic, low & toxic], axis=1).clip(0, 1) if len(rows) else np.zeros((0, 3)))
 
