@@ -23,6 +23,9 @@ from ledgerloom.llm.shared import with_fields
 #: Fixed: the pre-tokenization pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Entries of a worker's tables of words; a table of arcs has four times as many.
+KEPT = 100_000
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabulary files."""
@@ -36,6 +39,7 @@ class Automaton:
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> None:
         self.label = {i: t for t, i in vocab.items()}
+        self.size = {i: len(t) for t, i in vocab.items()}
         self.target = {i: 0 for t, i in vocab.items() if len(t) == 1}
         #: Of each state: its parent, the arc it lacks and the rank of the merge that took it.
         self.parent, self.lacks, self.rank = [0], [-1], [-1]
@@ -52,6 +56,7 @@ class Automaton:
             if i in self.target:
                 self._spell(t, i)
         self._words: dict[str, tuple[str, int]] = {}
+        self._older: dict[str, tuple[str, int]] = {}
 
     def _gadget(self, k: int, u: int, v: int, uv: int) -> None:
         if uv not in self.target:
@@ -97,38 +102,57 @@ class Automaton:
                 if a not in self.made:
                     break
                 _, a, before = self.made[a]
-            if len(self._allowed) > 4_000_000:
+            if len(self._allowed) > 4 * KEPT:
                 self._allowed.clear()
             self._allowed[key] = found
         return found
 
     def encode_word(self, word: bytes) -> list[int]:
-        n, trie, ends, arc = len(word), self.trie, self.ends, self.arc
-        last = [-1] * (n + 1)
-        for i in range(n):
-            before, at = last[i], 0
-            for j in range(i, n):
-                at = trie.get(at << 8 | word[j], -1)
-                if at < 0:
+        """The path over the word's bytes: the longest arc first, and back where no arc goes on. A prefix has one
+        path at most, so a position found to lead nowhere is given up for good."""
+        n, trie, ends, arc, size = len(word), self.trie, self.ends, self.arc, self.size
+        path: list[int] = []
+        open_arcs: list[list[int]] = []
+        lost: set[int] = set()
+        pos, last, fresh = 0, -1, True
+        while pos < n:
+            if fresh:
+                at, arcs = 0, []
+                for j in range(pos, n):
+                    at = trie.get(at << 8 | word[j], -1)
+                    if at < 0:
+                        break
+                    if ends[at] >= 0:
+                        arcs.append(ends[at])
+                open_arcs.append(arcs)
+            arcs = open_arcs[-1]
+            while arcs:
+                t = arcs.pop()
+                if (last < 0 or arc(last, t)) and pos + size[t] not in lost:
+                    path.append(t)
+                    pos += size[t]
+                    last, fresh = t, True
                     break
-                t = ends[at]
-                if t >= 0 and last[j + 1] < 0 and (not i or arc(before, t)):
-                    last[j + 1] = t
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(self.label[last[n]])
-        return out[::-1]
+            else:
+                lost.add(pos)
+                open_arcs.pop()
+                t = path.pop()
+                pos -= size[t]
+                last, fresh = path[-1] if path else -1, False
+        return path
 
     def spelled(self, word: str) -> tuple[str, int]:
-        """The ids of a pre-split word as decimal text, and how many; kept for words met again."""
+        """The ids of a pre-split word as decimal text, and how many. Words met again are looked up: in the newer
+        of two tables, or in the older and then put into the newer, so memory is bounded and frequent words stay."""
         found = self._words.get(word)
         if found is None:
-            ids = self.encode_word(word.encode("utf-8", "surrogatepass"))
-            if len(self._words) > 1_500_000:
-                self._words.clear()
-            found = ",".join(map(str, ids)), len(ids)
+            found = self._older.get(word)
+            if found is None:
+                ids = self.encode_word(word.encode("utf-8", "surrogatepass"))
+                found = ",".join(map(str, ids)), len(ids)
             if len(word) < 64:
+                if len(self._words) >= KEPT:
+                    self._older, self._words = self._words, {}
                 self._words[word] = found
         return found
 

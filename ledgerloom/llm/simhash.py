@@ -57,24 +57,17 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _hamming_near(reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each 15-bit word the codewords of the Hamming code within `reach`: first[w]:first[w + 1] of
-    (codeword, distance), nearest first."""
+def _hamming_near(reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The Hamming code of length 15 by syndromes: the syndrome of each word, and for each syndrome s the flips
+    first[s]:first[s + 1] of (mask, weight) that lead to a codeword within `reach`, nearest first."""
     x = np.arange(1 << 15)
     syndrome = np.zeros(1 << 15, np.int64)
     for bit in range(15):
         syndrome ^= np.where(x >> bit & 1, bit + 1, 0)
-    code = x[syndrome == 0]
-    size = np.zeros(1 << 15, np.int64)
-    words, dists = [], []
-    for w in range(1 << 15):
-        d = np.bitwise_count(code ^ w)
-        near = np.flatnonzero(d <= reach)
-        near = near[np.argsort(d[near], kind="stable")]
-        size[w] = len(near)
-        words.append(code[near])
-        dists.append(d[near])
-    return np.r_[0, np.cumsum(size)], np.concatenate(words), np.concatenate(dists).astype(np.int64)
+    weight = np.bitwise_count(x).astype(np.int64)
+    masks = x[weight <= reach]
+    masks = masks[np.lexsort((masks, weight[masks], syndrome[masks]))]
+    return syndrome, np.searchsorted(syndrome[masks], np.arange(17)), masks, weight[masks]
 
 
 class Anchors:
@@ -89,16 +82,17 @@ class Anchors:
         `threshold` bits. Within a Hamming part one unit of distance is the radius and costs nothing."""
         row, anchor = np.arange(len(x)), np.zeros(len(x), np.int64)
         spent, home = np.zeros(len(x), np.int64), np.ones(len(x), bool)
-        first, words, dists = self.tables
+        syndrome, first, masks, dists = self.tables
         for p in range(self.parts):
             part = (x[row] >> (15 * p)) & 0x7FFF
-            many = first[part + 1] - first[part]
-            at = ranges(first[part], many)
+            of = syndrome[part]
+            many = first[of + 1] - first[of]
+            at = ranges(first[of], many)
             nearest = np.zeros(len(at), bool)
             nearest[np.r_[0, np.cumsum(many)[:-1]]] = True
-            row, anchor, spent, home = (np.repeat(v, many) for v in (row, anchor, spent, home))
+            row, anchor, spent, home, part = (np.repeat(v, many) for v in (row, anchor, spent, home, part))
             spent = spent + np.maximum(dists[at] - 1, 0)
-            anchor, home = anchor | words[at] << (15 * p), home & nearest
+            anchor, home = anchor | (part ^ masks[at]) << (15 * p), home & nearest
             keep = spent <= self.threshold
             row, anchor, spent, home = row[keep], anchor[keep], spent[keep], home[keep]
         raw = [15 * self.parts + i for i in range(self.bits - 15 * self.parts)]
@@ -142,8 +136,8 @@ def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) ->
     small = (size > 1) & (size <= SMALL) & (homes > 0)
     group = np.repeat(np.arange(len(first)), size)
     rows = np.flatnonzero(home & small[group])
-    for at in range(0, len(rows), 1 << 15):
-        own = rows[at : at + (1 << 15)]
+    for at in range(0, len(rows), 1 << 13):
+        own = rows[at : at + (1 << 13)]
         many = size[group[own]]
         left, right = fp[np.repeat(own, many)], fp[ranges(first[group[own]], many)]
         near = np.flatnonzero((np.bitwise_count(left ^ right) <= threshold) & (left != right))
