@@ -65,7 +65,7 @@ class Chain:
         return 1 / (1 + np.exp(-logits))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
     """Newton's method for ridge logistic regression; the last column of x is the intercept, not shrunk."""
     w = np.zeros(x.shape[1])
     w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
