@@ -190,7 +190,7 @@ on_events("j4_salary_phase", lambda l: joins.salary_phase(l, F.col("kind") == "p
 on_ledger("a1_monthly_cashflow", engines.monthly_cashflow, "select * from m", MONTHLY_SQL)
 on_ledger("a3_cashflow_summary", engines.cashflow_summary, "select account_id, sum(inflow_c)::bigint as inflow_c, sum(outflow_c)::bigint as outflow_c, sum(net_c)::bigint as net_c, count(*) filter (where net_c > 0) as surplus_months, count(*) filter (where net_c < 0) as deficit_months, round(case when count(*) < 2 then 0 else stddev_pop(net_c) end)::bigint as net_spread_c from m group by 1", MONTHLY_SQL)
 on_ledger("a5_trend_slope", lambda l: engines.slope(engines.monthly_cashflow(l), "net_c").select("account_id", "months", F.round("slope").cast("long").alias("slope_c")),
-    "select account_id, count(*) as months, coalesce(round(regr_slope(net_c, x)), 0)::bigint as slope_c from (select *, row_number() over (partition by account_id order by ym) - 1 as x from m) group by 1", MONTHLY_SQL)
+    "select account_id, count(*) as months, coalesce(round((count(*) * sum(x * net_c) - sum(x) * sum(net_c))::double / nullif(count(*) * sum(x * x) - sum(x) * sum(x), 0)::double), 0)::bigint as slope_c from (select *, row_number() over (partition by account_id order by ym) - 1 as x from m) group by 1", MONTHLY_SQL)
 on_ledger("a6_trajectory", engines.trajectory,
     "select account_id, case when coalesce(s, 0) < -50000 or late = 2 then 'DETERIORATING' when coalesce(s, 0) > 50000 then 'IMPROVING' else 'STABLE' end as trajectory from (select account_id, regr_slope(net_c, x) as s, count(*) filter (where r <= 2 and net_c < 0) as late from (select *, row_number() over (partition by account_id order by ym) - 1 as x, row_number() over (partition by account_id order by ym desc) as r from m) group by 1)", MONTHLY_SQL)
 on_ledger("a7_seasonality", engines.seasonality, "select account_id, substring(ym, 6, 2) as month, sum(net_c)::bigint as net_c, count(*) as n from m where account_id in (select account_id from m group by 1 having count(*) >= 12) group by 1, 2", MONTHLY_SQL)
