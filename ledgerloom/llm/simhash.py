@@ -26,6 +26,8 @@ from ledgerloom.llm.textkit import ranges
 
 #: Members of a bucket up to which all its links are listed; beyond, a spanning forest of them.
 SMALL = 64
+#: Candidates of a member in a bucket of word fingerprints: of the best connected, and of the closest.
+HUBS, CLOSEST = 2, 4
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -103,11 +105,12 @@ class Anchors:
         return row, anchor, home
 
 
-def cover(threshold: int, blocks: int) -> list[tuple[int, Anchors]]:
-    """(first bit, covering) of each block. `blocks`: more make fewer replicas and larger buckets."""
+def cover(threshold: int, blocks: int, within: int | None = None) -> list[tuple[int, Anchors]]:
+    """(first bit, covering) of each block. `blocks`: more make fewer replicas and larger buckets. `within`:
+    the differing bits that a block covers; threshold // blocks of them miss no pair."""
     sizes = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
     starts = np.r_[0, np.cumsum(sizes)[:-1]].tolist()
-    return [(s, Anchors(n, n // 15, threshold // blocks)) for s, n in zip(starts, sizes, strict=True)]
+    return [(s, Anchors(n, n // 15, threshold // blocks if within is None else within)) for s, n in zip(starts, sizes, strict=True)]
 
 
 def _forest(fp: np.ndarray, home: np.ndarray, threshold: int) -> Iterator[tuple[int, int]]:
@@ -123,12 +126,12 @@ def _forest(fp: np.ndarray, home: np.ndarray, threshold: int) -> Iterator[tuple[
             if len(other):
                 seen, which = np.unique(label[other], return_index=True)
                 for j in other[which]:
-                    yield int(fp[i]), int(fp[j])
+                    yield int(i), int(j)
                 label[np.isin(label, seen)] = label[i]
 
 
 def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the buckets of rows sorted by key."""
+    """Links within the buckets of rows sorted by key, as row numbers."""
     first = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
     size = np.diff(np.r_[first, len(key)])
     homes = np.add.reduceat(home.astype(np.int64), first)
@@ -139,56 +142,99 @@ def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) ->
     for at in range(0, len(rows), 1 << 13):
         own = rows[at : at + (1 << 13)]
         many = size[group[own]]
-        left, right = fp[np.repeat(own, many)], fp[ranges(first[group[own]], many)]
-        near = np.flatnonzero((np.bitwise_count(left ^ right) <= threshold) & (left != right))
+        left, right = np.repeat(own, many), ranges(first[group[own]], many)
+        near = np.flatnonzero((np.bitwise_count(fp[left] ^ fp[right]) <= threshold) & (left != right))
         a.append(left[near])
         b.append(right[near])
     for g in np.flatnonzero((size > SMALL) & (homes > 0)):
         at = slice(first[g], first[g] + size[g])
-        found = np.array(list(_forest(fp[at], home[at], threshold)), np.uint64).reshape(-1, 2)
+        found = np.array(list(_forest(fp[at], home[at], threshold)), np.int64).reshape(-1, 2) + first[g]
         a.append(found[:, 0])
         b.append(found[:, 1])
-    none = np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def link_fingerprints(fps: DataFrame, threshold: int = 4, blocks: int = 3) -> DataFrame:
+def _hubs(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate links, a few for each member of a bucket: with the home members that are close to most others,
+    and with its closest home members."""
+    first = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
+    size = np.diff(np.r_[first, len(key)])
+    group = np.repeat(np.arange(len(first)), size)
+    rows = np.flatnonzero(home & (size[group] > 1))
+    near_of = [np.zeros(0, np.int64)] * 3
+
+    def pick(left: np.ndarray, right: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """left: home rows, right: members; the best for each member."""
+        degree = np.bincount(left, minlength=len(key))[left]
+        out = []
+        for order, most in ((np.lexsort((fp[left], -degree, right)), HUBS), (np.lexsort((fp[left], -degree, dist, right)), CLOSEST)):
+            new = np.r_[True, right[order][1:] != right[order][:-1]]
+            rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            out.append(order[rank < most])
+        chosen = np.unique(np.concatenate(out))
+        return left[chosen], right[chosen]
+
+    load, held = 0, []
+    # Buckets are taken together up to a bound on the pairs compared; a bucket is never cut, but its close pairs
+    # are found a slice of home members at a time.
+    for at in range(0, len(rows), 1 << 10):
+        own = rows[at : at + (1 << 10)]
+        for part in np.array_split(own, max(1, int(size[group[own]].sum()) >> 20)):
+            many = size[group[part]]
+            left, right = np.repeat(part, many), ranges(first[group[part]], many)
+            dist = np.bitwise_count(fp[left] ^ fp[right])
+            close = np.flatnonzero((dist <= threshold) & (left != right))
+            held.append((left[close], right[close], dist[close]))
+            load += len(close)
+            if load > 1 << 21:  # a dense bucket: keep the best so far and go on
+                left, right, dist = (np.concatenate([h[i] for h in held]) for i in range(3))
+                x, y = pick(left, right, dist)
+                held, load = [(x, y, np.bitwise_count(fp[x] ^ fp[y]))], 0
+    left, right, dist = (np.concatenate([n, *(h[i] for h in held)]) for i, n in enumerate(near_of))
+    return pick(left, right, dist)
+
+
+def link_fingerprints(fps: DataFrame, threshold: int = 4, blocks: int = 3, within: int | None = None, links=_links) -> DataFrame:
     """(a, b): links that join all fingerprints (distinct bigint fp) at `threshold` or fewer differing bits
-    into their components."""
+    into their components; with a column `node`, links between nodes, which may share fingerprints. `within` as
+    for `cover`; `links` chooses a bucket's links."""
+    named = "node" in fps.columns
+    columns = ["place", "fp", "node"] if named else ["place", "fp"]
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        covers = cover(threshold, blocks)
+        covers = cover(threshold, blocks, within)
         for batch in batches:
-            all_x = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for x in (all_x[i : i + 4096] for i in range(0, len(all_x), 4096)):
-                for k, (at, anchors) in enumerate(covers):
-                    own = (x >> np.uint64(at) & np.uint64((1 << anchors.bits) - 1)).astype(np.int64)
+            whole = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for at in range(0, batch.num_rows, 4096):
+                fp, *node = (c[at : at + 4096] for c in whole)
+                for k, (bit, anchors) in enumerate(covers):
+                    own = (fp.view(np.uint64) >> np.uint64(bit) & np.uint64((1 << anchors.bits) - 1)).astype(np.int64)
                     row, anchor, home = anchors.replicas(own)
-                    yield pa.RecordBatch.from_arrays([pa.array((anchor * blocks + k) * 2 + home), pa.array(x[row].view(np.int64))], ["place", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array((anchor * blocks + k) * 2 + home), pa.array(fp[row]), *(pa.array(n[row]) for n in node)], columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        def out(place: np.ndarray, fp: np.ndarray, ident: np.ndarray) -> pa.RecordBatch:
+            a, b = links(place >> 1, fp.view(np.uint64), (place & 1).astype(bool), threshold)
+            return pa.RecordBatch.from_arrays([pa.array(ident[a]), pa.array(ident[b])], ["a", "b"])
 
-        def out(place: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b = _links(place >> 1, fp.view(np.uint64), (place & 1).astype(bool), threshold)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        held, rows = [left], 0
+        held, rows = [[np.zeros(0, np.int64)] * 3], 0
         for batch in batches:
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, len(columns) - 1)])
             rows += batch.num_rows
             if rows >= 1 << 18:
-                place, fp = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                place, fp, ident = (np.concatenate([h[i] for h in held]) for i in range(3))
                 cut = int(np.searchsorted(place >> 1, place[-1] >> 1))
                 if cut:
-                    yield out(place[:cut], fp[:cut])
-                held, rows = [(place[cut:], fp[cut:])], 0
-        place, fp = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                    yield out(place[:cut], fp[:cut], ident[:cut])
+                held, rows = [[place[cut:], fp[cut:], ident[cut:]]], 0
+        place, fp, ident = (np.concatenate([h[i] for h in held]) for i in range(3))
         if len(place):
-            yield out(place, fp)
+            yield out(place, fp, ident)
 
-    spread = fps.select("fp").mapInArrow(replicate, "place long, fp long")
-    met = spread.repartition(partitions(fps.sparkSession), F.expr("place div 2")).sortWithinPartitions("place", "fp")
+    more = ", node long" if named else ""
+    spread = fps.select(*columns[1:]).mapInArrow(replicate, f"place long, fp long{more}")
+    met = spread.repartition(partitions(fps.sparkSession), F.expr("place div 2")).sortWithinPartitions(*columns)
     return met.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -206,3 +252,70 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, block
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = materialize(joined.join(least, "root").select("fp", "component_id"), "components")
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near copies by shingles: words a shingle, similarity from which on texts are copies, and the differing bits
+#: of word fingerprints up to which candidates are compared.
+SHINGLE, SIMILARITY, CANDIDATE_BITS = 5, 0.8, 9
+
+
+def word_fingerprint(words: list[bytes]) -> int:
+    """SimHash of a text's distinct words. An edited word changes one feature here but five shingles, so near
+    copies are much closer than in fingerprints of shingles."""
+    if not words:
+        return 0
+    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 14):
+        ones += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def similarity(a: str, b: str, shingle: int = SHINGLE) -> float:
+    """Jaccard similarity of the sets of word shingles (A-Z lower-cased; a shorter text is one shingle)."""
+    sets = []
+    for t in (a, b):
+        w = t.encode("utf-8", "surrogatepass").lower().split()
+        sets.append({b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    both = len(sets[0] & sets[1])
+    return both / max(1, len(sets[0]) + len(sets[1]) - both)
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, bits: int = CANDIDATE_BITS) -> DataFrame:
+    """(doc_id, group_id) for each row of docs with a doc_id and a word: group_id is the smallest doc_id that can
+    be reached over equal texts and over pairs of similarity `least` or more.
+
+    Candidates come from anchor covering of word fingerprints (one bit a block), pairs of up to `bits` bits; each
+    is compared by its whole texts. Equal texts are one node; a node has a few candidates a bucket, the
+    best connected members and the closest, so large groups cost no more than their size."""
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, fp, digest = [], [], []
+            for i, t, d in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                words = t.encode("utf-8", "surrogatepass").lower().split()
+                if words:
+                    ids.append(i)
+                    fp.append(word_fingerprint(words))
+                    digest.append(d)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(digest, pa.string())], ["doc_id", "fp", "digest"])
+
+    rows = materialize(own.mapInArrow(run, "doc_id long, fp long, digest string"), "words")
+    texts = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")), "texts")
+    met = link_fingerprints(texts.select("fp", "node"), bits, 3, 1, _hubs)
+    pairs = materialize(met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "pairs")
+    # Only texts of nodes in a pair travel, each once for each of its pairs.
+    nodes = pairs.select(F.col("x").alias("node")).unionAll(pairs.select(F.col("y").alias("node"))).distinct()
+    text = materialize(own.join(nodes.hint("shuffle_hash"), F.col("doc_id") == F.col("node")).select("node", "text").dropDuplicates(["node"]), "compared")
+    both = pairs.join(text.select(F.col("node").alias("x"), F.col("text").alias("left")), "x").join(text.select(F.col("node").alias("y"), F.col("text").alias("right")), "y")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [similarity(x.as_py(), y.as_py(), shingle) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    links = both.select("x", "y", "left", "right").mapInArrow(verify, "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = connected_components(links)
+    groups = texts.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("group_id"))
+    return rows.join(groups, "digest").select("doc_id", "group_id")

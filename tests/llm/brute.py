@@ -60,3 +60,27 @@ def secrets(text):
     found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
     return sorted(found)
+
+
+def copies(texts, shingle=5, least=0.8):
+    """doc_id -> smallest doc_id reachable over pairs of similar texts that have a word."""
+    sets = {}
+    for d, t in texts.items():
+        w = SPACE.findall((t or "").encode().lower())
+        if w:
+            sets[d] = {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    order = sorted(sets)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both >= least * (len(sets[a]) + len(sets[b]) - both):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {d: find(d) for d in sets}

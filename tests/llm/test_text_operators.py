@@ -58,6 +58,27 @@ def test_simhash_awkward(spark, nasty):
     assert simhash.near_duplicates(nasty.limit(0)).count() == 0
 
 
+def test_near_copies(spark, documents):
+    text = texts_of(documents)
+    got = {r.doc_id: r.group_id for r in simhash.near_copies(documents).collect()}
+    assert got == brute.copies(text) and len(set(got.values())) < len(got)
+
+
+def test_near_copies_of_one_text(spark):
+    """A large group around one text: single edits, equal word sets in other order, and exact copies."""
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(120)]
+    docs = [(i, " ".join(base[: i % 118] + ["edit%d" % i] + base[i % 118 + 1 :])) for i in range(300)] + [(400, " ".join(base)), (401, " ".join(base)), (402, " ".join(sorted(base))), (403, " ".join(base).upper())]
+    got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute.copies(dict(docs)) and got[402] == 402 and got[403] == 0
+
+
+def test_near_copies_awkward(spark, nasty):
+    got = sorted((r.doc_id, r.group_id) for r in simhash.near_copies(nasty).collect())
+    assert got == [(1, 1), (2, 1), (2, 1), (6, 6), (7, 7), (8, 8)]
+    assert simhash.near_copies(nasty.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
