@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators import classify, cleaning, engines, fraud, joins, labels, query, report, risk, score, spec, timeline
-from ledgerloom.plans.registry import DAILY_SQL, INCOME, KEYWORDS_SQL, MONTHLY_SQL, add, on_classified, on_events, on_ledger, raw_cells
+from ledgerloom.plans.registry import DAILY_SQL, INCOME, KEYWORDS_SQL, MONTHLY_SQL, add, on_classified, on_events, on_ledger, on_slim, raw_cells
 from ledgerloom.sources.tables import ledger_items, merge_statements, read
 
 
 # Cleaning ------------------------------------------------------------------------------------------------
-on_ledger("p6_signed_split", lambda l: l.withColumn("amount", F.col("credit_c") - F.col("debit_c")).select("account_id", "seq", *[c.cast("long").alias(n) for c, n in zip(cleaning.split_signed(F.col("amount"), F.lit(None).cast("string")), ("debit", "credit"), strict=True)]),
+on_slim("p6_signed_split", lambda l: l.withColumn("amount", F.col("credit_c") - F.col("debit_c")).select("account_id", "seq", *[c.cast("long").alias(n) for c, n in zip(cleaning.split_signed(F.col("amount"), F.lit(None).cast("string")), ("debit", "credit"), strict=True)]),
     "select account_id, seq, debit_c as debit, credit_c as credit from ledger")
 on_ledger("p7_cheque_merge", lambda l: l.select("account_id", "seq", cleaning.with_cheque(F.col("description"), F.when(F.col("seq") % 2 == 0, F.col("seq").cast("string"))).alias("description")),
     "select account_id, seq, case when seq % 2 = 0 and not contains(description, cast(seq as string)) then description || ' ' || seq else description end as description from ledger")
@@ -23,7 +23,7 @@ on_ledger("p9b_leading_date", lambda l: l.withColumn("cell", F.when(F.col("seq")
 add("p3b_signed_balance", lambda s, d: raw_cells(s, d).groupBy("l_suppkey").agg(F.sum((text.clean_numeric(F.col("cell"), True) * 100).cast("long")).alias("sum_c")),
     "select l_suppkey, sum(case mod(l_orderkey + l_partkey, 7) when 5 then 0 when 1 then -1 when 2 then -1 when 3 then -1 else 1 end * cast(round(l_extendedprice * 100) as bigint))::bigint as sum_c from lineitem group by 1")
 add("f3_blank_rows", lambda s, d: cleaning.drop_blank(read(s, d, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") > 2, F.col("l_quantity")).alias("a"), F.when(F.col("l_linenumber") > 4, F.col("l_tax")).alias("b")), ["a", "b"]).agg(F.count("*").alias("n")), "select count(*) as n from lineitem where l_linenumber > 2")
-on_ledger("f6_loose_dedup", lambda l: timeline.dedup_keep_first(l, ["account_id", "counterparty", "ym"], ["seq"]).select("account_id", "counterparty", "ym", "seq"), "select account_id, counterparty, ym, min(seq) as seq from ledger group by 1, 2, 3")
+on_slim("f6_loose_dedup", lambda l: timeline.dedup_keep_first(l, ["account_id", "counterparty", "ym"], ["seq"]).select("account_id", "counterparty", "ym", "seq"), "select account_id, counterparty, ym, min(seq) as seq from ledger group by 1, 2, 3")
 on_classified("f8_true_turnover_rows", lambda c: c.where(~(F.col("subcategory").isin("Loan EMI") | F.col("is_return"))).groupBy("account_id").agg(F.sum("credit_c").alias("credit_c"), F.sum("debit_c").alias("debit_c")), "select account_id, sum(credit_c)::bigint as credit_c, sum(debit_c)::bigint as debit_c from cl where subcategory <> 'Loan EMI' and not is_return group by 1")
 on_classified("f9_income_rows", lambda c: c.where(INCOME).select("account_id", "seq", "credit_c"), f"select account_id, seq, credit_c from cl where {INCOME}")
 on_ledger("f10_cash_rows", lambda l: l.where((text.rail(F.col("description")) == "ATM_CASH") | F.lower("description").rlike("cash")).select("account_id", "seq"), "select account_id, seq from ledger where contains(lower(description), 'cash')")
@@ -66,17 +66,17 @@ on_classified("c31_recurring_labels", lambda c: labels.relabel_recurring(c, engi
 on_classified("c22_rail_fallback", lambda c: c.where("method = 'rail'").groupBy("category", "subcategory", "confidence").agg(F.count("*").alias("n")), "select category, subcategory, confidence, count(*) as n from cl where method = 'rail' group by 1, 2, 3")
 
 # Joins and sets ------------------------------------------------------------------------------------------
-on_ledger("j11_anti_override", lambda l: l.join(l.where("counterparty like '%1'").select("account_id", "counterparty").distinct(), ["account_id", "counterparty"], "left_anti").groupBy("account_id").agg(F.count("*").alias("n")), "select account_id, count(*) as n from ledger where counterparty not like '%1' group by 1")
+on_slim("j11_anti_override", lambda l: l.join(l.where("counterparty like '%1'").select("account_id", "counterparty").distinct(), ["account_id", "counterparty"], "left_anti").groupBy("account_id").agg(F.count("*").alias("n")), "select account_id, count(*) as n from ledger where counterparty not like '%1' group by 1")
 on_events("j13_date_spine", lambda l: timeline.daily_balance(l).join(l.select("account_id", "d").distinct(), ["account_id", "d"], "left_anti"), "select account_id, d, balance_c from daily where (account_id, d) not in (select account_id, d from ev)", DAILY_SQL.format(t="ev"))
-on_ledger("j15_month_alignment", lambda l: l.where("credit_c > 0").groupBy("account_id", "ym").agg(F.sum("credit_c").alias("a")).join(l.where("debit_c > 0").groupBy("account_id", "ym").agg(F.sum("debit_c").alias("b")), ["account_id", "ym"], "full_outer").select("account_id", "ym", F.coalesce("a", F.lit(0)).alias("in_c"), F.coalesce("b", F.lit(0)).alias("out_c")), "select account_id, ym, inflow_c as in_c, outflow_c as out_c from m", MONTHLY_SQL)
+on_slim("j15_month_alignment", lambda l: l.where("credit_c > 0").groupBy("account_id", "ym").agg(F.sum("credit_c").alias("a")).join(l.where("debit_c > 0").groupBy("account_id", "ym").agg(F.sum("debit_c").alias("b")), ["account_id", "ym"], "full_outer").select("account_id", "ym", F.coalesce("a", F.lit(0)).alias("in_c"), F.coalesce("b", F.lit(0)).alias("out_c")), "select account_id, ym, inflow_c as in_c, outflow_c as out_c from m", MONTHLY_SQL)
 on_ledger("u1_union_promoted", lambda l: l.where("credit_c > 9000000").select("account_id", "seq").unionByName(l.where("description like 'SALARY%'").select("account_id", "seq")).groupBy("account_id").agg(F.count("*").alias("n")), "select account_id, count(*) as n from (select account_id from ledger where credit_c > 9000000 union all select account_id from ledger where description like 'SALARY%') group by 1")
-on_ledger("u5_distinct_parties", lambda l: l.select("account_id", "counterparty").distinct().groupBy("account_id").agg(F.count("*").alias("n")), "select account_id, count(distinct counterparty) as n from ledger group by 1")
-on_ledger("t3_topn_amount", lambda l: l.select("account_id", "seq", (F.col("debit_c") + F.col("credit_c")).alias("amount_c")).orderBy(F.desc("amount_c"), "account_id", "seq").limit(25), "select account_id, seq, debit_c + credit_c as amount_c from ledger order by 3 desc, 1, 2 limit 25")
+on_slim("u5_distinct_parties", lambda l: l.select("account_id", "counterparty").distinct().groupBy("account_id").agg(F.count("*").alias("n")), "select account_id, count(distinct counterparty) as n from ledger group by 1")
+on_slim("t3_topn_amount", lambda l: l.select("account_id", "seq", (F.col("debit_c") + F.col("credit_c")).alias("amount_c")).orderBy(F.desc("amount_c"), "account_id", "seq").limit(25), "select account_id, seq, debit_c + credit_c as amount_c from ledger order by 3 desc, 1, 2 limit 25")
 on_ledger("t7_evidence_first_five", lambda l: l.where("balance_c < 0").groupBy("account_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("seq")), 1, 5), lambda x: x.cast("string")), ",").alias("evidence")),
     "select account_id, array_to_string(list_slice(list_sort(list(seq)), 1, 5), ',') as evidence from ledger where balance_c < 0 group by 1")
 
 # Aggregations --------------------------------------------------------------------------------------------
-on_ledger("a2_global_sums", lambda l: l.agg(F.sum("credit_c").alias("in_c"), F.sum("debit_c").alias("out_c"), F.sum(F.col("credit_c") - F.col("debit_c")).alias("net_c")), "select sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c, sum(credit_c - debit_c)::bigint as net_c from ledger")
+on_slim("a2_global_sums", lambda l: l.agg(F.sum("credit_c").alias("in_c"), F.sum("debit_c").alias("out_c"), F.sum(F.col("credit_c") - F.col("debit_c")).alias("net_c")), "select sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c, sum(credit_c - debit_c)::bigint as net_c from ledger")
 on_classified("a9_business_breakdown", lambda c: c.groupBy("account_id").agg(*[F.sum(F.when(F.col("subcategory") == s, F.col("debit_c") + F.col("credit_c")).otherwise(0)).alias(n) for s, n in (("Cheque", "cheque_c"), ("Merchant", "merchant_c"), ("UPI Transfer", "upi_c"))]),
     "select account_id, sum(case when subcategory = 'Cheque' then debit_c + credit_c else 0 end)::bigint as cheque_c, sum(case when subcategory = 'Merchant' then debit_c + credit_c else 0 end)::bigint as merchant_c, sum(case when subcategory = 'UPI Transfer' then debit_c + credit_c else 0 end)::bigint as upi_c from cl group by 1")
 on_ledger("a26_portfolio", lambda l: risk.portfolio(engines.loan_status(engines.loan_facilities(classify.lenders(l).where("debit_c > 0"), tolerance=0.2), l.groupBy("account_id").agg(F.max("d").alias("end_d"))), l.groupBy("account_id").agg((F.sum("credit_c") / F.countDistinct("ym")).alias("monthly_c"))))
@@ -86,7 +86,7 @@ _BEHAVE = "select account_id, sum(debit_c)::bigint as o, sum(credit_c)::bigint a
 on_classified("a32_behaviour", risk.behaviour,
     f"""select account_id, payees, low_rows, round(cash, 4) as cash, round(weekend, 4) as weekend, round(want, 4) as want, round(saved, 4) as saved, case when low_rows > 15 then 'Financial Stress' when cash > 0.35 then 'Cash Dependent' when want > 0.6 or weekend > 0.4 then 'Impulsive' when saved < -0.05 then 'Depleting Balance' when want > 0.4 then 'Lifestyle Inflation' when want < 0.2 and low_rows = 0 and saved > 0 then 'High Saver' else 'Stable' end as state
 from (select account_id, payees, low_rows, coalesce(c / nullif(o, 0), 0) as cash, coalesce(w / nullif(o, 0), 0) as weekend, coalesce(n / nullif(o, 0), 0) as want, coalesce((i - o)::double / nullif(i, 0), 0) as saved from ({_BEHAVE}))""")
-on_ledger("a33_monthly_trend", risk.monthly_trend, "select account_id, outflow_c as v, b as before, case when outflow_c * 100 > b * 115 then 'RISING' when outflow_c * 100 < b * 85 then 'FALLING' else 'STEADY' end as trend from (select *, row_number() over (partition by account_id order by ym desc) as r, lag(outflow_c) over (partition by account_id order by ym) as b from m) where r = 1 and b is not null", MONTHLY_SQL)
+on_slim("a33_monthly_trend", risk.monthly_trend, "select account_id, outflow_c as v, b as before, case when outflow_c * 100 > b * 115 then 'RISING' when outflow_c * 100 < b * 85 then 'FALLING' else 'STEADY' end as trend from (select *, row_number() over (partition by account_id order by ym desc) as r, lag(outflow_c) over (partition by account_id order by ym) as b from m) where r = 1 and b is not null", MONTHLY_SQL)
 on_ledger("a39_cash_vs_salary", fraud.cash_against_salary, "select account_id, cash_c, salary_c from (select account_id, sum(case when contains(description, 'CASH WDL') then credit_c else 0 end)::bigint as cash_c, sum(case when description like 'SALARY%' then credit_c else 0 end)::bigint as salary_c from ledger group by 1) where salary_c > 0 and cash_c * 2 > salary_c * 3")
 on_classified("a48_true_turnover", lambda c: risk.true_turnover(c, joins.two_sided(c)),
     "select account_id, greatest(0, clean - coalesce(mir, 0))::bigint as turnover_c from (select account_id, sum(case when subcategory = 'Loan EMI' or is_return then 0 else credit_c end) as clean from cl group by 1) left join (select account_id, sum(2 * least(i, o)) as mir from (select account_id, counterparty, sum(credit_c) as i, sum(debit_c) as o from cl group by 1, 2) where i > 1000000 and o > 1000000 and abs(i - o) * 100 <= greatest(i, o) * 15 group by 1) using (account_id)")
@@ -97,7 +97,7 @@ on_ledger("a53_credit_audit", risk.audit,
 on_classified("a56_result_gate", lambda c: score.gate(score.composite(score.features(c)), score.reconciliation(c)))
 on_ledger("a60_cashflow_sheet", lambda l: l.groupBy("account_id", "ym").agg(F.sum("credit_c").alias("in_c"), F.sum("debit_c").alias("out_c"), F.count_if(F.col("credit_c") > 0).alias("n_in"), F.count_if(F.col("debit_c") > 0).alias("n_out"), F.sum("balance_c").alias("balance_sum_c")), "select account_id, ym, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c, count(*) filter (where credit_c > 0) as n_in, count(*) filter (where debit_c > 0) as n_out, sum(balance_c)::bigint as balance_sum_c from ledger group by 1, 2")
 on_ledger("w3_printed_balance", lambda l: risk.printed_balance_breaks(l.withColumn("balance_c", F.col("balance_c") * F.when(F.col("seq") % 11 == 0, 2).otherwise(1))), "select account_id, seq, off_c from (select account_id, seq, b, abs(lag(b) over (partition by account_id order by seq) - debit_c + credit_c - b) as off_c from (select *, balance_c * case when seq % 11 = 0 then 2 else 1 end as b from ledger)) where b <> 0 and off_c > 0.02::double * abs(b)")
-on_ledger("w13_level_shift", lambda l: risk.level_shifts(l.withColumn("debit_c", F.lit(10_000) + F.when(F.col("seq") > 25, 500).otherwise(0))),
+on_slim("w13_level_shift", lambda l: risk.level_shifts(l.withColumn("debit_c", F.lit(10_000) + F.when(F.col("seq") > 25, 500).otherwise(0))),
     "select account_id, counterparty, lo as cut from (select account_id, counterparty, count(*) as n, count(*) filter (where seq <= 25) as lo from ledger group by 1, 2) where n >= 4 and lo >= 2 and n - lo >= 2")
 
 # Questions -----------------------------------------------------------------------------------------------
@@ -113,12 +113,12 @@ for _name, _q, _sql in [
 # Specified, not in the reference's code ------------------------------------------------------------------
 on_ledger("x1_deposit_withdrawal", spec.deposit_then_withdrawal, "select c.account_id, c.seq, c.credit_c, sum(x.debit_c)::bigint as out_c from ledger c join ledger x on x.account_id = c.account_id and x.d between c.d and c.d + interval 1 day and x.debit_c > 0 where c.credit_c >= 5000000 group by 1, 2, 3 having sum(x.debit_c) >= c.credit_c")
 on_ledger("x5_international", lambda l: l.where(F.upper("description").rlike("SWIFT|FOREX|USD|(^|[^A-Z])INTL([^A-Z]|$)|PLATE")).groupBy("account_id").agg(F.count("*").alias("n")), "select account_id, count(*) as n from ledger where regexp_matches(upper(description), 'SWIFT|FOREX|USD|(^|[^A-Z])INTL([^A-Z]|$)|PLATE') group by 1")
-on_ledger("x7_multi_hop", spec.multi_hop, "select a.account_id, a.seq as out_seq, b.seq as in_seq from ledger a join ledger b on b.account_id = a.account_id and b.counterparty <> a.counterparty and b.d between a.d and a.d + interval 3 day and abs(b.credit_c - a.debit_c) * 20 <= a.debit_c where a.debit_c > 0 and b.credit_c > 0")
-on_ledger("x8_inter_account", lambda l: spec.inter_account(l.withColumns({"debit_c": F.floor(F.col("debit_c") / 1_000_000).cast("long"), "credit_c": F.floor(F.col("credit_c") / 1_000_000).cast("long")})).groupBy("amount_c").agg(F.count("*").alias("n")), "select a.debit_c // 1000000 as amount_c, count(*) as n from ledger a join ledger b on b.account_id <> a.account_id and b.credit_c // 1000000 = a.debit_c // 1000000 and b.d between a.d and a.d + interval 1 day where a.debit_c >= 1000000 and b.credit_c >= 1000000 group by 1")
+on_slim("x7_multi_hop", spec.multi_hop, "select a.account_id, a.seq as out_seq, b.seq as in_seq from ledger a join ledger b on b.account_id = a.account_id and b.counterparty <> a.counterparty and b.d between a.d and a.d + interval 3 day and abs(b.credit_c - a.debit_c) * 20 <= a.debit_c where a.debit_c > 0 and b.credit_c > 0")
+on_slim("x8_inter_account", lambda l: spec.inter_account(l.withColumns({"debit_c": F.floor(F.col("debit_c") / 1_000_000).cast("long"), "credit_c": F.floor(F.col("credit_c") / 1_000_000).cast("long")})).groupBy("amount_c").agg(F.count("*").alias("n")), "select a.debit_c // 1000000 as amount_c, count(*) as n from ledger a join ledger b on b.account_id <> a.account_id and b.credit_c // 1000000 = a.debit_c // 1000000 and b.d between a.d and a.d + interval 1 day where a.debit_c >= 1000000 and b.credit_c >= 1000000 group by 1")
 on_ledger("x11_bounce_rates", spec.bounce_rates, "select account_id, b as bounces, c as cheques, date_diff('day', lb, last_d) as days_since, round(b::double / nullif(c, 0), 4) as rate from (select account_id, count(*) filter (where contains(description, 'RETURN CHARGES')) as b, count(*) filter (where description like 'CLG/%') as c, max(d) filter (where contains(description, 'RETURN CHARGES')) as lb, max(d) as last_d from ledger group by 1)")
 on_ledger("x12_discipline_score", risk.discipline_score, "select account_id, greatest(0, least(100, 100 - least(40, 10 * b) - least(30, n) - case when o > i then 20 else 0 end))::bigint as points from (select account_id, count(*) filter (where contains(description, 'RETURN CHARGES')) as b, count(*) filter (where balance_c < 0) as n, sum(credit_c) as i, sum(debit_c) as o from ledger group by 1)")
 on_ledger("x14_holiday_cheques", lambda l: spec.weekend_rows(l, l.sparkSession.sql("select date'1998-01-26' as d union all select date'1999-08-15'")), "select account_id, count(*) as n from ledger where description like 'CLG/%' and (d in (date '1998-01-26', date '1999-08-15') or dayofweek(d) = 0) group by 1")
 on_ledger("x15_balance_trend", spec.balance_trend, "select account_id, f as first_c, l as last_c, case when l > f then 'UP' when l < f then 'DOWN' else 'FLAT' end as trend from (select account_id, arg_min(b, ym) as f, arg_max(b, ym) as l from (select account_id, ym, arg_max(balance_c, seq) as b from ledger group by 1, 2) group by 1)")
 on_ledger("x19_upi_apps", spec.upi_apps, "select lower(regexp_extract(description, '@([A-Za-z]+)', 1)) as handle, count(*) as n, count(distinct account_id) as accounts from ledger where contains(description, '@') group by 1")
-on_ledger("x20_variance_bands", lambda l: spec.variance_bands(l.where("account_id % 2 = 0").groupBy("account_id", "ym").agg((F.sum("credit_c") + F.max("debit_c")).alias("declared_c")), l), "select account_id, ym, case when account_id % 2 = 1 then 'MISSING' when x * 100 <= (i + x) * 10 then 'MATCH' when x * 100 <= (i + x) * 25 then 'REVIEW' else 'MISMATCH' end as band from (select account_id, ym, sum(credit_c) as i, max(debit_c) as x from ledger group by 1, 2)")
+on_slim("x20_variance_bands", lambda l: spec.variance_bands(l.where("account_id % 2 = 0").groupBy("account_id", "ym").agg((F.sum("credit_c") + F.max("debit_c")).alias("declared_c")), l), "select account_id, ym, case when account_id % 2 = 1 then 'MISSING' when x * 100 <= (i + x) * 10 then 'MATCH' when x * 100 <= (i + x) * 25 then 'REVIEW' else 'MISMATCH' end as band from (select account_id, ym, sum(credit_c) as i, max(debit_c) as x from ledger group by 1, 2)")
 

@@ -51,6 +51,11 @@ def on_ledger(name: str, op: Callable[[DataFrame], DataFrame], sql: str | None =
     add(name, lambda spark, sf: op(ledger_items(spark, sf)), f"with {LEDGER_SQL}{', ' + more if more else ''} {sql}" if sql else None)
 
 
+def on_slim(name: str, op: Callable[[DataFrame], DataFrame], sql: str | None = None, more: str = "") -> None:
+    """As on_ledger, for operators that use neither narrations nor balances."""
+    add(name, lambda spark, sf: op(ledger_items(spark, sf, narration=False, balance=False)), f"with {LEDGER_SQL}{', ' + more if more else ''} {sql}" if sql else None)
+
+
 def on_classified(name: str, op: Callable[[DataFrame], DataFrame], sql: str | None = None, more: str = "") -> None:
     add(name, lambda spark, sf: op(classify.classify(ledger_items(spark, sf))), f"with {CLASSIFIED_SQL}{', ' + more if more else ''} {sql}" if sql else None)
 
@@ -84,7 +89,7 @@ on_ledger("f4_summary_noise", lambda l: l.withColumn("cell", F.when(F.col("seq")
     "select account_id, count(*) as n from ledger where seq % 10 > 1 group by 1")
 add("f5_dedup_keep_first", lambda s, d: timeline.dedup_keep_first(read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber"], ["l_partkey"]),
     "select l_orderkey, l_linenumber, min(l_partkey) as l_partkey from lineitem group by 1, 2")
-on_ledger("p9_date_carry_forward", lambda l: timeline.carry_forward(l.select("account_id", "seq", F.when(F.col("seq") % 3 == 1, F.col("d")).alias("d")), "d"),
+on_slim("p9_date_carry_forward", lambda l: timeline.carry_forward(l.select("account_id", "seq", F.when(F.col("seq") % 3 == 1, F.col("d")).alias("d")), "d"),
     "select account_id, seq, last_value(case when seq % 3 = 1 then d end ignore nulls) over (partition by account_id order by seq rows between unbounded preceding and current row) as d from ledger")
 on_ledger("p13_rail", lambda l: l.groupBy(text.rail(F.col("description")).alias("rail")).agg(F.count("*").alias("n"), F.sum(F.col("debit_c") + F.col("credit_c")).alias("amount_c")),
     """select case when u like '%UPI%' then 'UPI' when u like '%ACH%' then 'ACH/NACH' when u like '%NEFT%' then 'NEFT' when u like '%IMPS%' then 'IMPS' when u like '%RTGS%' then 'RTGS'
@@ -147,7 +152,7 @@ on_ledger("c26_tags", lambda l: l.select("account_id", "seq", F.array_join(class
 case when is_return then 'Return' end, case when contains(u, 'CHARGES') then 'Charges' end, case when contains(u, 'UPI') then 'UPI' end) as tags from (select *, upper(description) as u from ledger)""")
 on_ledger("c27_counterparty_key", lambda l: l.select("account_id", "seq", classify.counterparty_key(F.col("counterparty"), F.regexp_extract("description", r"([A-Za-z0-9.]+@[A-Za-z]+)", 1), F.lit("Union")).alias("key")).groupBy("account_id", "key").agg(F.count("*").alias("n")),
     "select account_id, case when vpa <> '' then upper(string_split(vpa, '@')[1]) when length(sq) <= 10 then sq || '|UNION' else sq end as key, count(*) as n from (select *, regexp_extract(description, '([A-Za-z0-9.]+@[A-Za-z]+)', 1) as vpa, replace(upper(counterparty), ' ', '') as sq from ledger) group by 1, 2")
-on_ledger("c28_canonical_keys", lambda l: classify.canonical_keys(l.select("account_id", F.regexp_replace("counterparty", " ", "").alias("key"))),
+on_slim("c28_canonical_keys", lambda l: classify.canonical_keys(l.select("account_id", F.regexp_replace("counterparty", " ", "").alias("key"))),
     "select k.account_id, k.key, coalesce(arg_min(s.key, length(s.key)), k.key) as canonical from k left join k s on s.account_id = k.account_id and length(s.key) >= 6 and starts_with(k.key, s.key) group by 1, 2", "k as (select distinct account_id, replace(counterparty, ' ', '') as key from ledger)")
 on_ledger("c29_self_transfer", lambda l: classify.self_transfers(l, F.concat(F.lit("Holder "), F.lpad((F.col("account_id") % 100).cast("string"), 4, "0"), F.lit(" SUPPLIER")), F.col("counterparty")).groupBy("account_id").agg(F.count_if("is_self").alias("n_self")), "select account_id, count(*) as n_self from ledger group by 1")
 on_classified("c30_overrides", lambda c: classify.apply_overrides(c, _overrides(c)).where("o_category is not null").groupBy("counterparty", "o_category", "o_subcategory").agg(F.count("*").alias("n")),
@@ -168,8 +173,8 @@ on_ledger("c35_lenders", lambda l: classify.lenders(l).groupBy("account_id", "le
 on_ledger("w1_reorder_by_balance", timeline.reorder_by_balance)
 on_ledger("w2_chain_mismatch", lambda l: timeline.chain_mismatches(l.withColumn("balance_c", F.col("balance_c") + F.when(F.col("seq") % 7 == 0, 1000).otherwise(0))).select("account_id", "seq", "off_c"),
     "select account_id, seq, off_c from (select account_id, seq, b - (lag(b) over (partition by account_id order by seq) - debit_c + credit_c) as off_c from (select *, balance_c + case when seq % 7 = 0 then 1000 else 0 end as b from ledger)) where abs(off_c) > 50")
-on_ledger("w4_gap_days", lambda l: l.select("account_id", "seq", F.datediff("d", F.lag("d").over(timeline.by_account("seq"))).cast("long").alias("gap")), "select account_id, seq, date_diff('day', lag(d) over (partition by account_id order by seq), d) as gap from ledger")
-on_ledger("w5_month_over_month", lambda l: timeline.month_over_month(engines.monthly_cashflow(l).select("account_id", "ym", "outflow_c"), "outflow_c"),
+on_slim("w4_gap_days", lambda l: l.select("account_id", "seq", F.datediff("d", F.lag("d").over(timeline.by_account("seq"))).cast("long").alias("gap")), "select account_id, seq, date_diff('day', lag(d) over (partition by account_id order by seq), d) as gap from ledger")
+on_slim("w5_month_over_month", lambda l: timeline.month_over_month(engines.monthly_cashflow(l).select("account_id", "ym", "outflow_c"), "outflow_c"),
     "select account_id, ym, outflow_c, case when p = 0 then 0 else round((outflow_c - p) * 100.0::double / abs(p), 2) end as change_pct from (select account_id, ym, outflow_c, lag(outflow_c) over (partition by account_id order by ym) as p from m)", MONTHLY_SQL)
 on_events("w7_daily_balance", timeline.daily_balance, "select account_id, d, balance_c from daily", DAILY_SQL.format(t="ev"))
 on_events("w6_daily_change", lambda l: engines.daily_change(timeline.daily_balance(l)), "select account_id, round(avg(p), 2) as mean_pct, round(max(p), 2) as max_pct from (select account_id, case when b <> 0 then abs((balance_c - b)::double * 100 / b) end as p from (select *, lag(balance_c) over (partition by account_id order by d) as b from daily)) group by 1", DAILY_SQL.format(t="ev"))
@@ -177,30 +182,30 @@ on_events("w8_recovery_runs", lambda l: timeline.recovery_runs(timeline.daily_ba
     "select account_id, count(*) as runs, sum(days)::bigint as days from (select account_id, g, count(*) as days, max(d) as hi from (select *, row_number() over (partition by account_id order by d) - row_number() over (partition by account_id, low order by d) as g from lo) where low group by 1, 2) r join (select account_id, max(d) as last_d from lo group by 1) using (account_id) where hi < last_d group by 1",
     DAILY_SQL.format(t="ev") + ", lo as (select account_id, d, balance_c < avg(balance_c) over (partition by account_id) as low from daily)")
 on_events("w9_velocity", lambda l: timeline.velocity(l.where("debit_c > 5000"), 3, 2, ("ts", "seq")).select("account_id", "seq", "d", "until"), "select account_id, seq, d, until from (select *, lead(d, 2) over (partition by account_id order by ts, seq) as until from ev where debit_c > 5000) where date_diff('day', d, until) <= 2")
-on_ledger("w10_exhaustion", timeline.exhaustion_day,
+on_slim("w10_exhaustion", timeline.exhaustion_day,
     "select account_id, greatest(coalesce(date_diff('day', min(d), min(d) filter (where income > 0 and spent * 10 >= income * 8)), 25), 1)::bigint as days from (select *, sum(debit_c) over (partition by account_id order by seq rows between unbounded preceding and current row) as spent, sum(credit_c) over (partition by account_id) as income from ledger) group by 1")
 on_ledger("w11_opening_closing", lambda l: engines.opening_closing(l, ("account_id", "ym")), "select account_id, ym, arg_min(balance_c + debit_c - credit_c, seq)::bigint as opening_c, arg_max(balance_c, seq)::bigint as closing_c from ledger group by 1, 2")
-on_ledger("w14_day_clusters", lambda l: timeline.day_clusters(l.select("account_id", "counterparty", "seq", "d"), ["account_id", "counterparty"], 30).groupBy("account_id", "counterparty").agg((F.max("cluster") + 1).alias("clusters")),
+on_slim("w14_day_clusters", lambda l: timeline.day_clusters(l.select("account_id", "counterparty", "seq", "d"), ["account_id", "counterparty"], 30).groupBy("account_id", "counterparty").agg((F.max("cluster") + 1).alias("clusters")),
     "select account_id, counterparty, (sum(t) + 1)::bigint as clusters from (select account_id, counterparty, case when date_diff('day', lag(d) over (partition by account_id, counterparty order by d), d) > 30 then 1 else 0 end as t from ledger) group by 1, 2")
-on_ledger("w15_txn_id", lambda l: l.select("account_id", "seq", F.format_string("TXN_%04d", "seq").alias("txn_id")), "select account_id, seq, 'TXN_' || lpad(cast(seq as string), 4, '0') as txn_id from ledger")
+on_slim("w15_txn_id", lambda l: l.select("account_id", "seq", F.format_string("TXN_%04d", "seq").alias("txn_id")), "select account_id, seq, 'TXN_' || lpad(cast(seq as string), 4, '0') as txn_id from ledger")
 on_events("j4_salary_phase", lambda l: joins.salary_phase(l, F.col("kind") == "purchase"),
     "select account_id, case when n is null then 'Pre-Salary' when n <= 7 then 'Week 1' when n <= 15 then 'Week 2' when n <= 22 then 'Week 3' else 'Week 4+' end as phase, sum(debit_c)::bigint as spent_c, count(*) as n from (select account_id, debit_c, date_diff('day', max(case when kind = 'purchase' then d end) over (partition by account_id order by d range between unbounded preceding and current row), d) as n from ev) group by 1, 2")
 
 # Aggregations --------------------------------------------------------------------------------------------
-on_ledger("a1_monthly_cashflow", engines.monthly_cashflow, "select * from m", MONTHLY_SQL)
-on_ledger("a3_cashflow_summary", engines.cashflow_summary, "select account_id, sum(inflow_c)::bigint as inflow_c, sum(outflow_c)::bigint as outflow_c, sum(net_c)::bigint as net_c, count(*) filter (where net_c > 0) as surplus_months, count(*) filter (where net_c < 0) as deficit_months, round(case when count(*) < 2 then 0 else stddev_pop(net_c) end)::bigint as net_spread_c from m group by 1", MONTHLY_SQL)
-on_ledger("a5_trend_slope", lambda l: engines.slope(engines.monthly_cashflow(l), "net_c").select("account_id", "months", F.round("slope").cast("long").alias("slope_c")),
+on_slim("a1_monthly_cashflow", engines.monthly_cashflow, "select * from m", MONTHLY_SQL)
+on_slim("a3_cashflow_summary", engines.cashflow_summary, "select account_id, sum(inflow_c)::bigint as inflow_c, sum(outflow_c)::bigint as outflow_c, sum(net_c)::bigint as net_c, count(*) filter (where net_c > 0) as surplus_months, count(*) filter (where net_c < 0) as deficit_months, round(case when count(*) < 2 then 0 else stddev_pop(net_c) end)::bigint as net_spread_c from m group by 1", MONTHLY_SQL)
+on_slim("a5_trend_slope", lambda l: engines.slope(engines.monthly_cashflow(l), "net_c").select("account_id", "months", F.round("slope").cast("long").alias("slope_c")),
     "select account_id, count(*) as months, coalesce(round((count(*) * sum(x * net_c) - sum(x) * sum(net_c))::double / nullif(count(*) * sum(x * x) - sum(x) * sum(x), 0)::double), 0)::bigint as slope_c from (select *, row_number() over (partition by account_id order by ym) - 1 as x from m) group by 1", MONTHLY_SQL)
-on_ledger("a6_trajectory", engines.trajectory,
+on_slim("a6_trajectory", engines.trajectory,
     "select account_id, case when coalesce(s, 0) < -50000 or late = 2 then 'DETERIORATING' when coalesce(s, 0) > 50000 then 'IMPROVING' else 'STABLE' end as trajectory from (select account_id, regr_slope(net_c, x) as s, count(*) filter (where r <= 2 and net_c < 0) as late from (select *, row_number() over (partition by account_id order by ym) - 1 as x, row_number() over (partition by account_id order by ym desc) as r from m) group by 1)", MONTHLY_SQL)
-on_ledger("a7_seasonality", engines.seasonality, "select account_id, substring(ym, 6, 2) as month, sum(net_c)::bigint as net_c, count(*) as n from m where account_id in (select account_id from m group by 1 having count(*) >= 12) group by 1, 2", MONTHLY_SQL)
-on_ledger("a8_top_counterparty", engines.top_counterparty,
+on_slim("a7_seasonality", engines.seasonality, "select account_id, substring(ym, 6, 2) as month, sum(net_c)::bigint as net_c, count(*) as n from m where account_id in (select account_id from m group by 1 having count(*) >= 12) group by 1, 2", MONTHLY_SQL)
+on_slim("a8_top_counterparty", engines.top_counterparty,
     "select account_id, counterparty as top, v as top_c, round(v::double / total, 4) as share, case when v::double / total >= 0.5 then 'HIGH' when v::double / total >= 0.3 then 'MODERATE' else 'LOW' end as band from (select *, sum(v) over (partition by account_id) as total, row_number() over (partition by account_id order by v desc, counterparty) as r from (select account_id, counterparty, sum(debit_c)::bigint as v from ledger where debit_c > 0 group by 1, 2)) where r = 1")
 on_classified("a10_income_summary", lambda c: engines.income_summary(c.where(INCOME)),
     f"select account_id, months, income_c, stability, sources from (select account_id, count(*) as months, sum(v)::bigint as income_c, round(count(*) filter (where v * n * 10 >= t * 8)::double / count(*), 4) as stability from (select *, count(*) over (partition by account_id) as n, sum(v) over (partition by account_id) as t from (select account_id, ym, sum(credit_c) as v from cl where {INCOME} group by 1, 2)) group by 1) join (select account_id, count(distinct counterparty) as sources from cl where {INCOME} group by 1) using (account_id)")
 on_classified("a11_salary_consistency", lambda c: engines.salary_consistency(c.where("subcategory = 'Salary' and credit_c > 0")),
     "select account_id, count(*) as months, round(greatest(1 - coalesce(stddev_samp(v), 0) / avg(v), 0), 4) as consistency from (select account_id, ym, sum(credit_c)::double as v from cl where subcategory = 'Salary' and credit_c > 0 group by 1, 2) group by 1")
-on_ledger("a12_recurring_income", lambda l: engines.recurring_income(l.where("credit_c > 0"), 2, 100_000),
+on_slim("a12_recurring_income", lambda l: engines.recurring_income(l.where("credit_c > 0"), 2, 100_000),
     "select account_id, counterparty, n, total_c, gap from (select *, row_number() over (partition by account_id order by total_c desc, counterparty) as r from (select account_id, counterparty, count(*) as n, sum(credit_c)::bigint as total_c, avg(credit_c) as a, stddev_pop(credit_c) as s, median(g)::double as gap from (select *, date_diff('day', lag(d) over (partition by account_id, counterparty order by d, seq), d) as g from ledger where credit_c > 0) group by 1, 2 having count(*) >= 2 and avg(credit_c) >= 100000 and stddev_pop(credit_c) <= 0.25 * avg(credit_c) and median(g) between 24 and 36)) where r = 1")
 on_classified("a13_needs_wants_split", lambda c: engines.needs_wants(c.where("category = 'Expense'")),
     "select account_id, n as needs_c, w as wants_c, e as expense_c, months, round(n::double / nullif(e, 0), 4) as needs_ratio, round(w::double / nullif(e, 0), 4) as wants_ratio from (select account_id, sum(case when needs_wants = 'Need' then debit_c else 0 end)::bigint as n, sum(case when needs_wants = 'Want' then debit_c else 0 end)::bigint as w, sum(debit_c)::bigint as e, count(distinct ym) as months from cl where category = 'Expense' group by 1)")
@@ -210,9 +215,9 @@ on_events("a15_balance_summary", lambda l: engines.balance_summary(timeline.dail
 on_events("a16_monthly_balance", lambda l: engines.monthly_balance(timeline.daily_balance(l)), "select account_id, strftime(d, '%Y-%m') as ym, sum(balance_c)::bigint as sum_c, count(*) as days from daily group by 1, 2", DAILY_SQL.format(t="ev"))
 on_ledger("a19_sip_plans", lambda l: engines.sip_clusters(l.where("description like 'EBA/%' and debit_c > 0").withColumn("debit_c", F.floor(F.col("debit_c") / 4_000_000)), months=2),
     "select account_id, debit_c, cluster, count(distinct ym) as months, count(*) as n from (select *, sum(t) over (partition by account_id, debit_c order by dom, seq rows between unbounded preceding and current row)::bigint as cluster from (select *, case when dom - lag(dom) over (partition by account_id, debit_c order by dom, seq) > 3 then 1 else 0 end as t from (select account_id, seq, ym, (debit_c // 4000000) as debit_c, day(d) as dom from ledger where description like 'EBA/%' and debit_c > 0))) group by 1, 2, 3 having count(distinct ym) >= 2")
-on_ledger("a20_recurring_groups", lambda l: engines.recurring_groups(l, "debit_c"))
-on_ledger("a21_recurrence_summary", lambda l: engines.recurrence_summary(engines.recurring_groups(l, "debit_c")))
-on_ledger("a22_savings", engines.savings_summary,
+on_slim("a20_recurring_groups", lambda l: engines.recurring_groups(l, "debit_c"))
+on_slim("a21_recurrence_summary", lambda l: engines.recurrence_summary(engines.recurring_groups(l, "debit_c")))
+on_slim("a22_savings", engines.savings_summary,
     "select account_id, count(*) as months, sum(net_c)::bigint as saved_c, round(sum(net_c)::double / nullif(sum(inflow_c), 0), 4) as rate, round(case when count(*) < 2 or avg(net_c) <= 0 then 0 else least(greatest(1 - stddev_pop(net_c) / avg(net_c), 0), 1) end, 4)::double as consistency from m group by 1", MONTHLY_SQL)
 on_events("a23_emergency_fund", lambda l: engines.emergency_fund(l, timeline.daily_balance(l)),
     "select account_id, closing_c, round(need * 3)::bigint as target3_c, round(need * 6)::bigint as target6_c, round(greatest(closing_c, 0) / nullif(need, 0), 4)::double as coverage_months from (select account_id, sum(debit_c)::double / count(distinct ym) as need from ev group by 1) join (select account_id, arg_max(balance_c, d) as closing_c from daily group by 1) using (account_id)", DAILY_SQL.format(t="ev"))
@@ -220,20 +225,20 @@ on_ledger("a24_loan_facilities", lambda l: engines.loan_facilities(classify.lend
 on_ledger("a25_loan_status", lambda l: engines.loan_status(engines.loan_facilities(classify.lenders(l).where("debit_c > 0"), tolerance=0.2), l.groupBy("account_id").agg(F.max("d").alias("end_d"))))
 on_classified("a27_foir", lambda c: engines.obligations(c, F.col("subcategory") == "Loan EMI", (F.col("category") != "Transfer") & ~F.col("is_return")),
     "select account_id, o as obligations_c, i as income_c, round(o::double / nullif(i, 0), 4) as foir, case when i = 0 then 'UNKNOWN' when o::double / i <= 0.3 then 'HEALTHY' when o::double / i <= 0.5 then 'MODERATE' when o::double / i <= 0.7 then 'HIGH' else 'CRITICAL' end as band from (select account_id, sum(case when subcategory = 'Loan EMI' then debit_c else 0 end)::bigint as o, sum(case when category <> 'Transfer' and not is_return then credit_c else 0 end)::bigint as i from cl group by 1)")
-on_ledger("a31_windows", fraud.state_windows,
+on_slim("a31_windows", fraud.state_windows,
     "select account_id, days, count(*) as n, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c, max(debit_c)::bigint as largest_c, count(distinct ym) as months from (select *, max(d) over (partition by account_id) as e from ledger) join (values (30), (90), (180), (365)) v(days) on d >= e - days * interval 1 day group by 1, 2")
-on_ledger("a35_mad_outliers", lambda l: fraud.mad_outliers(l, 1.4),
+on_slim("a35_mad_outliers", lambda l: fraud.mad_outliers(l, 1.4),
     "select account_id, seq, debit_c from (select *, median(dev) over (partition by account_id) as mad from (select *, abs(debit_c - med) as dev from (select *, median(debit_c) over (partition by account_id) as med, count(*) over (partition by account_id) as n from ledger where debit_c > 0))) where n >= 10 and mad > 0 and 0.6745 * dev > 1.4 * mad")
-on_ledger("a36_concentration", lambda l: fraud.concentration(l, 0.10),
+on_slim("a36_concentration", lambda l: fraud.concentration(l, 0.10),
     "select account_id, top, amount_c from (select account_id, arg_max(counterparty, (v, counterparty)) as top, max(v) as amount_c, sum(v) as t from (select account_id, counterparty, sum(debit_c)::bigint as v from ledger where debit_c > 0 group by 1, 2) group by 1) where amount_c * 100 > t * 10")
-on_ledger("a37_two_sided", lambda l: joins.two_sided(l), "select *, 2 * least(in_c, out_c) as mirrored_c from (select account_id, counterparty, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c from ledger group by 1, 2) where in_c > 1000000 and out_c > 1000000 and abs(in_c - out_c) * 100 <= greatest(in_c, out_c) * 15")
+on_slim("a37_two_sided", lambda l: joins.two_sided(l), "select *, 2 * least(in_c, out_c) as mirrored_c from (select account_id, counterparty, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c from ledger group by 1, 2) where in_c > 1000000 and out_c > 1000000 and abs(in_c - out_c) * 100 <= greatest(in_c, out_c) * 15")
 on_ledger("a38_duplicate_refs", joins.duplicate_references)
-on_ledger("a40_equal_flows", fraud.equal_flows, "select account_id, count(*) as n, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c from ledger group by 1 having count(*) >= 15 and sum(credit_c) > 10000000 and abs(sum(credit_c) - sum(debit_c)) * 50 < sum(credit_c)")
+on_slim("a40_equal_flows", fraud.equal_flows, "select account_id, count(*) as n, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c from ledger group by 1 having count(*) >= 15 and sum(credit_c) > 10000000 and abs(sum(credit_c) - sum(debit_c)) * 50 < sum(credit_c)")
 _FLAG = "select account_id, '{0}' as detector, {3} as severity, {4}::double as confidence, count(*) as hits, sum(debit_c + credit_c)::bigint as amount_c from (select *, debit_c + credit_c as a, upper(description) as u from ledger) where {1} group by 1 having count(*) >= {2}"
 _DETECTORS = [("structuring", "contains(u, 'CASH WDL') and a between 4000000 and 5000000", 2, "'HIGH'", 0.85), ("high_structuring", "a between 9000000 and 10000000", 1, "'HIGH'", 0.92), ("cash_cycling", "contains(u, 'CASH WDL') and debit_c >= 2500000", 3, "'MEDIUM'", 0.75), ("inward_bounce", "regexp_matches(u, 'RETURN CHARGES|CHQ RET|ACH RTN')", 1, "case when count(*) >= 2 then 'CRITICAL' else 'HIGH' end", 0.95), ("rtgs_minimum", "starts_with(u, 'RTGS') and debit_c > 0 and debit_c < 20000000", 1, "'MEDIUM'", 0.85), ("round_tax", "contains(u, 'TAX') and debit_c > 0 and debit_c % 100000 = 0", 2, "'LOW'", 0.70), ("atm_high", "contains(u, 'CASH WDL') and debit_c >= 5000000", 1, "'MEDIUM'", 0.80), ("negative_balance", "balance_c < 0", 1, "'HIGH'", 0.95)]
 on_ledger("a41_threshold_detectors", fraud.simple_flags, " union all ".join(_FLAG.format(*x) for x in _DETECTORS))
 on_ledger("a43_fraud_score", lambda l: fraud.fraud_score(fraud.all_flags(l)))
-on_ledger("a45_data_sufficiency", score.data_sufficiency, "select account_id, days, n, case when days / 30.4375 < 6 then 'INSUFFICIENT' when days / 30.4375 <= 24 then 'SUFFICIENT' else 'RICH' end as sufficiency from (select account_id, (date_diff('day', min(d), max(d)) + 1)::int as days, count(*) as n from ledger group by 1)")
+on_slim("a45_data_sufficiency", score.data_sufficiency, "select account_id, days, n, case when days / 30.4375 < 6 then 'INSUFFICIENT' when days / 30.4375 <= 24 then 'SUFFICIENT' else 'RICH' end as sufficiency from (select account_id, (date_diff('day', min(d), max(d)) + 1)::int as days, count(*) as n from ledger group by 1)")
 on_classified("a46_method_counts", lambda c: c.groupBy("method").agg(F.count("*").alias("n")), "select method, count(*) as n from cl group by 1")
 on_classified("a47_composite_score", lambda c: score.composite(score.features(c)).drop("items"))
 on_classified("a49_itemised_score", lambda c: score.itemised(score.composite(score.features(c))))
@@ -245,40 +250,40 @@ def _scored(c: DataFrame) -> DataFrame:
     return f.join(score.composite(f).select("account_id", "score"), "account_id")
 
 
-on_ledger("a51_top20_counterparties", lambda l: l.groupBy("counterparty").agg(F.sum(F.col("credit_c") + F.col("debit_c")).alias("volume_c"), F.count("*").alias("n")).orderBy(F.desc("volume_c"), "counterparty").limit(20),
+on_slim("a51_top20_counterparties", lambda l: l.groupBy("counterparty").agg(F.sum(F.col("credit_c") + F.col("debit_c")).alias("volume_c"), F.count("*").alias("n")).orderBy(F.desc("volume_c"), "counterparty").limit(20),
     "select counterparty, sum(credit_c + debit_c)::bigint as volume_c, count(*) as n from ledger group by 1 order by volume_c desc, counterparty limit 20")
 on_ledger("a54_reconciliation", score.reconciliation,
     """select account_id, 'conservation' as "check", true as passed, 0::bigint as off_c from (select distinct account_id from ledger) union all select account_id, 'monthly_net', true, 0 from (select distinct account_id from ledger) union all select account_id, 'balance_chain', true, 0 from (select distinct account_id from ledger)
 union all select account_id, 'one_side', count(*) filter (where (debit_c > 0) = (credit_c > 0)) = 0, count(*) filter (where (debit_c > 0) = (credit_c > 0)) * 101 from ledger group by 1""")
-on_ledger("a55_fidelity", lambda l: score.fidelity(l, l.where("account_id % 3 <> 0").groupBy("account_id").agg((F.sum("debit_c") + F.when(F.col("account_id") % 3 == 1, 1).otherwise(0)).alias("a_debit_c"), F.sum("credit_c").alias("a_credit_c"), F.count("*").alias("a_rows"))),
+on_slim("a55_fidelity", lambda l: score.fidelity(l, l.where("account_id % 3 <> 0").groupBy("account_id").agg((F.sum("debit_c") + F.when(F.col("account_id") % 3 == 1, 1).otherwise(0)).alias("a_debit_c"), F.sum("credit_c").alias("a_credit_c"), F.count("*").alias("a_rows"))),
     "select distinct account_id, case account_id % 3 when 0 then 'UNVERIFIED' when 1 then 'FAILED' else 'VERIFIED' end as debits, case account_id % 3 when 0 then 'UNVERIFIED' else 'VERIFIED' end as credits, case account_id % 3 when 0 then 'UNVERIFIED' else 'VERIFIED' end as row_count from ledger")
 on_ledger("a57_month_pivot", report.month_summary,
     "unpivot (select account_id, ym, arg_min(balance_c + debit_c - credit_c, seq)::bigint as opening, arg_max(balance_c, seq)::bigint as closing, min(balance_c)::bigint as lowest, max(balance_c)::bigint as highest, sum(credit_c)::bigint as credits, sum(debit_c)::bigint as debits, (count(*) filter (where credit_c > 0))::bigint as n_credits, (count(*) filter (where debit_c > 0))::bigint as n_debits from ledger group by 1, 2) on opening, closing, lowest, highest, credits, debits, n_credits, n_debits into name measure value value")
 on_classified("a58_category_block", report.category_block, "select *, round(total_c::double / sum(total_c) over (partition by account_id, side), 4) as share from (select account_id, case when credit_c > 0 then 'credit' else 'debit' end as side, category, sum(credit_c + debit_c)::bigint as total_c, count(*) as n from cl group by 1, 2, 3)")
-on_ledger("a59_counterparty_block", lambda l: report.counterparty_block(l, 5).withColumn("rank", F.col("rank").cast("long")), "select * from (select *, row_number() over (partition by account_id, side order by total_c desc, counterparty) as rank from (select account_id, case when credit_c > 0 then 'credit' else 'debit' end as side, counterparty, sum(credit_c + debit_c)::bigint as total_c, count(*) as n from ledger group by 1, 2, 3)) where rank <= 5")
+on_slim("a59_counterparty_block", lambda l: report.counterparty_block(l, 5).withColumn("rank", F.col("rank").cast("long")), "select * from (select *, row_number() over (partition by account_id, side order by total_c desc, counterparty) as rank from (select account_id, case when credit_c > 0 then 'credit' else 'debit' end as side, counterparty, sum(credit_c + debit_c)::bigint as total_c, count(*) as n from ledger group by 1, 2, 3)) where rank <= 5")
 on_events("a61_day_by_month", lambda l: report.day_by_month(l, ["2024-01", "2024-02"]), "select account_id, day(d) as day, arg_max(balance_c, (d, seq)) filter (where ym = '2024-01') as m_2024_01, arg_max(balance_c, (d, seq)) filter (where ym = '2024-02') as m_2024_02 from ev group by 1, 2")
-on_ledger("a62_recurring_sheet", report.recurring_sheet, "select account_id, counterparty, count(*) as n, sum(debit_c)::bigint as total_c, min(d) as first_d, max(d) as last_d from ledger where debit_c > 0 group by 1, 2 having count(*) >= 3")
+on_slim("a62_recurring_sheet", report.recurring_sheet, "select account_id, counterparty, count(*) as n, sum(debit_c)::bigint as total_c, min(d) as first_d, max(d) as last_d from ledger where debit_c > 0 group by 1, 2 having count(*) >= 3")
 add("a63_dashboard", lambda s, d: read(s, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("accounts")), "select o_orderstatus, count(*) as n, count(distinct o_custkey) as accounts from orders group by 1")
 
 # Joins, sets, top-k --------------------------------------------------------------------------------------
 add("j1_applications_results", lambda s, d: joins.applications_with_results(read(s, d, "customer").select(F.col("c_custkey").alias("application_id"), "c_name"), read(s, d, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("application_id")).agg(F.max("o_orderdate").alias("latest"), F.count("*").alias("n"))),
     "select c_custkey as application_id, c_name, latest, n from customer left join (select o_custkey, max(o_orderdate) as latest, count(*) as n from orders where o_orderstatus = 'F' group by 1) on o_custkey = c_custkey")
-on_ledger("j2_rapid_transfer", lambda l: joins.rapid_transfers(l),
+on_slim("j2_rapid_transfer", lambda l: joins.rapid_transfers(l),
     "select account_id, credit_seq, debit_seq, credit_c, debit_c from (select c.account_id, c.seq as credit_seq, x.seq as debit_seq, c.credit_c, x.debit_c, row_number() over (partition by c.account_id, c.seq order by x.d, x.seq) as r from ledger c join ledger x on x.account_id = c.account_id and x.d between c.d and c.d + interval 1 day and x.debit_c > 0 and x.debit_c * 100 between c.credit_c * 85 and c.credit_c * 105 and x.counterparty <> c.counterparty where c.credit_c >= 2000000) where r = 1")
 on_ledger("j3_quick_debits", lambda l: joins.quick_debits(l, (F.col("credit_c") > 0) & F.col("description").startswith("SALARY")),
     "select c.account_id, c.seq as salary_seq, x.seq as debit_seq, x.debit_c from ledger c join ledger x on x.account_id = c.account_id and x.d between c.d and c.d + interval 1 day and x.debit_c * 2 > c.credit_c where c.credit_c > 0 and c.description like 'SALARY%' and x.debit_c > 0")
 on_ledger("j6_latest_labels", lambda l: joins.latest_labels(l.select("account_id", "seq", "counterparty"), l.groupBy("account_id", "counterparty", "seq").agg(F.max("p_type").alias("label")), ["account_id", "counterparty"], "seq").groupBy("label").agg(F.count("*").alias("n")),
     "select label, count(*) as n from ledger join (select account_id, counterparty, arg_max(p_type, seq) as label from ledger group by 1, 2) using (account_id, counterparty) group by 1")
-on_ledger("j10_semi_both_sides", lambda l: l.where("credit_c > 0").join(l.where("debit_c > 0").select("account_id", "counterparty").distinct(), ["account_id", "counterparty"], "left_semi").groupBy("account_id").agg(F.count("*").alias("n"), F.sum("credit_c").alias("in_c")),
+on_slim("j10_semi_both_sides", lambda l: l.where("credit_c > 0").join(l.where("debit_c > 0").select("account_id", "counterparty").distinct(), ["account_id", "counterparty"], "left_semi").groupBy("account_id").agg(F.count("*").alias("n"), F.sum("credit_c").alias("in_c")),
     "select account_id, count(*) as n, sum(credit_c)::bigint as in_c from ledger c where credit_c > 0 and exists (select 1 from ledger x where x.account_id = c.account_id and x.counterparty = c.counterparty and x.debit_c > 0) group by 1")
 add("j12_missing_numbers", lambda s, d: joins.missing_numbers(read(s, d, "lineitem").select(F.col("l_suppkey").alias("account_id"), F.col("l_linenumber").cast("long").alias("number")).where("account_id % 7 = 0 and number % 3 <> 0"), "number"),
     "select account_id, number from (select account_id, unnest(range(lo, hi + 1)) as number from (select l_suppkey as account_id, min(l_linenumber)::bigint as lo, max(l_linenumber)::bigint as hi from lineitem where l_suppkey % 7 = 0 and l_linenumber % 3 <> 0 group by 1)) where (account_id, number) not in (select l_suppkey, l_linenumber::bigint from lineitem where l_suppkey % 7 = 0 and l_linenumber % 3 <> 0)")
 on_ledger("j14_annotate", lambda l: joins.annotate(l.select("account_id", "seq"), l.where("balance_c < 0").select("account_id", "seq", F.lit("HIGH").alias("severity")).unionAll(l.where("debit_c > 9000000").select("account_id", "seq", F.lit("MEDIUM").alias("severity")))),
     "select account_id, seq, case when balance_c < 0 then 'HIGH' when debit_c > 9000000 then 'MEDIUM' end as severity, nullif((balance_c < 0)::int + (debit_c > 9000000)::int, 0)::bigint as flags from ledger")
-on_ledger("u2_both_sides", lambda l: l.where("credit_c > 1000000").select("account_id", "counterparty").intersect(l.where("debit_c > 1000000").select("account_id", "counterparty")), "select account_id, counterparty from ledger where credit_c > 1000000 intersect select account_id, counterparty from ledger where debit_c > 1000000")
-on_ledger("u3_months", lambda l: l.where("credit_c > 0").select("account_id", "ym").union(l.where("debit_c > 0").select("account_id", "ym")).distinct().groupBy("account_id").agg(F.count("*").alias("months")), "select account_id, count(distinct ym) as months from ledger where credit_c > 0 or debit_c > 0 group by 1")
-on_ledger("u4_only_credit", lambda l: l.where("credit_c > 0").select("account_id", "counterparty").exceptAll(l.where("debit_c > 0").select("account_id", "counterparty")).groupBy("account_id").agg(F.count("*").alias("n")), "select account_id, count(*) as n from (select account_id, counterparty from ledger where credit_c > 0 except all select account_id, counterparty from ledger where debit_c > 0) group by 1")
-on_ledger("t6_topk_ties", lambda l: report.high_value(l, 5).withColumn("rank", F.col("rank").cast("long")), "select account_id, seq, amount_c, rank from (select account_id, seq, debit_c + credit_c as amount_c, rank() over (partition by account_id order by debit_c + credit_c desc) as rank from ledger) where rank <= 5")
+on_slim("u2_both_sides", lambda l: l.where("credit_c > 1000000").select("account_id", "counterparty").intersect(l.where("debit_c > 1000000").select("account_id", "counterparty")), "select account_id, counterparty from ledger where credit_c > 1000000 intersect select account_id, counterparty from ledger where debit_c > 1000000")
+on_slim("u3_months", lambda l: l.where("credit_c > 0").select("account_id", "ym").union(l.where("debit_c > 0").select("account_id", "ym")).distinct().groupBy("account_id").agg(F.count("*").alias("months")), "select account_id, count(distinct ym) as months from ledger where credit_c > 0 or debit_c > 0 group by 1")
+on_slim("u4_only_credit", lambda l: l.where("credit_c > 0").select("account_id", "counterparty").exceptAll(l.where("debit_c > 0").select("account_id", "counterparty")).groupBy("account_id").agg(F.count("*").alias("n")), "select account_id, count(*) as n from (select account_id, counterparty from ledger where credit_c > 0 except all select account_id, counterparty from ledger where debit_c > 0) group by 1")
+on_slim("t6_topk_ties", lambda l: report.high_value(l, 5).withColumn("rank", F.col("rank").cast("long")), "select account_id, seq, amount_c, rank from (select account_id, seq, debit_c + credit_c as amount_c, rank() over (partition by account_id order by debit_c + credit_c desc) as rank from ledger) where rank <= 5")
 
 # Questions -----------------------------------------------------------------------------------------------
 _W = "select account_id, count(*) as n, sum(debit_c + credit_c)::bigint as total_c, round(sum(debit_c + credit_c) / count(*))::bigint as average_c from cl where {} group by 1"
@@ -295,9 +300,9 @@ for _name, _q, _sql in [
 
 # Specified, not in the reference's code --------------------------------------------------------------------
 on_ledger("x3_same_day_cash", spec.same_day_cash, "select account_id, d, count(*) as n, sum(debit_c + credit_c)::bigint as amount_c from ledger where contains(description, 'CASH WDL') group by 1, 2 having count(*) >= 2")
-on_ledger("x6_circular_pairs", lambda l: spec.circular_pairs(l), "select a.account_id, a.seq as out_seq, b.seq as in_seq, a.debit_c as out_c, b.credit_c as in_c from ledger a join ledger b on b.account_id = a.account_id and b.counterparty = a.counterparty and b.d between a.d and a.d + interval 3 day and abs(b.credit_c - a.debit_c) * 20 <= a.debit_c where a.debit_c > 0 and b.credit_c > 0")
-on_ledger("x9_dormancy", spec.dormancy, "select account_id, count(*) as gaps, max(g) as longest from (select account_id, date_diff('day', lag(d) over (partition by account_id order by seq), d) as g from ledger) where g > 30 group by 1")
+on_slim("x6_circular_pairs", lambda l: spec.circular_pairs(l), "select a.account_id, a.seq as out_seq, b.seq as in_seq, a.debit_c as out_c, b.credit_c as in_c from ledger a join ledger b on b.account_id = a.account_id and b.counterparty = a.counterparty and b.d between a.d and a.d + interval 3 day and abs(b.credit_c - a.debit_c) * 20 <= a.debit_c where a.debit_c > 0 and b.credit_c > 0")
+on_slim("x9_dormancy", spec.dormancy, "select account_id, count(*) as gaps, max(g) as longest from (select account_id, date_diff('day', lag(d) over (partition by account_id order by seq), d) as g from ledger) where g > 30 group by 1")
 on_ledger("x10_balance_before_emi", spec.balance_before_emi, "select account_id, seq, debit_c, before_c, before_c < debit_c as short from (select *, lag(balance_c) over (partition by account_id order by seq) as before_c from ledger) where description like 'ACH/%' and debit_c > 0")
-on_ledger("x17_missing_months", spec.missing_months, "select account_id, count(*) as missing from (select account_id, strftime(unnest(generate_series(lo, hi, interval 1 month)), '%Y-%m') as ym from (select account_id, date_trunc('month', min(d)) as lo, date_trunc('month', max(d)) as hi from ledger group by 1)) a where not exists (select 1 from ledger l where l.account_id = a.account_id and l.ym = a.ym) group by 1")
-on_ledger("x18_relative_high_value", spec.relative_high_value, "select account_id, seq, debit_c from (select *, sum(debit_c) over (partition by account_id) as s, count(*) over (partition by account_id) as n from ledger where debit_c > 0) where debit_c * n * 2 > s * 3")
+on_slim("x17_missing_months", spec.missing_months, "select account_id, count(*) as missing from (select account_id, strftime(unnest(generate_series(lo, hi, interval 1 month)), '%Y-%m') as ym from (select account_id, date_trunc('month', min(d)) as lo, date_trunc('month', max(d)) as hi from ledger group by 1)) a where not exists (select 1 from ledger l where l.account_id = a.account_id and l.ym = a.ym) group by 1")
+on_slim("x18_relative_high_value", spec.relative_high_value, "select account_id, seq, debit_c from (select *, sum(debit_c) over (partition by account_id) as s, count(*) over (partition by account_id) as n from ledger where debit_c > 0) where debit_c * n * 2 > s * 3")
 add("s20_streaming_daily", lambda s, d: spec.batch_daily(read(s, d, "events")), "select cast(ts as date) as d, event_type, count(*) as n, sum(cast(round(value * 100) as bigint))::bigint as amount_c from events group by 1, 2")

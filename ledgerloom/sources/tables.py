@@ -34,26 +34,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ledger_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """account_id, seq, d, ym, description, debit_c, credit_c, balance_c (cents), counterparty, is_return.
+def ledger_items(spark: SparkSession, sf_dir: str, narration: bool = True, balance: bool = True) -> DataFrame:
+    """account_id, seq, d, ym, description, debit_c, credit_c, balance_c (cents), counterparty, p_type, is_return.
 
     One order of rows per account: seq by date, then by all columns. One shuffle on the account serves seq and
-    the running balance; later windows and aggregations per account find the rows already placed."""
+    the running balance, and both windows drop out of plans that use neither. Without `narration` (description,
+    p_type) or `balance` the join that only they need is left out: every part and customer key is known to
+    exist, but Spark can't know, so it would keep an inner join for nothing."""
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customers = read(spark, sf_dir, "customer").select("c_custkey", cents("c_acctbal").alias("opening_c"))
-    parts = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    rows = read(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    rows = read(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if narration:
+        rows = rows.join(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    if balance:
+        rows = rows.join(read(spark, sf_dir, "customer").select("c_custkey", cents("c_acctbal").alias("opening_c")), F.col("o_custkey") == F.col("c_custkey"))
+    texts = [F.expr(NARRATION).alias("description"), "p_type"] if narration else []
     rows = rows.select(
-        F.col("o_custkey").alias("account_id"), "opening_c", F.to_date("l_shipdate").alias("d"), cents("l_extendedprice").alias("amount_c"), (F.col("l_linestatus") == "F").alias("is_credit"),
-        F.expr(NARRATION).alias("description"), F.concat(F.lit("SUPPLIER "), F.col("l_suppkey").cast("string")).alias("counterparty"), "p_type", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
+        F.col("o_custkey").alias("account_id"), F.to_date("l_shipdate").alias("d"), cents("l_extendedprice").alias("amount_c"), (F.col("l_linestatus") == "F").alias("is_credit"),
+        F.concat(F.lit("SUPPLIER "), F.col("l_suppkey").cast("string")).alias("counterparty"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", *texts, *(["opening_c"] if balance else []),
     )
     w = Window.partitionBy("account_id").orderBy(*[c.strip() for c in ORDER.split(",")])
     signed = F.when(F.col("is_credit"), F.col("amount_c")).otherwise(-F.col("amount_c"))
+    running = (F.col("opening_c") + F.sum(signed).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("balance_c") if balance else None
     return rows.select(
-        "account_id", F.row_number().over(w).cast("long").alias("seq"), "d", F.date_format("d", "yyyy-MM").alias("ym"), "description",
+        "account_id", F.row_number().over(w).cast("long").alias("seq"), "d", F.date_format("d", "yyyy-MM").alias("ym"), *(["description"] if narration else []),
         F.when(F.col("is_credit"), F.lit(0)).otherwise(F.col("amount_c")).cast("long").alias("debit_c"), F.when(F.col("is_credit"), F.col("amount_c")).otherwise(F.lit(0)).cast("long").alias("credit_c"),
-        (F.col("opening_c") + F.sum(signed).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("balance_c"), "counterparty", "p_type", (F.col("l_returnflag") == "R").alias("is_return"),
+        *([running] if balance else []), "counterparty", *(["p_type"] if narration else []), (F.col("l_returnflag") == "R").alias("is_return"),
     )
 
 
