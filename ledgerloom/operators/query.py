@@ -116,3 +116,20 @@ def ranked(value: Column) -> Column:
 def capability(ledger: DataFrame) -> DataFrame:
     """What can be asked about: rows, totals and period of each account."""
     return ledger.groupBy("account_id").agg(F.count("*").alias("n"), F.sum("credit_c").alias("in_c"), F.sum("debit_c").alias("out_c"), F.min("d").alias("first_d"), F.max("d").alias("last_d"))
+
+
+SMALL_TALK = frozenset(("hi", "hello", "hey", "thanks", "thank", "bye"))
+REFUSED = ("ignore previous", "system prompt", "approve the loan", "change the score", "delete")
+
+
+def route(text: str) -> str:
+    """Where a question goes: small_talk, refusal, ledger or capability. A refusal comes before anything that
+    would read rows."""
+    low = text.lower().strip()
+    words = re.findall(r"[a-z]+", low)
+    if words and len(words) <= 3 and all(w in SMALL_TALK or w in ("there", "you") for w in words):
+        return "small_talk"
+    if any(r in low for r in REFUSED):
+        return "refusal"
+    q = parse(low)
+    return "ledger" if q.tokens or q.subject or q.months or q.years or q.direction or q.intent not in ("list",) else "capability"

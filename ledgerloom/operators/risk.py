@@ -103,3 +103,30 @@ def discipline_score(ledger: DataFrame) -> DataFrame:
     s = ledger.groupBy(A).agg(F.count_if(F.contains(F.upper("description"), F.lit("RETURN CHARGES"))).alias("b"), F.count_if(F.col("balance_c") < 0).alias("neg"), F.sum("credit_c").alias("i"), F.sum("debit_c").alias("o"))
     points = 100 - F.least(F.lit(40), 10 * F.col("b")) - F.least(F.lit(30), F.col("neg")) - F.when(F.col("o") > F.col("i"), 20).otherwise(0)
     return s.select(A, clamp(points, 0, 100).cast("long").alias("points"))
+
+
+def salary_cycle(ledger: DataFrame) -> DataFrame:
+    """The usual day of the month of salary credits (median), their median amount and number."""
+    s = ledger.where((F.col("credit_c") > 0) & F.upper("description").rlike("SALARY|PAYROLL"))
+    return s.groupBy(A).agg(F.count("*").alias("n"), F.median(F.dayofmonth("d")).alias("day"), F.median("credit_c").alias("median_c"))
+
+
+def facilities(ledger: DataFrame, words: str = "EMI|FINANCE|LENDER") -> DataFrame:
+    """Rows of running facilities by keyword: uses, repayments and their sums."""
+    r = ledger.where(F.upper("description").rlike(words))
+    return r.groupBy(A).agg(F.count_if(F.col("credit_c") > 0).alias("drawn"), F.count_if(F.col("debit_c") > 0).alias("repaid"), F.sum("credit_c").alias("drawn_c"), F.sum("debit_c").alias("repaid_c"))
+
+
+def aml_score(flags: DataFrame, scores: DataFrame) -> DataFrame:
+    """0.85 of the fraud score, 15 for mirrored money and 10 for structuring, 100 at most."""
+    f = flags.groupBy(A).agg(F.max((F.col("detector") == "circular_mirroring").cast("int")).alias("c"), F.max(F.col("detector").isin("structuring", "high_structuring").cast("int")).alias("s"))
+    return scores.join(f, A).select(A, F.round(F.least(F.lit(100.0), 0.85 * F.col("fraud_score") + 15 * F.col("c") + 10 * F.col("s")), 3).alias("aml_score"))
+
+
+def constant_runs(rows: DataFrame, amount: str = "debit_c", within: float = 0.5) -> DataFrame:
+    """Runs of a counterparty's payments in order of date in which each amount is within a share of the one
+    before: (account_id, counterparty, run, n, total_c), by gaps and islands."""
+    w = Window.partitionBy(A, "counterparty").orderBy("d", "seq")
+    before = F.lag(amount).over(w)
+    r = rows.where(F.col(amount) > 0).withColumn("turn", F.when(F.abs(F.col(amount) - before) > F.col(amount) * within, 1).otherwise(0))
+    return r.withColumn("run", F.sum("turn").over(w)).groupBy(A, "counterparty", "run").agg(F.count("*").alias("n"), F.sum(amount).alias("total_c"))

@@ -103,3 +103,21 @@ def variance_bands(declared: DataFrame, ledger: DataFrame) -> DataFrame:
     m = ledger.groupBy(A, "ym").agg(F.sum("credit_c").alias("credit_c")).join(declared, [A, "ym"], "left")
     off = F.abs(F.col("credit_c") - F.col("declared_c")) * 100
     return m.select(A, "ym", F.when(F.col("declared_c").isNull(), "MISSING").when(off <= F.col("declared_c") * 10, "MATCH").when(off <= F.col("declared_c") * 25, "REVIEW").otherwise("MISMATCH").alias("band"))
+
+
+def deposits_then_withdrawal(ledger: DataFrame, least: int = 2, days: int = 3) -> DataFrame:
+    """Large debits with two or more credits on their day or the three before that come to as much or more."""
+    w = Window.partitionBy(A).orderBy(F.unix_date("d")).rangeBetween(-days, 0)
+    r = ledger.withColumns({"n": F.count(F.when(F.col("credit_c") > 0, 1)).over(w), "in_c": F.sum("credit_c").over(w)})
+    return r.where((F.col("debit_c") >= 5_000_000) & (F.col("n") >= least) & (F.col("in_c") >= F.col("debit_c"))).select(A, "seq", "debit_c", "in_c")
+
+
+def high_spending(ledger: DataFrame, share: float = 0.05) -> DataFrame:
+    """Debits of over five percent of an account's credits."""
+    income = ledger.groupBy(A).agg(F.sum("credit_c").alias("i"))
+    return ledger.where("debit_c > 0").join(income, A).where(F.col("debit_c") * 100 > F.col("i") * int(share * 100)).select(A, "seq", "debit_c")
+
+
+def consolidated(ledger: DataFrame, owners: DataFrame) -> DataFrame:
+    """Inflow and outflow per owner and month over all its accounts; owners: (account_id, owner)."""
+    return ledger.join(owners, A).groupBy("owner", "ym").agg(F.sum("credit_c").alias("in_c"), F.sum("debit_c").alias("out_c"), F.countDistinct(A).alias("accounts"))

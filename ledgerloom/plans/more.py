@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text
 from ledgerloom.operators import classify, cleaning, engines, fraud, joins, labels, query, report, risk, score, spec, timeline
 from ledgerloom.plans.registry import DAILY_SQL, INCOME, KEYWORDS_SQL, MONTHLY_SQL, add, on_classified, on_events, on_ledger, on_slim, raw_cells
-from ledgerloom.sources.tables import ledger_items, merge_statements, read
+from ledgerloom.sources import scans
+from ledgerloom.sources.tables import LEDGER_SQL, ledger_items, merge_statements, read
 
 
 # Cleaning ------------------------------------------------------------------------------------------------
@@ -122,3 +123,34 @@ on_ledger("x15_balance_trend", spec.balance_trend, "select account_id, f as firs
 on_ledger("x19_upi_apps", spec.upi_apps, "select lower(regexp_extract(description, '@([A-Za-z]+)', 1)) as handle, count(*) as n, count(distinct account_id) as accounts from ledger where contains(description, '@') group by 1")
 on_slim("x20_variance_bands", lambda l: spec.variance_bands(l.where("account_id % 2 = 0").groupBy("account_id", "ym").agg((F.sum("credit_c") + F.max("debit_c")).alias("declared_c")), l), "select account_id, ym, case when account_id % 2 = 1 then 'MISSING' when x * 100 <= (i + x) * 10 then 'MATCH' when x * 100 <= (i + x) * 25 then 'REVIEW' else 'MISMATCH' end as band from (select account_id, ym, sum(credit_c) as i, max(debit_c) as x from ledger group by 1, 2)")
 
+
+# Scans and further measures ------------------------------------------------------------------------------
+
+
+def _lines(customers: DataFrame) -> DataFrame:
+    """Statement heads made from customers."""
+    money = F.format_number(F.abs("c_acctbal"), 2)
+    texts = F.array(
+        F.lit("Some Bank - Statement"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Account Holder: "), F.col("c_name"))).otherwise("Branch 7"), F.when(F.col("c_custkey") % 3 == 1, F.lit("Asha Verma")).otherwise(F.lit("IFSC HDFC0001234")),
+        F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Opening Balance: "), money, F.when(F.col("c_acctbal") < 0, " Dr").otherwise(" Cr"))).otherwise("-"), F.concat(F.lit("Debit count: "), (F.col("c_custkey") % 50).cast("string")),
+    )
+    return customers.select(F.col("c_custkey").alias("document"), F.posexplode(texts).alias("line_no", "line"))
+
+
+add("s12_holder_scan", lambda s, d: scans.holder(_lines(read(s, d, "customer"))), "select c_custkey as document, case c_custkey % 3 when 0 then c_name when 1 then 'Asha Verma' end as holder from customer")
+add("s14_anchor_scan", lambda s, d: scans.anchors(_lines(read(s, d, "customer"))).select("document", "opening_c", "closing_c", "debit_count", "ifsc"),
+    "select c_custkey as document, case when c_custkey % 2 = 0 then cast(round(c_acctbal * 100) as bigint) end as opening_c, cast(null as bigint) as closing_c, c_custkey % 50 as debit_count, case when c_custkey % 3 <> 1 then 'HDFC0001234' end as ifsc from customer")
+add("s18_point_lookup", lambda s, d: read(s, d, "orders").where("o_orderkey = 7").select("o_orderkey", "o_custkey", "o_orderstatus"), "select o_orderkey, o_custkey, o_orderstatus from orders where o_orderkey = 7")
+add("s17_scan_by_key", lambda s, d: read(s, d, "orders").where("o_custkey = 5").select("o_orderkey", "o_orderdate").orderBy("o_orderdate", "o_orderkey"), "select o_orderkey, o_orderdate from orders where o_custkey = 5")
+on_ledger("a29_facilities", risk.facilities, "select account_id, count(*) filter (where credit_c > 0) as drawn, count(*) filter (where debit_c > 0) as repaid, sum(credit_c)::bigint as drawn_c, sum(debit_c)::bigint as repaid_c from ledger where regexp_matches(upper(description), 'EMI|FINANCE|LENDER') group by 1")
+on_ledger("a34_salary_cycle", risk.salary_cycle, "select account_id, count(*) as n, median(day(d))::double as day, median(credit_c)::double as median_c from ledger where credit_c > 0 and regexp_matches(upper(description), 'SALARY|PAYROLL') group by 1")
+on_ledger("a44_aml_score", lambda l: risk.aml_score(fraud.all_flags(l), fraud.fraud_score(fraud.all_flags(l))))
+on_slim("w12_constant_runs", risk.constant_runs, "select account_id, counterparty, run::bigint as run, count(*) as n, sum(debit_c)::bigint as total_c from (select *, sum(t) over (partition by account_id, counterparty order by d, seq rows between unbounded preceding and current row) as run from (select *, case when abs(debit_c - lag(debit_c) over (partition by account_id, counterparty order by d, seq)) > debit_c * 0.5 then 1 else 0 end as t from ledger where debit_c > 0)) group by 1, 2, 3")
+on_slim("x2_deposits_withdrawal", spec.deposits_then_withdrawal, "select account_id, seq, debit_c, in_c::bigint as in_c from (select *, count(*) filter (where credit_c > 0) over w as n, sum(credit_c) over w as in_c from ledger window w as (partition by account_id order by d range between interval 3 day preceding and current row)) where debit_c >= 5000000 and n >= 2 and in_c >= debit_c")
+on_slim("x4_high_spending", spec.high_spending, "select account_id, seq, debit_c from ledger join (select account_id, sum(credit_c) as i from ledger group by 1) using (account_id) where debit_c > 0 and debit_c * 100 > i * 5")
+add("x16_consolidation", lambda s, d: spec.consolidated(ledger_items(s, d, False, False), read(s, d, "customer").select(F.col("c_custkey").alias("account_id"), F.col("c_nationkey").alias("owner"))),
+    f"with {LEDGER_SQL} select c_nationkey as owner, ym, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c, count(distinct account_id) as accounts from ledger join customer on c_custkey = account_id group by 1, 2")
+on_slim("u6_concat_distinct", lambda l: l.where("credit_c > 9000000").select("account_id", "seq").union(l.where("debit_c > 9000000 or credit_c > 10000000").select("account_id", "seq")).distinct().groupBy("account_id").agg(F.count("*").alias("n")), "select account_id, count(*) as n from ledger where credit_c > 9000000 or debit_c > 9000000 group by 1")
+on_classified("p16_report_projection", lambda c: c.select("account_id", "seq", "d", "description", (F.col("debit_c") / 100).cast("decimal(18,2)").alias("debit"), (F.col("credit_c") / 100).cast("decimal(18,2)").alias("credit"), "category", "subcategory", "method").where("seq <= 3"),
+    "select account_id, seq, d, description, (debit_c / 100.0)::decimal(18,2) as debit, (credit_c / 100.0)::decimal(18,2) as credit, category, subcategory, method from cl where seq <= 3")
+on_slim("t8_groups_by_total", lambda l: l.groupBy("counterparty").agg(F.sum("debit_c").alias("total_c")).orderBy(F.desc("total_c")), "select counterparty, sum(debit_c)::bigint as total_c from ledger group by 1")
