@@ -32,13 +32,13 @@ on_ledger("f11_reversals", lambda l: l.where(F.upper("description").rlike("RVSL|
 on_classified("f13_focus_sheet", lambda c: report.focus(c, "Cheque").select("account_id", "seq"), "select account_id, seq from cl where contains(lower(concat_ws(' ', description, category, subcategory)), 'cheque')")
 on_ledger("f15_token_predicate", lambda l: l.agg(*[F.count_if(text.token_matches(F.col("description"), t)).alias(t) for t in ("emi", "ring", "supplier")]),
     "select count(*) filter (where regexp_matches(lower(description), '(^|[^a-z0-9])emi([^a-z0-9]|$)')) as emi, count(*) filter (where regexp_matches(lower(description), '(^|[^a-z0-9])ring([^a-z0-9]|$)')) as ring, count(*) filter (where contains(lower(description), 'supplier')) as supplier from ledger")
-add("s10_merge_statements", lambda s, d: _merged(ledger_items(s, d)), None)
+add("s10_merge_statements", lambda s, d: _merged(ledger_items(s, d)), f"with {LEDGER_SQL} select account_id, case when credit_c > 0 then 0 else 1 end as source_no, count(*) as n from (select distinct account_id, d, description, debit_c, credit_c, balance_c from ledger) group by 1, 2")
 
 
 def _merged(l: DataFrame) -> DataFrame:
     """Two overlapping statements of each account merged."""
     rows = l.select("account_id", "seq", F.col("d").alias("date"), "description", (F.col("debit_c") / 100).cast("decimal(18,2)").alias("debit"), (F.col("credit_c") / 100).cast("decimal(18,2)").alias("credit"), (F.col("balance_c") / 100).cast("decimal(18,2)").alias("balance"))
-    m = merge_statements([rows.where("seq % 3 <> 0"), rows.where("seq % 3 <> 1")])
+    m = merge_statements([rows.where("credit > 0"), rows])
     return m.groupBy("account_id", "source_no").agg(F.count("*").alias("n"))
 
 
@@ -121,7 +121,7 @@ on_ledger("x12_discipline_score", risk.discipline_score, "select account_id, gre
 on_ledger("x14_holiday_cheques", lambda l: spec.weekend_rows(l, l.sparkSession.sql("select date'1998-01-26' as d union all select date'1999-08-15'")), "select account_id, count(*) as n from ledger where description like 'CLG/%' and (d in (date '1998-01-26', date '1999-08-15') or dayofweek(d) = 0) group by 1")
 on_ledger("x15_balance_trend", spec.balance_trend, "select account_id, f as first_c, l as last_c, case when l > f then 'UP' when l < f then 'DOWN' else 'FLAT' end as trend from (select account_id, arg_min(b, ym) as f, arg_max(b, ym) as l from (select account_id, ym, arg_max(balance_c, seq) as b from ledger group by 1, 2) group by 1)")
 on_ledger("x19_upi_apps", spec.upi_apps, "select lower(regexp_extract(description, '@([A-Za-z]+)', 1)) as handle, count(*) as n, count(distinct account_id) as accounts from ledger where contains(description, '@') group by 1")
-on_slim("x20_variance_bands", lambda l: spec.variance_bands(l.where("account_id % 2 = 0").groupBy("account_id", "ym").agg((F.sum("credit_c") + F.max("debit_c")).alias("declared_c")), l), "select account_id, ym, case when account_id % 2 = 1 then 'MISSING' when x * 100 <= (i + x) * 10 then 'MATCH' when x * 100 <= (i + x) * 25 then 'REVIEW' else 'MISMATCH' end as band from (select account_id, ym, sum(credit_c) as i, max(debit_c) as x from ledger group by 1, 2)")
+on_slim("x20_variance_bands", lambda l: spec.variance_bands(l.groupBy("account_id", "ym").agg(F.when(F.count("*") > 1, F.sum("credit_c") + F.max("debit_c")).alias("declared_c")), l), "select account_id, ym, case when n < 2 then 'MISSING' when x * 100 <= (i + x) * 10 then 'MATCH' when x * 100 <= (i + x) * 25 then 'REVIEW' else 'MISMATCH' end as band from (select account_id, ym, sum(credit_c) as i, max(debit_c) as x, count(*) as n from ledger group by 1, 2)")
 
 
 # Scans and further measures ------------------------------------------------------------------------------
@@ -151,6 +151,6 @@ on_slim("x4_high_spending", spec.high_spending, "select account_id, seq, debit_c
 add("x16_consolidation", lambda s, d: spec.consolidated(ledger_items(s, d, False, False), read(s, d, "customer").select(F.col("c_custkey").alias("account_id"), F.col("c_nationkey").alias("owner"))),
     f"with {LEDGER_SQL} select c_nationkey as owner, ym, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c, count(distinct account_id) as accounts from ledger join customer on c_custkey = account_id group by 1, 2")
 on_slim("u6_concat_distinct", lambda l: l.where("credit_c > 9000000").select("account_id", "seq").union(l.where("debit_c > 9000000 or credit_c > 10000000").select("account_id", "seq")).distinct().groupBy("account_id").agg(F.count("*").alias("n")), "select account_id, count(*) as n from ledger where credit_c > 9000000 or debit_c > 9000000 group by 1")
-on_classified("p16_report_projection", lambda c: c.select("account_id", "seq", "d", "description", (F.col("debit_c") / 100).cast("decimal(18,2)").alias("debit"), (F.col("credit_c") / 100).cast("decimal(18,2)").alias("credit"), "category", "subcategory", "method").where("seq <= 3"),
-    "select account_id, seq, d, description, (debit_c / 100.0)::decimal(18,2) as debit, (credit_c / 100.0)::decimal(18,2) as credit, category, subcategory, method from cl where seq <= 3")
+on_classified("p16_report_projection", lambda c: c.select("account_id", "seq", "d", "description", (F.col("debit_c") / 100).cast("decimal(18,2)").alias("debit"), (F.col("credit_c") / 100).cast("decimal(18,2)").alias("credit"), "category", "subcategory", "method"),
+    "select account_id, seq, d, description, (debit_c / 100.0)::decimal(18,2) as debit, (credit_c / 100.0)::decimal(18,2) as credit, category, subcategory, method from cl")
 on_slim("t8_groups_by_total", lambda l: l.groupBy("counterparty").agg(F.sum("debit_c").alias("total_c")).orderBy(F.desc("total_c")), "select counterparty, sum(debit_c)::bigint as total_c from ledger group by 1")

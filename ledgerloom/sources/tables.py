@@ -102,7 +102,7 @@ def merge_statements(statements: Iterable[DataFrame]) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    w = Window.partitionBy(*STATEMENT.fieldNames()).orderBy("source_no", "seq")
+    w = Window.partitionBy(*(["account_id"] if "account_id" in rows.columns else []), *STATEMENT.fieldNames()).orderBy("source_no", "seq")
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
