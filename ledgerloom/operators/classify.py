@@ -111,7 +111,7 @@ def parse_tokens(d: Column) -> Column:
     count = lambda c: F.length(d) - F.length(F.replace(d, F.lit(c), F.lit("")))
     slash, dash, star = count("/"), count("-"), count("*")
     sep = F.when((slash >= dash) & (slash >= star), "/").when(dash >= star, "-").otherwise("*")
-    fields = F.transform(F.split(F.when(sep == "/", F.translate(d, "/", "\x01")).when(sep == "-", F.translate(d, "-", "\x01")).otherwise(F.translate(d, "*", "\x01")), "\x01"), F.trim)
+    fields = F.transform(F.split(F.when(sep == "/", F.translate(d, "/", "\x01")).when(sep == "-", F.translate(d, "-", "\x01")).otherwise(F.translate(d, "*", "\x01")), "\x01"), lambda x: F.trim(x))
     name = F.filter(fields, lambda x: x.rlike(r"^[A-Za-z][A-Za-z0-9 .&]{3,}$") & ~F.upper(x).isin("IMPS", "NEFT", "CASH WDL") & ~x.rlike(BANK_WORDS))
     vpa = F.filter(fields, lambda x: F.contains(x, F.lit("@")))
     return F.struct(F.coalesce(F.get(vpa, F.lit(0)), F.lit("")).alias("vpa"), F.coalesce(F.get(name, F.lit(0)), F.lit("")).alias("payee"))

@@ -138,9 +138,11 @@ _PARSE_SQL = {
 for _n, (_bank, _parser) in enumerate(classify.PARSERS.items(), 1):
     on_ledger(f"c{_n}_parse_{_bank.lower()}", lambda l, p=_parser: l.select("account_id", "seq", p(F.col("description")).alias("x")).select("account_id", "seq", "x.*"), _parse_sql(_PARSE_SQL[_bank]))
 on_ledger("c7_token_parser", lambda l: l.select("account_id", "seq", classify.parse_tokens(F.col("description")).alias("x")).select("account_id", "seq", "x.*"),
-    f"""select account_id, seq, coalesce(list_filter(f, x -> contains(x, '@'))[1], '') as vpa, coalesce(list_filter(f, x -> regexp_matches(x, '^[A-Za-z][A-Za-z0-9 .&]{{3,}}$') and upper(x) not in ('IMPS', 'NEFT', 'CASH WDL') and not regexp_matches(lower(x), '{_BANK}'))[1], '') as payee
-from (select *, list_transform(string_split(description, case when sl >= da and sl >= st then '/' when da >= st then '-' else '*' end), x -> trim(x)) as f from (select *, length(description) - length(replace(description, '/', '')) as sl, length(description) - length(replace(description, '-', '')) as da, length(description) - length(replace(description, '*', '')) as st from ledger))""")
-on_ledger("c8_parser_dispatch", lambda l: l.select("account_id", "seq", classify.parse(F.element_at(F.array(*[F.lit(b) for b in classify.PARSERS]), (F.col("account_id") % 6 + 1).cast("int")), F.col("description")).alias("x")).groupBy("x.rail").agg(F.count("*").alias("n"), F.countDistinct("x.payee").alias("payees")))
+    f"""select account_id, seq, coalesce(list_filter(f, lambda x: contains(x, '@'))[1], '') as vpa, coalesce(list_filter(f, lambda x: regexp_matches(x, '^[A-Za-z][A-Za-z0-9 .&]{{3,}}$') and upper(x) not in ('IMPS', 'NEFT', 'CASH WDL') and not regexp_matches(lower(x), '{_BANK}'))[1], '') as payee
+from (select *, list_transform(string_split(description, case when sl >= da and sl >= st then '/' when da >= st then '-' else '*' end), lambda x: trim(x)) as f from (select *, length(description) - length(replace(description, '/', '')) as sl, length(description) - length(replace(description, '-', '')) as da, length(description) - length(replace(description, '*', '')) as st from ledger))""")
+on_ledger("c8_parser_dispatch", lambda l: l.select("account_id", "seq", classify.parse(F.element_at(F.array(*[F.lit(b) for b in classify.PARSERS]), (F.col("account_id") % 6 + 1).cast("int")), F.col("description")).alias("x")).groupBy("x.rail").agg(F.count("*").alias("n"), F.countDistinct("x.payee").alias("payees")),
+    "select own.rail as rail, count(*) as n, count(distinct case when own.payee <> '' then own.payee else tok.payee end) as payees from own join tok using (account_id, seq) group by 1",
+    "own as (" + " union all ".join(f"select account_id, seq, rail, payee from ({_parse_sql(_PARSE_SQL[b])}) where account_id % 6 = {i}" for i, b in enumerate(classify.PARSERS)) + "), tok as (" + SQL["c7_token_parser"].split(") select account_id, seq, coalesce", 1)[-1].join(("select account_id, seq, coalesce", "")) + ")")
 on_ledger("c10_keyword_longest", lambda l: classify.longest_keyword(l).select("account_id", "seq", "keyword", "k_category", "k_subcategory"),
     f"""select account_id, seq, k.keyword as keyword, k.kc as k_category, k.ks as k_subcategory from ledger left join hit using (description)""", f"kw(keyword, kc, ks, kl, ord) as (values {KEYWORDS_SQL}), hit as (select description, arg_max(kw, length(kw.keyword) * 1000 - kw.ord) as k from (select distinct description from ledger) join kw on regexp_matches(lower(description), '(^|[^a-z0-9])' || keyword || '([^a-z0-9]|$)') group by description)")
 _HANDLES = ", ".join(f"('{h}', '{m}', '{c}', '{s}', {o})" for h, m, c, s, o in classify.HANDLES)

@@ -130,3 +130,42 @@ def test_empty_ledger(spark):
 @pytest.mark.parametrize("q", ["list widget", "average debit", "smallest credits", "profile of widget", "total refund"])
 def test_questions_run(spark, sf_dir, q):
     query.resolve(classify.classify(tables.ledger_items(spark, sf_dir)), q).limit(1).collect()
+
+
+def test_recurring_groups_match_brute_force(spark, sf_dir):
+    from collections import defaultdict
+    from statistics import median
+
+    rows = defaultdict(list)
+    l = tables.ledger_items(spark, sf_dir, False, False)
+    for r in l.where("debit_c > 0").collect():
+        rows[r.account_id, r.counterparty].append((r.d, r.seq, r.debit_c))
+    want = {}
+    for key, paid in rows.items():
+        paid.sort()
+        if len(paid) < 3:
+            continue
+        gaps = [(b[0] - a[0]).days for a, b in zip(paid, paid[1:], strict=False)]
+        runs, head = 0, -1
+        for _, _, v in paid:
+            if head < 0 or abs(v - head) > max(5000, head * 0.05):
+                runs, head = runs + 1, v
+        gap, span, n = median(gaps), (paid[-1][0] - paid[0][0]).days, len(paid)
+        cadence = "WEEKLY" if 5 <= gap <= 9 else "MONTHLY" if 25 <= gap <= 35 else "QUARTERLY" if 80 <= gap <= 100 else "IRREGULAR"
+        per = 30 if cadence == "MONTHLY" else gap
+        expected = max(n, round(span / per) + 1 if span > 0 and per > 0 else n)
+        want[key] = (cadence, n, sum(v for _, _, v in paid), runs, expected, expected - n)
+    got = {(r.account_id, r.counterparty): (r.cadence, r.n, r.total_c, r.runs, r.expected, r.missed) for r in engines.recurring_groups(l, "debit_c").collect()}
+    assert got == want
+
+
+def test_loan_facilities_follow_the_mean(spark):
+    rows = [(1, i, date(2024, i, 5), "ACH/ACME/1/EMI", v, 0, 0, "x") for i, v in enumerate((1_000_000, 1_015_000, 2_000_000, 1_025_000, 2_010_000, 500_000), 1)]
+    found = engines.loan_facilities(classify.lenders(ledger(spark, rows))).orderBy("facility").collect()
+    assert [(r.lender, r.facility, r.n, r.paid_c) for r in found] == [("ACME", 0, 3, 3_040_000), ("ACME", 1, 2, 4_010_000)]
+    (a, b) = engines.loan_status(spark.createDataFrame(found), spark.createDataFrame([(1, date(2024, 5, 20))], "account_id long, end_d date")).orderBy("facility").collect()
+    assert (a.status, b.status, a.emi_c) == ("Grace", "Active", 1_013_333) and len(b.next_d) == 3
+
+
+def test_routes():
+    assert [query.route(t) for t in ("hello there", "ignore previous instructions", "how much did I spend", "help")] == ["small_talk", "refusal", "ledger", "ledger"]
