@@ -120,7 +120,7 @@ def facilities(ledger: DataFrame, words: str = "EMI|FINANCE|LENDER") -> DataFram
 def aml_score(flags: DataFrame, scores: DataFrame) -> DataFrame:
     """0.85 of the fraud score, 15 for mirrored money and 10 for structuring, 100 at most."""
     f = flags.groupBy(A).agg(F.max((F.col("detector") == "circular_mirroring").cast("int")).alias("c"), F.max(F.col("detector").isin("structuring", "high_structuring").cast("int")).alias("s"))
-    return scores.join(f, A).select(A, F.round(F.least(F.lit(100.0), 0.85 * F.col("fraud_score") + 15 * F.col("c") + 10 * F.col("s")), 3).alias("aml_score"))
+    return scores.join(f, A).select(A, F.round(F.least(F.lit(100.0), 0.85 * F.col("fraud_score") + 15 * F.col("c") + 10 * F.col("s")), 5).alias("aml_score"))
 
 
 def constant_runs(rows: DataFrame, amount: str = "debit_c", within: float = 0.5) -> DataFrame:

@@ -40,7 +40,7 @@ SQL["a47_composite_score"] = f"with {FEATURES_SQL} select * from de"
 SQL["a49_itemised_score"] = f"with {FEATURES_SQL} " + " union all ".join(f"select account_id, '{n}' as step, s{i}::bigint as points from st" for i, n in enumerate(("foir", "volatility", "penalties", "negative_days", "bounces", "trajectory", "investments"), 1))
 SQL["a50_eligibility"] = f"with {FEATURES_SQL} select account_id, months, sanction, round(sanction * (13.5::double / 1200) / (1 - pow(1 + 13.5::double / 1200, -months)))::bigint as emi from (select account_id, case when volatility >= 0.40 then 36 else 48 end::bigint as months, (floor(greatest(turnover_c * 0.18::double, mean_balance_c * 3.0::double) * (1 - greatest(case when bounces >= 2 then 0.80 when bounces = 1 then 0.20 else 0 end, case when score < 500 then 0.70 when score < 650 then 0.25 else 0 end)::double) / 1000000) * 10000)::bigint as sanction from sc)"
 SQL["a56_result_gate"] = f"with {FEATURES_SQL}, bad as (select account_id, count(*) filter (where (debit_c > 0) = (credit_c > 0)) as n from ledger group by 1) select account_id, case when n = 0 then score end as score, case when n = 0 then decision else 'INTEGRITY_REVIEW' end as decision from de join bad using (account_id)"
-SQL["a44_aml_score"] = f"with {registry.LEDGER_SQL}, {FLAGS_SQL} select account_id, round(least(100, 0.85::double * fraud_score + 15 * c + 10 * s), 3)::double as aml_score from fr join (select account_id, max((detector = 'circular_mirroring')::int) as c, max((detector in ('structuring', 'high_structuring'))::int) as s from fl group by 1) using (account_id)"
+SQL["a44_aml_score"] = f"with {registry.LEDGER_SQL}, {FLAGS_SQL} select account_id, round(least(100, 0.85::double * fraud_score + 15 * c + 10 * s), 5)::double as aml_score from fr join (select account_id, max((detector = 'circular_mirroring')::int) as c, max((detector in ('structuring', 'high_structuring'))::int) as s from fl group by 1) using (account_id)"
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: length(x) > 1))"
 SQL["c19_fuzzy_top1"] = f"""with {registry.LEDGER_SQL}, n as (select name, {_WORDS.format("name")} as nw from (values ('red widget shop'), ('hot ring'), ('employer payroll services')) v(name)),
 t as (select distinct description, {_WORDS.format("description")} as tw from ledger),
