@@ -13,6 +13,7 @@ links in proportion to its size; no bucket is capped."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from ledgerloom.llm.textkit import ranges
 
 #: Members of a bucket up to which all its links are listed; beyond, a spanning forest of them.
 SMALL = 64
-#: Candidates of a member in a bucket of word fingerprints: of the best connected, and of the closest.
-HUBS, CLOSEST = 2, 4
+#: Candidates of a member in a bucket of word fingerprints in each round, of the best connected and of the
+#: closest, and the most rounds.
+CANDIDATES, ROUNDS = (1, 2), 2
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -105,12 +107,16 @@ class Anchors:
         return row, anchor, home
 
 
+def _block_bits(blocks: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each block."""
+    sizes = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
+    return list(zip(np.r_[0, np.cumsum(sizes)[:-1]].tolist(), sizes, strict=True))
+
+
 def cover(threshold: int, blocks: int, within: int | None = None) -> list[tuple[int, Anchors]]:
     """(first bit, covering) of each block. `blocks`: more make fewer replicas and larger buckets. `within`:
     the differing bits that a block covers; threshold // blocks of them miss no pair."""
-    sizes = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
-    starts = np.r_[0, np.cumsum(sizes)[:-1]].tolist()
-    return [(s, Anchors(n, n // 15, threshold // blocks if within is None else within)) for s, n in zip(starts, sizes, strict=True)]
+    return [(s, Anchors(n, n // 15, threshold // blocks if within is None else within)) for s, n in _block_bits(blocks)]
 
 
 def _forest(fp: np.ndarray, home: np.ndarray, threshold: int) -> Iterator[tuple[int, int]]:
@@ -130,7 +136,7 @@ def _forest(fp: np.ndarray, home: np.ndarray, threshold: int) -> Iterator[tuple[
                 label[np.isin(label, seen)] = label[i]
 
 
-def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, ident: np.ndarray, label: np.ndarray, sketch: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within the buckets of rows sorted by key, as row numbers."""
     first = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
     size = np.diff(np.r_[first, len(key)])
@@ -155,20 +161,29 @@ def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) ->
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _hubs(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def _apart(sketch: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differing bits of sketches, rows of two words."""
+    return np.bitwise_count(sketch[left] ^ sketch[right]).sum(axis=1, dtype=np.int64)
+
+
+def _hubs(key: np.ndarray, fp: np.ndarray, home: np.ndarray, ident: np.ndarray, label: np.ndarray, sketch: np.ndarray, threshold: int, hubs: int, closest: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate links, a few for each member of a bucket: with the home members that are close to most others,
-    and with its closest home members."""
+    and with its closest home members by sketch. Members with one label are joined already and give none, nor do
+    sketches too far apart for similar texts. A pair that is bound to meet in several blocks is taken in the first
+    of them."""
     first = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
     size = np.diff(np.r_[first, len(key)])
     group = np.repeat(np.arange(len(first)), size)
     rows = np.flatnonzero(home & (size[group] > 1))
     near_of = [np.zeros(0, np.int64)] * 3
+    masks = [np.uint64(((1 << n) - 1) << at) for at, n in _block_bits(blocks)]
 
     def pick(left: np.ndarray, right: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """left: home rows, right: members; the best for each member."""
         degree = np.bincount(left, minlength=len(key))[left]
         out = []
-        for order, most in ((np.lexsort((fp[left], -degree, right)), HUBS), (np.lexsort((fp[left], -degree, dist, right)), CLOSEST)):
+        # Ties go to the smallest node: a group then has the same few hubs in all of its buckets.
+        for order, most in ((np.lexsort((ident[left], -degree, right)), hubs), (np.lexsort((ident[left], dist, right)), closest)):
             new = np.r_[True, right[order][1:] != right[order][:-1]]
             rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
             out.append(order[rank < most])
@@ -184,23 +199,28 @@ def _hubs(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) ->
             many = size[group[part]]
             left, right = np.repeat(part, many), ranges(first[group[part]], many)
             dist = np.bitwise_count(fp[left] ^ fp[right])
-            close = np.flatnonzero((dist <= threshold) & (left != right))
+            close = np.flatnonzero((dist <= threshold) & (label[left] != label[right]))
+            left, right = left[close], right[close]
+            apart = fp[left] ^ fp[right]
+            meets = np.stack([np.bitwise_count(apart & m) <= 1 for m in masks])
+            dist = _apart(sketch, left, right)
+            close = np.flatnonzero((dist <= SKETCH_BITS) & (~meets.any(axis=0) | (meets.argmax(axis=0) == key[left] % blocks)))
             held.append((left[close], right[close], dist[close]))
             load += len(close)
             if load > 1 << 21:  # a dense bucket: keep the best so far and go on
                 left, right, dist = (np.concatenate([h[i] for h in held]) for i in range(3))
                 x, y = pick(left, right, dist)
-                held, load = [(x, y, np.bitwise_count(fp[x] ^ fp[y]))], 0
+                held, load = [(x, y, _apart(sketch, x, y))], 0
     left, right, dist = (np.concatenate([n, *(h[i] for h in held)]) for i, n in enumerate(near_of))
     return pick(left, right, dist)
 
 
 def link_fingerprints(fps: DataFrame, threshold: int = 4, blocks: int = 3, within: int | None = None, links=_links) -> DataFrame:
     """(a, b): links that join all fingerprints (distinct bigint fp) at `threshold` or fewer differing bits
-    into their components; with a column `node`, links between nodes, which may share fingerprints. `within` as
-    for `cover`; `links` chooses a bucket's links."""
+    into their components; with columns `node`, `label` and two of `sketch`, links between nodes, which may share
+    fingerprints, of different labels. `within` as for `cover`; `links` chooses a bucket's links."""
     named = "node" in fps.columns
-    columns = ["place", "fp", "node"] if named else ["place", "fp"]
+    columns = ["place", "fp", "node", "label", "sketch", "sketch2"] if named else ["place", "fp"]
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         covers = cover(threshold, blocks, within)
@@ -214,25 +234,25 @@ def link_fingerprints(fps: DataFrame, threshold: int = 4, blocks: int = 3, withi
                     yield pa.RecordBatch.from_arrays([pa.array((anchor * blocks + k) * 2 + home), pa.array(fp[row]), *(pa.array(n[row]) for n in node)], columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(place: np.ndarray, fp: np.ndarray, ident: np.ndarray) -> pa.RecordBatch:
-            a, b = links(place >> 1, fp.view(np.uint64), (place & 1).astype(bool), threshold)
+        def out(place: np.ndarray, fp: np.ndarray, ident: np.ndarray, label: np.ndarray, *sketch: np.ndarray) -> pa.RecordBatch:
+            a, b = links(place >> 1, fp.view(np.uint64), (place & 1).astype(bool), ident, label, np.stack(sketch, axis=1).view(np.uint64), threshold)
             return pa.RecordBatch.from_arrays([pa.array(ident[a]), pa.array(ident[b])], ["a", "b"])
 
-        held, rows = [[np.zeros(0, np.int64)] * 3], 0
+        held, rows = [[np.zeros(0, np.int64)] * 6], 0
         for batch in batches:
-            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, len(columns) - 1)])
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in ((0, 1, 2, 3, 4, 5) if named else (0, 1, 1, 1, 1, 1))])
             rows += batch.num_rows
             if rows >= 1 << 18:
-                place, fp, ident = (np.concatenate([h[i] for h in held]) for i in range(3))
-                cut = int(np.searchsorted(place >> 1, place[-1] >> 1))
+                whole = [np.concatenate([h[i] for h in held]) for i in range(6)]
+                cut = int(np.searchsorted(whole[0] >> 1, whole[0][-1] >> 1))
                 if cut:
-                    yield out(place[:cut], fp[:cut], ident[:cut])
-                held, rows = [[place[cut:], fp[cut:], ident[cut:]]], 0
-        place, fp, ident = (np.concatenate([h[i] for h in held]) for i in range(3))
-        if len(place):
-            yield out(place, fp, ident)
+                    yield out(*(c[:cut] for c in whole))
+                held, rows = [[c[cut:] for c in whole]], 0
+        whole = [np.concatenate([h[i] for h in held]) for i in range(6)]
+        if len(whole[0]):
+            yield out(*whole)
 
-    more = ", node long" if named else ""
+    more = ", node long, label long, sketch long, sketch2 long" if named else ""
     spread = fps.select(*columns[1:]).mapInArrow(replicate, f"place long, fp long{more}")
     met = spread.repartition(partitions(fps.sparkSession), F.expr("place div 2")).sortWithinPartitions(*columns)
     return met.mapInArrow(compare, "a long, b long").distinct()
@@ -257,6 +277,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, block
 #: Near copies by shingles: words a shingle, similarity from which on texts are copies, and the differing bits
 #: of word fingerprints up to which candidates are compared.
 SHINGLE, SIMILARITY, CANDIDATE_BITS = 5, 0.8, 9
+#: Differing bits of 128 up to which sketches of shingles may belong to similar texts: at a similarity of 0.8 a
+#: bit differs with a chance of 0.1, so that over 24 do for one pair in 1100.
+SKETCH_BITS = 24
 
 
 def word_fingerprint(words: list[bytes]) -> int:
@@ -271,6 +294,20 @@ def word_fingerprint(words: list[bytes]) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+_MIX = np.random.default_rng(20).integers(1, 1 << 63, (2, 128), dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_sketch(words: list[bytes], shingle: int = SHINGLE) -> tuple[int, int]:
+    """A bit of each of 128 MinHash values of a text's word shingles, as two words."""
+    if not words:
+        return 0, 0
+    k = min(shingle, len(words))
+    h = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 7) for i in range(len(words) - k + 1)], np.uint64)
+    low = [(h * a + b).min() for a, b in _MIX.T]
+    one, two = np.packbits(np.array(low, np.uint64) >> np.uint64(13) & np.uint64(1) == 1, bitorder="little").view(np.uint64)
+    return int(one), int(two)
+
+
 def similarity(a: str, b: str, shingle: int = SHINGLE) -> float:
     """Jaccard similarity of the sets of word shingles (A-Z lower-cased; a shorter text is one shingle)."""
     sets = []
@@ -285,37 +322,55 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARI
     """(doc_id, group_id) for each row of docs with a doc_id and a word: group_id is the smallest doc_id that can
     be reached over equal texts and over pairs of similarity `least` or more.
 
-    Candidates come from anchor covering of word fingerprints (one bit a block), pairs of up to `bits` bits; each
-    is compared by its whole texts. Equal texts are one node; a node has a few candidates a bucket, the
-    best connected members and the closest, so large groups cost no more than their size."""
+    Candidates come from anchor covering of word fingerprints (one bit a block), pairs of up to `bits` bits whose
+    shingle sketches allow the similarity; each is compared by its whole texts. Equal texts are one node. In each round a node has a few candidates a bucket,
+    the best connected members and the closest, among those not in its group yet, so large groups cost no more
+    than their size; a node that met none in the first round has no candidate at all. Rows that repeat a doc_id with
+    other texts are one node, compared by one of the texts (that of the least digest)."""
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, fp, digest = [], [], []
+            ids, fp, sketch, digest = [], [], [], []
             for i, t, d in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 words = t.encode("utf-8", "surrogatepass").lower().split()
                 if words:
                     ids.append(i)
                     fp.append(word_fingerprint(words))
+                    sketch.append(shingle_sketch(words, shingle))
                     digest.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(digest, pa.string())], ["doc_id", "fp", "digest"])
-
-    rows = materialize(own.mapInArrow(run, "doc_id long, fp long, digest string"), "words")
-    texts = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")), "texts")
-    met = link_fingerprints(texts.select("fp", "node"), bits, 3, 1, _hubs)
-    pairs = materialize(met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "pairs")
-    # Only texts of nodes in a pair travel, each once for each of its pairs.
-    nodes = pairs.select(F.col("x").alias("node")).unionAll(pairs.select(F.col("y").alias("node"))).distinct()
-    text = materialize(own.join(nodes.hint("shuffle_hash"), F.col("doc_id") == F.col("node")).select("node", "text").dropDuplicates(["node"]), "compared")
-    both = pairs.join(text.select(F.col("node").alias("x"), F.col("text").alias("left")), "x").join(text.select(F.col("node").alias("y"), F.col("text").alias("right")), "y")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, [x for x, _ in sketch], [x for _, x in sketch])), pa.array(digest, pa.string())], ["doc_id", "fp", "sketch", "sketch2", "digest"])
 
+    rows = materialize(own.mapInArrow(run, "doc_id long, fp long, sketch long, sketch2 long, digest string"), "words")
+    texts = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("sketch2").alias("sketch2")), "texts")
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [similarity(x.as_py(), y.as_py(), shingle) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    links = both.select("x", "y", "left", "right").mapInArrow(verify, "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = connected_components(links)
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar. Only texts of nodes in a pair travel."""
+        nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        wanted = texts.join(nodes, "node").groupBy("node").agg(F.min("digest").alias("wanted"))
+        text = own.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("wanted"))).select("node", "text")
+        text = materialize(text.dropDuplicates(["node"]), "compared")
+        both = pairs.join(text.select(F.col("node").alias("x"), F.col("text").alias("left")), "x").join(text.select(F.col("node").alias("y"), F.col("text").alias("right")), "y")
+        return materialize(both.select("x", "y", "left", "right").mapInArrow(verify, "x long, y long"), "similar")
+
+    members = texts.select("fp", "node", F.col("node").alias("label"), "sketch", "sketch2")
+    tried = links = roots = None
+    for k in range(ROUNDS):
+        hubs, closest = CANDIDATES
+        met = link_fingerprints(members, bits, 3, 1, partial(_hubs, hubs=hubs, closest=closest, blocks=3))
+        pairs = met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+        pairs = materialize(pairs.join(tried, ["x", "y"], "left_anti") if k else pairs, "pairs")
+        if k and pairs.isEmpty():
+            break
+        found = compared(pairs)
+        tried = tried.unionAll(pairs) if k else pairs
+        links = links.unionAll(found) if k else found
+        roots = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        near = tried.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        members = materialize(texts.select("fp", "node", "sketch", "sketch2").join(near, "node").join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("label"), "sketch", "sketch2"), "members")
     groups = texts.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("group_id"))
     return rows.join(groups, "digest").select("doc_id", "group_id")

@@ -77,6 +77,8 @@ def test_near_copies_awkward(spark, nasty):
     got = sorted((r.doc_id, r.group_id) for r in simhash.near_copies(nasty).collect())
     assert got == [(1, 1), (2, 1), (2, 1), (6, 6), (7, 7), (8, 8)]
     assert simhash.near_copies(nasty.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z")], "doc_id long, text string")
+    assert {r.group_id for r in simhash.near_copies(twice).collect()} == {1}
 
 
 def test_components(spark):
