@@ -74,36 +74,58 @@ def chain_mismatches(ledger: DataFrame, tolerance_c: int = 50, order: str = "seq
     return ledger.withColumn("off_c", F.col("balance_c") - (before - F.col("debit_c") + F.col("credit_c"))).where(F.abs("off_c") > tolerance_c)
 
 
+def _settle(left: list[tuple], running: int | None, tolerance_c: int) -> tuple[list[int], int]:
+    """A day's rows (seq, debit, credit, balance) in an order in which balances follow; the balance after."""
+    out: list[int] = []
+    if running is None:
+        _, debit, credit, balance = left[0]
+        running = balance + debit - credit
+    while left:
+        fit = next((i for i, (_, debit, credit, balance) in enumerate(left) if abs(running - debit + credit - balance) <= tolerance_c), None)
+        if fit is None:
+            return out + [x[0] for x in left], left[-1][3]
+        row = left.pop(fit)
+        out.append(row[0])
+        running = row[3]
+    return out, running
+
+
 def reorder_by_balance(ledger: DataFrame, tolerance_c: int = 50) -> DataFrame:
     """account_id, seq and pos: each day's rows put into an order in which balances follow from one another.
 
-    Which row comes next depends on the running balance, so each account is walked in order (a group is one
-    account's statement). The opening balance is what the first row implies; where no row of the day fits, the
-    rest of that day keeps its order."""
-    import pandas as pd
-
-    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["d", "seq"], kind="stable")
-        out: list[int] = []
-        running: int | None = None
-        for _, day in rows.groupby("d", sort=True):
-            left = list(day[["seq", "debit_c", "credit_c", "balance_c"]].itertuples(index=False, name=None))
-            if running is None:
-                s, debit, credit, balance = left[0]
-                running = balance + debit - credit
-            while left:
-                fit = next((i for i, (_, debit, credit, balance) in enumerate(left) if abs(running - debit + credit - balance) <= tolerance_c), None)
-                if fit is None:
-                    out += [x[0] for x in left]
-                    running = left[-1][3]
-                    break
-                row = left.pop(fit)
-                out.append(row[0])
-                running = row[3]
-        return pd.DataFrame({A: key[0], "seq": out, "pos": range(1, len(out) + 1)})
+    Which row comes next depends on the running balance, so rows stream through in order of account and date,
+    and a task holds one day of one account at a time. The opening balance is what the first row implies; where
+    no row of the day fits, the rest of that day keeps its order."""
+    import pyarrow as pa
+
+    def run(batches):
+        at, left, running, pos = (object(), None), [], None, 0
+
+        def day() -> list[tuple]:
+            nonlocal running, pos
+            order, running = _settle(left, running, tolerance_c)
+            pos += len(order)
+            return [(at[0], s, pos - len(order) + i) for i, s in enumerate(order, 1)]
+
+        kinds = None
+        for b in batches:
+            kinds, rows = (b.schema.field(0).type, pa.int64(), pa.int64()), []
+            for account, d, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (account, d) != at:
+                    if left:
+                        rows += day()
+                    if account != at[0]:
+                        running, pos = None, 0
+                    at, left = (account, d), []
+                left.append(tuple(row))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [A, "seq", "pos"])
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*day(), strict=True), kinds, strict=True)], [A, "seq", "pos"])
 
     kind = ledger.schema[A].dataType.simpleString()
-    return ledger.select(A, "seq", "d", "debit_c", "credit_c", "balance_c").groupBy(A).applyInPandas(walk, f"{A} {kind}, seq long, pos long")
+    rows = ledger.select(A, F.unix_date("d").alias("day"), F.col("seq").cast("long"), "debit_c", "credit_c", "balance_c")
+    return rows.repartition(A).sortWithinPartitions(A, "day", "seq").mapInArrow(run, f"{A} {kind}, seq long, pos long")
 
 
 def day_clusters(rows: DataFrame, keys: list[str], gap: int = 3) -> DataFrame:
