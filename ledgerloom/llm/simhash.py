@@ -12,7 +12,7 @@ links in proportion to its size; no bucket is capped."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -23,13 +23,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.shared import materialize, partitions, with_fields
-from ledgerloom.llm.textkit import ranges
+from ledgerloom.llm.textkit import ASCII_SPACE, Words, chunks, mix, ranges
 
 #: Members of a bucket up to which all its links are listed; beyond, a spanning forest of them.
 SMALL = 64
-#: Candidates of a member in a bucket of word fingerprints in each round, of the best connected and of the
-#: closest, and the most rounds.
-CANDIDATES, ROUNDS = (1, 2), 2
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -113,10 +110,28 @@ def _block_bits(blocks: int) -> list[tuple[int, int]]:
     return list(zip(np.r_[0, np.cumsum(sizes)[:-1]].tolist(), sizes, strict=True))
 
 
-def cover(threshold: int, blocks: int, within: int | None = None) -> list[tuple[int, Anchors]]:
-    """(first bit, covering) of each block. `blocks`: more make fewer replicas and larger buckets. `within`:
-    the differing bits that a block covers; threshold // blocks of them miss no pair."""
-    return [(s, Anchors(n, n // 15, threshold // blocks if within is None else within)) for s, n in _block_bits(blocks)]
+def cover(threshold: int, blocks: int) -> list[tuple[int, Anchors]]:
+    """(first bit, covering) of each block. `blocks`: more make fewer replicas and larger buckets."""
+    return [(s, Anchors(n, n // 15, threshold // blocks)) for s, n in _block_bits(blocks)]
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch], shift: int = 0) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by the first, many at a time; rows that share its value, without the last
+    `shift` bits, stay together."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        rows += batch.num_rows
+        if rows >= 1 << 18:
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(whole[0] >> shift, whole[0][-1] >> shift))
+            if cut:
+                yield [c[:cut] for c in whole]
+            held, rows = [[c[cut:] for c in whole]], 0
+    if rows or held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def _forest(fp: np.ndarray, home: np.ndarray, threshold: int) -> Iterator[tuple[int, int]]:
@@ -136,7 +151,7 @@ def _forest(fp: np.ndarray, home: np.ndarray, threshold: int) -> Iterator[tuple[
                 label[np.isin(label, seen)] = label[i]
 
 
-def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, ident: np.ndarray, label: np.ndarray, sketch: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within the buckets of rows sorted by key, as row numbers."""
     first = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
     size = np.diff(np.r_[first, len(key)])
@@ -161,99 +176,28 @@ def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, ident: np.ndarray,
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _apart(sketch: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Differing bits of sketches, rows of two words."""
-    return np.bitwise_count(sketch[left] ^ sketch[right]).sum(axis=1, dtype=np.int64)
-
-
-def _hubs(key: np.ndarray, fp: np.ndarray, home: np.ndarray, ident: np.ndarray, label: np.ndarray, sketch: np.ndarray, threshold: int, hubs: int, closest: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate links, a few for each member of a bucket: with the home members that are close to most others,
-    and with its closest home members by sketch. Members with one label are joined already and give none, nor do
-    sketches too far apart for similar texts. A pair that is bound to meet in several blocks is taken in the first
-    of them."""
-    first = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
-    size = np.diff(np.r_[first, len(key)])
-    group = np.repeat(np.arange(len(first)), size)
-    rows = np.flatnonzero(home & (size[group] > 1))
-    near_of = [np.zeros(0, np.int64)] * 3
-    masks = [np.uint64(((1 << n) - 1) << at) for at, n in _block_bits(blocks)]
-
-    def pick(left: np.ndarray, right: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """left: home rows, right: members; the best for each member."""
-        degree = np.bincount(left, minlength=len(key))[left]
-        out = []
-        # Ties go to the smallest node: a group then has the same few hubs in all of its buckets.
-        for order, most in ((np.lexsort((ident[left], -degree, right)), hubs), (np.lexsort((ident[left], dist, right)), closest)):
-            new = np.r_[True, right[order][1:] != right[order][:-1]]
-            rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-            out.append(order[rank < most])
-        chosen = np.unique(np.concatenate(out))
-        return left[chosen], right[chosen]
-
-    load, held = 0, []
-    # Buckets are taken together up to a bound on the pairs compared; a bucket is never cut, but its close pairs
-    # are found a slice of home members at a time.
-    for at in range(0, len(rows), 1 << 10):
-        own = rows[at : at + (1 << 10)]
-        for part in np.array_split(own, max(1, int(size[group[own]].sum()) >> 20)):
-            many = size[group[part]]
-            left, right = np.repeat(part, many), ranges(first[group[part]], many)
-            dist = np.bitwise_count(fp[left] ^ fp[right])
-            close = np.flatnonzero((dist <= threshold) & (label[left] != label[right]))
-            left, right = left[close], right[close]
-            apart = fp[left] ^ fp[right]
-            meets = np.stack([np.bitwise_count(apart & m) <= 1 for m in masks])
-            dist = _apart(sketch, left, right)
-            close = np.flatnonzero((dist <= SKETCH_BITS) & (~meets.any(axis=0) | (meets.argmax(axis=0) == key[left] % blocks)))
-            held.append((left[close], right[close], dist[close]))
-            load += len(close)
-            if load > 1 << 21:  # a dense bucket: keep the best so far and go on
-                left, right, dist = (np.concatenate([h[i] for h in held]) for i in range(3))
-                x, y = pick(left, right, dist)
-                held, load = [(x, y, _apart(sketch, x, y))], 0
-    left, right, dist = (np.concatenate([n, *(h[i] for h in held)]) for i, n in enumerate(near_of))
-    return pick(left, right, dist)
-
-
-def link_fingerprints(fps: DataFrame, threshold: int = 4, blocks: int = 3, within: int | None = None, links=_links) -> DataFrame:
+def link_fingerprints(fps: DataFrame, threshold: int = 4, blocks: int = 3) -> DataFrame:
     """(a, b): links that join all fingerprints (distinct bigint fp) at `threshold` or fewer differing bits
-    into their components; with columns `node`, `label` and two of `sketch`, links between nodes, which may share
-    fingerprints, of different labels. `within` as for `cover`; `links` chooses a bucket's links."""
-    named = "node" in fps.columns
-    columns = ["place", "fp", "node", "label", "sketch", "sketch2"] if named else ["place", "fp"]
+    into their components."""
+    columns = ["place", "fp"]
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        covers = cover(threshold, blocks, within)
+        covers = cover(threshold, blocks)
         for batch in batches:
-            whole = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            whole = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, batch.num_rows, 4096):
-                fp, *node = (c[at : at + 4096] for c in whole)
+                fp = whole[at : at + 4096]
                 for k, (bit, anchors) in enumerate(covers):
                     own = (fp.view(np.uint64) >> np.uint64(bit) & np.uint64((1 << anchors.bits) - 1)).astype(np.int64)
                     row, anchor, home = anchors.replicas(own)
-                    yield pa.RecordBatch.from_arrays([pa.array((anchor * blocks + k) * 2 + home), pa.array(fp[row]), *(pa.array(n[row]) for n in node)], columns)
+                    yield pa.RecordBatch.from_arrays([pa.array((anchor * blocks + k) * 2 + home), pa.array(fp[row])], columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(place: np.ndarray, fp: np.ndarray, ident: np.ndarray, label: np.ndarray, *sketch: np.ndarray) -> pa.RecordBatch:
-            a, b = links(place >> 1, fp.view(np.uint64), (place & 1).astype(bool), ident, label, np.stack(sketch, axis=1).view(np.uint64), threshold)
-            return pa.RecordBatch.from_arrays([pa.array(ident[a]), pa.array(ident[b])], ["a", "b"])
+        for place, fp in whole_buckets(batches, 1):
+            a, b = _links(place >> 1, fp.view(np.uint64), (place & 1).astype(bool), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
 
-        held, rows = [[np.zeros(0, np.int64)] * 6], 0
-        for batch in batches:
-            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in ((0, 1, 2, 3, 4, 5) if named else (0, 1, 1, 1, 1, 1))])
-            rows += batch.num_rows
-            if rows >= 1 << 18:
-                whole = [np.concatenate([h[i] for h in held]) for i in range(6)]
-                cut = int(np.searchsorted(whole[0] >> 1, whole[0][-1] >> 1))
-                if cut:
-                    yield out(*(c[:cut] for c in whole))
-                held, rows = [[c[cut:] for c in whole]], 0
-        whole = [np.concatenate([h[i] for h in held]) for i in range(6)]
-        if len(whole[0]):
-            yield out(*whole)
-
-    more = ", node long, label long, sketch long, sketch2 long" if named else ""
-    spread = fps.select(*columns[1:]).mapInArrow(replicate, f"place long, fp long{more}")
+    spread = fps.select("fp").mapInArrow(replicate, "place long, fp long")
     met = spread.repartition(partitions(fps.sparkSession), F.expr("place div 2")).sortWithinPartitions(*columns)
     return met.mapInArrow(compare, "a long, b long").distinct()
 
@@ -274,38 +218,64 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, block
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies by shingles: words a shingle, similarity from which on texts are copies, and the differing bits
-#: of word fingerprints up to which candidates are compared.
-SHINGLE, SIMILARITY, CANDIDATE_BITS = 5, 0.8, 9
+#: Near copies by shingles: words a shingle, and the similarity from which on texts are copies.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Bands of MinHash values of a text's shingles and the values in each. Texts of similarity s share no band with a
+#: chance of (1 - s ** ROWS) ** BANDS: 1.8e-5 at 0.8, 2e-8 at 0.85.
+BANDS, ROWS = 36, 6
 #: Differing bits of 128 up to which sketches of shingles may belong to similar texts: at a similarity of 0.8 a
-#: bit differs with a chance of 0.1, so that over 24 do for one pair in 1100.
-SKETCH_BITS = 24
-
-
-def word_fingerprint(words: list[bytes]) -> int:
-    """SimHash of a text's distinct words. An edited word changes one feature here but five shingles, so near
-    copies are much closer than in fingerprints of shingles."""
-    if not words:
-        return 0
-    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 14):
-        ones += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
-
-
-_MIX = np.random.default_rng(20).integers(1, 1 << 63, (2, 128), dtype=np.uint64) | np.uint64(1)
-
-
-def shingle_sketch(words: list[bytes], shingle: int = SHINGLE) -> tuple[int, int]:
-    """A bit of each of 128 MinHash values of a text's word shingles, as two words."""
-    if not words:
-        return 0, 0
-    k = min(shingle, len(words))
-    h = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 7) for i in range(len(words) - k + 1)], np.uint64)
-    low = [(h * a + b).min() for a, b in _MIX.T]
-    one, two = np.packbits(np.array(low, np.uint64) >> np.uint64(13) & np.uint64(1) == 1, bitorder="little").view(np.uint64)
-    return int(one), int(two)
+#: bit differs with a chance of 0.1, so that over 30 do for three pairs in a million.
+SKETCH_BITS = 30
+#: Rounds in which the members of a bucket are candidates of one of them.
+ROUNDS = 2
+
+_MIX = np.random.default_rng(20).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def _shingle_hashes(w: Words, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first, text): the shingles of each text with a word, text by text, where each text's begin, and
+    the texts' numbers. A text of fewer words is one shingle."""
+    h, many = w.hashes(), np.diff(w.first)
+    out = np.zeros(len(h), np.uint64)
+    for k in range(1, shingle + 1):
+        at = np.flatnonzero(np.repeat(np.minimum(many, shingle), many) == k)
+        at = at[at + k <= np.repeat(w.first[1:], many)[at]]
+        own = np.full(len(at), k, np.uint64)
+        for i in range(k):
+            own = own * np.uint64(0x9E3779B97F4A7C15) + h[at + i]
+        out[at] = mix(own)
+    text = np.flatnonzero(many)
+    count = np.maximum(many[text] - shingle + 1, 1)
+    return out[ranges(w.first[text], count)], np.r_[0, np.cumsum(count)[:-1]].astype(np.int64), text
+
+
+def shingle_bands(texts: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bands, sketch) for each text with a word: its number, a key for each of its bands, and one bit of
+    each of 128 MinHash values, as two words."""
+    h, first, text = _shingle_hashes(Words(texts, ASCII_SPACE), shingle)
+    if not len(text):
+        return text, np.zeros((0, BANDS), np.uint64), np.zeros((0, 2), np.uint64)
+    low = np.stack([np.minimum.reduceat(h * a + b, first) for a, b in _MIX.T], axis=1)
+    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(text), 1))
+    for i in range(ROWS):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + low[:, i::ROWS])
+    bits = np.packbits(low[:, :128] >> np.uint64(13) & np.uint64(1) == 1, axis=1, bitorder="little")
+    return text, keys, bits.view(np.uint64)
+
+
+def _near(sketch: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(sketch[left] ^ sketch[right]).sum(axis=1, dtype=np.int64) <= SKETCH_BITS
+
+
+def _hub_pairs(key: np.ndarray, node: np.ndarray, label: np.ndarray, sketch: np.ndarray, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of each bucket's hub, another one each turn, with the members of other labels."""
+    order = np.lexsort((mix(node.view(np.uint64) + np.uint64(turn)) if turn else node, key))
+    new = np.r_[True, key[order][1:] != key[order][:-1]]
+    hub = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    apart = label[hub] != label[order]
+    left, right = hub[apart], order[apart]
+    near = _near(sketch, left, right)
+    yield left[near], right[near]
 
 
 def similarity(a: str, b: str, shingle: int = SHINGLE) -> float:
@@ -318,31 +288,47 @@ def similarity(a: str, b: str, shingle: int = SHINGLE) -> float:
     return both / max(1, len(sets[0]) + len(sets[1]) - both)
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, bits: int = CANDIDATE_BITS) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, group_id) for each row of docs with a doc_id and a word: group_id is the smallest doc_id that can
     be reached over equal texts and over pairs of similarity `least` or more.
 
-    Candidates come from anchor covering of word fingerprints (one bit a block), pairs of up to `bits` bits whose
-    shingle sketches allow the similarity; each is compared by its whole texts. Equal texts are one node. In each round a node has a few candidates a bucket,
-    the best connected members and the closest, among those not in its group yet, so large groups cost no more
-    than their size; a node that met none in the first round has no candidate at all. Rows that repeat a doc_id with
-    other texts are one node, compared by one of the texts (that of the least digest)."""
+    Candidates share a band of MinHash values of their shingles (bands are chosen for a `least` of 0.8 or more)
+    and have sketches that allow the similarity; each is compared by its whole texts. Equal texts are one node. In
+    each round a bucket's members are candidates of one of them, unless they are in its group already, so large
+    groups cost no more than their size. Rows that repeat a doc_id with other texts are one node, compared by one
+    of the texts (that of the least digest)."""
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, fp, sketch, digest = [], [], [], []
-            for i, t, d in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                words = t.encode("utf-8", "surrogatepass").lower().split()
-                if words:
-                    ids.append(i)
-                    fp.append(word_fingerprint(words))
-                    sketch.append(shingle_sketch(words, shingle))
-                    digest.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, [x for x, _ in sketch], [x for _, x in sketch])), pa.array(digest, pa.string())], ["doc_id", "fp", "sketch", "sketch2", "digest"])
-
-    rows = materialize(own.mapInArrow(run, "doc_id long, fp long, sketch long, sketch2 long, digest string"), "words")
-    texts = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("sketch2").alias("sketch2")), "texts")
+            for rows, texts in chunks(list(range(b.num_rows)), b.column(1).to_pylist(), 1 << 18):
+                text, bands, sketch = shingle_bands([t.lower() for t in texts], shingle)
+                ids = pa.array(np.array(rows)[text])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(ids), b.column(2).take(ids), pa.array(sketch[:, 0].view(np.int64)), pa.array(sketch[:, 1].view(np.int64)), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "digest", "sketch", "sketch2", "bands"])
+
+    rows = materialize(own.mapInArrow(run, "doc_id long, digest string, sketch long, sketch2 long, bands array<long>"), "words")
+    texts = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("sketch", "sketch2", "bands")]), "texts")
+    n = partitions(docs.sparkSession)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in whole_buckets(batches):
+            new = np.r_[True, c[0][1:] != c[0][:-1]]
+            alone = new & np.r_[new[1:], True]
+            yield pa.RecordBatch.from_arrays([pa.array(x[~alone]) for x in c], ["key", "node", "sketch", "sketch2"])
+
+    spread = texts.select(F.explode("bands").alias("key"), "node", "sketch", "sketch2").repartition(n, "key").sortWithinPartitions("key")
+    buckets = materialize(spread.mapInArrow(shared, "key long, node long, sketch long, sketch2 long"), "buckets")
+
+    def met(members: DataFrame, pairs: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+        """(x, y), x < y: what `pairs` takes from each bucket of members."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for key, node, label, *sketch in whole_buckets(batches):
+                for a, b in pairs(key, node, label, np.stack(sketch, axis=1).view(np.uint64)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["x", "y"])
+
+        return members.select("key", "node", "label", "sketch", "sketch2").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "x long, y long").distinct()
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [similarity(x.as_py(), y.as_py(), shingle) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
@@ -351,26 +337,23 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARI
     def compared(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar. Only texts of nodes in a pair travel."""
         nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-        wanted = texts.join(nodes, "node").groupBy("node").agg(F.min("digest").alias("wanted"))
+        wanted = texts.select("node", "digest").join(nodes, "node").groupBy("node").agg(F.min("digest").alias("wanted"))
         text = own.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("wanted"))).select("node", "text")
         text = materialize(text.dropDuplicates(["node"]), "compared")
         both = pairs.join(text.select(F.col("node").alias("x"), F.col("text").alias("left")), "x").join(text.select(F.col("node").alias("y"), F.col("text").alias("right")), "y")
         return materialize(both.select("x", "y", "left", "right").mapInArrow(verify, "x long, y long"), "similar")
 
-    members = texts.select("fp", "node", F.col("node").alias("label"), "sketch", "sketch2")
+    members = buckets.withColumn("label", F.col("node"))
     tried = links = roots = None
     for k in range(ROUNDS):
-        hubs, closest = CANDIDATES
-        met = link_fingerprints(members, bits, 3, 1, partial(_hubs, hubs=hubs, closest=closest, blocks=3))
-        pairs = met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+        pairs = met(members, partial(_hub_pairs, turn=k))
         pairs = materialize(pairs.join(tried, ["x", "y"], "left_anti") if k else pairs, "pairs")
         if k and pairs.isEmpty():
-            break
+            continue
         found = compared(pairs)
         tried = tried.unionAll(pairs) if k else pairs
         links = links.unionAll(found) if k else found
         roots = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        near = tried.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-        members = materialize(texts.select("fp", "node", "sketch", "sketch2").join(near, "node").join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("label"), "sketch", "sketch2"), "members")
+        members = buckets.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
     groups = texts.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("group_id"))
-    return rows.join(groups, "digest").select("doc_id", "group_id")
+    return rows.select("doc_id", "digest").join(groups, "digest").select("doc_id", "group_id")

@@ -73,6 +73,18 @@ def test_near_copies_of_one_text(spark):
     assert got == brute.copies(dict(docs)) and got[402] == 402 and got[403] == 0
 
 
+def test_near_copies_cut_and_appended(spark):
+    """Copies that miss words at the end or have words of another text appended, from a similarity of 0.8 on."""
+    rng = random.Random(8)
+    base = [[rng.choice("abcdefghij") * 2 + str(rng.randrange(500)) for _ in range(rng.randrange(60, 240))] for _ in range(150)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(base)]
+    docs += [(1000 + i, " ".join(w[: int(len(w) * (0.82, 0.86, 0.9)[i % 3])])) for i, w in enumerate(base)]
+    docs += [(2000 + i, " ".join(w + base[i - 1][: int(len(w) * (0.1, 0.15, 0.2)[i % 3])])) for i, w in enumerate(base)]
+    got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute.copies(dict(docs))
+    assert sum(got[d] == g for d, g in want.items() if d >= 1000) >= 299 and sum(d != g for d, g in want.items()) > 290
+
+
 def test_near_copies_awkward(spark, nasty):
     got = sorted((r.doc_id, r.group_id) for r in simhash.near_copies(nasty).collect())
     assert got == [(1, 1), (2, 1), (2, 1), (6, 6), (7, 7), (8, 8)]
