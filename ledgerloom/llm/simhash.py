@@ -226,7 +226,7 @@ BANDS, ROWS = 36, 6
 #: Differing bits of 128 up to which sketches of shingles may belong to similar texts: at a similarity of 0.8 a
 #: bit differs with a chance of 0.1, so that over 30 do for three pairs in a million.
 SKETCH_BITS = 30
-#: Rounds in which the members of a bucket are candidates of one of them.
+#: Rounds in which the members of a bucket are candidates of one of them only, before all pairs are.
 ROUNDS = 2
 
 _MIX = np.random.default_rng(20).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
@@ -278,6 +278,25 @@ def _hub_pairs(key: np.ndarray, node: np.ndarray, label: np.ndarray, sketch: np.
     yield left[near], right[near]
 
 
+def _all_pairs(key: np.ndarray, node: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs of members of one bucket that have different labels, some at a time."""
+    order = np.lexsort((label, key))
+    k, v = key[order], label[order]
+    new = np.r_[True, k[1:] != k[:-1]]
+    at = np.arange(len(order))
+    first = np.maximum.accumulate(np.where(new, at, 0))
+    run = np.maximum.accumulate(np.where(new | np.r_[True, v[1:] != v[:-1]], at, 0))
+    many = run - first  # a row meets the rows of its bucket before the first with its label
+    ends = np.cumsum(many)
+    i = 0
+    while i < len(order):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 20), side="right")))
+        left, right = order[np.repeat(at[i:j], many[i:j])], order[ranges(first[i:j], many[i:j])]
+        near = _near(sketch, left, right)
+        yield left[near], right[near]
+        i = j
+
+
 def similarity(a: str, b: str, shingle: int = SHINGLE) -> float:
     """Jaccard similarity of the sets of word shingles (A-Z lower-cased; a shorter text is one shingle)."""
     sets = []
@@ -294,8 +313,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARI
 
     Candidates share a band of MinHash values of their shingles (bands are chosen for a `least` of 0.8 or more)
     and have sketches that allow the similarity; each is compared by its whole texts. Equal texts are one node. In
-    each round a bucket's members are candidates of one of them, unless they are in its group already, so large
-    groups cost no more than their size. Rows that repeat a doc_id with other texts are one node, compared by one
+    the first rounds a bucket's members are candidates of one of them, which joins most of a large group at the
+    cost of its size; then all pairs of a bucket whose groups still differ are compared, so none is left. Rows that repeat a doc_id with other texts are one node, compared by one
     of the texts (that of the least digest)."""
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
 
@@ -345,8 +364,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARI
 
     members = buckets.withColumn("label", F.col("node"))
     tried = links = roots = None
-    for k in range(ROUNDS):
-        pairs = met(members, partial(_hub_pairs, turn=k))
+    for k in range(ROUNDS + 1):
+        pairs = met(members, partial(_hub_pairs, turn=k) if k < ROUNDS else _all_pairs)
         pairs = materialize(pairs.join(tried, ["x", "y"], "left_anti") if k else pairs, "pairs")
         if k and pairs.isEmpty():
             continue

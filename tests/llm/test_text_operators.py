@@ -85,6 +85,23 @@ def test_near_copies_cut_and_appended(spark):
     assert sum(got[d] == g for d, g in want.items() if d >= 1000) >= 299 and sum(d != g for d, g in want.items()) > 290
 
 
+def test_near_copies_among_failing_ones(spark):
+    """Texts of which most pairs have a similarity of about 0.7, and pairs just over 0.8 among them."""
+    rng = random.Random(9)
+    base = ["w%d" % i for i in range(400)]
+    docs = []
+    for i in range(120):
+        both = rng.sample(range(5, 395, 6), 3)
+        for j in range(2):
+            text = list(base)
+            for k, at in enumerate([*both, *rng.sample([x for x in range(5, 395, 6) if x not in both], 4)]):
+                text[at] = f"edit{i}" if k < 3 else f"edit{i}.{j}"
+            docs.append((2 * i + j, " ".join(text)))
+    got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute.copies(dict(docs))
+    assert got == want and len(set(want.values())) == 120
+
+
 def test_near_copies_awkward(spark, nasty):
     got = sorted((r.doc_id, r.group_id) for r in simhash.near_copies(nasty).collect())
     assert got == [(1, 1), (2, 1), (2, 1), (6, 6), (7, 7), (8, 8)]
