@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks over `SPAN` consecutive tokens keep some positions and ignore the others, so that a seed still
-matches where ignored tokens were substituted. Seeds of the benchmark form a table (hash, item, position);
+Fixed masks over at most `SPAN` consecutive tokens keep some positions and ignore the others, so that a seed still
+matches where ignored tokens were substituted; items of fewer tokens have masks of their length. Seeds of the benchmark form a table (hash, item, position);
 seeds of the documents are joined with it, and around each hit the tokens of document and item are compared
 along the hit's diagonal: an overlap is a window of `window` tokens, all of a shorter item's, of which at least
 `share` are equal.
@@ -12,6 +12,8 @@ goes into the join. False positives of the filter drop out in the join."""
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,18 +25,29 @@ from ledgerloom.llm.shared import materialize, with_fields
 from ledgerloom.llm.textkit import NON_WORD, Words, chunks, mix, ranges
 
 SPAN = 12
-#: The positions each mask keeps.
-MASKS = ((0, 1, 2, 3, 4, 5, 6, 7), (0, 1, 3, 4, 6, 8, 10, 11), (0, 2, 3, 5, 7, 8, 9, 11), (0, 1, 2, 5, 6, 9, 10, 11))
+#: The positions each mask keeps. Of every window of SPAN to WINDOW tokens with a share of SHARE equal
+#: ones, whichever they are, at least one mask at one place keeps equal tokens only.
+MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 3, 7, 9, 10, 11), (0, 1, 2, 4, 5, 9, 10), (0, 1, 4, 5, 6, 7, 8), (0, 1, 2, 3, 5, 8, 10), (0, 1, 5, 7, 8, 9, 10), (0, 1, 2, 3, 4, 7, 8))
 FILTER_BITS = 1 << 24
 FILTER_KEYS = 2_000_000
 WINDOW, SHARE = 20, 0.8
 
 
-def seeds(tokens: np.ndarray, mask_no: int) -> np.ndarray:
-    """The seed hash at each start of a whole span."""
-    n = len(tokens) - SPAN + 1
-    out = np.full(max(n, 0), mask_no + 1, np.uint64)
-    for at in MASKS[mask_no]:
+def short_masks(n: int, share: float = SHARE) -> list[tuple[int, ...]]:
+    """Masks of an item of n < SPAN tokens: it is cut into two parts more than the tokens that may differ, and
+    each mask keeps two parts. Where none may differ, one mask keeps all."""
+    gone = n - math.ceil(share * n)
+    if not gone:
+        return [tuple(range(n))]
+    parts = np.array_split(np.arange(n), min(n, gone + 2))
+    return [tuple(np.concatenate(p).tolist()) for p in itertools.combinations(parts, len(parts) - gone)]
+
+
+def seeds(tokens: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
+    """The seed hash at each start of the mask's whole span."""
+    n = len(tokens) - mask[-1]
+    out = np.full(max(n, 0), sum(1 << at for at in mask), np.uint64)
+    for at in mask:
         out = out * np.uint64(0x9E3779B97F4A7C15) + tokens[at : at + len(out)]
     return mix(out)
 
@@ -44,8 +57,9 @@ def _tokens(texts: list[bytes]) -> tuple[Words, np.ndarray]:
     return w, w.hashes()
 
 
-def _index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hash, item_id, item_pos) and (item_id, item_tokens)."""
+def _index(benchmark: DataFrame, share: float) -> tuple[DataFrame, DataFrame, list[tuple[int, ...]]]:
+    """(hash, item_id, item_pos), (item_id, item_tokens), and the masks: MASKS, and those of the lengths that
+    items of fewer than SPAN tokens have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -60,13 +74,17 @@ def _index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
         for b in batches:
             for i, t in zip(b.column(0), b.column(1), strict=True):
                 own = np.array(t.as_py(), np.int64).view(np.uint64)
-                if len(own) >= SPAN:
-                    h = np.concatenate([seeds(own, m) for m in range(len(MASKS))]).view(np.int64)
-                    at = np.tile(np.arange(len(own) - SPAN + 1, dtype=np.int32), len(MASKS))
+                many = [(m, seeds(own, m)) for m in MASKS] if len(own) >= SPAN else [(m, seeds(own, m)[:1]) for m in short_masks(len(own), share)] if len(own) else []
+                if many:
+                    h = np.concatenate([x for _, x in many]).view(np.int64)
+                    at = np.concatenate([np.arange(len(x), dtype=np.int32) for _, x in many])
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([i.as_py()] * len(h), b.schema.field(0).type), pa.array(at)], ["hash", "item_id", "item_pos"])
 
+    items = materialize(items, "items")
     index = items.mapInArrow(spread, "hash long, item_id long, item_pos int")
-    return materialize(index, "seeds"), materialize(items, "items")
+    lengths = [r[0] for r in items.select(F.size("item_tokens")).distinct().where(F.size("item_tokens").between(1, SPAN - 1)).collect()]
+    masks = list(dict.fromkeys([*MASKS, *(m for n in sorted(lengths) for m in short_masks(n, share))]))
+    return materialize(index, "seeds"), items, masks
 
 
 def _filter(index: DataFrame) -> np.ndarray | None:
@@ -81,7 +99,7 @@ def _filter(index: DataFrame) -> np.ndarray | None:
     return np.packbits(bits)
 
 
-def _regions(docs: DataFrame, bits: np.ndarray | None, window: int) -> DataFrame:
+def _regions(docs: DataFrame, bits: np.ndarray | None, window: int, masks: list[tuple[int, ...]]) -> DataFrame:
     """Stretches of documents around seeds that the filter lets through: (doc_id, first, tokens, hits)."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # two MB at most
     schema = with_fields(docs, "doc_id", "first int, tokens array<long>, hits array<struct<pos:int,hash:bigint>>")
@@ -92,15 +110,16 @@ def _regions(docs: DataFrame, bits: np.ndarray | None, window: int) -> DataFrame
         for b in batches:
             for ids, texts in chunks(b.column(0).to_pylist(), b.column(1).to_pylist(), lower=True):
                 w, h = _tokens(texts)
-                at, hashes = [], []
-                for m in range(len(MASKS)):
+                at, hashes, last = [], [], []
+                for m in masks:
                     own = seeds(h, m)
                     near = np.arange(len(own)) if table is None else np.flatnonzero(table[own >> np.uint64(40)] & table[own & np.uint64(FILTER_BITS - 1)])
                     at.append(near)
                     hashes.append(own[near])
-                at, hashes = np.concatenate(at), np.concatenate(hashes)
+                    last.append(np.full(len(near), m[-1]))
+                at, hashes, last = np.concatenate(at), np.concatenate(hashes), np.concatenate(last)
                 doc = np.searchsorted(w.first, at, side="right") - 1
-                whole = at + SPAN <= w.first[doc + 1]  # a span over the end of a text is none
+                whole = at + last < w.first[doc + 1]  # a span over the end of a text is none
                 at, hashes, doc = at[whole], hashes[whole], doc[whole]
                 order = np.argsort(at, kind="stable")
                 at, hashes, doc = at[order], hashes[order], doc[order]
@@ -149,10 +168,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     longest.
 
     Null texts count as empty; rows with a null doc_id can't be named and give no row. Repeated rows of one
-    doc_id are one document. Items of fewer than SPAN tokens have no seed and are never found. An empty table on
-    either side gives an empty result."""
-    index, items = _index(benchmark)
-    regions = materialize(_regions(docs.where("doc_id is not null"), _filter(index), window).withColumn("region", F.monotonically_increasing_id()), "regions")
+    doc_id are one document. An empty table on either side gives an empty result."""
+    index, items, masks = _index(benchmark, share)
+    regions = materialize(_regions(docs.where("doc_id is not null"), _filter(index), window, masks).withColumn("region", F.monotonically_increasing_id()), "regions")
     hits = regions.select("region", F.explode("hits").alias("hit")).select("region", "hit.pos", "hit.hash")
     on = hits.join(index, "hash").select("region", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
     pairs = on.join(regions.drop("hits"), "region").join(items, "item_id").select("doc_id", "first", "tokens", "item_id", "item_tokens", "diagonal")

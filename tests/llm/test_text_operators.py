@@ -1,6 +1,8 @@
 """Operators over documents: brute force on small tables, and the awkward cases of each."""
 
 import hashlib
+import itertools
+import math
 import random
 import zlib
 
@@ -188,6 +190,30 @@ def test_decontamination_finds_planted(spark):
     assert decontam.overlaps(d.limit(0), b).count() == 0 and decontam.overlaps(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_seeds_miss_no_pattern():
+    """Every choice of substitutions that leaves an overlap leaves a seed."""
+    for n in range(decontam.SPAN, decontam.WINDOW + 1):
+        for gone in map(set, itertools.combinations(range(n), n - math.ceil(decontam.SHARE * n))):
+            assert any(gone.isdisjoint(at + k for k in m) for m in decontam.MASKS for at in range(n - m[-1]))
+    for n in range(1, decontam.SPAN):
+        for gone in map(set, itertools.combinations(range(n), n - math.ceil(decontam.SHARE * n))):
+            assert any(gone.isdisjoint(m) for m in decontam.short_masks(n))
+
+
+def test_decontamination_short_items_and_all_patterns(spark):
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (1, 4, 5, 8, 10, 11, 12, 15, 20)}
+    docs, want = [], set()
+    for n, words in items.items():
+        gone = list(itertools.combinations(range(n), n - math.ceil(0.8 * n)))
+        for g in gone[:: max(1, len(gone) // 60)]:
+            docs.append((len(docs), " ".join(["before"] * 3 + ["x" if k in g else w for k, w in enumerate(words)] + ["after"] * (len(docs) % 2))))
+            want.add((docs[-1][0], n))
+        docs.append((len(docs), " ".join("x" if k <= n - math.ceil(0.8 * n) else w for k, w in enumerate(words))))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.overlaps(d, b).collect()} == want
+
+
 def test_decontamination_without_filter(spark, sf_dir, monkeypatch):
     show = lambda: sorted(map(tuple, queries.op3_decontamination(spark, sf_dir).collect()))
     want = show()
