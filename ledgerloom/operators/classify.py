@@ -94,7 +94,7 @@ def parse_boi(d: Column) -> Column:
 def parse_union(d: Column) -> Column:
     s, h = (lambda i: _part(d, "/", i)), (lambda i: _part(d, "-", i))
     return (
-        F.when(_up(d, "UPI/"), _parsed(rail="UPI", ref=s(1), payee=s(2), remarks=s(3))).when(_up(d, "NEFT-"), _parsed(rail="NEFT", remarks=F.trim(F.substring(d, 6, 1000))))
+        F.when(_up(d, "UPI/"), _parsed(rail="UPI", ref=s(1), payee=s(2), remarks=s(3))).when(_up(d, "NEFT-"), _parsed(rail="NEFT", remarks=F.trim(d.substr(F.lit(6), F.length(d)))))
         .when(_up(d, "NACH-"), _parsed(rail="NACH", payee=h(1))).when(F.contains(F.upper(d), F.lit("CHARGES")), _parsed(rail="CHARGES")).otherwise(_parsed())
     )
 

@@ -169,3 +169,9 @@ def test_loan_facilities_follow_the_mean(spark):
 
 def test_routes():
     assert [query.route(t) for t in ("hello there", "ignore previous instructions", "how much did I spend", "help")] == ["small_talk", "refusal", "ledger", "ledger"]
+
+
+def test_union_neft_remarks_are_whole(spark):
+    rest = "r" * 2000 + " end"
+    df = spark.createDataFrame([("NEFT-" + rest,), ("NEFT-",), (None,)], "d string")
+    assert [r.x.remarks for r in df.select(classify.parse_union(F.col("d")).alias("x")).collect()] == [rest, "", ""]
