@@ -63,13 +63,21 @@ class Words:
 
     def hashes(self, prefix: int | None = None, seed: int = 0) -> np.ndarray:
         """64-bit hash of each word, or of its first `prefix` bytes."""
-        n = len(self.buf)
-        up, down = _POWERS.get(n)
         if self._sums is None:
-            self._sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.buf + np.uint64(1)) * up, dtype=np.uint64, out=self._sums[1:])
+            self._sums = hash_sums(self.buf)
         end = self.end if prefix is None else np.minimum(self.end, self.start + prefix)
-        return mix((self._sums[end] - self._sums[self.start]) * down[self.start] + np.uint64(seed))
+        return range_hashes(self._sums, self.start, end, seed)
+
+
+def hash_sums(buf: np.ndarray) -> np.ndarray:
+    """Running sums from which range_hashes has the hash of any byte range of buf."""
+    out = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf + np.uint64(1)) * _POWERS.get(len(buf))[0], dtype=np.uint64, out=out[1:])
+    return out
+
+
+def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    return mix((sums[end] - sums[start]) * _POWERS.get(len(sums))[1][start] + np.uint64(seed))
 
 
 def chunks(ids: list, texts: list[str | None], limit: int = 1 << 20, lower: bool = False) -> Iterator[tuple[list, list[bytes]]]:

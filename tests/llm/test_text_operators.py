@@ -139,6 +139,30 @@ def test_bpe_strings():
         assert own.encode(s) == ids and own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_tables_start_anew(monkeypatch):
+    """Tables that overflow within a word or a batch change nothing; words and texts of one batch don't mix."""
+    lib, spec = tokenizers.Tokenizer.from_file(VOCABULARY), open(VOCABULARY, encoding="utf-8").read()
+    monkeypatch.setattr(bpe, "STATES", 7)
+    monkeypatch.setattr(bpe, "KEPT", 3)
+    own, rng = bpe.Tokenizer(spec), random.Random(3)
+    texts = ["".join(rng.choice("'sltre vmd\n1.é日") for _ in range(rng.randrange(0, 40))) for _ in range(600)] + ["", "x<|endoftext|>", "<|endoftext|><|endoftext|> y"]
+    for at in range(0, len(texts), 50):
+        batch = texts[at : at + 50]
+        want = [e.ids for e in lib.encode_batch(batch, add_special_tokens=False)]
+        ids, many = own.encode_batch([t.encode() for t in batch])
+        assert (ids.tolist(), many.tolist()) == ([i for x in want for i in x], list(map(len, want)))
+        assert [t.decode() for t in own.decode_batch(ids, many)] == batch
+
+
+def test_bpe_refuses_other_tokenizers():
+    import json
+
+    spec = json.load(open(VOCABULARY, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"dropout": 0.1}}):
+        with pytest.raises(ValueError):
+            bpe.Tokenizer(json.dumps(spec | change))
+
+
 def test_bpe_awkward(spark, nasty):
     got = bpe.digests(nasty, VOCABULARY).collect()
     assert len(got) == nasty.count() and {r.n_tokens for r in got if r.doc_id in (3, 4)} == {0}
@@ -158,12 +182,20 @@ def test_toxicity_held_out(spark, documents, sf_dir):
     assert r.tp / (r.tp + r.fp) > 0.97 and r.tp / (r.tp + r.fn) > 0.8
 
 
-def test_toxicity_chain_feeds_earlier_categories():
+def test_toxicity_chain_feeds_earlier_categories(spark):
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 2, 400)
-    rows = [np.array([7, 1000 + i % 13] if x else [1000 + i % 13]) for i, x in enumerate(a)]
-    chain = toxicity.fit_chain(rows, np.stack([a, a, a], axis=1))
+    a = [int(x) for x in rng.integers(0, 2, 400)]
+    docs = spark.createDataFrame([(i, f"{'bad' if x else ''} word{i % 13}") for i, x in enumerate(a)], "doc_id long, text string")
+    chain = toxicity.fit(docs, spark.createDataFrame([(i, 1 - x, x) for i, x in enumerate(a)], "doc_id long, quality int, toxic int"))
     assert [len(m.chained) for m in chain.models] == [0, 1, 2] and chain.models[1].chained[0] > 0
+    assert [r.toxic for r in toxicity.score(docs, chain).orderBy("doc_id").collect()] == [x == 1 for x in a]
+
+
+def test_toxicity_sample_is_one_row_a_document(spark):
+    """Repeated doc_ids and labels without a document don't use up the sample."""
+    docs = spark.createDataFrame([(i % 20, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1000)], "doc_id long, quality int, toxic int")
+    assert toxicity._sample(docs, labels, 15).count() == 15 and toxicity._sample(docs, labels, 50).count() == 20
 
 
 def test_toxicity_awkward(spark, nasty):
