@@ -153,70 +153,6 @@ def sip_clusters(investments: DataFrame, gap: int = 3, months: int = 3) -> DataF
     return r.groupBy(A, "debit_c", "cluster").agg(F.countDistinct("ym").alias("months"), F.count("*").alias("n")).where(F.col("months") >= months)
 
 
-def recurring_groups(rows: DataFrame, amount: str, key: str = "counterparty", least: int = 3) -> DataFrame:
-    """Groups of `least` or more payments with their cadence (median gap), constancy of amount, expected and
-    missed payments, regularity and confidence.
-
-    Runs of constant amount are found by one pass over the group's amounts in order (an array of one group): a
-    run goes on while amounts stay within max(50, 5 percent) of its first. Fixed: at most three runs."""
-    gap = F.datediff("d", F.lag("d").over(Window.partitionBy(A, key).orderBy("d", "seq")))
-    g = rows.where(F.col(amount) > 0).withColumn("gap", gap).groupBy(A, key).agg(
-        F.count("*").alias("n"), F.sum(amount).alias("total_c"), F.median(amount).alias("median_c"), F.median("gap").alias("gap"), F.min("d").alias("first_d"), F.max("d").alias("last_d"),
-        F.array_sort(F.collect_list(F.struct("d", "seq", F.col(amount).alias("v")))).alias("paid"),
-    ).where(F.col("n") >= least)
-    span = F.datediff("last_d", "first_d")
-    cadence = F.when(F.col("gap").between(5, 9), "WEEKLY").when(F.col("gap").between(25, 35), "MONTHLY").when(F.col("gap").between(80, 100), "QUARTERLY").otherwise("IRREGULAR")
-    start = F.struct(F.lit(0).cast("long").alias("runs"), F.lit(-1).cast("long").alias("head"))
-
-    def step(acc: Column, x: Column) -> Column:
-        same = (acc["head"] >= 0) & (F.abs(x["v"] - acc["head"]) <= F.greatest(F.lit(5000), acc["head"] * 0.05))
-        return F.struct(F.when(same, acc["runs"]).otherwise(acc["runs"] + 1).alias("runs"), F.when(same, acc["head"]).otherwise(x["v"]).alias("head"))
-
-    g = g.withColumn("runs", F.aggregate("paid", start, step)["runs"]).withColumn("cadence", cadence).withColumn("fixed", F.col("runs") <= 3)
-    per = F.when(F.col("cadence") == "MONTHLY", F.lit(30.0)).otherwise(F.col("gap"))
-    expected = F.greatest(F.when((span > 0) & (per > 0), F.bround(span / per).cast("long") + 1).otherwise(F.col("n")), F.col("n"))
-    g = g.withColumn("expected", expected).withColumn("missed", F.col("expected") - F.col("n"))
-    regular = F.col("n").cast("double") / F.col("expected")
-    sure = (F.least(F.lit(1.0), 0.35 + 0.08 * F.col("n")) + F.when(F.col("fixed"), 0.15).otherwise(0.0) + F.when(F.col("cadence") != "IRREGULAR", 0.10).otherwise(0.0)) * regular
-    return g.select(A, key, "cadence", "n", "total_c", "median_c", "gap", "runs", "fixed", "expected", "missed", F.round(clamp(sure, 0, 0.95), 4).alias("confidence"))
-
-
-def recurrence_summary(groups: DataFrame) -> DataFrame:
-    return groups.groupBy(A).agg(F.count("*").alias("groups"), F.count_if("fixed").alias("fixed_groups"), F.count_if(F.col("cadence") != "IRREGULAR").alias("cadenced"), F.sum("missed").alias("missed"), F.sum("total_c").alias("total_c"))
-
-
-def loan_facilities(payments: DataFrame, tolerance: float = 0.02, floor_c: int = 10_000, least: int = 2) -> DataFrame:
-    """Facilities: per account and lender, payments in order of date join the first facility whose mean so far
-    is within max(floor, 2 percent) of the amount. The reference value moves with each payment, so a lender's
-    payments are walked in order; a group is one lender of one account."""
-    import pandas as pd
-
-    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found: list[list[tuple]] = []
-        for d, v in rows.sort_values(["d", "seq"])[["d", "debit_c"]].itertuples(index=False, name=None):
-            for f in found:
-                mean = sum(x[1] for x in f) / len(f)
-                if abs(v - mean) <= max(floor_c, tolerance * mean):
-                    f.append((d, v))
-                    break
-            else:
-                found.append([(d, v)])
-        kept = [(i, f) for i, f in enumerate(found) if len(f) >= least]
-        return pd.DataFrame([(key[0], key[1], i, len(f), sum(v for _, v in f), f[0][0], f[-1][0]) for i, f in kept], columns=[A, "lender", "facility", "n", "paid_c", "first_d", "last_d"])
-
-    kind = payments.schema[A].dataType.simpleString()
-    return payments.select(A, "lender", "d", "seq", "debit_c").groupBy(A, "lender").applyInPandas(walk, f"{A} {kind}, lender string, facility int, n long, paid_c long, first_d date, last_d date")
-
-
-def loan_status(facilities: DataFrame, ends: DataFrame) -> DataFrame:
-    """Life cycle by days since the last payment, mean instalment and the next three dates; `ends`: the last
-    date of each account's statement."""
-    days = F.datediff("end_d", "last_d")
-    status = F.when(days <= 35, "Active").when(days <= 65, "Grace").when(days <= 95, "Missed EMI").otherwise("Overdue / Closed")
-    gap = F.greatest(F.lit(1), F.round(F.datediff("last_d", "first_d") / F.greatest(F.col("n") - 1, F.lit(1)))).cast("int")
-    return facilities.join(ends, A).select(A, "lender", "facility", "n", F.round(F.col("paid_c") / F.col("n")).cast("long").alias("emi_c"), status.alias("status"), F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.date_add("last_d", gap * i)).alias("next_d"))
-
-
 def obligations(ledger: DataFrame, is_obligation: Column, is_income: Column) -> DataFrame:
     """Obligations over true income with its band."""
     s = ledger.groupBy(A).agg(F.sum(F.when(is_obligation, F.col("debit_c")).otherwise(0)).alias("obligations_c"), F.sum(F.when(is_income, F.col("credit_c")).otherwise(0)).alias("income_c"))

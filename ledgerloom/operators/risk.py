@@ -10,21 +10,6 @@ from ledgerloom.functions.text import clamp, ratio
 A = "account_id"
 
 
-def portfolio(loans: DataFrame, income: DataFrame) -> DataFrame:
-    """Lenders, instalments and burden of loan_status rows against monthly income (account_id, monthly_c)."""
-    active = F.col("status").isin("Active", "Grace")
-    p = loans.groupBy(A).agg(F.count("*").alias("loans"), F.countDistinct("lender").alias("lenders"), F.sum(F.when(active, F.col("emi_c")).otherwise(0)).alias("emi_c"), F.max("emi_c").alias("largest_c"), F.sum("emi_c").alias("all_c"))
-    j = p.join(income, A, "left")
-    return j.select(A, "loans", "lenders", "emi_c", F.round(ratio(F.col("emi_c"), F.col("monthly_c")), 4).alias("dti"), F.round(ratio(F.col("largest_c"), F.col("all_c")), 4).alias("concentration"), (F.col("lenders") >= 3).alias("stacking"))
-
-
-def emi_discipline(groups: DataFrame) -> DataFrame:
-    """Paid over due instalments in percent with its band."""
-    s = groups.groupBy(A).agg(F.sum("n").alias("paid"), F.sum("missed").alias("missed"))
-    pct = F.col("paid") * 100.0 / (F.col("paid") + F.col("missed"))
-    return s.select(A, "paid", "missed", F.round(pct, 2).alias("pct"), F.when(pct >= 90, "GOOD").when(pct >= 70, "FAIR").otherwise("POOR").alias("band"))
-
-
 def behaviour(ledger: DataFrame, low_c: int = 300_000) -> DataFrame:
     """Ratios of an account's rows and the state that follows from them, first match."""
     u = F.upper("description")
@@ -85,11 +70,6 @@ def level_shift(values: Column, tight: float = 0.01) -> Column:
     return F.when(n >= 4, F.get(F.filter(F.sequence(F.lit(2), n - 2), good), F.lit(0)))
 
 
-def level_shifts(rows: DataFrame, key: str = "counterparty") -> DataFrame:
-    g = rows.where("debit_c > 0").groupBy(A, key).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "seq", "debit_c"))), lambda x: x["debit_c"]).alias("paid"))
-    return g.withColumn("cut", level_shift(F.col("paid"))).where("cut is not null").select(A, key, "cut")
-
-
 def true_turnover(ledger: DataFrame, mirrored: DataFrame) -> DataFrame:
     """Credits without loans, returns and money that went both ways."""
     loan = F.col("subcategory").isin("Loan EMI") | F.col("is_return")
@@ -121,12 +101,3 @@ def aml_score(flags: DataFrame, scores: DataFrame) -> DataFrame:
     """0.85 of the fraud score, 15 for mirrored money and 10 for structuring, 100 at most."""
     f = flags.groupBy(A).agg(F.max((F.col("detector") == "circular_mirroring").cast("int")).alias("c"), F.max(F.col("detector").isin("structuring", "high_structuring").cast("int")).alias("s"))
     return scores.join(f, A).select(A, F.round(F.least(F.lit(100.0), 0.85 * F.col("fraud_score") + 15 * F.col("c") + 10 * F.col("s")), 5).alias("aml_score"))
-
-
-def constant_runs(rows: DataFrame, amount: str = "debit_c", within: float = 0.5) -> DataFrame:
-    """Runs of a counterparty's payments in order of date in which each amount is within a share of the one
-    before: (account_id, counterparty, run, n, total_c), by gaps and islands."""
-    w = Window.partitionBy(A, "counterparty").orderBy("d", "seq")
-    before = F.lag(amount).over(w)
-    r = rows.where(F.col(amount) > 0).withColumn("turn", F.when(F.abs(F.col(amount) - before) > F.col(amount) * within, 1).otherwise(0))
-    return r.withColumn("run", F.sum("turn").over(w)).groupBy(A, "counterparty", "run").agg(F.count("*").alias("n"), F.sum(amount).alias("total_c"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import more, registry, score_sql
+from ledgerloom.plans import more, recurring, registry, score_sql
 
 QUERIES, SQL = registry.QUERIES, registry.SQL
-__all__ = ["QUERIES", "SQL", "more", "score_sql"]
+__all__ = ["QUERIES", "SQL", "more", "recurring", "score_sql"]

@@ -63,7 +63,6 @@ on_ledger("c34_taxonomy", lambda l: l.groupBy(labels.taxonomy(F.col("description
     "select case when contains(upper(description), 'CASH WDL') then 'CASH' when regexp_matches(t, 'widget|plate|rod|lender') then 'NEEDS' when regexp_matches(t, 'gizmo|ring|anvil') then 'WANTS' when regexp_matches(t, 'mfp|sip') then 'INVESTMENT' else 'OTHER' end as taxonomy, count(*) as n, sum(debit_c)::bigint as spent_c from (select *, lower(description) as t from ledger) group by 1")
 on_ledger("c24_heuristics", lambda l: l.groupBy(labels.heuristic(F.col("description"), F.col("debit_c")).alias("label")).agg(F.count("*").alias("n")),
     "select case when regexp_matches(u, 'EMI|LOAN|LENDER') and debit_c > 0 then 'Loan EMI' when regexp_matches(u, 'CHARGES|FEE') then 'Banking Charges' when regexp_matches(u, 'SALARY|PAYROLL') then 'Salary' when contains(u, 'CASH') then 'Cash' else 'Other' end as label, count(*) as n from (select *, upper(description) as u from ledger) group by 1")
-on_classified("c31_recurring_labels", lambda c: labels.relabel_recurring(c, engines.recurring_groups(c, "debit_c", least=2)).groupBy("subcategory").agg(F.count("*").alias("n")))
 on_classified("c22_rail_fallback", lambda c: c.where("method = 'rail'").groupBy("category", "subcategory", "confidence").agg(F.count("*").alias("n")), "select category, subcategory, confidence, count(*) as n from cl where method = 'rail' group by 1, 2, 3")
 
 # Joins and sets ------------------------------------------------------------------------------------------
@@ -80,9 +79,6 @@ on_ledger("t7_evidence_first_five", lambda l: l.where("balance_c < 0").groupBy("
 on_slim("a2_global_sums", lambda l: l.agg(F.sum("credit_c").alias("in_c"), F.sum("debit_c").alias("out_c"), F.sum(F.col("credit_c") - F.col("debit_c")).alias("net_c")), "select sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c, sum(credit_c - debit_c)::bigint as net_c from ledger")
 on_classified("a9_business_breakdown", lambda c: c.groupBy("account_id").agg(*[F.sum(F.when(F.col("subcategory") == s, F.col("debit_c") + F.col("credit_c")).otherwise(0)).alias(n) for s, n in (("Cheque", "cheque_c"), ("Merchant", "merchant_c"), ("UPI Transfer", "upi_c"))]),
     "select account_id, sum(case when subcategory = 'Cheque' then debit_c + credit_c else 0 end)::bigint as cheque_c, sum(case when subcategory = 'Merchant' then debit_c + credit_c else 0 end)::bigint as merchant_c, sum(case when subcategory = 'UPI Transfer' then debit_c + credit_c else 0 end)::bigint as upi_c from cl group by 1")
-on_ledger("a26_portfolio", lambda l: risk.portfolio(engines.loan_status(engines.loan_facilities(classify.lenders(l).where("debit_c > 0"), tolerance=0.2), l.groupBy("account_id").agg(F.max("d").alias("end_d"))), l.groupBy("account_id").agg((F.sum("credit_c") / F.countDistinct("ym")).alias("monthly_c"))))
-on_ledger("a28_emi_discipline", lambda l: risk.emi_discipline(engines.recurring_groups(classify.lenders(l), "debit_c", "lender", 2)))
-on_ledger("a30_lender_profiles", lambda l: classify.lenders(l).groupBy("lender").agg(F.count("*").alias("n"), F.countDistinct("account_id").alias("accounts"), F.min("d").alias("first_d"), F.max("d").alias("last_d")), "select string_split(description, '/')[2] as lender, count(*) as n, count(distinct account_id) as accounts, min(d) as first_d, max(d) as last_d from ledger where description like 'ACH/%' group by 1")
 _BEHAVE = "select account_id, sum(debit_c)::bigint as o, sum(credit_c)::bigint as i, sum(case when contains(upper(description), 'CASH WDL') then debit_c else 0 end)::double as c, sum(case when dayofweek(d) in (0, 6) then debit_c else 0 end)::double as w, sum(case when needs_wants = 'Want' then debit_c else 0 end)::double as n, count(*) filter (where balance_c < 300000) as low_rows, count(distinct counterparty) as payees from cl group by 1"
 on_classified("a32_behaviour", risk.behaviour,
     f"""select account_id, payees, low_rows, round(cash, 4) as cash, round(weekend, 4) as weekend, round(want, 4) as want, round(saved, 4) as saved, case when low_rows > 15 then 'Financial Stress' when cash > 0.35 then 'Cash Dependent' when want > 0.6 or weekend > 0.4 then 'Impulsive' when saved < -0.05 then 'Depleting Balance' when want > 0.4 then 'Lifestyle Inflation' when want < 0.2 and low_rows = 0 and saved > 0 then 'High Saver' else 'Stable' end as state
@@ -98,8 +94,6 @@ on_ledger("a53_credit_audit", risk.audit,
 on_classified("a56_result_gate", lambda c: score.gate(score.composite(score.features(c)), score.reconciliation(c)))
 on_ledger("a60_cashflow_sheet", lambda l: l.groupBy("account_id", "ym").agg(F.sum("credit_c").alias("in_c"), F.sum("debit_c").alias("out_c"), F.count_if(F.col("credit_c") > 0).alias("n_in"), F.count_if(F.col("debit_c") > 0).alias("n_out"), F.sum("balance_c").alias("balance_sum_c")), "select account_id, ym, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c, count(*) filter (where credit_c > 0) as n_in, count(*) filter (where debit_c > 0) as n_out, sum(balance_c)::bigint as balance_sum_c from ledger group by 1, 2")
 on_ledger("w3_printed_balance", lambda l: risk.printed_balance_breaks(l.withColumn("balance_c", F.col("balance_c") * F.when(F.col("seq") % 11 == 0, 2).otherwise(1))), "select account_id, seq, off_c from (select account_id, seq, b, abs(lag(b) over (partition by account_id order by seq) - debit_c + credit_c - b) as off_c from (select *, balance_c * case when seq % 11 = 0 then 2 else 1 end as b from ledger)) where b <> 0 and off_c > 0.02::double * abs(b)")
-on_slim("w13_level_shift", lambda l: risk.level_shifts(l.withColumn("debit_c", F.lit(10_000) + F.when(F.col("seq") > 25, 500).otherwise(0))),
-    "select account_id, counterparty, lo as cut from (select account_id, counterparty, count(*) as n, count(*) filter (where seq <= 25) as lo from ledger group by 1, 2) where n >= 4 and lo >= 2 and n - lo >= 2")
 
 # Questions -----------------------------------------------------------------------------------------------
 for _name, _q, _sql in [
@@ -145,7 +139,6 @@ add("s17_scan_by_key", lambda s, d: read(s, d, "orders").where("o_custkey = 5").
 on_ledger("a29_facilities", risk.facilities, "select account_id, count(*) filter (where credit_c > 0) as drawn, count(*) filter (where debit_c > 0) as repaid, sum(credit_c)::bigint as drawn_c, sum(debit_c)::bigint as repaid_c from ledger where regexp_matches(upper(description), 'EMI|FINANCE|LENDER') group by 1")
 on_ledger("a34_salary_cycle", risk.salary_cycle, "select account_id, count(*) as n, median(day(d))::double as day, median(credit_c)::double as median_c from ledger where credit_c > 0 and regexp_matches(upper(description), 'SALARY|PAYROLL') group by 1")
 on_ledger("a44_aml_score", lambda l: risk.aml_score(fraud.all_flags(l), fraud.fraud_score(fraud.all_flags(l))))
-on_slim("w12_constant_runs", risk.constant_runs, "select account_id, counterparty, run::bigint as run, count(*) as n, sum(debit_c)::bigint as total_c from (select *, sum(t) over (partition by account_id, counterparty order by d, seq rows between unbounded preceding and current row) as run from (select *, case when abs(debit_c - lag(debit_c) over (partition by account_id, counterparty order by d, seq)) > debit_c * 0.5 then 1 else 0 end as t from ledger where debit_c > 0)) group by 1, 2, 3")
 on_slim("x2_deposits_withdrawal", spec.deposits_then_withdrawal, "select account_id, seq, debit_c, in_c::bigint as in_c from (select *, count(*) filter (where credit_c > 0) over w as n, sum(credit_c) over w as in_c from ledger window w as (partition by account_id order by d range between interval 3 day preceding and current row)) where debit_c >= 5000000 and n >= 2 and in_c >= debit_c")
 on_slim("x4_high_spending", spec.high_spending, "select account_id, seq, debit_c from ledger join (select account_id, sum(credit_c) as i from ledger group by 1) using (account_id) where debit_c > 0 and debit_c * 100 > i * 5")
 add("x16_consolidation", lambda s, d: spec.consolidated(ledger_items(s, d, False, False), read(s, d, "customer").select(F.col("c_custkey").alias("account_id"), F.col("c_nationkey").alias("owner"))),

@@ -209,24 +209,16 @@ on_classified("a10_income_summary", lambda c: engines.income_summary(c.where(INC
     f"select account_id, months, income_c, stability, sources from (select account_id, count(*) as months, sum(v)::bigint as income_c, round(count(*) filter (where v * n * 10 >= t * 8)::double / count(*), 4) as stability from (select *, count(*) over (partition by account_id) as n, sum(v) over (partition by account_id) as t from (select account_id, ym, sum(credit_c) as v from cl where {INCOME} group by 1, 2)) group by 1) join (select account_id, count(distinct counterparty) as sources from cl where {INCOME} group by 1) using (account_id)")
 on_classified("a11_salary_consistency", lambda c: engines.salary_consistency(c.where("subcategory = 'Salary' and credit_c > 0")),
     "select account_id, count(*) as months, round(greatest(1 - coalesce(stddev_samp(v), 0) / avg(v), 0), 4) as consistency from (select account_id, ym, sum(credit_c)::double as v from cl where subcategory = 'Salary' and credit_c > 0 group by 1, 2) group by 1")
-on_slim("a12_recurring_income", lambda l: engines.recurring_income(l.where("credit_c > 0"), 2, 100_000),
-    "select account_id, counterparty, n, total_c, gap from (select *, row_number() over (partition by account_id order by total_c desc, counterparty) as r from (select account_id, counterparty, count(*) as n, sum(credit_c)::bigint as total_c, avg(credit_c) as a, stddev_pop(credit_c) as s, median(g)::double as gap from (select *, date_diff('day', lag(d) over (partition by account_id, counterparty order by d, seq), d) as g from ledger where credit_c > 0) group by 1, 2 having count(*) >= 2 and avg(credit_c) >= 100000 and stddev_pop(credit_c) <= 0.25 * avg(credit_c) and median(g) between 24 and 36)) where r = 1")
 on_classified("a13_needs_wants_split", lambda c: engines.needs_wants(c.where("category = 'Expense'")),
     "select account_id, n as needs_c, w as wants_c, e as expense_c, months, round(n::double / nullif(e, 0), 4) as needs_ratio, round(w::double / nullif(e, 0), 4) as wants_ratio from (select account_id, sum(case when needs_wants = 'Need' then debit_c else 0 end)::bigint as n, sum(case when needs_wants = 'Want' then debit_c else 0 end)::bigint as w, sum(debit_c)::bigint as e, count(distinct ym) as months from cl where category = 'Expense' group by 1)")
 on_classified("a14_category_spending", lambda c: engines.category_spending(c.where("debit_c > 0")), "select account_id, category, subcategory, sum(debit_c)::bigint as spent_c, count(*) as n from cl where debit_c > 0 group by 1, 2, 3")
 on_events("a15_balance_summary", lambda l: engines.balance_summary(timeline.daily_balance(l), 10_000),
     """select account_id, days, sum_c, median_c, min_c, max_c, negative_days, low_days, abb_sum_c, abb_days, round(v, 4) as volatility, case when v < 0.15 then 'LOW' when v < 0.4 then 'MODERATE' when v < 0.7 then 'HIGH' else 'VERY_HIGH' end as band from (select *, case when a <= 0 then 1.0 else least(greatest(coalesce(s, 0) / a, 0), 1) end::double as v from (select account_id, count(*) as days, sum(balance_c)::bigint as sum_c, median(balance_c)::double as median_c, min(balance_c) as min_c, max(balance_c) as max_c, count(*) filter (where balance_c < 0) as negative_days, count(*) filter (where balance_c < 10000) as low_days, sum(balance_c) filter (where day(d) in (1, 14, 28, 29, 30, 31))::bigint as abb_sum_c, count(*) filter (where day(d) in (1, 14, 28, 29, 30, 31)) as abb_days, stddev_samp(balance_c) as s, avg(balance_c) as a from daily group by 1))""", DAILY_SQL.format(t="ev"))
 on_events("a16_monthly_balance", lambda l: engines.monthly_balance(timeline.daily_balance(l)), "select account_id, strftime(d, '%Y-%m') as ym, sum(balance_c)::bigint as sum_c, count(*) as days from daily group by 1, 2", DAILY_SQL.format(t="ev"))
-on_ledger("a19_sip_plans", lambda l: engines.sip_clusters(l.where("description like 'EBA/%' and debit_c > 0").withColumn("debit_c", F.floor(F.col("debit_c") / 4_000_000)), months=2),
-    "select account_id, debit_c, cluster, count(distinct ym) as months, count(*) as n from (select *, sum(t) over (partition by account_id, debit_c order by dom, seq rows between unbounded preceding and current row)::bigint as cluster from (select *, case when dom - lag(dom) over (partition by account_id, debit_c order by dom, seq) > 3 then 1 else 0 end as t from (select account_id, seq, ym, (debit_c // 4000000) as debit_c, day(d) as dom from ledger where description like 'EBA/%' and debit_c > 0))) group by 1, 2, 3 having count(distinct ym) >= 2")
-on_slim("a20_recurring_groups", lambda l: engines.recurring_groups(l, "debit_c"))
-on_slim("a21_recurrence_summary", lambda l: engines.recurrence_summary(engines.recurring_groups(l, "debit_c")))
 on_slim("a22_savings", engines.savings_summary,
     "select account_id, count(*) as months, sum(net_c)::bigint as saved_c, round(sum(net_c)::double / nullif(sum(inflow_c), 0), 4) as rate, round(case when count(*) < 2 or avg(net_c) <= 0 then 0 else least(greatest(1 - stddev_pop(net_c) / avg(net_c), 0), 1) end, 4)::double as consistency from m group by 1", MONTHLY_SQL)
 on_events("a23_emergency_fund", lambda l: engines.emergency_fund(l, timeline.daily_balance(l)),
     "select account_id, closing_c, round(need * 3)::bigint as target3_c, round(need * 6)::bigint as target6_c, round(greatest(closing_c, 0) / nullif(need, 0), 4)::double as coverage_months from (select account_id, sum(debit_c)::double / count(distinct ym) as need from ev group by 1) join (select account_id, arg_max(balance_c, d) as closing_c from daily group by 1) using (account_id)", DAILY_SQL.format(t="ev"))
-on_ledger("a24_loan_facilities", lambda l: engines.loan_facilities(classify.lenders(l).where("debit_c > 0"), tolerance=0.2))
-on_ledger("a25_loan_status", lambda l: engines.loan_status(engines.loan_facilities(classify.lenders(l).where("debit_c > 0"), tolerance=0.2), l.groupBy("account_id").agg(F.max("d").alias("end_d"))))
 on_classified("a27_foir", lambda c: engines.obligations(c, F.col("subcategory") == "Loan EMI", (F.col("category") != "Transfer") & ~F.col("is_return")),
     "select account_id, o as obligations_c, i as income_c, round(o::double / nullif(i, 0), 4) as foir, case when i = 0 then 'UNKNOWN' when o::double / i <= 0.3 then 'HEALTHY' when o::double / i <= 0.5 then 'MODERATE' when o::double / i <= 0.7 then 'HIGH' else 'CRITICAL' end as band from (select account_id, sum(case when subcategory = 'Loan EMI' then debit_c else 0 end)::bigint as o, sum(case when category <> 'Transfer' and not is_return then credit_c else 0 end)::bigint as i from cl group by 1)")
 on_slim("a31_windows", fraud.state_windows,

@@ -47,13 +47,3 @@ t as (select distinct description, {_WORDS.format("description")} as tw from led
 p as (select description, name, round(len(list_intersect(tw, nw))::double / least(len(tw), len(nw)), 4) as score from t join n on list_has_any(tw, nw)),
 m as (select description, arg_max((name, score), (score, length(name), name)) as m from p where score >= 0.5 group by 1)
 select m[1] as name, m[2]::double as score, count(*) as n from m group by 1, 2"""
-#: Recurring groups: runs of constant amounts come from a recursive walk over each group's payments.
-GROUPS_SQL = """g as (select account_id, counterparty, d, debit_c as v, row_number() over w as r, date_diff('day', lag(d) over w, d) as gap from ledger where debit_c > 0 window w as (partition by account_id, counterparty order by d, seq)),
-big as (select account_id, counterparty, count(*) as n, sum(v)::bigint as total_c, median(v)::double as median_c, median(gap)::double as gap, date_diff('day', min(d), max(d)) as span from g group by 1, 2 having count(*) >= 3),
-walk as (select account_id, counterparty, r, v as head, 1 as runs from g join big using (account_id, counterparty) where r = 1
-union all select g.account_id, g.counterparty, g.r, case when abs(g.v - walk.head) <= greatest(5000, walk.head * 0.05) then walk.head else g.v end, walk.runs + case when abs(g.v - walk.head) <= greatest(5000, walk.head * 0.05) then 0 else 1 end from walk join g on g.account_id = walk.account_id and g.counterparty = walk.counterparty and g.r = walk.r + 1),
-ca as (select *, runs <= 3 as fixed, case when gap between 5 and 9 then 'WEEKLY' when gap between 25 and 35 then 'MONTHLY' when gap between 80 and 100 then 'QUARTERLY' else 'IRREGULAR' end as cadence from big join (select account_id, counterparty, max(runs)::bigint as runs from walk group by 1, 2) using (account_id, counterparty)),
-ex as (select *, greatest(case when span > 0 and (cadence = 'MONTHLY' or gap > 0) then round_even(span / case when cadence = 'MONTHLY' then 30.0::double else gap end, 0)::bigint + 1 else n end, n) as expected from ca),
-gr as (select account_id, counterparty, cadence, n, total_c, median_c, gap, runs, fixed, expected, expected - n as missed, round(least(greatest((least(1.0::double, 0.35::double + 0.08::double * n) + case when fixed then 0.15::double else 0 end + case when cadence <> 'IRREGULAR' then 0.10::double else 0 end) * (n::double / expected), 0), 0.95::double), 4) as confidence from ex)"""
-SQL["a20_recurring_groups"] = f"with recursive {registry.LEDGER_SQL}, {GROUPS_SQL} select * from gr"
-SQL["a21_recurrence_summary"] = f"with recursive {registry.LEDGER_SQL}, {GROUPS_SQL} select account_id, count(*) as groups, count(*) filter (where fixed) as fixed_groups, count(*) filter (where cadence <> 'IRREGULAR') as cadenced, sum(missed)::bigint as missed, sum(total_c)::bigint as total_c from gr group by 1"

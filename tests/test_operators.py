@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from ledgerloom.functions import text
-from ledgerloom.operators import classify, engines, joins, query, score, timeline
+from ledgerloom.operators import classify, debt, engines, joins, query, recurrence, score, timeline
 from ledgerloom.sources import tables
 from pyspark.sql import functions as F
 
@@ -52,9 +52,9 @@ def test_daily_balance_and_recovery(spark):
 def test_recurring_revision_stays_fixed(spark):
     paid = [50000] * 4 + [54000] * 4
     rows = [(1, i, date(2023 + i // 12, i % 12 + 1, 5), "RENT", v, 0, 0, "LANDLORD") for i, v in enumerate(paid)]
-    (g,) = engines.recurring_groups(ledger(spark, rows), "debit_c").collect()
+    (g,) = recurrence.recurring_groups(ledger(spark, rows), "debit_c").collect()
     assert (g.cadence, g.n, g.fixed, g.missed) == ("MONTHLY", 8, True, 0)
-    (g,) = engines.recurring_groups(ledger(spark, rows[:2] + rows[4:]), "debit_c").collect()
+    (g,) = recurrence.recurring_groups(ledger(spark, rows[:2] + rows[4:]), "debit_c").collect()
     assert g.missed >= 1
 
 
@@ -123,7 +123,7 @@ def test_merge_flatten_and_sinks(spark, tmp_path):
 
 def test_empty_ledger(spark):
     empty = ledger(spark, [])
-    for df in (engines.cashflow_summary(empty), timeline.daily_balance(empty), engines.recurring_groups(empty, "debit_c"), score.reconciliation(empty), classify.classify(empty)):
+    for df in (engines.cashflow_summary(empty), timeline.daily_balance(empty), recurrence.recurring_groups(empty, "debit_c"), score.reconciliation(empty), classify.classify(empty)):
         assert df.count() == 0
 
 
@@ -132,39 +132,36 @@ def test_questions_run(spark, sf_dir, q):
     query.resolve(classify.classify(tables.ledger_items(spark, sf_dir)), q).limit(1).collect()
 
 
-def test_recurring_groups_match_brute_force(spark, sf_dir):
-    from collections import defaultdict
-    from statistics import median
-
-    rows = defaultdict(list)
-    l = tables.ledger_items(spark, sf_dir, False, False)
-    for r in l.where("debit_c > 0").collect():
-        rows[r.account_id, r.counterparty].append((r.d, r.seq, r.debit_c))
-    want = {}
-    for key, paid in rows.items():
-        paid.sort()
-        if len(paid) < 3:
-            continue
-        gaps = [(b[0] - a[0]).days for a, b in zip(paid, paid[1:], strict=False)]
-        runs, head = 0, -1
-        for _, _, v in paid:
-            if head < 0 or abs(v - head) > max(5000, head * 0.05):
-                runs, head = runs + 1, v
-        gap, span, n = median(gaps), (paid[-1][0] - paid[0][0]).days, len(paid)
-        cadence = "WEEKLY" if 5 <= gap <= 9 else "MONTHLY" if 25 <= gap <= 35 else "QUARTERLY" if 80 <= gap <= 100 else "IRREGULAR"
-        per = 30 if cadence == "MONTHLY" else gap
-        expected = max(n, round(span / per) + 1 if span > 0 and per > 0 else n)
-        want[key] = (cadence, n, sum(v for _, _, v in paid), runs, expected, expected - n)
-    got = {(r.account_id, r.counterparty): (r.cadence, r.n, r.total_c, r.runs, r.expected, r.missed) for r in engines.recurring_groups(l, "debit_c").collect()}
-    assert got == want
-
-
-def test_loan_facilities_follow_the_mean(spark):
-    rows = [(1, i, date(2024, i, 5), "ACH/ACME/1/EMI", v, 0, 0, "x") for i, v in enumerate((1_000_000, 1_015_000, 2_000_000, 1_025_000, 2_010_000, 500_000), 1)]
-    found = engines.loan_facilities(classify.lenders(ledger(spark, rows))).orderBy("facility").collect()
-    assert [(r.lender, r.facility, r.n, r.paid_c) for r in found] == [("ACME", 0, 3, 3_040_000), ("ACME", 1, 2, 4_010_000)]
-    (a, b) = engines.loan_status(spark.createDataFrame(found), spark.createDataFrame([(1, date(2024, 5, 20))], "account_id long, end_d date")).orderBy("facility").collect()
-    assert (a.status, b.status, a.emi_c) == ("Grace", "Active", 1_013_333) and len(b.next_d) == 3
+def test_runs_by_median_and_folding():
+    """Figures worked out by hand: a drift is one run by the median but not consistent; one outlier makes no run."""
+    assert recurrence.segment([100000, 103000, 104000, 106000, 107000, 108000]) == [[100000, 103000, 104000, 106000, 107000, 108000]]
+    assert not recurrence.consistent([100000, 103000, 104000, 106000, 107000, 108000]) and recurrence.consistent([1000, 6000])
+    assert recurrence.segment([100000] * 3 + [900000] + [100000] * 3) == [[100000, 100000, 100000, 900000], [100000, 100000, 100000]]
+    assert recurrence.segment([1, 100000, 300000, 900000]) == [[1], [100000], [300000], [900000]]
+    assert recurrence.level_shift([130000] * 3 + [132500] * 3) == (260000, 265000) and recurrence.level_shift([1300, 1300, 1310, 1310]) is None
+    assert recurrence.level_shift([100, 100, 200]) is None and recurrence.level_shift([500] * 9) is None
+
+
+def test_drift_is_not_fixed(spark):
+    paid = [100000, 103000, 104000, 106000, 107000, 108000]
+    rows = [(1, i, date(2024, i + 1, 5), "RENT", v, 0, 0, "LANDLORD") for i, v in enumerate(paid)]
+    (g,) = recurrence.recurring_groups(ledger(spark, rows), "debit_c").collect()
+    assert (g.runs, g.fixed, g.from_c, g.cadence) == (1, False, None, "MONTHLY")
+    rows = [(1, i, date(2024, i + 1, 5), "RENT", 130000 if i < 4 else 132500, 0, 0, "LANDLORD") for i in range(8) if i != 2]
+    (g,) = recurrence.recurring_groups(ledger(spark, rows), "debit_c").collect()
+    assert (g.fixed, g.from_c, g.to_c, g.missed, g.regularity, g.confidence) == (True, 130000, 132500, 1, 87.5, 0.95 if 1.16 * 0.875 > 0.95 else round(1.16 * 0.875, 2))
+
+
+def test_loan_facilities_keep_their_first_amount(spark):
+    rows = [(1, i, date(2024, i, 5), "ACH/ACME/1/EMI", v, 0, 0, "x") for i, v in enumerate((1_000_000, 1_015_000, 2_500_000, 1_025_000, 2_510_000, 1_001_000), 1)]
+    own = classify.lenders(ledger(spark, rows))
+    found = {r.seq: r.facility for r in debt.facility_rows(own).collect()}
+    assert found == {1: 0, 2: 0, 3: 1, 4: 2, 5: 1, 6: 0}
+    ends = spark.createDataFrame([(1, date(2024, 7, 20))], "account_id long, end_d date")
+    (a, b) = debt.loans(own, ends).orderBy("facility").collect()
+    assert (a.n, a.emi_c, a.status, a.loan_type, a.regularity, a.missed) == (3, 1_005_333, "Grace", "PERSONAL_LOAN", "On-Time", 3)
+    assert (b.n, b.status, b.loan_type, b.secured, b.regularity) == (2, "Missed EMI", "HOME_LOAN", True, "Skipped/Irregular") and b.next_d[0] == date(2024, 6, 4)
+    assert [(r.pct, r.band) for r in debt.discipline(debt.loans(own, ends)).collect()] == [(55.56, "POOR")]
 
 
 def test_routes():
