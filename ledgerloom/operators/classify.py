@@ -5,6 +5,8 @@ tier that knows a row decides; dictionaries are small tables whose size is check
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -135,27 +137,37 @@ def boundary(text: Column, keyword: Column) -> Column:
     return F.regexp(text, F.concat(F.lit("(^|[^a-z0-9])"), keyword, F.lit("([^a-z0-9]|$)")))
 
 
-def longest_keyword(rows: DataFrame, text: str = "description") -> DataFrame:
-    """The keyword, category and subcategory of each row's longest dictionary match (ties: by order).
+def _by_first_word(entries: list[tuple]) -> Column:
+    """A dictionary of bounded size as a constant map: first word -> its entries."""
+    by: dict[str, list[dict]] = {}
+    for keyword, category, subcategory, label, order in entries:
+        by.setdefault(keyword.split(" ")[0], []).append({"keyword": keyword, "k_category": category, "k_subcategory": subcategory, "k_label": label, "ord": order})
+    return F.from_json(F.lit(json.dumps(by)), "map<string, array<struct<keyword: string, k_category: string, k_subcategory: string, k_label: string, ord: int>>>")
+
 
-    Distinct narrations are matched, not rows: their words fetch candidates by an equi-join on the keyword's
-    first word, candidates are tested, and the answers joined back."""
-    words = keywords(rows.sparkSession).withColumn("word", F.substring_index("keyword", " ", 1))
-    texts = rows.select(text).distinct().withColumn("low", F.lower(text))
-    probes = texts.withColumn("word", F.explode(F.array_distinct(F.split("low", "[^a-z0-9]+"))))
-    hits = probes.join(small(words, len(KEYWORDS)), "word").where(boundary(F.col("low"), F.col("keyword")))
-    best = hits.groupBy(text).agg(F.max_by(F.struct("keyword", "k_category", "k_subcategory", "k_label"), F.struct(F.length("keyword"), -F.col("ord"))).alias("k"))
-    return rows.join(best, text, "left").select(*rows.columns, "k.*")
+def keyword_of(text: Column, entries: list[tuple] = KEYWORDS) -> Column:
+    """The entry (a struct) of the longest keyword that stands in the text (ties: by order), else null. The words of
+    the text look up candidates in a constant map, so rows never travel."""
+    low, known = F.lower(text), _by_first_word(entries)
+    met = F.flatten(F.transform(F.array_distinct(F.split(low, "[^a-z0-9]+")), lambda w: F.coalesce(F.try_element_at(known, w), F.array())))
+    hits = F.filter(met, lambda k: F.contains(low, k["keyword"]) & boundary(low, k["keyword"]))
+    ranked = F.transform(hits, lambda k: F.struct(F.length(k["keyword"]).alias("n"), (-k["ord"]).alias("order"), k.alias("k")))
+    return F.array_max(ranked)["k"]
+
+
+def longest_keyword(rows: DataFrame, text: str = "description") -> DataFrame:
+    """The keyword, category and subcategory of each row's longest dictionary match (ties: by order)."""
+    k = keyword_of(F.col(text))
+    return rows.withColumn("__k", k).select(*rows.columns, *[F.col(f"__k.{c}") for c in ("keyword", "k_category", "k_subcategory", "k_label")])
 
 
 def vpa_directory(rows: DataFrame, text: str = "description") -> DataFrame:
     """The first directory entry that a row's VPA holds; a credit from a merchant is its refund."""
-    spark = rows.sparkSession
+    known = F.from_json(F.lit(json.dumps([{"handle": h, "merchant": m, "h_category": c, "h_subcategory": s} for h, m, c, s, _ in sorted(HANDLES, key=lambda x: x[-1])])), "array<struct<handle: string, merchant: string, h_category: string, h_subcategory: string>>")
     vpas = rows.withColumn("vpa", F.lower(F.regexp_extract(text, r"([A-Za-z0-9.]+@[A-Za-z]+)", 1)))
-    own = vpas.select("vpa").where("vpa <> ''").distinct()
-    hit = own.join(small(handles(spark), len(HANDLES)), F.contains(own["vpa"], F.col("handle"))).groupBy("vpa").agg(F.min_by(F.struct("merchant", "h_category", "h_subcategory"), "ord").alias("h"))
+    hit = vpas.withColumn("h", F.get(F.filter(known, lambda e: F.contains(F.col("vpa"), e["handle"])), F.lit(0))).where("h is not null")
     refund = (F.col("credit_c") > 0) & (F.col("h.h_category") == "Expense")
-    return vpas.join(hit, "vpa").select(*rows.columns, "vpa", "h.merchant", F.when(refund, "Income").otherwise(F.col("h.h_category")).alias("category"), F.when(refund, F.concat(F.col("h.merchant"), F.lit(" Refund"))).otherwise(F.col("h.h_subcategory")).alias("subcategory"))
+    return hit.select(*rows.columns, "vpa", "h.merchant", F.when(refund, "Income").otherwise(F.col("h.h_category")).alias("category"), F.when(refund, F.concat(F.col("h.merchant"), F.lit(" Refund"))).otherwise(F.col("h.h_subcategory")).alias("subcategory"))
 
 
 def tier_one(d: Column, debit: Column) -> Column:
@@ -186,11 +198,21 @@ def classify(ledger: DataFrame) -> DataFrame:
     return k.withColumn("t", F.coalesce(one, two, *rails, none)).select(*ledger.columns, "t.*")
 
 
-def tags(d: Column, is_return: Column, debit: Column) -> Column:
-    """All labels that hold, in fixed order."""
+def tags(d: Column, subcategory: Column, debit: Column) -> Column:
+    """All labels that hold, each once, in fixed order. Marks and their order are fixed values."""
     u = F.upper(d)
-    rules = [("Salary", u.rlike("SALARY")), ("Loan", u.startswith("ACH/") & (debit > 0)), ("Investment", u.startswith("EBA/")), ("Cash", F.contains(u, F.lit("CASH WDL"))), ("Return", is_return), ("Charges", F.contains(u, F.lit("CHARGES"))), ("UPI", F.contains(u, F.lit("UPI")))]
-    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules]))
+    has = lambda *marks: F.greatest(F.lit(False), *[F.contains(u, F.lit(m)) for m in marks])
+    upi, is_loan = has("UPI"), has("LOAN") | subcategory.isin("Loan / EMI", "Home Loan EMI", "Personal Loan")
+    merchant = has("@BHARATPE", "@RAZORPAY", "@HDFCBANKSMARTPAY", "@PAYTMQR", "@BILLDESK", "P2M")
+    person = has("@YBL", "@PAYTM", "@OKSBI", "@OKHDFCBANK", "@OKAXIS", "@OKICICI", "P2P")
+    cash_machine = has("ATM", "ATW", "NFS/")
+    rules = [
+        ("UPI", upi), ("UPI/P2M", upi & merchant), ("UPI/P2P", upi & ~merchant & person), ("NEFT", has("NEFT")), ("IMPS", has("IMPS", "MMT/")), ("RTGS", has("RTGS")), ("NACH", has("NACH")), ("ECS", has("ECS")), ("NACH", has("ECS")),
+        ("Cheque", has("CLG", "CHEQUE", "CHQ")), ("ATM", cash_machine), ("Cash", cash_machine | has("CASH DEP", "BY CASH", "CDM")), ("Loan", is_loan), ("EMI", is_loan & ((debit > 0) | has("EMI", "NACH", "ECS"))),
+        ("Salary", has("SALARY") | (subcategory == "Salary")), ("Insurance", has("INSURANCE", "LIC") | (subcategory == "Insurance")), ("Tax", has("TAX", "GST", "CBIC")),
+        ("Return", has("RETURN", "BOUNCE", "REVERSAL", "RVSL", "INSUFFICIENT FUNDS")), ("Bank Charges", has("CHARGE", "FEE", "MIN BAL", "PENAL", "CHG")),
+    ]
+    return F.array_distinct(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules])))
 
 
 def counterparty_key(payee: Column, vpa: Column, bank: Column) -> Column:
@@ -201,18 +223,41 @@ def counterparty_key(payee: Column, vpa: Column, bank: Column) -> Column:
 
 
 def canonical_keys(keys: DataFrame, least: int = 6) -> DataFrame:
-    """(account_id, key, canonical): each key under the shortest key of its account that is a prefix of it and
-    has `least` characters. Blocks of equal first characters are joined, not all pairs."""
-    k = keys.select(A, "key").distinct().withColumn("head", F.substring("key", 1, least))
-    short = k.where(F.length("key") >= least).select(A, "head", F.col("key").alias("shorter"))
-    j = k.join(short, [A, "head"], "left").where(F.col("shorter").isNull() | F.col("key").startswith(F.col("shorter")))
-    return j.groupBy(A, "key").agg(F.min_by("shorter", F.length("shorter")).alias("c")).select(A, "key", F.coalesce("c", "key").alias("canonical"))
+    """(account_id, key, canonical): spellings cut short under the longest one. Keys are taken longest first (ties: by
+    name); a key equal, but for the bank after `|` and blanks, to one kept before, or its beginning of `least`
+    characters or more, joins the first such. Candidates share an account and the first `least` characters; a task
+    walks one such block."""
+    flat = F.regexp_replace(F.substring_index("key", "|", 1), " ", "")
+    k = keys.select(A, "key").where("key <> ''").distinct().withColumn("flat", flat).withColumn("head", F.when(F.length("flat") >= least, F.substring("flat", 1, least)).otherwise(F.concat(F.lit("="), F.col("flat"))))
+    block = k.groupBy(A, "head").agg(F.array_sort(F.collect_list(F.struct((-F.length("key")).alias("n"), "key", "flat"))).alias("all"))
+    start = F.array().cast("array<struct<key: string, flat: string, canonical: string>>")
+
+    def place(kept: Column, x: Column) -> Column:
+        found = F.get(F.filter(kept, lambda e: (e["canonical"] == e["key"]) & (e["flat"].startswith(x["flat"]) | x["flat"].startswith(e["flat"]))), F.lit(0))
+        return F.array_append(kept, F.struct(x["key"].alias("key"), x["flat"].alias("flat"), F.coalesce(found["canonical"], x["key"]).alias("canonical")))
+
+    return block.select(A, F.inline(F.aggregate("all", start, place))).select(A, "key", "canonical")
+
+
+#: Fixed: words that are no part of a name.
+TITLES = r"\b(MR|MRS|MS|MISS|DR|SHRI|SMT|SRI|PROF)\b"
+
+
+def name_words(name: Column) -> Column:
+    """Words of three letters or more of a name, without titles."""
+    return F.filter(F.split(F.regexp_replace(F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), "[^A-Z0-9 ]", " "), TITLES, " "), " +"), lambda x: F.length(x) >= 3)
 
 
-def self_transfers(rows: DataFrame, holder: Column, payee: Column) -> DataFrame:
-    """Whether payee and holder share a word of four characters or more."""
-    words = lambda c: F.filter(F.split(F.upper(c), "[^A-Z0-9]+"), lambda x: F.length(x) >= 4)
-    return rows.withColumn("is_self", F.coalesce(F.arrays_overlap(words(holder), words(payee)), F.lit(False)))
+def self_transfers(rows: DataFrame, holder: Column, payee: Column, vpa: Column | None = None, least: int = 6) -> DataFrame:
+    """is_self: the payee's joined words begin the holder's or the other way round (`least` characters), they share
+    a word of four letters or more, or the VPA holds such a word of the holder's. Without a holder: false."""
+    own, other = name_words(holder), name_words(payee)
+    flat, their = F.array_join(own, ""), F.array_join(other, "")
+    long = F.filter(own, lambda x: F.length(x) >= 4)
+    prefix = (F.length(their) >= least) & (flat.startswith(their) | their.startswith(flat))
+    handle = F.upper(F.coalesce(vpa, F.lit(""))) if vpa is not None else F.lit("")
+    in_handle = F.exists(long, lambda x: F.contains(F.substring_index(handle, "@", 1), x))
+    return rows.withColumn("is_self", (F.size(own) > 0) & (prefix | F.coalesce(F.arrays_overlap(long, other), F.lit(False)) | in_handle))
 
 
 def known_salary_payers(rows: DataFrame, least: int = 2) -> DataFrame:
@@ -222,10 +267,15 @@ def known_salary_payers(rows: DataFrame, least: int = 2) -> DataFrame:
 
 def apply_overrides(rows: DataFrame, overrides: DataFrame, key: str = "counterparty") -> DataFrame:
     """Learned labels: of an account's and the global overrides of a key the account's comes first, then the
-    latest. Overrides: (key, o_account, o_category, o_subcategory, updated_at)."""
-    matched = rows.join(small(overrides), (rows[key] == overrides["key"]) & (F.col("o_account").isNull() | (F.col("o_account") == F.col(A))), "left")
-    w = Window.partitionBy(A, "seq").orderBy(F.col("o_account").isNull(), F.desc("updated_at"), "o_subcategory")
-    return matched.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*rows.columns, F.col("o_category"), F.col("o_subcategory"))
+    latest. Overrides: (key, o_account, o_category, o_subcategory, updated_at). Only they are ranked; rows look up
+    at most one of each kind."""
+    w = Window.partitionBy("key", "o_account").orderBy(F.desc("updated_at"), "o_subcategory")
+    last = overrides.withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    everyone = last.where("o_account is null").select(F.col("key").alias("__key"), F.struct("o_category", "o_subcategory").alias("__all"))
+    own = last.where("o_account is not null").select(F.col("key").alias("__key"), F.col("o_account").alias(A), F.struct("o_category", "o_subcategory").alias("__own"))
+    keyed = rows.withColumn("__key", F.col(key))
+    o = keyed.join(small(own), ["__key", A], "left").join(small(everyone), "__key", "left").withColumn("__o", F.coalesce("__own", "__all"))
+    return o.select(*rows.columns, "__o.o_category", "__o.o_subcategory")
 
 
 def set_override(registry: DataFrame, new: DataFrame) -> DataFrame:

@@ -151,14 +151,30 @@ on_ledger("c17_vpa_directory", lambda l: classify.vpa_directory(l).groupBy("acco
     f"hd(handle, merchant, c, s, ord) as (values {_HANDLES}), best as (select vpa, arg_min(hd, ord) as h from (select distinct lower(regexp_extract(description, '([A-Za-z0-9.]+@[A-Za-z]+)', 1)) as vpa from ledger) join hd on contains(vpa, handle) where vpa <> '' group by vpa)")
 on_classified("c18_classify_cascade", lambda c: c.select("account_id", "seq", "category", "subcategory", "needs_wants", "confidence", "method"), "select account_id, seq, category, subcategory, needs_wants, confidence, method from cl")
 on_ledger("c21_known_salary_payers", classify.known_salary_payers, "select account_id, regexp_extract(description, '(EMPLOYER \\d+)', 1) as payer, count(*) as n, sum(credit_c)::bigint as total_c from ledger where credit_c > 0 and regexp_matches(upper(description), 'SALARY|PAYROLL') group by 1, 2 having count(*) >= 2")
-on_ledger("c26_tags", lambda l: l.select("account_id", "seq", F.array_join(classify.tags(F.col("description"), F.col("is_return"), F.col("debit_c")), ",").alias("tags")),
-    """select account_id, seq, concat_ws(',', case when contains(u, 'SALARY') then 'Salary' end, case when u like 'ACH/%' and debit_c > 0 then 'Loan' end, case when u like 'EBA/%' then 'Investment' end, case when contains(u, 'CASH WDL') then 'Cash' end,
-case when is_return then 'Return' end, case when contains(u, 'CHARGES') then 'Charges' end, case when contains(u, 'UPI') then 'UPI' end) as tags from (select *, upper(description) as u from ledger)""")
+_MARKS = {"upi": "UPI", "p2m": "@BHARATPE|@RAZORPAY|@HDFCBANKSMARTPAY|@PAYTMQR|@BILLDESK|P2M", "p2p": "@YBL|@PAYTM|@OKSBI|@OKHDFCBANK|@OKAXIS|@OKICICI|P2P", "atm": "ATM|ATW|NFS/"}
+_RE = lambda marks: f"regexp_matches(u, '{marks}')"
+_LOAN = f"({_RE('LOAN')} or subcategory in ('Loan / EMI', 'Home Loan EMI', 'Personal Loan'))"
+on_classified("c26_tags", lambda c: c.select("account_id", "seq", F.array_join(classify.tags(F.col("description"), F.col("subcategory"), F.col("debit_c")), ",").alias("tags")),
+    f"""select account_id, seq, concat_ws(',', case when {_RE(_MARKS['upi'])} then 'UPI' end, case when {_RE('UPI')} and {_RE(_MARKS['p2m'])} then 'UPI/P2M' when {_RE('UPI')} and {_RE(_MARKS['p2p'])} then 'UPI/P2P' end, case when {_RE('NEFT')} then 'NEFT' end, case when {_RE('IMPS|MMT/')} then 'IMPS' end, case when {_RE('RTGS')} then 'RTGS' end,
+case when {_RE('NACH')} then 'NACH' end, case when {_RE('ECS')} then 'ECS' end, case when {_RE('ECS')} and not {_RE('NACH')} then 'NACH' end, case when {_RE('CLG|CHEQUE|CHQ')} then 'Cheque' end, case when {_RE(_MARKS['atm'])} then 'ATM' end, case when {_RE(_MARKS['atm'] + '|CASH DEP|BY CASH|CDM')} then 'Cash' end,
+case when {_LOAN} then 'Loan' end, case when {_LOAN} and (debit_c > 0 or {_RE('EMI|NACH|ECS')}) then 'EMI' end, case when {_RE('SALARY')} or subcategory = 'Salary' then 'Salary' end, case when {_RE('INSURANCE|LIC')} or subcategory = 'Insurance' then 'Insurance' end, case when {_RE('TAX|GST|CBIC')} then 'Tax' end,
+case when {_RE('RETURN|BOUNCE|REVERSAL|RVSL|INSUFFICIENT FUNDS')} then 'Return' end, case when {_RE('CHARGE|FEE|MIN BAL|PENAL|CHG')} then 'Bank Charges' end) as tags from (select *, upper(description) as u from cl)""")
 on_ledger("c27_counterparty_key", lambda l: l.select("account_id", "seq", classify.counterparty_key(F.col("counterparty"), F.regexp_extract("description", r"([A-Za-z0-9.]+@[A-Za-z]+)", 1), F.lit("Union")).alias("key")).groupBy("account_id", "key").agg(F.count("*").alias("n")),
     "select account_id, case when vpa <> '' then upper(string_split(vpa, '@')[1]) when length(sq) <= 10 then sq || '|UNION' else sq end as key, count(*) as n from (select *, regexp_extract(description, '([A-Za-z0-9.]+@[A-Za-z]+)', 1) as vpa, replace(upper(counterparty), ' ', '') as sq from ledger) group by 1, 2")
-on_slim("c28_canonical_keys", lambda l: classify.canonical_keys(l.select("account_id", F.regexp_replace("counterparty", " ", "").alias("key"))),
-    "select k.account_id, k.key, coalesce(arg_min(s.key, length(s.key)), k.key) as canonical from k left join k s on s.account_id = k.account_id and length(s.key) >= 6 and starts_with(k.key, s.key) group by 1, 2", "k as (select distinct account_id, replace(counterparty, ' ', '') as key from ledger)")
-on_ledger("c29_self_transfer", lambda l: classify.self_transfers(l, F.concat(F.lit("Holder "), F.lpad((F.col("account_id") % 100).cast("string"), 4, "0"), F.lit(" SUPPLIER")), F.col("counterparty")).groupBy("account_id").agg(F.count_if("is_self").alias("n_self")), "select account_id, count(*) as n_self from ledger group by 1")
+def _spellings(l: DataFrame) -> DataFrame:
+    """Keys of one account's parties as two channels cut them: whole, and the first 9 or 10 characters."""
+    whole = F.regexp_replace("counterparty", " ", "")
+    return l.select("account_id", F.explode(F.array(whole, F.substring(whole, 1, 9), F.concat(F.substring(whole, 1, 10), F.lit("|BANK")))).alias("key"))
+
+
+on_slim("c28_canonical_keys", lambda l: classify.canonical_keys(_spellings(l)),
+    """select account_id, key, canonical from (select account_id, key, (select (list_sort(list((-length(o.key), o.key))))[1][2] from k o where o.account_id = k.account_id and starts_with(o.flat, k.flat)) as canonical from k)""",
+    "k0 as (select distinct account_id, unnest([replace(counterparty, ' ', ''), substring(replace(counterparty, ' ', ''), 1, 9), substring(replace(counterparty, ' ', ''), 1, 10) || '|BANK']) as key from ledger), k as (select account_id, key, string_split(key, '|')[1] as flat from k0)")
+_HOLDERS = ["SUPPLIER", "Mr. Paytm Bank", "EMPLOYER 3", "Dr X", None]
+on_ledger("c29_self_transfer", lambda l: classify.self_transfers(l, F.element_at(F.array(*[F.lit(h) for h in _HOLDERS]), (F.col("account_id") % 5 + 1).cast("int")), F.when(F.col("seq") % 2 == 0, F.col("counterparty")).otherwise(F.element_at(F.split("description", "/"), -2)), F.regexp_extract("description", r"([A-Za-z0-9.]+@[A-Za-z]+)", 1)).groupBy("account_id").agg(F.count_if("is_self").alias("n_self")),
+    """select account_id, count(*) filter (where len(hw) > 0 and ((length(pf) >= 6 and (starts_with(hf, pf) or starts_with(pf, hf))) or list_has_any(list_filter(hw, lambda x: length(x) >= 4), pw) or len(list_filter(hw, lambda x: length(x) >= 4 and contains(v, x))) > 0)) as n_self from (select *, array_to_string(hw, '') as hf, array_to_string(pw, '') as pf from (select account_id, """
+    + ", ".join(f"list_filter(string_split_regex(regexp_replace(regexp_replace(upper(coalesce({x}, '')), '[^A-Z0-9 ]', ' ', 'g'), '\\b(MR|MRS|MS|MISS|DR|SHRI|SMT|SRI|PROF)\\b', ' ', 'g'), ' +'), lambda x: length(x) >= 3) as {n}" for x, n in (("['SUPPLIER', 'Mr. Paytm Bank', 'EMPLOYER 3', 'Dr X', null][(account_id % 5 + 1)::int]", "hw"), ("case when seq % 2 = 0 then counterparty else string_split(description, '/')[-2] end", "pw")))
+    + """, upper(string_split(regexp_extract(description, '([A-Za-z0-9.]+@[A-Za-z]+)', 1), '@')[1]) as v from ledger)) group by 1""")
 on_classified("c30_overrides", lambda c: classify.apply_overrides(c, _overrides(c)).where("o_category is not null").groupBy("counterparty", "o_category", "o_subcategory").agg(F.count("*").alias("n")),
     "select counterparty, case when account_id % 2 = 1 and counterparty = 'SUPPLIER 1' and account_id = 1 then 'Expense' else 'Transfer' end as o_category, case when counterparty = 'SUPPLIER 1' and account_id = 1 then 'Own' when counterparty = 'SUPPLIER 1' then 'New' else 'Rent' end as o_subcategory, count(*) as n from cl where counterparty in ('SUPPLIER 1', 'SUPPLIER 2') group by 1, 2, 3")
 
