@@ -39,11 +39,33 @@ def slope(monthly: DataFrame, value: str) -> DataFrame:
 
 
 def trajectory(ledger: DataFrame, bound_c: int = 50_000) -> DataFrame:
-    """IMPROVING, DETERIORATING or STABLE by slope and by whether the last two months were both negative."""
-    m = monthly_cashflow(ledger)
-    late = m.withColumn("r", F.row_number().over(Window.partitionBy(A).orderBy(F.desc("ym")))).where("r <= 2").groupBy(A).agg(F.count_if(F.col("net_c") < 0).alias("late_negative"))
-    flag = F.when((F.col("slope") < -bound_c) | (F.col("late_negative") == 2), "DETERIORATING").when(F.col("slope") > bound_c, "IMPROVING").otherwise("STABLE")
-    return slope(m, "net_c").join(late, A).select(A, flag.alias("trajectory"))
+    """POSITIVE, NEGATIVE or STABLE by the slope of monthly nets and the last two months. Where investments explain
+    the difference (their sum is positive), nets without them are judged; one month is STABLE. The ledger may have
+    category and subcategory."""
+    invested = F.lit(False)
+    if "category" in ledger.columns:
+        invested = F.coalesce(F.lower("category").contains("investment") | F.lower("subcategory").rlike("sip|mutual|nps|ppf|securities|trading"), F.lit(False))
+    m = ledger.groupBy(A, "ym").agg(F.sum(F.col("credit_c") - F.col("debit_c")).alias("raw"), F.sum(F.when(invested, F.col("debit_c")).otherwise(0)).alias("put"))
+    more = F.sum("put").over(Window.partitionBy(A)) > 0
+    m = m.withColumn("v", F.col("raw") + F.when(more, F.col("put")).otherwise(0))
+    late = m.withColumn("r", F.row_number().over(Window.partitionBy(A).orderBy(F.desc("ym")))).where("r <= 2").groupBy(A).agg(F.count_if(F.col("v") < 0).alias("late"))
+    flag = F.when(F.col("months") < 2, "STABLE").when((F.col("slope") > bound_c) & (F.col("late") == 0), "POSITIVE").when((F.col("slope") < -bound_c) | (F.col("late") >= 2), "NEGATIVE").otherwise("STABLE")
+    return slope(m, "v").join(late, A).select(A, flag.alias("trajectory"))
+
+
+#: Fixed: how much each kind of investment counts as long-term; others count 0.3.
+LONG_TERM = {
+    "PPF": 1.0, "NPS": 1.0, "Bonds / SGB": 0.9, "FD / RD": 0.8, "Mutual Funds / SIP": 0.7, "Equity Trading": 0.4, "Zerodha": 0.5, "Groww": 0.5, "Upstox": 0.5, "INDmoney": 0.6, "ET Money": 0.6, "Dividend": 0.3,
+}
+
+
+def long_term_score(investments: DataFrame, kind: str = "subcategory") -> DataFrame:
+    """(account_id, long_term): weights of LONG_TERM averaged by amount, four digits."""
+    weight = F.lit(0.3)
+    for name, w in LONG_TERM.items():
+        weight = F.when(F.col(kind) == name, F.lit(w)).otherwise(weight)
+    tenths = F.round(weight * 10).cast("long")
+    return investments.groupBy(A).agg(F.round(ratio(F.sum(tenths * F.col("debit_c")), F.sum("debit_c")) / 10, 4).alias("long_term"))
 
 
 def seasonality(ledger: DataFrame) -> DataFrame:

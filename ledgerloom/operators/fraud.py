@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import joins, timeline
 
 A = "account_id"
+#: Points and weights of severities; so are the bounds, severities and confidences of the detectors.
 POINTS = {"LOW": 15, "MEDIUM": 40, "HIGH": 85, "CRITICAL": 200}
 WEIGHTS = {"LOW": 2.5, "MEDIUM": 6.0, "HIGH": 15.0, "CRITICAL": 35.0}
 
@@ -35,64 +36,93 @@ def row_detectors() -> list[tuple[str, Column, int, str, float]]:
     ]
 
 
+def _row_sums() -> list[Column]:
+    rules = row_detectors()
+    return [x for i, (_, test, *_rest) in enumerate(rules) for x in (F.count_if(test).alias(f"n{i}"), F.sum(F.when(test, F.col("debit_c") + F.col("credit_c")).otherwise(0)).alias(f"a{i}"))]
+
+
+def _flag(test: Column, name: str, severity: Column | str, sure: float, hits: Column, amount: Column) -> Column:
+    return F.when(test, F.struct(F.lit(name).alias("detector"), (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"), F.lit(sure).alias("confidence"), hits.cast("long").alias("hits"), amount.cast("long").alias("amount_c")))
+
+
+def _row_flags() -> list[Column]:
+    out = []
+    for i, (name, _, least, severity, sure) in enumerate(row_detectors()):
+        n = F.col(f"n{i}")
+        grade = F.when(n >= 2, "CRITICAL").otherwise(severity) if name == "inward_bounce" else F.lit(severity)
+        out.append(_flag(n >= least, name, grade, sure, n, F.col(f"a{i}")))
+    return out
+
+
 def simple_flags(ledger: DataFrame) -> DataFrame:
     """All detectors that count rows in one pass: an aggregation with a pair of sums for each."""
-    rules = row_detectors()
-    aggregates = [x for i, (_, test, *_rest) in enumerate(rules) for x in (F.count_if(test).alias(f"n{i}"), F.sum(F.when(test, F.col("debit_c") + F.col("credit_c")).otherwise(0)).alias(f"a{i}"))]
-    wide = ledger.groupBy(A).agg(*aggregates)
-    one = lambda i, r: F.when(F.col(f"n{i}") >= r[2], F.struct(F.lit(r[0]).alias("detector"), F.when((F.lit(r[0]) == "inward_bounce") & (F.col(f"n{i}") >= 2), "CRITICAL").otherwise(r[3]).alias("severity"), F.lit(r[4]).alias("confidence"), F.col(f"n{i}").alias("hits"), F.col(f"a{i}").alias("amount_c")))
-    return wide.select(A, F.inline(F.array_compact(F.array(*[one(i, r) for i, r in enumerate(rules)]))))
+    return ledger.groupBy(A).agg(*_row_sums()).select(A, F.inline(F.array_compact(F.array(*_row_flags()))))
 
 
 def round_amounts(ledger: DataFrame) -> DataFrame:
     """Debits over 10 000 that are whole thousands: five or more and over a quarter of all rows."""
-    test = (F.col("debit_c") > 1_000_000) & (F.col("debit_c") % 100_000 == 0)
-    s = ledger.groupBy(A).agg(F.count_if(test).alias("hits"), F.count("*").alias("n"), F.sum(F.when(test, F.col("debit_c")).otherwise(0)).alias("amount_c"))
-    return s.where((F.col("hits") >= 5) & (F.col("hits") * 4 > F.col("n"))).select(A, "hits", "amount_c")
+    s = ledger.groupBy(A).agg(F.count("*").alias("n"), *_account_sums())
+    return s.where(_ROUND).select(A, F.col("round_n").alias("hits"), F.col("round_c").alias("amount_c"))
+
+
+def _account_sums() -> list[Column]:
+    """Sums that the detectors of whole accounts share."""
+    whole, d = (F.col("debit_c") > 1_000_000) & (F.col("debit_c") % 100_000 == 0), F.col("description")
+    total = lambda test, of: F.sum(F.when(test, F.col(of)).otherwise(0))
+    return [F.count_if(whole).alias("round_n"), total(whole, "debit_c").alias("round_c"), total(_cash(d), "credit_c").alias("cash_c"), total(F.upper(d).rlike("SALARY"), "credit_c").alias("salary_c"), F.sum("credit_c").alias("in_c"), F.sum("debit_c").alias("out_c")]
+
+
+_ROUND = "round_n >= 5 and round_n * 4 > n"
+_CASH = "salary_c > 0 and cash_c * 2 > salary_c * 3"
+_EQUAL = "n >= 15 and in_c > 10000000 and abs(in_c - out_c) * 50 < in_c"
 
 
 def mad_outliers(ledger: DataFrame, bound: float = 6.0, least: int = 10) -> DataFrame:
-    """Debits whose distance from the account's median is over `bound` scaled median deviations. Two exact
-    medians are aggregated; only they are joined back to the rows."""
-    debits = ledger.where(F.col("debit_c") > 0).select(A, "seq", "debit_c")
+    """Debits whose distance from the account's median is over `bound` scaled median deviations; payments to
+    obligations count for the median, but are no outliers where the ledger is classified. Two exact medians are
+    aggregated; only they are joined back to the rows."""
+    free = ~joins.is_obligation(F.col("category"), F.col("subcategory")) if "category" in ledger.columns else F.lit(True)
+    debits = ledger.where(F.col("debit_c") > 0).select(A, "seq", "debit_c", free.alias("free"))
     mid = debits.groupBy(A).agg(F.median("debit_c").alias("median"), F.count("*").alias("n"))
     far = debits.join(mid, A).withColumn("dev", F.abs(F.col("debit_c") - F.col("median")))
     mad = far.groupBy(A).agg(F.median("dev").alias("mad"))
-    return far.join(mad, A).where((F.col("n") >= least) & (F.col("mad") > 0) & (0.6745 * F.col("dev") > bound * F.col("mad"))).select(A, "seq", "debit_c")
+    return far.join(mad, A).where(F.col("free") & (F.col("n") >= least) & (F.col("mad") > 0) & (0.6745 * F.col("dev") > bound * F.col("mad"))).select(A, "seq", "debit_c")
 
 
 def concentration(ledger: DataFrame, share: float = 0.45) -> DataFrame:
-    """Accounts with one payee above `share` of all debits."""
+    """Accounts with one payee above `share` of all debits; banks, brokers and provident funds are none."""
     per = ledger.where(F.col("debit_c") > 0).groupBy(A, "counterparty").agg(F.sum("debit_c").alias("v"))
     s = per.groupBy(A).agg(F.sum("v").alias("total"), F.max("v").alias("amount_c"), F.max_by("counterparty", F.struct("v", "counterparty")).alias("top"))
-    return s.where(F.col("amount_c") * 100 > F.col("total") * int(share * 100)).select(A, "top", "amount_c")
+    return s.where((F.col("amount_c") * 100 > F.col("total") * int(share * 100)) & ~F.coalesce(F.col("top").rlike("HDFC|ICICI|SBI|EBA_|PPF"), F.lit(False))).select(A, "top", "amount_c")
 
 
 def cash_against_salary(ledger: DataFrame) -> DataFrame:
     """Cash credits above one and a half times the salary."""
-    d = F.col("description")
-    s = ledger.groupBy(A).agg(F.sum(F.when(_cash(d), F.col("credit_c")).otherwise(0)).alias("cash_c"), F.sum(F.when(F.upper(d).rlike("SALARY"), F.col("credit_c")).otherwise(0)).alias("salary_c"))
-    return s.where((F.col("salary_c") > 0) & (F.col("cash_c") * 2 > F.col("salary_c") * 3))
+    return ledger.groupBy(A).agg(*_account_sums()).where(_CASH).select(A, "cash_c", "salary_c")
 
 
 def equal_flows(ledger: DataFrame) -> DataFrame:
     """Credits and debits of 15 rows or more that differ by less than two percent."""
-    s = ledger.groupBy(A).agg(F.count("*").alias("n"), F.sum("credit_c").alias("in_c"), F.sum("debit_c").alias("out_c"))
-    return s.where((F.col("n") >= 15) & (F.col("in_c") > 10_000_000) & (F.abs(F.col("in_c") - F.col("out_c")) * 50 < F.col("in_c")))
+    return ledger.groupBy(A).agg(F.count("*").alias("n"), F.sum("credit_c").alias("in_c"), F.sum("debit_c").alias("out_c")).where(_EQUAL)
 
 
 def all_flags(ledger: DataFrame) -> DataFrame:
-    """(account_id, detector, severity, confidence, hits, amount_c) of every detector."""
+    """(account_id, detector, severity, confidence, hits, amount_c) of every detector over a classified ledger. What
+    conditional sums can tell is one aggregation; the other detectors need pairs, medians or an order of rows."""
     as_flag = lambda df, name, severity, sure: df.select(A, F.lit(name).alias("detector"), F.lit(severity).alias("severity"), F.lit(sure).alias("confidence"), F.col("hits"), F.col("amount_c"))
+    one = F.lit(1)
+    whole = [
+        _flag(F.expr(_ROUND), "round_amounts", "LOW", 0.65, F.col("round_n"), F.col("round_c")), _flag(F.expr(_CASH), "cash_vs_salary", "MEDIUM", 0.80, one, F.col("cash_c")), _flag(F.expr(_EQUAL), "equal_flows", "LOW", 0.75, one, F.col("in_c")),
+    ]
+    summed = ledger.groupBy(A).agg(F.count("*").alias("n"), *_account_sums(), *_row_sums()).select(A, F.inline(F.array_compact(F.array(*_row_flags(), *whole))))
     mad = mad_outliers(ledger).groupBy(A).agg(F.count("*").alias("hits"), F.sum("debit_c").alias("amount_c")).where("hits >= 3")
     rapid = joins.rapid_transfers(ledger).groupBy(A).agg(F.count("*").alias("hits"), F.sum("debit_c").alias("amount_c"))
     both = joins.two_sided(ledger).groupBy(A).agg(F.count("*").alias("hits"), F.sum("mirrored_c").alias("amount_c"))
     chain = timeline.velocity(ledger.where(_cash(F.col("description")) & (F.col("debit_c") >= 2_000_000))).groupBy(A).agg(F.count("*").alias("hits"), F.sum("debit_c").alias("amount_c"))
-    one = lambda df, amount: df.select(A, F.lit(1).cast("long").alias("hits"), F.col(amount).alias("amount_c"))
+    top = concentration(ledger).select(A, one.cast("long").alias("hits"), "amount_c")
     parts = [
-        simple_flags(ledger), as_flag(round_amounts(ledger), "round_amounts", "LOW", 0.65), as_flag(mad, "mad_outlier", "MEDIUM", 0.80), as_flag(rapid, "rapid_pass_through", "HIGH", 0.88),
-        as_flag(both, "circular_mirroring", "HIGH", 0.90), as_flag(chain, "atm_velocity", "MEDIUM", 0.85), as_flag(one(concentration(ledger), "amount_c"), "concentration", "MEDIUM", 0.72),
-        as_flag(one(cash_against_salary(ledger), "cash_c"), "cash_vs_salary", "MEDIUM", 0.80), as_flag(one(equal_flows(ledger), "in_c"), "equal_flows", "LOW", 0.75),
+        summed, as_flag(mad, "mad_outlier", "MEDIUM", 0.80), as_flag(rapid, "rapid_pass_through", "HIGH", 0.88), as_flag(both, "circular_mirroring", "HIGH", 0.90),
+        as_flag(chain, "atm_velocity", "MEDIUM", 0.85), as_flag(top, "concentration", "MEDIUM", 0.72),
     ]
     return reduce(DataFrame.unionByName, parts)
 

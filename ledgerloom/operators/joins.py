@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text
+
 A = "account_id"
 
 
@@ -23,18 +25,39 @@ def _side(rows: DataFrame, prefix: str, *columns: str) -> DataFrame:
     return rows.select(A, *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
 
 
+#: Fixed: marks of a reversal, and subcategories whose payments are no conduit.
+REVERSAL = "RVSL|REVERSAL|REFUND|RETURN"
+PAYDAY = "EMI|SIP|MUTUAL FUND|INSURANCE|PPF|NPS|FD|RD|LOAN|RENT|CREDIT CARD|SECURITIES|TRADING|DIRECT|TAX"
+#: Fixed: what names an obligation in a category, a subcategory, or a narration.
+OBLIGED_CATEGORY, OBLIGED_SUBCATEGORY = "(?i)investment|debt|loan|tax|insurance|savings|transfer", "(?i)loan|emi|sip|mutual|nps|ppf|tax|insurance|direct|card|securities|trading"
+OBLIGED_TEXT = "(?i)loan|emi|sip|mutual|ach|nach|insurance|tax|direct|securities|broking|ppf|nps"
+
+
+def is_obligation(category: Column, subcategory: Column, description: Column | None = None) -> Column:
+    """Payments to recognised obligations, by their labels and, if given, their narration; null counts as none."""
+    tests = [category.rlike(OBLIGED_CATEGORY), subcategory.rlike(OBLIGED_SUBCATEGORY)] + ([description.rlike(OBLIGED_TEXT)] if description is not None else [])
+    return F.greatest(F.lit(False), *[F.coalesce(t, F.lit(False)) for t in tests])
+
+
 def rapid_transfers(ledger: DataFrame, least_c: int = 2_000_000) -> DataFrame:
-    """Large credits passed on to another party within a day at 85 to 105 percent: the first debit of each."""
-    credits = _side(ledger.where(F.col("credit_c") >= least_c), "l", "seq", "d", "credit_c", "counterparty")
-    debits = _side(ledger.where(F.col("debit_c") > 0), "r", "seq", "d", "debit_c", "counterparty")
-    pairs = within_days(credits, debits, 1).where((F.col("r_debit_c") * 100 >= F.col("l_credit_c") * 85) & (F.col("r_debit_c") * 100 <= F.col("l_credit_c") * 105) & (F.col("l_counterparty") != F.col("r_counterparty")))
+    """Large credits passed on to another party within a day at 85 to 105 percent: the first debit of each. Neither
+    side is a reversal, both are not cash at a machine, and the debit is no investment or known obligation. The
+    ledger is classified."""
+    own = ledger.where(~F.upper(F.concat_ws(" ", "subcategory", "description")).rlike(REVERSAL)).withColumn("cash", text.rail(F.col("description")) == "ATM_CASH")
+    credits = _side(own.where(F.col("credit_c") >= least_c), "l", "seq", "d", "credit_c", "counterparty", "cash")
+    paid = (F.col("debit_c") > 0) & (F.col("category") != "Investment") & ~F.upper("subcategory").rlike(PAYDAY) & ~F.col("counterparty").rlike("EBA_|PPF")
+    debits = _side(own.where(paid), "r", "seq", "d", "debit_c", "counterparty", "cash")
+    near = (F.col("r_debit_c") * 100 >= F.col("l_credit_c") * 85) & (F.col("r_debit_c") * 100 <= F.col("l_credit_c") * 105)
+    pairs = within_days(credits, debits, 1).where(near & (F.col("l_counterparty") != F.col("r_counterparty")) & ~(F.col("l_cash") & F.col("r_cash")))
     return pairs.groupBy(A, "l_seq", "l_credit_c").agg(F.min_by(F.struct("r_seq", "r_debit_c"), F.struct("r_d", "r_seq")).alias("r")).select(A, F.col("l_seq").alias("credit_seq"), F.col("r.r_seq").alias("debit_seq"), F.col("l_credit_c").alias("credit_c"), F.col("r.r_debit_c").alias("debit_c"))
 
 
 def quick_debits(ledger: DataFrame, is_salary: Column) -> DataFrame:
-    """Debits of over half a salary on its day or the next."""
+    """Debits of over half a salary on its day or the next, but for payments to obligations. The ledger is
+    classified."""
     salary = _side(ledger.where(is_salary), "l", "seq", "d", "credit_c")
-    debits = _side(ledger.where(F.col("debit_c") > 0), "r", "seq", "d", "debit_c")
+    free = ~is_obligation(F.col("category"), F.col("subcategory"), F.col("description"))
+    debits = _side(ledger.where((F.col("debit_c") > 0) & free), "r", "seq", "d", "debit_c")
     return within_days(salary, debits, 1).where(F.col("r_debit_c") * 2 > F.col("l_credit_c")).select(A, F.col("l_seq").alias("salary_seq"), F.col("r_seq").alias("debit_seq"), F.col("r_debit_c").alias("debit_c"))
 
 

@@ -98,6 +98,9 @@ def facilities(ledger: DataFrame, words: str = "EMI|FINANCE|LENDER") -> DataFram
 
 
 def aml_score(flags: DataFrame, scores: DataFrame) -> DataFrame:
-    """0.85 of the fraud score, 15 for mirrored money and 10 for structuring, 100 at most."""
-    f = flags.groupBy(A).agg(F.max((F.col("detector") == "circular_mirroring").cast("int")).alias("c"), F.max(F.col("detector").isin("structuring", "high_structuring").cast("int")).alias("s"))
-    return scores.join(f, A).select(A, F.round(F.least(F.lit(100.0), 0.85 * F.col("fraud_score") + 15 * F.col("c") + 10 * F.col("s")), 5).alias("aml_score"))
+    """0.85 of the fraud score, 15 for each flag of mirrored money and 10 for each of structuring, 100 at most, with
+    its band. Fixed values."""
+    f = flags.groupBy(A).agg(F.count_if(F.col("detector") == "circular_mirroring").alias("c"), F.count_if(F.col("detector").isin("structuring", "high_structuring")).alias("s"))
+    score = F.round(F.least(F.lit(100.0), 0.85 * F.col("fraud_score") + 15 * F.col("c") + 10 * F.col("s")) + 1e-9, 2)
+    band = F.when(F.col("aml_score") <= 25, "LOW").when(F.col("aml_score") <= 50, "MODERATE").when(F.col("aml_score") <= 75, "HIGH").otherwise("CRITICAL")
+    return scores.join(f, A).select(A, score.alias("aml_score")).withColumn("aml_band", band)

@@ -171,7 +171,7 @@ on_slim("c28_canonical_keys", lambda l: classify.canonical_keys(_spellings(l)),
     """select account_id, key, canonical from (select account_id, key, (select (list_sort(list((-length(o.key), o.key))))[1][2] from k o where o.account_id = k.account_id and starts_with(o.flat, k.flat)) as canonical from k)""",
     "k0 as (select distinct account_id, unnest([replace(counterparty, ' ', ''), substring(replace(counterparty, ' ', ''), 1, 9), substring(replace(counterparty, ' ', ''), 1, 10) || '|BANK']) as key from ledger), k as (select account_id, key, string_split(key, '|')[1] as flat from k0)")
 _HOLDERS = ["SUPPLIER", "Mr. Paytm Bank", "EMPLOYER 3", "Dr X", None]
-on_ledger("c29_self_transfer", lambda l: classify.self_transfers(l, F.element_at(F.array(*[F.lit(h) for h in _HOLDERS]), (F.col("account_id") % 5 + 1).cast("int")), F.when(F.col("seq") % 2 == 0, F.col("counterparty")).otherwise(F.element_at(F.split("description", "/"), -2)), F.regexp_extract("description", r"([A-Za-z0-9.]+@[A-Za-z]+)", 1)).groupBy("account_id").agg(F.count_if("is_self").alias("n_self")),
+on_ledger("c29_self_transfer", lambda l: classify.self_transfers(l, F.element_at(F.array(*[F.lit(h) for h in _HOLDERS]), (F.col("account_id") % 5 + 1).cast("int")), F.when(F.col("seq") % 2 == 0, F.col("counterparty")).otherwise(F.try_element_at(F.split("description", "/"), F.lit(-2))), F.regexp_extract("description", r"([A-Za-z0-9.]+@[A-Za-z]+)", 1)).groupBy("account_id").agg(F.count_if("is_self").alias("n_self")),
     """select account_id, count(*) filter (where len(hw) > 0 and ((length(pf) >= 6 and (starts_with(hf, pf) or starts_with(pf, hf))) or list_has_any(list_filter(hw, lambda x: length(x) >= 4), pw) or len(list_filter(hw, lambda x: length(x) >= 4 and contains(v, x))) > 0)) as n_self from (select *, array_to_string(hw, '') as hf, array_to_string(pw, '') as pf from (select account_id, """
     + ", ".join(f"list_filter(string_split_regex(regexp_replace(regexp_replace(upper(coalesce({x}, '')), '[^A-Z0-9 ]', ' ', 'g'), '\\b(MR|MRS|MS|MISS|DR|SHRI|SMT|SRI|PROF)\\b', ' ', 'g'), ' +'), lambda x: length(x) >= 3) as {n}" for x, n in (("['SUPPLIER', 'Mr. Paytm Bank', 'EMPLOYER 3', 'Dr X', null][(account_id % 5 + 1)::int]", "hw"), ("case when seq % 2 = 0 then counterparty else string_split(description, '/')[-2] end", "pw")))
     + """, upper(string_split(regexp_extract(description, '([A-Za-z0-9.]+@[A-Za-z]+)', 1), '@')[1]) as v from ledger)) group by 1""")
@@ -216,8 +216,9 @@ on_slim("a1_monthly_cashflow", engines.monthly_cashflow, "select * from m", MONT
 on_slim("a3_cashflow_summary", engines.cashflow_summary, "select account_id, sum(inflow_c)::bigint as inflow_c, sum(outflow_c)::bigint as outflow_c, sum(net_c)::bigint as net_c, count(*) filter (where net_c > 0) as surplus_months, count(*) filter (where net_c < 0) as deficit_months, round(case when count(*) < 2 then 0 else stddev_pop(net_c) end)::bigint as net_spread_c from m group by 1", MONTHLY_SQL)
 on_slim("a5_trend_slope", lambda l: engines.slope(engines.monthly_cashflow(l), "net_c").select("account_id", "months", F.round("slope").cast("long").alias("slope_c")),
     "select account_id, count(*) as months, coalesce(round((count(*) * sum(x * net_c) - sum(x) * sum(net_c))::double / nullif(count(*) * sum(x * x) - sum(x) * sum(x), 0)::double), 0)::bigint as slope_c from (select *, row_number() over (partition by account_id order by ym) - 1 as x from m) group by 1", MONTHLY_SQL)
-on_slim("a6_trajectory", engines.trajectory,
-    "select account_id, case when coalesce(s, 0) < -50000 or late = 2 then 'DETERIORATING' when coalesce(s, 0) > 50000 then 'IMPROVING' else 'STABLE' end as trajectory from (select account_id, regr_slope(net_c, x) as s, count(*) filter (where r <= 2 and net_c < 0) as late from (select *, row_number() over (partition by account_id order by ym) - 1 as x, row_number() over (partition by account_id order by ym desc) as r from m) group by 1)", MONTHLY_SQL)
+on_classified("a6_trajectory", engines.trajectory,
+    """select account_id, case when n < 2 then 'STABLE' when s > 50000 and late = 0 then 'POSITIVE' when s < -50000 or late >= 2 then 'NEGATIVE' else 'STABLE' end as trajectory from (select account_id, count(*) as n, coalesce(regr_slope(v, x), 0) as s, count(*) filter (where r <= 2 and v < 0) as late
+from (select *, row_number() over (partition by account_id order by ym) - 1 as x, row_number() over (partition by account_id order by ym desc) as r, raw + case when sum(put) over (partition by account_id) > 0 then put else 0 end as v from (select account_id, ym, sum(credit_c - debit_c) as raw, sum(case when category = 'Investment' or regexp_matches(lower(subcategory), 'sip|mutual|nps|ppf|securities|trading') then debit_c else 0 end) as put from cl group by 1, 2)) group by 1)""")
 on_slim("a7_seasonality", engines.seasonality, "select account_id, substring(ym, 6, 2) as month, sum(net_c)::bigint as net_c, count(*) as n from m where account_id in (select account_id from m group by 1 having count(*) >= 12) group by 1, 2", MONTHLY_SQL)
 on_slim("a8_top_counterparty", engines.top_counterparty,
     "select account_id, counterparty as top, v as top_c, round(v::double / total, 4) as share, case when v::double / total >= 0.5 then 'HIGH' when v::double / total >= 0.3 then 'MODERATE' else 'LOW' end as band from (select *, sum(v) over (partition by account_id) as total, row_number() over (partition by account_id order by v desc, counterparty) as r from (select account_id, counterparty, sum(debit_c)::bigint as v from ledger where debit_c > 0 group by 1, 2)) where r = 1")
@@ -249,7 +250,7 @@ on_slim("a40_equal_flows", fraud.equal_flows, "select account_id, count(*) as n,
 _FLAG = "select account_id, '{0}' as detector, {3} as severity, {4}::double as confidence, count(*) as hits, sum(debit_c + credit_c)::bigint as amount_c from (select *, debit_c + credit_c as a, upper(description) as u from ledger) where {1} group by 1 having count(*) >= {2}"
 _DETECTORS = [("structuring", "contains(u, 'CASH WDL') and a between 4000000 and 5000000", 2, "'HIGH'", 0.85), ("high_structuring", "a between 9000000 and 10000000", 1, "'HIGH'", 0.92), ("cash_cycling", "contains(u, 'CASH WDL') and debit_c >= 2500000", 3, "'MEDIUM'", 0.75), ("inward_bounce", "regexp_matches(u, 'RETURN CHARGES|CHQ RET|ACH RTN')", 1, "case when count(*) >= 2 then 'CRITICAL' else 'HIGH' end", 0.95), ("rtgs_minimum", "starts_with(u, 'RTGS') and debit_c > 0 and debit_c < 20000000", 1, "'MEDIUM'", 0.85), ("round_tax", "contains(u, 'TAX') and debit_c > 0 and debit_c % 100000 = 0", 2, "'LOW'", 0.70), ("atm_high", "contains(u, 'CASH WDL') and debit_c >= 5000000", 1, "'MEDIUM'", 0.80), ("negative_balance", "balance_c < 0", 1, "'HIGH'", 0.95)]
 on_ledger("a41_threshold_detectors", fraud.simple_flags, " union all ".join(_FLAG.format(*x) for x in _DETECTORS))
-on_ledger("a43_fraud_score", lambda l: fraud.fraud_score(fraud.all_flags(l)))
+on_classified("a43_fraud_score", lambda c: fraud.fraud_score(fraud.all_flags(c)))
 on_slim("a45_data_sufficiency", score.data_sufficiency, "select account_id, days, n, case when days / 30.4375 < 6 then 'INSUFFICIENT' when days / 30.4375 <= 24 then 'SUFFICIENT' else 'RICH' end as sufficiency from (select account_id, (date_diff('day', min(d), max(d)) + 1)::int as days, count(*) as n from ledger group by 1)")
 on_classified("a46_method_counts", lambda c: c.groupBy("method").agg(F.count("*").alias("n")), "select method, count(*) as n from cl group by 1")
 on_classified("a47_composite_score", lambda c: score.composite(score.features(c)).drop("items"))
@@ -258,8 +259,10 @@ on_classified("a50_eligibility", lambda c: score.eligibility(_scored(c)))
 
 
 def _scored(c: DataFrame) -> DataFrame:
+    """What the sizing needs: the score's inputs, its decision, the band of volatility and liquid wealth."""
     f = score.features(c)
-    return f.join(score.composite(f).select("account_id", "score"), "account_id")
+    band = F.when(F.col("volatility") < 0.15, "LOW").when(F.col("volatility") < 0.40, "MODERATE").when(F.col("volatility") < 0.70, "HIGH").otherwise("VERY_HIGH")
+    return f.join(score.composite(f).select("account_id", "score", "decision"), "account_id").withColumns({"volatility_band": band, "liquid_c": F.col("invested_c")})
 
 
 on_slim("a51_top20_counterparties", lambda l: l.groupBy("counterparty").agg(F.sum(F.col("credit_c") + F.col("debit_c")).alias("volume_c"), F.count("*").alias("n")).orderBy(F.desc("volume_c"), "counterparty").limit(20),
@@ -280,10 +283,10 @@ add("a63_dashboard", lambda s, d: read(s, d, "orders").groupBy("o_orderstatus").
 # Joins, sets, top-k --------------------------------------------------------------------------------------
 add("j1_applications_results", lambda s, d: joins.applications_with_results(read(s, d, "customer").select(F.col("c_custkey").alias("application_id"), "c_name"), read(s, d, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("application_id")).agg(F.max("o_orderdate").alias("latest"), F.count("*").alias("n"))),
     "select c_custkey as application_id, c_name, latest, n from customer left join (select o_custkey, max(o_orderdate) as latest, count(*) as n from orders where o_orderstatus = 'F' group by 1) on o_custkey = c_custkey")
-on_slim("j2_rapid_transfer", lambda l: joins.rapid_transfers(l),
-    "select account_id, credit_seq, debit_seq, credit_c, debit_c from (select c.account_id, c.seq as credit_seq, x.seq as debit_seq, c.credit_c, x.debit_c, row_number() over (partition by c.account_id, c.seq order by x.d, x.seq) as r from ledger c join ledger x on x.account_id = c.account_id and x.d between c.d and c.d + interval 1 day and x.debit_c > 0 and x.debit_c * 100 between c.credit_c * 85 and c.credit_c * 105 and x.counterparty <> c.counterparty where c.credit_c >= 2000000) where r = 1")
-on_ledger("j3_quick_debits", lambda l: joins.quick_debits(l, (F.col("credit_c") > 0) & F.col("description").startswith("SALARY")),
-    "select c.account_id, c.seq as salary_seq, x.seq as debit_seq, x.debit_c from ledger c join ledger x on x.account_id = c.account_id and x.d between c.d and c.d + interval 1 day and x.debit_c * 2 > c.credit_c where c.credit_c > 0 and c.description like 'SALARY%' and x.debit_c > 0")
+on_classified("j2_rapid_transfer", joins.rapid_transfers)
+on_classified("j3_quick_debits", lambda c: joins.quick_debits(c, (F.col("credit_c") > 0) & F.col("description").startswith("SALARY")),
+    """select s.account_id, s.seq as salary_seq, x.seq as debit_seq, x.debit_c from cl s join (select * from cl where debit_c > 0 and not regexp_matches(lower(category), 'investment|debt|loan|tax|insurance|savings|transfer') and not regexp_matches(lower(subcategory), 'loan|emi|sip|mutual|nps|ppf|tax|insurance|direct|card|securities|trading') and not regexp_matches(lower(description), 'loan|emi|sip|mutual|ach|nach|insurance|tax|direct|securities|broking|ppf|nps')) x
+on x.account_id = s.account_id and x.d between s.d and s.d + interval 1 day and x.debit_c * 2 > s.credit_c where s.credit_c > 0 and s.description like 'SALARY%'""")
 on_ledger("j6_latest_labels", lambda l: joins.latest_labels(l.select("account_id", "seq", "counterparty"), l.groupBy("account_id", "counterparty", "seq").agg(F.max("p_type").alias("label")), ["account_id", "counterparty"], "seq").groupBy("label").agg(F.count("*").alias("n")),
     "select label, count(*) as n from ledger join (select account_id, counterparty, arg_max(p_type, seq) as label from ledger group by 1, 2) using (account_id, counterparty) group by 1")
 on_slim("j10_semi_both_sides", lambda l: l.where("credit_c > 0").join(l.where("debit_c > 0").select("account_id", "counterparty").distinct(), ["account_id", "counterparty"], "left_semi").groupBy("account_id").agg(F.count("*").alias("n"), F.sum("credit_c").alias("in_c")),
