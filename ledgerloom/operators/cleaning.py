@@ -6,13 +6,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions import text
 
 #: Fixed: header names that mean a column of the ledger.
 ALIASES = {
-    "txn date": "date", "transaction date": "date", "value date": "date", "narration": "description", "particulars": "description", "remarks": "description",
-    "withdrawal amt.": "debit", "withdrawal": "debit", "deposit amt.": "credit", "deposit": "credit", "closing balance": "balance", "running balance": "balance",
+    "narration": "description", "transaction remarks": "description", "particulars": "description", "remarks": "description", "txn date": "date", "transaction date": "date", "tran date": "date",
+    "withdrawal amt.": "debit", "withdrawal amount (inr )": "debit", "deposit amt.": "credit", "deposit amount (inr )": "credit", "closing balance": "balance", "balance (inr )": "balance",
 }
 REQUIRED = ("date", "description", "debit", "credit", "balance")
 
@@ -66,12 +67,50 @@ def clean_statement(raw: DataFrame) -> DataFrame:
 
 def detect_bank(lines: DataFrame, markers: DataFrame) -> DataFrame:
     """(document, bank): the bank with the greatest weight of markers in a document's lines, else Other.
-    markers: (marker, bank, weight), a short list."""
-    hits = lines.join(F.broadcast(markers.limit(10_000)), F.contains(F.upper("line"), F.col("marker")))
+    markers: (marker, bank, weight), upper case, any number. A line meets the markers that begin with one of its runs
+    of characters (as long as the shortest marker), then each is looked for whole."""
+    m = markers.where("marker <> ''")
+    size = m.agg(F.min(F.length("marker"))).first()[0] or 1
+    low = F.upper("line")
+    grams = F.when(F.length(low) >= size, F.transform(F.sequence(F.lit(1), F.length(low) - size + 1), lambda i: F.substring(low, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    probes = lines.select("document", low.alias("low"), F.explode(F.array_distinct(grams)).alias("gram"))
+    hits = probes.join(m.withColumn("gram", F.substring("marker", 1, size)), "gram").where(F.contains("low", "marker"))
     best = hits.groupBy("document", "bank").agg(F.sum("weight").alias("w")).groupBy("document").agg(F.max_by("bank", F.struct("w", "bank")).alias("bank"))
     return lines.select("document").distinct().join(best, "document", "left").fillna({"bank": "Other"})
 
 
+def drop_undated(rows: DataFrame, column: str = "date") -> tuple[DataFrame, DataFrame]:
+    """(rows with their date in d, one row with the number of those whose date can't be read)."""
+    r = rows.withColumn("d", text.parse_date(F.col(column)))
+    return r.where("d is not null"), r.agg(F.count_if(F.col("d").isNull()).alias("undated"))
+
+
+def merge_time(date: Column, time: Column) -> Column:
+    """The date's text followed by the clock time that a time cell holds, if it holds one."""
+    clock = F.regexp_extract(F.trim(F.coalesce(time, F.lit(""))), r"\b([012]?\d:[0-5]\d(?::[0-5]\d)?(?:\s*[AaPp][Mm])?)\b", 1)
+    d = F.trim(F.coalesce(date, F.lit("")))
+    return F.when((clock == "") | (d == ""), d).otherwise(F.concat_ws(" ", d, clock))
+
+
+def number_of(df: DataFrame, column: str) -> Column:
+    """A column of any kind as a double: a series (map or array of numbers) is its mean, an envelope (a struct with
+    `value`) its value, text is parsed; booleans and what can't be read are null."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, T.BooleanType):
+        return F.lit(None).cast("double")
+    if isinstance(kind, T.StructType):
+        return c["value"].try_cast("double") if "value" in kind.names and not isinstance(kind["value"].dataType, T.BooleanType) else F.lit(None).cast("double")
+    if isinstance(kind, T.MapType | T.ArrayType):
+        values = F.filter(F.transform(F.map_values(c) if isinstance(kind, T.MapType) else c, lambda x: x.try_cast("double")), lambda x: x.isNotNull())
+        return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
+    return c.try_cast("double")
+
+
+def pick(df: DataFrame, *columns: str) -> Column:
+    """The first of the columns, those that the frame has, that is a number."""
+    return F.coalesce(*[number_of(df, c) for c in columns if c in df.columns], F.lit(None).cast("double"))
+
+
 def first_value(*columns: Column) -> Column:
     """The first that is not null."""
     return F.coalesce(*columns)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.classify import KEYWORDS, keywords, small
+from ledgerloom.operators.classify import KEYWORDS, keyword_of, keywords, small
 
 A = "account_id"
 REMARKS = [("red", "Want"), ("small", "Need"), ("large", "Need"), ("hot pl", "Want"), ("hot", "Need")]
@@ -29,6 +31,56 @@ def remark_label(remark: Column) -> Column:
     return out
 
 
+#: Beginnings of remarks and the subcategory each group stands for, and remarks that say nothing.
+REMARK_SUBCATEGORIES = (
+    ("Grocery / Supermarket", ("milk", "curd", "dahi", "oil", "ghee", "butter", "bread", "wheat", "atta", "rice", "dal", "sugar", "salt", "banana", "fruit", "veg", "sabzi", "kirana", "grocer", "chees", "lassi", "paneer", "egg", "masala", "coconu", "olive", "1 kg", "2 kg", "dettol", "soap", "shampo", "towel", "detergen", "det pd", "hand w", "paste", "tissue", "harpic", "phenyl")),
+    ("Healthcare", ("medici", "medicin", "tablet", "eye dr", "eye do", "specs", "spectac", "arthre", "arthrel", "doctor", "clinic", "hospit", "pharma", "chemist", "nepa ey", "xray", "scan")),
+    ("Taxi", ("taxi", "auto", "rickshaw", "maruti", "parking", "toll")),
+    ("Metro / Bus / Toll / Parking", ("railwa", "train", "ticket", "bus", "payvia")),
+    ("Fuel", ("petrol", "diesel", "fuel")),
+    ("Electricity / Water / Gas", ("cable", "cabale", "electric", "water", "gas cyl")),
+    ("Internet / Mobile / Broadband", ("wifi", "broadb", "recharg")),
+    ("Society / Property Tax", ("societ", "maint")),
+    ("Rent", ("rent",)),
+    ("Education", ("fee", "tuition", "school", "colleg", "zerox", "xerox", "print", "photoco", "stationer", "book", "notebook")),
+    ("Food Delivery", ("lunch", "dinner", "breakfa", "tea", "coffee", "snack", "sandwic", "bhel", "biryan", "pizza", "burger", "cake", "sweet", "laddu", "icecrea", "ice cr", "juice", "cold dr", "restau", "canteen", "cater", "hotel")),
+    ("Fashion", ("shirt", "t shirt", "dress", "sadra", "tailor", "cloth", "jean", "saree", "kurta", "shoe", "chappal", "bag")),
+    ("Beauty", ("salon", "parlour", "haircut")),
+    ("Entertainment", ("movie", "cinema", "game", "toy", "party", "picnic", "buke", "bouque", "flower", "gift", "lyric")),
+)
+SAYS_NOTHING = ("upi", "payment", "paymen", "pay", "pay to", "payvia", "transf", "transfe", "transfer", "to", "for", "na", "n/a", "-", "cash", "amount", "amt", "money", "send", "sent", "recv", "received", "self", "test")
+
+
+def remark_subcategory(remark: Column) -> Column:
+    """The subcategory of the longest known beginning of a remark (ties: the group that comes first); else null."""
+    r = F.lower(F.trim(remark))
+    known = F.from_json(F.lit(json.dumps({p: name for name, group in REMARK_SUBCATEGORIES for p in group})), "map<string, string>")
+    longest = max(len(p) for _, group in REMARK_SUBCATEGORIES for p in group)
+    tried = F.transform(F.sequence(F.lit(longest), F.lit(1)), lambda n: F.when(F.length(r) >= n, F.try_element_at(known, F.substring(r, F.lit(1), n))))
+    return F.when(~r.isin(*SAYS_NOTHING), F.get(F.filter(tried, lambda x: x.isNotNull()), F.lit(0)))
+
+
+#: Fixed: the order in which groups of keywords are looked through.
+GROUPS = ("Need", "Want", "Investment", "Income", "Banking")
+
+
+def keyword_category(keyword: Column, entries: list[tuple] = KEYWORDS) -> Column:
+    """(category, subcategory, label) of a keyword, whatever its case, from the first group that has it: needs, wants,
+    investments, income, banking; else (Expense, Other, N/A). entries: as KEYWORDS."""
+    found: dict[str, dict] = {}
+    for word, category, subcategory, label, _ in sorted(entries, key=lambda e: GROUPS.index(e[3] if e[1] == "Expense" else e[1])):
+        found.setdefault(word.upper(), {"category": category, "subcategory": subcategory, "label": label if category == "Expense" else "N/A"})
+    known = F.from_json(F.lit(json.dumps(found)), "map<string, struct<category: string, subcategory: string, label: string>>")
+    none = F.struct(F.lit("Expense").alias("category"), F.lit("Other").alias("subcategory"), F.lit("N/A").alias("label"))
+    return F.coalesce(F.try_element_at(known, F.upper(keyword)), none)
+
+
+def merchant_entity(text: Column, merchants: dict[str, str]) -> Column:
+    """The canonical name of the longest merchant key that stands in the text; else null. merchants: a dictionary of
+    bounded size."""
+    return keyword_of(text, [(k.lower(), name, "", "", i) for i, (k, name) in enumerate(merchants.items())])["k_category"]
+
+
 def fuzzy_top(texts: DataFrame, names: DataFrame, least: float = 0.5, text: str = "description") -> DataFrame:
     """The name most similar to each distinct text by shared words over the fewer words of the two; candidates
     share a word. names: (name), a dictionary."""

@@ -4,10 +4,10 @@ Words for prose are not made here."""
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import token_matches
@@ -80,11 +80,39 @@ def predicate(q: Question) -> Column:
 
 
 def known_tokens(ledger: DataFrame, q: Question) -> tuple[str, ...]:
-    """The tokens that occur in the ledger, looked for in one aggregation."""
+    """The forms of a question's tokens (as they are, else without a final s) that occur in the ledger, looked for in
+    one aggregation; words that occur nowhere are prose."""
     if not q.tokens:
         return ()
-    row = ledger.agg(*[F.max(token_matches(F.concat_ws(" ", "description", "category", "subcategory"), t)).alias(f"t{i}") for i, t in enumerate(q.tokens)]).first()
-    return tuple(t for i, t in enumerate(q.tokens) if row[i])
+    whole = F.concat_ws(" ", "description", "category", "subcategory")
+    forms = {t: [t, t[:-1]] if t.endswith("s") and len(t) > 3 else [t] for t in q.tokens}
+    every = list(dict.fromkeys(f for fs in forms.values() for f in fs))
+    row = ledger.agg(*[F.max(token_matches(whole, t)).alias(f"t{i}") for i, t in enumerate(every)]).first()
+    there = {t for i, t in enumerate(every) if row[i]}
+    return tuple(dict.fromkeys(f for f in (next((f for f in fs if f in there), None) for fs in forms.values()) if f))
+
+
+def ask(ledger: DataFrame, text: str) -> DataFrame:
+    """A question put to a ledger as people ask: it is routed, its words are held against the ledger, and what is left
+    is resolved. Small talk and refusals read no row; a question of no use to the ledger tells what can be asked."""
+    way = route(text)
+    if way in ("small_talk", "refusal"):
+        return ledger.limit(0).select("account_id")
+    if way == "capability":
+        return capability(ledger)
+    q = parse(text)
+    return resolve(ledger, replace(q, tokens=known_tokens(ledger, q)))
+
+
+def context_rows(ledger: DataFrame, text: str, limit: int = 12) -> DataFrame:
+    """The rows a question is about, the largest first, `limit` of each account; all rows stand in where none match."""
+    q = parse(text)
+    q = replace(q, tokens=known_tokens(ledger, q))
+    hit = predicate(q) if q.tokens or q.subject or q.direction or q.months or q.years else F.lit(False)
+    amount = F.col("debit_c") + F.col("credit_c")
+    some = F.max(hit.cast("int")).over(Window.partitionBy("account_id"))
+    rows = ledger.withColumn("__hit", hit).withColumn("__some", some).where(F.col("__hit") | (F.col("__some") == 0))
+    return rows.withColumn("rank", ranked(amount)).where(F.col("rank") <= limit).select("account_id", "rank", "seq", "d", "description", "debit_c", "credit_c", "category", "subcategory")
 
 
 def resolve(ledger: DataFrame, question: str | Question) -> DataFrame:
@@ -108,8 +136,6 @@ def resolve(ledger: DataFrame, question: str | Question) -> DataFrame:
 
 
 def ranked(value: Column) -> Column:
-    from pyspark.sql import Window
-
     return F.row_number().over(Window.partitionBy("account_id").orderBy(value.desc(), "seq")).cast("long")
 
 

@@ -49,14 +49,6 @@ def batch_daily(events: DataFrame) -> DataFrame:
     return events.groupBy(F.to_date("ts").alias("d"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("amount_c"))
 
 
-def multi_hop(ledger: DataFrame, days: int = 3) -> DataFrame:
-    """Money sent to one party and back from another within three days at most five percent off."""
-    out = _side(ledger.where("debit_c > 0"), "l", "seq", "d", "debit_c", "counterparty")
-    back = _side(ledger.where("credit_c > 0"), "r", "seq", "d", "credit_c", "counterparty")
-    pairs = within_days(out, back, days).where((F.col("l_counterparty") != F.col("r_counterparty")) & (F.abs(F.col("r_credit_c") - F.col("l_debit_c")) * 20 <= F.col("l_debit_c")))
-    return pairs.select(A, F.col("l_seq").alias("out_seq"), F.col("r_seq").alias("in_seq"))
-
-
 def inter_account(ledger: DataFrame) -> DataFrame:
     """Debits of one account that another takes in with the same amount on the same day or the next: an
     equi-join on amount and day."""
@@ -121,3 +113,29 @@ def high_spending(ledger: DataFrame, share: float = 0.05) -> DataFrame:
 def consolidated(ledger: DataFrame, owners: DataFrame) -> DataFrame:
     """Inflow and outflow per owner and month over all its accounts; owners: (account_id, owner)."""
     return ledger.join(owners, A).groupBy("owner", "ym").agg(F.sum("credit_c").alias("in_c"), F.sum("debit_c").alias("out_c"), F.countDistinct(A).alias("accounts"))
+
+
+def credit_line_use(daily: DataFrame, limits: DataFrame) -> DataFrame:
+    """Use of an overdraft by end-of-day balances: mean and largest use in percent of the limit, days beyond it, and
+    the band of the mean. limits: (account_id, limit_c); accounts without one are left out. Fixed bounds."""
+    used = F.greatest(F.lit(0), -F.col("balance_c"))
+    s = daily.join(limits.where("limit_c > 0"), A).groupBy(A, "limit_c").agg(F.sum(used).alias("used_c"), F.count("*").alias("days"), F.max(used).alias("most_c"), F.count_if(used > F.col("limit_c")).alias("overdrawn_days"))
+    mean = F.col("used_c") * 100.0 / F.col("days") / F.col("limit_c")
+    most = F.col("most_c") * 100.0 / F.col("limit_c")
+    return s.select(A, F.round(mean + 1e-9, 2).alias("mean_pct"), F.round(most + 1e-9, 2).alias("most_pct"), "overdrawn_days", F.when(mean < 30, "HEALTHY").when(mean <= 50, "MODERATE").otherwise("RISKY").alias("band"), (most > 100).alias("beyond"))
+
+
+def three_hops(transfers: DataFrame, days: int = 3) -> DataFrame:
+    """A to B to C and back to A: three transfers between three accounts, each on the day of the one before or up to
+    `days` later, within five percent of the first amount. transfers: (id, src, dst, d, amount_c). Each step is an
+    equi-join on the account and a bucket of days; no pairs of one account's whole history are made."""
+    size = days + 1
+    bucket = F.floor(F.unix_date("d") / size)
+    t = transfers.select("id", "src", "dst", "d", "amount_c")
+    ahead = lambda n: t.select(*[F.col(c).alias(f"{c}{n}") for c in t.columns]).withColumn("__b", F.explode(F.array(F.floor(F.unix_date(f"d{n}") / size), F.floor(F.unix_date(f"d{n}") / size) - 1))).withColumnRenamed(f"src{n}", "__at")
+    near = lambda n, before: F.datediff(f"d{n}", before).between(0, days) & (F.abs(F.col(f"amount_c{n}") - F.col("amount_c")) * 20 <= F.col("amount_c"))
+    one = t.where("src <> dst").withColumn("__b", bucket).withColumn("__at", F.col("dst"))
+    two = one.join(ahead(2), ["__at", "__b"]).where(near(2, "d") & (F.col("dst2") != F.col("src")) & (F.col("dst2") != F.col("dst")) & (F.col("id2") != F.col("id")))
+    two = two.withColumn("__b", F.floor(F.unix_date("d2") / size)).withColumn("__at", F.col("dst2"))
+    three = two.join(ahead(3), ["__at", "__b"]).where(near(3, "d2") & (F.col("dst3") == F.col("src")))
+    return three.select("src", F.col("dst").alias("via"), F.col("dst2").alias("via2"), "id", "id2", F.col("id3"))

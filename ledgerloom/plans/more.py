@@ -24,7 +24,6 @@ on_ledger("p9b_leading_date", lambda l: l.withColumn("cell", F.when(F.col("seq")
 add("p3b_signed_balance", lambda s, d: raw_cells(s, d).groupBy("l_suppkey").agg(F.sum((text.clean_numeric(F.col("cell"), True) * 100).cast("long")).alias("sum_c")),
     "select l_suppkey, sum(case mod(l_orderkey + l_partkey, 7) when 5 then 0 when 1 then -1 when 2 then -1 when 3 then -1 else 1 end * cast(round(l_extendedprice * 100) as bigint))::bigint as sum_c from lineitem group by 1")
 add("f3_blank_rows", lambda s, d: cleaning.drop_blank(read(s, d, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") > 2, F.col("l_quantity")).alias("a"), F.when(F.col("l_linenumber") > 4, F.col("l_tax")).alias("b")), ["a", "b"]).agg(F.count("*").alias("n")), "select count(*) as n from lineitem where l_linenumber > 2")
-on_slim("f6_loose_dedup", lambda l: timeline.dedup_keep_first(l, ["account_id", "counterparty", "ym"], ["seq"]).select("account_id", "counterparty", "ym", "seq"), "select account_id, counterparty, ym, min(seq) as seq from ledger group by 1, 2, 3")
 on_classified("f8_true_turnover_rows", lambda c: c.where(~(F.col("subcategory").isin("Loan EMI") | F.col("is_return"))).groupBy("account_id").agg(F.sum("credit_c").alias("credit_c"), F.sum("debit_c").alias("debit_c")), "select account_id, sum(credit_c)::bigint as credit_c, sum(debit_c)::bigint as debit_c from cl where subcategory <> 'Loan EMI' and not is_return group by 1")
 on_classified("f9_income_rows", lambda c: c.where(INCOME).select("account_id", "seq", "credit_c"), f"select account_id, seq, credit_c from cl where {INCOME}")
 on_ledger("f10_cash_rows", lambda l: l.where((text.rail(F.col("description")) == "ATM_CASH") | F.lower("description").rlike("cash")).select("account_id", "seq"), "select account_id, seq from ledger where contains(lower(description), 'cash')")
@@ -108,7 +107,6 @@ for _name, _q, _sql in [
 # Specified, not in the reference's code ------------------------------------------------------------------
 on_ledger("x1_deposit_withdrawal", spec.deposit_then_withdrawal, "select c.account_id, c.seq, c.credit_c, sum(x.debit_c)::bigint as out_c from ledger c join ledger x on x.account_id = c.account_id and x.d between c.d and c.d + interval 1 day and x.debit_c > 0 where c.credit_c >= 5000000 group by 1, 2, 3 having sum(x.debit_c) >= c.credit_c")
 on_ledger("x5_international", lambda l: l.where(F.upper("description").rlike("SWIFT|FOREX|USD|(^|[^A-Z])INTL([^A-Z]|$)|PLATE")).groupBy("account_id").agg(F.count("*").alias("n")), "select account_id, count(*) as n from ledger where regexp_matches(upper(description), 'SWIFT|FOREX|USD|(^|[^A-Z])INTL([^A-Z]|$)|PLATE') group by 1")
-on_slim("x7_multi_hop", spec.multi_hop, "select a.account_id, a.seq as out_seq, b.seq as in_seq from ledger a join ledger b on b.account_id = a.account_id and b.counterparty <> a.counterparty and b.d between a.d and a.d + interval 3 day and abs(b.credit_c - a.debit_c) * 20 <= a.debit_c where a.debit_c > 0 and b.credit_c > 0")
 on_slim("x8_inter_account", lambda l: spec.inter_account(l.withColumns({"debit_c": F.floor(F.col("debit_c") / 1_000_000).cast("long"), "credit_c": F.floor(F.col("credit_c") / 1_000_000).cast("long")})).groupBy("amount_c").agg(F.count("*").alias("n")), "select a.debit_c // 1000000 as amount_c, count(*) as n from ledger a join ledger b on b.account_id <> a.account_id and b.credit_c // 1000000 = a.debit_c // 1000000 and b.d between a.d and a.d + interval 1 day where a.debit_c >= 1000000 and b.credit_c >= 1000000 group by 1")
 on_ledger("x11_bounce_rates", spec.bounce_rates, "select account_id, b as bounces, c as cheques, date_diff('day', lb, last_d) as days_since, round(b::double / nullif(c, 0), 4) as rate from (select account_id, count(*) filter (where contains(description, 'RETURN CHARGES')) as b, count(*) filter (where description like 'CLG/%') as c, max(d) filter (where contains(description, 'RETURN CHARGES')) as lb, max(d) as last_d from ledger group by 1)")
 on_ledger("x12_discipline_score", risk.discipline_score, "select account_id, greatest(0, least(100, 100 - least(40, 10 * b) - least(30, n) - case when o > i then 20 else 0 end))::bigint as points from (select account_id, count(*) filter (where contains(description, 'RETURN CHARGES')) as b, count(*) filter (where balance_c < 0) as n, sum(credit_c) as i, sum(debit_c) as o from ledger group by 1)")

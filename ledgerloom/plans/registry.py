@@ -102,7 +102,6 @@ when description like '%IMPS/%' then upper(string_split(description, '/')[4]) wh
 else upper(trim(substring(regexp_replace(description, '[/_:-]', ' ', 'g'), 1, 30))) end as payee from ledger""")
 on_events("p15_temporal", lambda l: l.groupBy("account_id").agg(F.count_if(F.dayofweek("d").isin(1, 7)).alias("weekend"), F.count_if((F.hour("ts") >= 21) | (F.hour("ts") < 5)).alias("night"), F.sum(F.when((F.hour("ts") >= 21) | (F.hour("ts") < 5), F.col("debit_c")).otherwise(0)).alias("night_c")),
     "select account_id, count(*) filter (where dayofweek(d) in (0, 6)) as weekend, count(*) filter (where hour(ts) >= 21 or hour(ts) < 5) as night, sum(case when hour(ts) >= 21 or hour(ts) < 5 then debit_c else 0 end)::bigint as night_c from ev group by 1")
-add("p17_pii_mask", lambda s, d: read(s, d, "documents").select("doc_id", text.mask_personal(F.col("text")).alias("masked")).select("doc_id", F.sha2("masked", 256).alias("sha")))
 add("f16_search_page", lambda s, d: report.page_of(read(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_mktsegment", "build", ["c_custkey"], 25, 1),
     "select c_custkey, c_name, c_mktsegment from customer where contains(lower(c_mktsegment), 'build') order by c_custkey limit 25 offset 25")
 
@@ -245,7 +244,6 @@ on_slim("a35_mad_outliers", lambda l: fraud.mad_outliers(l, 1.4),
 on_slim("a36_concentration", lambda l: fraud.concentration(l, 0.10),
     "select account_id, top, amount_c from (select account_id, arg_max(counterparty, (v, counterparty)) as top, max(v) as amount_c, sum(v) as t from (select account_id, counterparty, sum(debit_c)::bigint as v from ledger where debit_c > 0 group by 1, 2) group by 1) where amount_c * 100 > t * 10")
 on_slim("a37_two_sided", lambda l: joins.two_sided(l), "select *, 2 * least(in_c, out_c) as mirrored_c from (select account_id, counterparty, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c from ledger group by 1, 2) where in_c > 1000000 and out_c > 1000000 and abs(in_c - out_c) * 100 <= greatest(in_c, out_c) * 15")
-on_ledger("a38_duplicate_refs", joins.duplicate_references)
 on_slim("a40_equal_flows", fraud.equal_flows, "select account_id, count(*) as n, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c from ledger group by 1 having count(*) >= 15 and sum(credit_c) > 10000000 and abs(sum(credit_c) - sum(debit_c)) * 50 < sum(credit_c)")
 _FLAG = "select account_id, '{0}' as detector, {3} as severity, {4}::double as confidence, count(*) as hits, sum(debit_c + credit_c)::bigint as amount_c from (select *, debit_c + credit_c as a, upper(description) as u from ledger) where {1} group by 1 having count(*) >= {2}"
 _DETECTORS = [("structuring", "contains(u, 'CASH WDL') and a between 4000000 and 5000000", 2, "'HIGH'", 0.85), ("high_structuring", "a between 9000000 and 10000000", 1, "'HIGH'", 0.92), ("cash_cycling", "contains(u, 'CASH WDL') and debit_c >= 2500000", 3, "'MEDIUM'", 0.75), ("inward_bounce", "regexp_matches(u, 'RETURN CHARGES|CHQ RET|ACH RTN')", 1, "case when count(*) >= 2 then 'CRITICAL' else 'HIGH' end", 0.95), ("rtgs_minimum", "starts_with(u, 'RTGS') and debit_c > 0 and debit_c < 20000000", 1, "'MEDIUM'", 0.85), ("round_tax", "contains(u, 'TAX') and debit_c > 0 and debit_c % 100000 = 0", 2, "'LOW'", 0.70), ("atm_high", "contains(u, 'CASH WDL') and debit_c >= 5000000", 1, "'MEDIUM'", 0.80), ("negative_balance", "balance_c < 0", 1, "'HIGH'", 0.95)]
@@ -276,7 +274,6 @@ on_ledger("a57_month_pivot", report.month_summary,
     "unpivot (select account_id, ym, arg_min(balance_c + debit_c - credit_c, seq)::bigint as opening, arg_max(balance_c, seq)::bigint as closing, min(balance_c)::bigint as lowest, max(balance_c)::bigint as highest, sum(credit_c)::bigint as credits, sum(debit_c)::bigint as debits, (count(*) filter (where credit_c > 0))::bigint as n_credits, (count(*) filter (where debit_c > 0))::bigint as n_debits from ledger group by 1, 2) on opening, closing, lowest, highest, credits, debits, n_credits, n_debits into name measure value value")
 on_classified("a58_category_block", report.category_block, "select *, round(total_c::double / sum(total_c) over (partition by account_id, side), 4) as share from (select account_id, case when credit_c > 0 then 'credit' else 'debit' end as side, category, sum(credit_c + debit_c)::bigint as total_c, count(*) as n from cl group by 1, 2, 3)")
 on_slim("a59_counterparty_block", lambda l: report.counterparty_block(l, 5).withColumn("rank", F.col("rank").cast("long")), "select * from (select *, row_number() over (partition by account_id, side order by total_c desc, counterparty) as rank from (select account_id, case when credit_c > 0 then 'credit' else 'debit' end as side, counterparty, sum(credit_c + debit_c)::bigint as total_c, count(*) as n from ledger group by 1, 2, 3)) where rank <= 5")
-on_events("a61_day_by_month", lambda l: report.day_by_month(l, ["2024-01", "2024-02"]), "select account_id, day(d) as day, arg_max(balance_c, (d, seq)) filter (where ym = '2024-01') as m_2024_01, arg_max(balance_c, (d, seq)) filter (where ym = '2024-02') as m_2024_02 from ev group by 1, 2")
 on_slim("a62_recurring_sheet", report.recurring_sheet, "select account_id, counterparty, count(*) as n, sum(debit_c)::bigint as total_c, min(d) as first_d, max(d) as last_d from ledger where debit_c > 0 group by 1, 2 having count(*) >= 3")
 add("a63_dashboard", lambda s, d: read(s, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("accounts")), "select o_orderstatus, count(*) as n, count(distinct o_custkey) as accounts from orders group by 1")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -128,6 +130,41 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that spark.checkpoint.dir names; only a local session may do without it."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Nested rows as JSON lines."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_artifact(df: DataFrame, path: str, key: str) -> None:
+    """(key, artifact): all other columns of a row as one JSON text, in Parquet."""
+    rest = [c for c in df.columns if c != key]
+    df.select(key, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("artifact")).write.mode("overwrite").parquet(path)
+
+
+def key_results(df: DataFrame, key: str, sources: dict[str, str]) -> DataFrame:
+    """(key, metric, value, source): a row for each measure of a wide row; `sources` names its engine."""
+    measures = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value"), F.lit(s).alias("source")) for c, s in sources.items()]
+    return df.select(key, F.inline(F.array(*measures)))
+
+
+def write_markdown(results: DataFrame, path: str, key: str) -> None:
+    """A Markdown table of key_results for each key, one text row a key, lines in order of the metric."""
+    line = F.concat(F.lit("| "), "metric", F.lit(" | "), F.coalesce("value", F.lit("N/A")), F.lit(" | "), "source", F.lit(" |"))
+    table = results.groupBy(key).agg(F.concat_ws("\n", F.lit("| Metric | Value | Source |"), F.lit("|---|---|---|"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("metric", line.alias("line")))), lambda x: x["line"]), "\n")).alias("table"))
+    table.write.mode("overwrite").parquet(path)
+
+
 def write_bundle(features: DataFrame, path: str, engine_col: str = "engine") -> None:
     """One partitioned write of all engines' features instead of a file for each."""
     features.write.mode("overwrite").partitionBy(engine_col).parquet(path)
@@ -142,9 +179,25 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch:
     df.na.drop(subset=["date"]).write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batch).mode(mode).save()
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], scratch: str) -> None:
-    """Replaces the rows of a Parquet table whose key is among `rows` and adds the others: an anti-join and a
-    union, written aside first, as a table can't be overwritten while it is read."""
-    kept = spark.read.schema(rows.schema).parquet(path).join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
-    kept.write.mode("overwrite").parquet(scratch)
-    spark.read.schema(rows.schema).parquet(scratch).write.mode("overwrite").parquet(path)
+def read_version(spark: SparkSession, path: str) -> DataFrame:
+    """The latest whole version of a versioned table."""
+    return spark.read.parquet(f"{path}/v={_versions(spark, path)[-1]}")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions whose write has ended, in order: a listing of a few folders by the driver."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str]) -> None:
+    """Adds a version of the table at `path` in which rows with a key among `rows` are replaced and the others stay: an
+    anti-join and a union. Versions before are never touched, so a write that fails leaves the table as it was."""
+    known = _versions(spark, path)
+    new = spark.read.schema(rows.schema).parquet(f"{path}/v={known[-1]}").join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows) if known else rows
+    new.write.mode("overwrite").parquet(f"{path}/v={known[-1] + 1 if known else 0}")
