@@ -31,9 +31,9 @@ from ledgerloom.llm.shared import with_fields
 from ledgerloom.llm.textkit import chunks, hash_sums, range_hashes, ranges
 
 #: Words a worker keeps the ids of, and bytes of words; beyond, the table starts anew.
-KEPT, KEPT_BYTES = 200_000, 1 << 23
-#: States of the automaton over bytes that a worker keeps; beyond, their table starts anew.
-STATES = 60_000
+KEPT, KEPT_BYTES = 300_000, 1 << 23
+#: States of the automaton over bytes that a worker keeps, with four times as many transitions at most; beyond, their table starts anew.
+STATES = 150_000
 LETTER, NUMBER, SPACE = 1, 2, 3
 
 
@@ -98,6 +98,7 @@ class Automaton:
         start = (0, -1)
         self._threads, self._numbers, self._emits = [start], {start: 0}, array("i", [-1])
         self.step: dict[int, int] = {}
+        self._arcs: dict[int, bool] = {}
 
     def _determinise(self, state: int, byte: int) -> int:
         """The state after `state` and `byte`, put into the table."""
@@ -106,8 +107,13 @@ class Automaton:
             node, last = self._next.get(threads[i] << 8 | byte, -1), threads[i + 1]
             if node < 0:
                 continue
-            if token < 0 and (t := self._ends[node]) >= 0 and (last < 0 or self.arc(last, t)):
-                token = t  # threads are oldest first, and no second one can end here
+            if token < 0 and (t := self._ends[node]) >= 0:  # threads are oldest first, and no second one can end here
+                pair = last << 20 | t
+                can = last < 0 or self._arcs.get(pair)
+                if can is None:
+                    can = self._arcs[pair] = self.arc(last, t)
+                if can:
+                    token = t
             if node in self._inner:
                 live += node, last
         if token < 0:
@@ -115,7 +121,7 @@ class Automaton:
         key = (*live, 0, token)
         found = self._numbers.get(key)
         if found is None:
-            if len(self._threads) >= STATES:
+            if len(self._threads) >= STATES or len(self.step) >= 4 * STATES:
                 self._clear()
                 state = -1
             found = self._numbers[key] = len(self._threads)
@@ -128,14 +134,19 @@ class Automaton:
     def encode_word(self, word: bytes) -> list[int]:
         """The word's path: one transition a byte, then the emitted tokens from the end back."""
         state, ended = 0, []
+        step, size = self.step.get, self.size
         for byte in word:
-            after = self.step.get(state << 8 | byte)
-            state = self._determinise(state, byte) if after is None else after
+            after = step(state << 8 | byte)
+            if after is None:
+                after = self._determinise(state, byte)
+                step = self.step.get
+            state = after
             ended.append(self._emits[state])
         path, at = [], len(word)
         while at:
-            path.append(ended[at - 1])
-            at -= self.size[path[-1]]
+            token = ended[at - 1]
+            path.append(token)
+            at -= size[token]
         return path[::-1]
 
 

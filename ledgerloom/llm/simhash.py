@@ -456,10 +456,11 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARI
                 text, bands, sketch = shingle_bands([t.lower() for t in texts], shingle)
                 ids = pa.array(np.array(rows)[text])
                 keys = pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(ids), b.column(2).take(ids), pa.array(sketch[:, 0].view(np.int64)), pa.array(sketch[:, 1].view(np.int64)), keys], ["doc_id", "digest", "sketch", "sketch2", "bands"])
+                marks = pa.array([m.tobytes() for m in bands.astype(np.uint32)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(ids), b.column(2).take(ids), pa.array(sketch[:, 0].view(np.int64)), pa.array(sketch[:, 1].view(np.int64)), keys, marks], ["doc_id", "digest", "sketch", "sketch2", "bands", "marks"])
 
-    rows = materialize(own.mapInArrow(run, with_fields(own, "doc_id", "digest string, sketch long, sketch2 long, bands array<long>")), "words")
-    nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("sketch", "sketch2", "bands")])
+    rows = materialize(own.mapInArrow(run, with_fields(own, "doc_id", "digest string, sketch long, sketch2 long, bands array<long>, marks binary")), "words")
+    nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("sketch", "sketch2", "bands", "marks")])
     texts = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
     n = partitions(docs.sparkSession)
 
@@ -479,8 +480,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARI
         if held is not None and met:
             yield held
 
-    marks = F.unhex(F.concat_ws("", F.transform("bands", lambda x: F.right(F.lpad(F.hex(x), 16, "0"), F.lit(8)))))
-    spread = texts.select(F.posexplode("bands").alias("band", "key"), "node", "sketch", "sketch2", marks.alias("marks")).select("key", "node", "sketch", "sketch2", "marks", "band")
+    spread = texts.select(F.posexplode("bands").alias("band", "key"), "node", "sketch", "sketch2", "marks").select("key", "node", "sketch", "sketch2", "marks", "band")
     buckets = materialize(spread.repartition(n, "key").sortWithinPartitions("key").mapInArrow(shared, "key long, node long, sketch long, sketch2 long, marks binary, band int"), "buckets")
 
     wanted = texts.select("node", "digest", F.col("least").alias("doc_id")).join(buckets.select("node").distinct(), "node", "left_semi")
