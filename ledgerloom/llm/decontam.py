@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import materialize, with_fields
+from ledgerloom.llm.shared import materialize, with_fields, without
 from ledgerloom.llm.textkit import NON_WORD, Words, chunks, mix, ranges
 
 SPAN = 12
@@ -169,15 +169,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
 
     Null texts count as empty; rows with a null doc_id can't be named and give no row. Repeated rows of one
     doc_id are one document. An empty table on either side gives an empty result."""
+    found = _overlapping(docs, benchmark, window, share)
+    return found.groupBy("doc_id", "item_id").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("equal").alias("n_equal"))
+
+
+def _overlapping(docs: DataFrame, benchmark: DataFrame, window: int, share: float) -> DataFrame:
+    """(doc_id, item_id, start, stop, equal) along each diagonal with an overlap."""
     index, items, masks = _index(benchmark, share)
     regions = materialize(_regions(docs.where("doc_id is not null"), _filter(index), window, masks).withColumn("region", F.monotonically_increasing_id()), "regions")
     hits = regions.select("region", F.explode("hits").alias("hit")).select("region", "hit.pos", "hit.hash")
     on = hits.join(index, "hash").select("region", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
     pairs = on.join(regions.drop("hits"), "region").join(items, "item_id").select("doc_id", "first", "tokens", "item_id", "item_tokens", "diagonal")
-    found = _verify(pairs, window, share)
-    return found.groupBy("doc_id", "item_id").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("equal").alias("n_equal"))
+    return _verify(pairs, window, share)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """docs without those that overlap a benchmark item; columns and rows with a null doc_id stay."""
-    return docs.join(overlaps(docs, benchmark, window, share).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs without those that overlap a benchmark item; columns and rows with a null doc_id stay. Null and empty texts
+    stay; an empty table on either side takes nothing away."""
+    return without(docs, _overlapping(docs, benchmark, window, share))

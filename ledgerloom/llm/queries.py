@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import bpe, chat, decontam, flac, fm_dedup, secrets, simhash, toxicity, url_filters, warc
-from ledgerloom.llm.shared import fresh_path
+from ledgerloom.llm.shared import fresh_path, materialize
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -57,7 +57,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.digests(flac.encode_table(_table(spark, sf_dir, "documents")))
+    return flac.digests(materialize(flac.encode_table(_table(spark, sf_dir, "documents")), "media"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -77,4 +77,5 @@ SQL: dict[str, str] = {
     "op1_url_filters": url_filters.sql(),
     "op2_warc": warc.SQL,
     "op4_chat": chat.sql(),
+    "op9_secrets": secrets.sql(),
 }

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import fresh_path
+from ledgerloom.llm.shared import BROADCAST_IDS, fresh_path, materialize
 
 
 @dataclass(frozen=True)
@@ -134,11 +134,14 @@ def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
 def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: str | None = None) -> DataFrame:
     """docs with secrets redacted and n_chars set anew where a text changed; every row and column stays.
 
-    Rows are matched to findings by content, so repeated and null doc_ids need no care."""
+    Rows are matched to findings by content, so repeated and null doc_ids need no care. While the findings are few
+    (BROADCAST_IDS spans) they are broadcast, so texts don't travel for them. Null texts stay null."""
     ledger = ledger or fresh_path(docs.sparkSession, "ledger")
     blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     found = scan_history(docs.select("doc_id", "text"), ledger, rules).where(F.size("spans") > 0).select("blob_id", "spans").dropDuplicates(["blob_id"])
-    joined = docs.withColumn("__blob", blob).join(found.select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans")), "__blob", "left")
+    found = materialize(found.select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans")), "findings")
+    few = (found.agg(F.sum(F.size("__spans"))).first()[0] or 0) <= BROADCAST_IDS  # spans are some 40 bytes each
+    joined = docs.withColumn("__blob", blob).join(F.broadcast(found) if few else found, "__blob", "left")
     # In a step of its own: inside a lambda, a select's new `text` would come before the old one.
     new = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.coalesce(F.col("__spans"), F.array().cast(_SPAN))))
     done = joined.withColumn("__text", new)
@@ -152,3 +155,19 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     show = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in base], F.sha2(show(F.filter("spans", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"), show(F.col("spans")).alias("spans"))
+
+
+def sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """DuckDB SQL of `digest` over `documents`: positions are sums of the lengths of what lies before a match."""
+    length = lambda parts: f"coalesce(list_sum(list_transform({parts}, lambda x: length(x))), 0)"
+    found = []
+    for no, r in enumerate(rules):
+        pattern = r.pattern.replace("'", "''")
+        cut = f"select r, regexp_extract_all(t, '{pattern}') as m, regexp_extract_all(t, '{pattern}', {r.group}) as p, string_split_regex(t, '{pattern}') as gaps from d where regexp_matches(t, '{pattern}')"
+        one = f"select r, {length('gaps[1:i]')} + {length('m[1:i - 1]')} as start, length(m[i]) as n, p[i] as part from (select *, unnest(range(1, len(m) + 1)) as i from ({cut}))"
+        found.append(f"select r, {no} as no, '{r.kind}:' || start::bigint || ':' || (start + n)::bigint as span, start from ({one}) where length(part) >= {r.least}")
+    base = " or ".join(f"no = {i}" for i in range(len(BASE)))
+    counts = ", ".join(f"count(*) filter (where no = {i}) as n_{r.kind}" for i, r in enumerate(BASE))
+    return f"""with d as (select doc_id, coalesce(text, '') as t, row_number() over () as r from documents), s as ({' union all '.join(found)}),
+a as (select r, {counts}, string_agg(span, ',' order by start, no) filter (where {base}) as base, string_agg(span, ',' order by start, no) as spans from s group by 1)
+select doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) as n_{r.kind}' for r in BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join a using (r)"""

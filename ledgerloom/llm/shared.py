@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +42,19 @@ def partitions(spark: SparkSession) -> int:
 def with_fields(df: DataFrame, name: str, more: str) -> str:
     """The DDL of df's column `name` followed by the fields `more`."""
     return f"`{name}` {df.schema[name].dataType.simpleString()}, {more}"
+
+
+#: Rows up to which a table of ids is broadcast.
+BROADCAST_IDS = 500_000
+
+
+def checked(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """ids with a hint to broadcast, where they are at most `most` rows; they should be a written table."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for those whose doc_id is in gone (doc_id). Few ids are broadcast, so texts don't travel; rows with a
+    null doc_id and all columns stay."""
+    ids = materialize(gone.select("doc_id").distinct(), "gone")
+    return docs.join(checked(ids), "doc_id", "left_anti").select(*docs.columns)

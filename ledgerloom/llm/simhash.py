@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components
-from ledgerloom.llm.shared import materialize, partitions, with_fields
+from ledgerloom.llm.shared import checked, materialize, partitions, with_fields
 from ledgerloom.llm.textkit import ASCII_SPACE, Words, chunks, mix, ranges
 
 #: Members of a bucket up to which all its links are listed; beyond, a spanning forest of them.
@@ -232,8 +232,6 @@ ROUNDS = 2
 PART = 1 << 13
 #: Texts against which a task compares a stream of candidate texts.
 BLOCK = 256
-#: Ids up to which a table of them is broadcast (16 bytes each).
-BROADCAST_IDS = 500_000
 
 _MIX = np.random.default_rng(20).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
@@ -485,8 +483,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARI
 
     wanted = texts.select("node", "digest", F.col("least").alias("doc_id")).join(buckets.select("node").distinct(), "node", "left_semi")
     wanted = materialize(wanted, "wanted")
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    text = own.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), ["doc_id", "digest"]).select("node", "text")
+    text = own.join(checked(wanted), ["doc_id", "digest"]).select("node", "text")
     text = materialize(text.dropDuplicates(["node"]), "candidates")
 
     linked = _same_document(rows, texts)
