@@ -152,20 +152,32 @@ def opening_closing(ledger: DataFrame, keys: tuple[str, ...] = (A,)) -> DataFram
 
 
 def savings_summary(ledger: DataFrame) -> DataFrame:
-    """Net per month, the rate of income saved and its steadiness (1 - spread over mean, from 0 to 1)."""
-    m = monthly_cashflow(ledger).groupBy(A).agg(F.sum("net_c").alias("saved_c"), F.sum("inflow_c").alias("inflow_c"), F.stddev_pop(F.col("net_c").cast("double")).alias("s"), F.avg(F.col("net_c").cast("double")).alias("mean"), F.count("*").alias("months"))
+    """Net per month, the rate of income saved and its steadiness (1 - spread over mean, from 0 to 1); for a classified
+    ledger also the saving with what was invested."""
+    put = F.when(F.col("category") == "Investment", F.col("debit_c")).otherwise(0) if "category" in ledger.columns else F.lit(0)
+    monthly = ledger.groupBy(A, "ym").agg(F.sum("credit_c").alias("inflow_c"), F.sum(F.col("credit_c") - F.col("debit_c")).alias("net_c"), F.sum(put).alias("put_c"))
+    m = monthly.groupBy(A).agg(F.sum("net_c").alias("saved_c"), F.sum("put_c").alias("put_c"), F.sum("inflow_c").alias("inflow_c"), F.stddev_pop(F.col("net_c").cast("double")).alias("s"), F.avg(F.col("net_c").cast("double")).alias("mean"), F.count("*").alias("months"))
     steady = F.when((F.col("months") < 2) | (F.col("mean") <= 0), 0.0).otherwise(clamp(1 - F.col("s") / F.col("mean"), 0, 1))
-    return m.select(A, "months", "saved_c", F.round(ratio(F.col("saved_c"), F.col("inflow_c")), 4).alias("rate"), F.round(steady, 4).alias("consistency"))
+    more = [(F.col("saved_c") + F.col("put_c")).alias("with_invested_c")] if "category" in ledger.columns else []
+    return m.select(A, "months", "saved_c", *more, F.round(ratio(F.col("saved_c"), F.col("inflow_c")), 4).alias("rate"), F.round(steady, 4).alias("consistency"))
 
 
 def emergency_fund(ledger: DataFrame, daily: DataFrame) -> DataFrame:
-    """Months of average outflow that the closing balance covers, against a target of three and six."""
-    out = monthly_cashflow(ledger).groupBy(A).agg(F.sum("outflow_c").alias("out_c"), F.count("*").alias("months"))
+    """Months of need that the closing balance covers, against a target of three and six. The need is the average
+    monthly outflow, or that of needs where a classified ledger has more of them."""
+    needs = F.when(F.col("needs_wants") == "Need", F.col("debit_c")).otherwise(0) if "needs_wants" in ledger.columns else F.lit(0)
+    out = ledger.groupBy(A).agg(F.sum("debit_c").alias("out_c"), F.sum(needs).alias("needs_c"), F.countDistinct("ym").alias("months"))
     last = daily.groupBy(A).agg(F.max_by("balance_c", "d").alias("closing_c"))
-    need = F.col("out_c").cast("double") / F.col("months")
+    need = F.greatest("out_c", "needs_c").cast("double") / F.col("months")
     return out.join(last, A).select(A, "closing_c", F.round(need * 3).cast("long").alias("target3_c"), F.round(need * 6).cast("long").alias("target6_c"), F.round(F.try_divide(F.greatest(F.col("closing_c"), F.lit(0)).cast("double"), need), 4).alias("coverage_months"))
 
 
+def investment_by_type(investments: DataFrame) -> DataFrame:
+    """Amounts and payments of each kind of investment, and the kind's share of the account's."""
+    per = investments.groupBy(A, "subcategory").agg(F.sum("debit_c").alias("put_c"), F.count("*").alias("n"))
+    return per.withColumn("share", F.round(ratio(F.col("put_c"), F.sum("put_c").over(Window.partitionBy(A))), 4))
+
+
 def sip_clusters(investments: DataFrame, gap: int = 3, months: int = 3) -> DataFrame:
     """Plans: equal amounts on nearby days of the month (gaps of at most `gap`) in `months` months or more."""
     w = Window.partitionBy(A, "debit_c").orderBy("dom", "seq")

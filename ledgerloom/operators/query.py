@@ -29,6 +29,7 @@ class Question:
     tokens: tuple[str, ...] = ()
     subject: str | None = None
     top_n: int = 5
+    extreme: str | None = None
     words: tuple[str, ...] = field(default=(), compare=False)
 
 
@@ -61,7 +62,7 @@ def parse(text: str) -> Question:
     years = tuple(int(w) for w in words if re.fullmatch(r"(19|20)\d\d", w))
     subject = next((SUBJECTS[w] for w in words if w in SUBJECTS), None)
     names = tuple(w for w in dict.fromkeys(words) if len(w) >= 3 and w not in STOP and w not in SUBJECTS and not w.isdigit() and w not in MONTHS and w not in {m[:3] for m in MONTHS} and w not in ("biggest", "mean", "number", "about"))
-    return Question(intent, direction, months, years, names, subject, max(1, min(25, int(top[1]))) if top else 5, tuple(words))
+    return Question(intent, direction, months, years, names, subject, max(1, min(25, int(top[1]))) if top else 5, "max" if has("highest", "most", "maximum", "max", "largest", "biggest") else "min" if has("lowest", "least", "minimum", "min", "smallest") else None, tuple(words))
 
 
 def predicate(q: Question) -> Column:
@@ -123,6 +124,11 @@ def resolve(ledger: DataFrame, question: str | Question) -> DataFrame:
     if q.intent in ("balance_max", "balance_min"):
         by = F.struct(F.col("balance_c") if q.intent == "balance_max" else -F.col("balance_c"), -F.col("seq"))
         return rows.where("balance_c <> 0").groupBy("account_id").agg(F.max_by(F.struct("d", "balance_c"), by).alias("x")).select("account_id", "x.*")
+    if q.intent == "by_month" and q.extreme:
+        months = rows.groupBy("account_id", "ym").agg(F.sum(amount).alias("month_c"), F.count("*").alias("n"))
+        order = F.col("month_c") if q.extreme == "min" else -F.col("month_c")
+        best = months.groupBy("account_id").agg(F.min_by(F.struct("ym", "month_c", "n"), F.struct(order.alias("o"), "ym")).alias("m")).select("account_id", "m.*")
+        return rows.join(best, ["account_id", "ym"]).withColumn("rank", ranked(amount)).where("rank <= 3").select("account_id", "ym", "month_c", "n", "rank", "seq", amount.alias("amount_c"))
     if q.intent == "by_month":
         return rows.groupBy("account_id", "ym").agg(F.sum(amount).alias("amount_c"), F.count("*").alias("n"))
     if q.intent == "profile":

@@ -146,8 +146,8 @@ def data_sufficiency(ledger: DataFrame) -> DataFrame:
     return s.select(A, "days", "n", F.when(months < 6, "INSUFFICIENT").when(months <= 24, "SUFFICIENT").otherwise("RICH").alias("sufficiency"))
 
 
-def reconciliation(ledger: DataFrame, tolerance_c: int = 100) -> DataFrame:
-    """(account_id, check, passed, off_c): rows and totals that must agree."""
+def ledger_checks(ledger: DataFrame, tolerance_c: int = 100) -> DataFrame:
+    """(account_id, check, passed, off_c): rows and totals of a ledger that must agree."""
     ends = engines.opening_closing(ledger)
     s = ledger.groupBy(A).agg(F.sum("credit_c").alias("cr"), F.sum("debit_c").alias("db"), F.count_if((F.col("debit_c") > 0) & (F.col("credit_c") > 0)).alias("both"), F.count_if((F.col("debit_c") == 0) & (F.col("credit_c") == 0)).alias("neither")).join(ends, A)
     breaks = timeline.chain_mismatches(ledger).groupBy(A).agg(F.count("*").alias("breaks"))
@@ -158,6 +158,28 @@ def reconciliation(ledger: DataFrame, tolerance_c: int = 100) -> DataFrame:
     return s.select(A, F.inline(F.array(check("conservation", c("opening_c") + c("cr") - c("db") - c("closing_c")), check("monthly_net", c("net") - (c("cr") - c("db"))), check("balance_chain", c("breaks") * (tolerance_c + 1)), check("one_side", (c("both") + c("neither")) * (tolerance_c + 1)))))
 
 
+def reconciliation(ledger: DataFrame, tolerance_c: int = 100) -> DataFrame:
+    """(account_id, check, passed, expected_c, actual_c): what the engines say of a classified ledger against its rows:
+    the movement of the balance, net cash flow, savings, credits as income or something else, spending as needs or
+    wants (where there is spending), and debits that have a category."""
+    c, spent = F.col, F.col("category") == "Expense"
+    income = (c("category") == "Income") & (c("subcategory") != "Refund") & ~c("is_return")
+    total = lambda test, of: F.sum(F.when(test, c(of)).otherwise(0))
+    s = ledger.groupBy(A).agg(
+        F.sum("credit_c").alias("cr"), F.sum("debit_c").alias("db"), total(income, "credit_c").alias("income"), total(~F.coalesce(income, F.lit(False)), "credit_c").alias("other"), total(spent, "debit_c").alias("expense"),
+        total(spent & c("needs_wants").isin("Need", "Want"), "debit_c").alias("labelled"), total(c("category").isNotNull(), "debit_c").alias("bucketed"),
+    )
+    s = s.join(engines.opening_closing(ledger), A).join(engines.cashflow_summary(ledger).select(A, "net_c"), A).join(engines.savings_summary(ledger).select(A, "saved_c"), A)
+    move = c("cr") - c("db")
+    tests = [
+        ("ledger_balance_movement", c("closing_c"), c("opening_c") + move), ("net_cash_flow_matches_ledger", move, c("net_c")), ("savings_matches_ledger", move, c("saved_c")), ("credit_conservation", c("cr"), c("income") + c("other")),
+        ("needs_plus_wants_equals_expense", c("expense"), c("labelled")), ("all_debits_bucketed", c("db"), c("bucketed")),
+    ]
+    check = lambda name, expected, actual: F.struct(F.lit(name).alias("check"), (F.abs(expected - actual) <= tolerance_c).alias("passed"), expected.cast("long").alias("expected_c"), actual.cast("long").alias("actual_c"))
+    every = F.array(*[F.when(c("expense") > 0, check(*t)) if t[0].startswith("needs") else check(*t) for t in tests])
+    return s.select(A, F.inline(F.array_compact(every)))
+
+
 def fidelity(ledger: DataFrame, anchors: DataFrame) -> DataFrame:
     """Printed facts against the ledger: VERIFIED, FAILED, or UNVERIFIED where nothing is printed. anchors:
     (account_id, a_debit_c, a_credit_c, a_rows)."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import classify, debt, engines, labels, recurrence
+from ledgerloom.operators import classify, debt, engines, fraud, labels, recurrence
 from ledgerloom.plans.registry import CLASSIFIED_SQL, add
 from ledgerloom.sources.tables import LEDGER_SQL, ledger_items, read
 
@@ -118,3 +118,17 @@ _credits = lambda l: l.select("account_id", "seq", "d", "ym", "counterparty", (F
 _on("a12_recurring_income", planted, lambda l: engines.recurring_income(_credits(l)), PLANTED_SQL,
     """select account_id, counterparty, n, total_c, gap from (select account_id, counterparty, count(*) as n, sum(v)::bigint as total_c, avg(v) as mean, stddev_pop(v) as s, median(g) as gap from (select account_id, counterparty, debit_c * 4 as v, date_diff('day', lag(d) over (partition by account_id order by d, seq), d)::double as g from pl) group by 1, 2) where n >= 3 and mean >= 500000 and s <= 0.25 * mean and gap between 24 and 36""")
 _on("a19_sip_plans", planted, engines.sip_clusters, PLANTED_SQL, "select account_id, debit_c, 0::bigint as cluster, count(distinct ym) as months, count(*) as n from pl group by 1, 2 having count(distinct ym) >= 3")
+#: Twelve debits a customer near one amount, three of them thirty times as large for odd keys; of odd keys divisible by
+#: three these are payments into investments, and of keys divisible by four the payee is a bank.
+_SPREAD_SQL = """sp as (select c_custkey as account_id, i as seq, case when i >= 9 and c_custkey % 2 = 1 then 3000000 else 100000 + 1000 * i end::bigint as debit_c, case when i >= 9 and c_custkey % 3 = 0 then 'Investment' else 'Expense' end as category, 'Other' as subcategory, case when c_custkey % 4 = 0 then 'HDFC CARD' when i % 3 = 0 then 'SHOP' else 'LANDLORD' end as counterparty from (select c_custkey, unnest(range(0, 12)) as i from customer))"""
+
+
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i"))
+    late, k = F.col("i") >= 9, F.col("account_id")
+    amount = F.when(late & (k % 2 == 1), F.lit(3_000_000)).otherwise(100_000 + 1000 * F.col("i")).cast("long")
+    return c.select("account_id", F.col("i").cast("long").alias("seq"), amount.alias("debit_c"), F.when(late & (k % 3 == 0), "Investment").otherwise("Expense").alias("category"), F.lit("Other").alias("subcategory"), F.when(k % 4 == 0, "HDFC CARD").when(F.col("i") % 3 == 0, "SHOP").otherwise("LANDLORD").alias("counterparty"))
+
+
+_on("a35_mad_outliers", _spread, fraud.mad_outliers, _SPREAD_SQL, "select account_id, seq, debit_c from (select *, median(dev) over (partition by account_id) as mad from (select *, abs(debit_c - med) as dev from (select *, median(debit_c) over (partition by account_id) as med from sp))) where mad > 0 and 0.6745 * dev > 6.0 * mad and category <> 'Investment'")
+_on("a36_concentration", _spread, fraud.concentration, _SPREAD_SQL, "select account_id, top, amount_c from (select account_id, arg_max(counterparty, (v, counterparty)) as top, max(v) as amount_c, sum(v) as t from (select account_id, counterparty, sum(debit_c)::bigint as v from sp group by 1, 2) group by 1) where amount_c * 100 > t * 45 and top not like '%HDFC%'")

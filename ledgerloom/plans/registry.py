@@ -200,7 +200,9 @@ on_events("w6_daily_change", lambda l: engines.daily_change(timeline.daily_balan
 on_events("w8_recovery_runs", lambda l: timeline.recovery_runs(timeline.daily_balance(l)),
     "select account_id, count(*) as runs, sum(days)::bigint as days from (select account_id, g, count(*) as days, max(d) as hi from (select *, row_number() over (partition by account_id order by d) - row_number() over (partition by account_id, low order by d) as g from lo) where low group by 1, 2) r join (select account_id, max(d) as last_d from lo group by 1) using (account_id) where hi < last_d group by 1",
     DAILY_SQL.format(t="ev") + ", lo as (select account_id, d, balance_c < avg(balance_c) over (partition by account_id) as low from daily)")
-on_events("w9_velocity", lambda l: timeline.velocity(l.where("debit_c > 5000"), 3, 2, ("ts", "seq")).select("account_id", "seq", "d", "until"), "select account_id, seq, d, until from (select *, lead(d, 2) over (partition by account_id order by ts, seq) as until from ev where debit_c > 5000) where date_diff('day', d, until) <= 2")
+on_ledger("w9_velocity", lambda l: timeline.velocity(l.where(F.contains("description", F.lit("CASH WDL")) & (F.col("debit_c") >= 2_000_000))).select("account_id", "seq", "d", "until"),
+    "select account_id, seq, d, until from (select *, lead(d, 2) over (partition by account_id order by d, seq) as until from ledger where contains(description, 'CASH WDL') and debit_c >= 2000000) where date_diff('day', d, until) <= 7")
+on_events("w9b_velocity_dense", lambda l: timeline.velocity(l.where("debit_c > 5000"), order=("ts", "seq")).select("account_id", "seq", "d", "until"), "select account_id, seq, d, until from (select *, lead(d, 2) over (partition by account_id order by ts, seq) as until from ev where debit_c > 5000) where date_diff('day', d, until) <= 7")
 on_slim("w10_exhaustion", timeline.exhaustion_day,
     "select account_id, greatest(coalesce(date_diff('day', min(d), min(d) filter (where income > 0 and spent * 10 >= income * 8)), 25), 1)::bigint as days from (select *, sum(debit_c) over (partition by account_id order by seq rows between unbounded preceding and current row) as spent, sum(credit_c) over (partition by account_id) as income from ledger) group by 1")
 on_ledger("w11_opening_closing", lambda l: engines.opening_closing(l, ("account_id", "ym")), "select account_id, ym, arg_min(balance_c + debit_c - credit_c, seq)::bigint as opening_c, arg_max(balance_c, seq)::bigint as closing_c from ledger group by 1, 2")
@@ -231,18 +233,19 @@ on_classified("a14_category_spending", lambda c: engines.category_spending(c.whe
 on_events("a15_balance_summary", lambda l: engines.balance_summary(timeline.daily_balance(l), 10_000),
     """select account_id, days, sum_c, median_c, min_c, max_c, negative_days, low_days, abb_sum_c, abb_days, round(v, 4) as volatility, case when v < 0.15 then 'LOW' when v < 0.4 then 'MODERATE' when v < 0.7 then 'HIGH' else 'VERY_HIGH' end as band from (select *, case when a <= 0 then 1.0 else least(greatest(coalesce(s, 0) / a, 0), 1) end::double as v from (select account_id, count(*) as days, sum(balance_c)::bigint as sum_c, median(balance_c)::double as median_c, min(balance_c) as min_c, max(balance_c) as max_c, count(*) filter (where balance_c < 0) as negative_days, count(*) filter (where balance_c < 10000) as low_days, sum(balance_c) filter (where day(d) in (1, 14, 28, 29, 30, 31))::bigint as abb_sum_c, count(*) filter (where day(d) in (1, 14, 28, 29, 30, 31)) as abb_days, stddev_samp(balance_c) as s, avg(balance_c) as a from daily group by 1))""", DAILY_SQL.format(t="ev"))
 on_events("a16_monthly_balance", lambda l: engines.monthly_balance(timeline.daily_balance(l)), "select account_id, strftime(d, '%Y-%m') as ym, sum(balance_c)::bigint as sum_c, count(*) as days from daily group by 1, 2", DAILY_SQL.format(t="ev"))
-on_slim("a22_savings", engines.savings_summary,
-    "select account_id, count(*) as months, sum(net_c)::bigint as saved_c, round(sum(net_c)::double / nullif(sum(inflow_c), 0), 4) as rate, round(case when count(*) < 2 or avg(net_c) <= 0 then 0 else least(greatest(1 - stddev_pop(net_c) / avg(net_c), 0), 1) end, 4)::double as consistency from m group by 1", MONTHLY_SQL)
+on_classified("a22_savings", engines.savings_summary,
+    "select account_id, count(*) as months, sum(net_c)::bigint as saved_c, (sum(net_c) + sum(put_c))::bigint as with_invested_c, round(sum(net_c)::double / nullif(sum(inflow_c), 0), 4) as rate, round(case when count(*) < 2 or avg(net_c) <= 0 then 0 else least(greatest(1 - stddev_pop(net_c) / avg(net_c), 0), 1) end, 4)::double as consistency from m2 group by 1", "m2 as (select account_id, ym, sum(credit_c)::bigint as inflow_c, sum(credit_c - debit_c)::bigint as net_c, sum(case when category = 'Investment' then debit_c else 0 end)::bigint as put_c from cl group by 1, 2)")
+on_classified("a23b_emergency_needs", lambda c: engines.emergency_fund(c, timeline.daily_balance(c)),
+    "select account_id, closing_c, round(need * 3)::bigint as target3_c, round(need * 6)::bigint as target6_c, round(greatest(closing_c, 0) / nullif(need, 0), 4)::double as coverage_months from (select account_id, greatest(sum(debit_c), sum(case when needs_wants = 'Need' then debit_c else 0 end))::double / count(distinct ym) as need from cl group by 1) join (select account_id, arg_max(balance_c, seq) as closing_c from cl group by 1) using (account_id)")
+on_classified("a19b_investment_types", lambda c: engines.investment_by_type(c.where("category = 'Investment' and debit_c > 0")), "select account_id, subcategory, sum(debit_c)::bigint as put_c, count(*) as n, round(sum(debit_c)::double / sum(sum(debit_c)) over (partition by account_id), 4) as share from cl where category = 'Investment' and debit_c > 0 group by 1, 2")
+on_slim("a19c_long_term_score", lambda l: engines.long_term_score(l.where("debit_c > 0").withColumn("subcategory", F.element_at(F.array(*[F.lit(k) for k in (*engines.LONG_TERM, "Other")]), (F.col("seq") % 13 + 1).cast("int")))),
+    "select account_id, round(sum(w * debit_c)::double / sum(debit_c) / 10, 4) as long_term from (select account_id, debit_c, [10, 10, 9, 8, 7, 4, 5, 5, 5, 6, 6, 3, 3][(seq % 13 + 1)::int] as w from ledger where debit_c > 0) group by 1")
 on_events("a23_emergency_fund", lambda l: engines.emergency_fund(l, timeline.daily_balance(l)),
     "select account_id, closing_c, round(need * 3)::bigint as target3_c, round(need * 6)::bigint as target6_c, round(greatest(closing_c, 0) / nullif(need, 0), 4)::double as coverage_months from (select account_id, sum(debit_c)::double / count(distinct ym) as need from ev group by 1) join (select account_id, arg_max(balance_c, d) as closing_c from daily group by 1) using (account_id)", DAILY_SQL.format(t="ev"))
 on_classified("a27_foir", lambda c: engines.obligations(c, F.col("subcategory") == "Loan EMI", (F.col("category") != "Transfer") & ~F.col("is_return")),
     "select account_id, o as obligations_c, i as income_c, round(o::double / nullif(i, 0), 4) as foir, case when i = 0 then 'UNKNOWN' when o::double / i <= 0.3 then 'HEALTHY' when o::double / i <= 0.5 then 'MODERATE' when o::double / i <= 0.7 then 'HIGH' else 'CRITICAL' end as band from (select account_id, sum(case when subcategory = 'Loan EMI' then debit_c else 0 end)::bigint as o, sum(case when category <> 'Transfer' and not is_return then credit_c else 0 end)::bigint as i from cl group by 1)")
 on_slim("a31_windows", fraud.state_windows,
     "select account_id, days, count(*) as n, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c, max(debit_c)::bigint as largest_c, count(distinct ym) as months from (select *, max(d) over (partition by account_id) as e from ledger) join (values (30), (90), (180), (365)) v(days) on d >= e - days * interval 1 day group by 1, 2")
-on_slim("a35_mad_outliers", lambda l: fraud.mad_outliers(l, 1.4),
-    "select account_id, seq, debit_c from (select *, median(dev) over (partition by account_id) as mad from (select *, abs(debit_c - med) as dev from (select *, median(debit_c) over (partition by account_id) as med, count(*) over (partition by account_id) as n from ledger where debit_c > 0))) where n >= 10 and mad > 0 and 0.6745 * dev > 1.4 * mad")
-on_slim("a36_concentration", lambda l: fraud.concentration(l, 0.10),
-    "select account_id, top, amount_c from (select account_id, arg_max(counterparty, (v, counterparty)) as top, max(v) as amount_c, sum(v) as t from (select account_id, counterparty, sum(debit_c)::bigint as v from ledger where debit_c > 0 group by 1, 2) group by 1) where amount_c * 100 > t * 10")
 on_slim("a37_two_sided", lambda l: joins.two_sided(l), "select *, 2 * least(in_c, out_c) as mirrored_c from (select account_id, counterparty, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c from ledger group by 1, 2) where in_c > 1000000 and out_c > 1000000 and abs(in_c - out_c) * 100 <= greatest(in_c, out_c) * 15")
 on_slim("a40_equal_flows", fraud.equal_flows, "select account_id, count(*) as n, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c from ledger group by 1 having count(*) >= 15 and sum(credit_c) > 10000000 and abs(sum(credit_c) - sum(debit_c)) * 50 < sum(credit_c)")
 _FLAG = "select account_id, '{0}' as detector, {3} as severity, {4}::double as confidence, count(*) as hits, sum(debit_c + credit_c)::bigint as amount_c from (select *, debit_c + credit_c as a, upper(description) as u from ledger) where {1} group by 1 having count(*) >= {2}"
@@ -265,9 +268,10 @@ def _scored(c: DataFrame) -> DataFrame:
 
 on_slim("a51_top20_counterparties", lambda l: l.groupBy("counterparty").agg(F.sum(F.col("credit_c") + F.col("debit_c")).alias("volume_c"), F.count("*").alias("n")).orderBy(F.desc("volume_c"), "counterparty").limit(20),
     "select counterparty, sum(credit_c + debit_c)::bigint as volume_c, count(*) as n from ledger group by 1 order by volume_c desc, counterparty limit 20")
-on_ledger("a54_reconciliation", score.reconciliation,
-    """select account_id, 'conservation' as "check", true as passed, 0::bigint as off_c from (select distinct account_id from ledger) union all select account_id, 'monthly_net', true, 0 from (select distinct account_id from ledger) union all select account_id, 'balance_chain', true, 0 from (select distinct account_id from ledger)
-union all select account_id, 'one_side', count(*) filter (where (debit_c > 0) = (credit_c > 0)) = 0, count(*) filter (where (debit_c > 0) = (credit_c > 0)) * 101 from ledger group by 1""")
+on_classified("a54_reconciliation", score.reconciliation,
+    """select account_id, t.check as "check", abs(t.e - t.a) <= 100 as passed, t.e::bigint as expected_c, t.a::bigint as actual_c from (select account_id, unnest([{'check': 'ledger_balance_movement', 'e': closing, 'a': opening + cr - db}, {'check': 'net_cash_flow_matches_ledger', 'e': cr - db, 'a': net}, {'check': 'savings_matches_ledger', 'e': cr - db, 'a': net},
+{'check': 'credit_conservation', 'e': cr, 'a': inc + oth}, {'check': 'needs_plus_wants_equals_expense', 'e': ex, 'a': lab}, {'check': 'all_debits_bucketed', 'e': db, 'a': buck}]) as t from (select account_id, sum(credit_c) as cr, sum(debit_c) as db, arg_max(balance_c, seq) as closing, arg_min(balance_c + debit_c - credit_c, seq) as opening, sum(credit_c - debit_c) as net,
+sum(case when category = 'Income' and subcategory <> 'Refund' and not is_return then credit_c else 0 end) as inc, sum(case when category = 'Income' and subcategory <> 'Refund' and not is_return then 0 else credit_c end) as oth, sum(case when category = 'Expense' then debit_c else 0 end) as ex, sum(case when category = 'Expense' and needs_wants in ('Need', 'Want') then debit_c else 0 end) as lab, sum(case when category is not null then debit_c else 0 end) as buck from cl group by 1)) where not (t.check like 'needs%' and t.e = 0)""")
 on_slim("a55_fidelity", lambda l: score.fidelity(l, l.groupBy("account_id").agg(F.sum("debit_c").alias("a_debit_c"), F.sum("credit_c").alias("a_credit_c"), F.count("*").alias("a_rows")).withColumn("a_debit_c", F.col("a_debit_c") + (F.col("a_rows") > 45).cast("int")).withColumn("a_credit_c", F.when(F.col("a_rows") > 35, F.col("a_credit_c")))),
     "select account_id, case when count(*) > 45 then 'FAILED' else 'VERIFIED' end as debits, case when count(*) > 35 then 'VERIFIED' else 'UNVERIFIED' end as credits, 'VERIFIED' as row_count from ledger group by 1")
 on_ledger("a57_month_pivot", report.month_summary,
@@ -301,6 +305,7 @@ on_slim("t6_topk_ties", lambda l: report.high_value(l, 5).withColumn("rank", F.c
 _W = "select account_id, count(*) as n, sum(debit_c + credit_c)::bigint as total_c, round(sum(debit_c + credit_c) / count(*))::bigint as average_c from cl where {} group by 1"
 for _name, _q, _sql in [
     ("q4_balance_max", "what was my highest balance?", "select account_id, d, balance_c from (select *, row_number() over (partition by account_id order by balance_c desc, seq) as r from cl where balance_c <> 0) where r = 1"),
+    ("q5_highest_month", "which month was the highest spending on anvil", "select account_id, ym, month_c, n, rank, seq, amount_c from (select account_id, ym, month_c, n, seq, debit_c + credit_c as amount_c, row_number() over (partition by account_id order by debit_c + credit_c desc, seq) as rank from (select *, rank() over (partition by account_id order by month_c desc, ym) as place from (select *, sum(debit_c + credit_c) over (partition by account_id, ym)::bigint as month_c, count(*) over (partition by account_id, ym) as n from cl where debit_c > 0 and contains(lower(concat_ws(' ', description, category, subcategory)), 'anvil'))) where place = 1) where rank <= 3"),
     ("q5_by_month", "how much did I spend on anvil per month", "select account_id, ym, sum(debit_c + credit_c)::bigint as amount_c, count(*) as n from cl where debit_c > 0 and contains(lower(concat_ws(' ', description, category, subcategory)), 'anvil') group by 1, 2"),
     ("q6_profile", "tell me about the widget payments", "select account_id, count(*) as n, count(*) filter (where credit_c > 0) as credits, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c, min(d) as first_d, max(d) as last_d, min(debit_c + credit_c)::bigint as least_c, max(debit_c + credit_c)::bigint as most_c from cl where contains(lower(concat_ws(' ', description, category, subcategory)), 'widget') group by 1"),
     ("q7_count", "how many salary credits in 1998?", _W.format("credit_c > 0 and year(d) = 1998 and contains(lower(category || ' ' || subcategory), 'salary')")),

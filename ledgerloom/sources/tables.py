@@ -69,7 +69,7 @@ LEDGER_SQL = f"""base as (select o_custkey as account_id, cast(round(c_acctbal *
 cast(round(l_extendedprice * 100) as bigint) as amount_c, l_linestatus = 'F' as is_credit, {NARRATION} as description,
 'SUPPLIER ' || cast(l_suppkey as string) as counterparty, p_type, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag
 from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey join customer on o_custkey = c_custkey),
-ledger as (select account_id, row_number() over w as seq, d, strftime(d, '%Y-%m') as ym, description,
+ledger as materialized (select account_id, row_number() over w as seq, d, strftime(d, '%Y-%m') as ym, description,
 case when is_credit then 0 else amount_c end as debit_c, case when is_credit then amount_c else 0 end as credit_c,
 cast(opening_c + sum(case when is_credit then amount_c else -amount_c end) over (partition by account_id order by {ORDER} rows between unbounded preceding and current row) as bigint) as balance_c,
 counterparty, p_type, l_returnflag = 'R' as is_return from base window w as (partition by account_id order by {ORDER}))"""

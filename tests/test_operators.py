@@ -99,7 +99,7 @@ def test_conservation(spark, moves):
     for i, (a, day, credit, v) in enumerate(sorted(moves, key=lambda m: m[1])):
         balance[a] += v if credit else -v
         rows.append((a, i, date.fromordinal(738000 + day), "x", 0 if credit else v, v if credit else 0, balance[a], "y"))
-    assert all(r.passed for r in score.reconciliation(ledger(spark, rows)).collect())
+    assert all(r.passed for r in score.ledger_checks(ledger(spark, rows)).collect())
 
 
 def test_merge_flatten_and_sinks(spark, tmp_path):
@@ -123,7 +123,7 @@ def test_merge_flatten_and_sinks(spark, tmp_path):
 
 def test_empty_ledger(spark):
     empty = ledger(spark, [])
-    for df in (engines.cashflow_summary(empty), timeline.daily_balance(empty), recurrence.recurring_groups(empty, "debit_c"), score.reconciliation(empty), classify.classify(empty)):
+    for df in (engines.cashflow_summary(empty), timeline.daily_balance(empty), recurrence.recurring_groups(empty, "debit_c"), score.ledger_checks(empty), classify.classify(empty)):
         assert df.count() == 0
 
 
