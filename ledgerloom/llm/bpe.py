@@ -31,7 +31,7 @@ from ledgerloom.llm.shared import with_fields
 from ledgerloom.llm.textkit import chunks, hash_sums, range_hashes, ranges
 
 #: Words a worker keeps the ids of, and bytes of words; beyond, the table starts anew.
-KEPT, KEPT_BYTES = 300_000, 1 << 23
+KEPT, KEPT_BYTES = 200_000, 1 << 22
 #: States of the automaton over bytes that a worker keeps, with four times as many transitions at most; beyond, their table starts anew.
 STATES = 150_000
 LETTER, NUMBER, SPACE = 1, 2, 3

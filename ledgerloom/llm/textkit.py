@@ -80,7 +80,7 @@ def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     return mix((sums[end] - sums[start]) * _POWERS.get(len(sums))[1][start] + np.uint64(seed))
 
 
-def chunks(ids: list, texts: list[str | None], limit: int = 1 << 20, lower: bool = False) -> Iterator[tuple[list, list[bytes]]]:
+def chunks(ids: list, texts: list[str | None], limit: int = 1 << 18, lower: bool = False) -> Iterator[tuple[list, list[bytes]]]:
     """Cuts a batch into runs of texts of about `limit` bytes together, so that memory follows neither the
     batch nor the number of rows; one text is never cut."""
     own: list = []
