@@ -136,12 +136,12 @@ def _by_severity(table: dict[str, float]) -> Column:
 
 def fraud_score(flags: DataFrame) -> DataFrame:
     """Weights times confidence up to 100 with a risk level, and penalty points that compound from three high
-    flags on."""
+    flags on; also how many flags are of mirrored money and of structuring."""
     high = F.count_if(F.col("severity").isin("HIGH", "CRITICAL"))
-    s = flags.groupBy(A).agg(F.least(F.lit(100.0), F.sum(_by_severity(WEIGHTS) * F.col("confidence"))).alias("raw"), F.sum(_by_severity(POINTS)).alias("points"), high.alias("high_flags"), F.count("*").alias("flags"))
+    s = flags.groupBy(A).agg(F.least(F.lit(100.0), F.sum(_by_severity(WEIGHTS) * F.col("confidence"))).alias("raw"), F.sum(_by_severity(POINTS)).alias("points"), high.alias("high_flags"), F.count("*").alias("flags"), F.count_if(F.col("detector") == "circular_mirroring").alias("mirrored"), F.count_if(F.col("detector").isin("structuring", "high_structuring")).alias("structured"))
     points = F.col("points") * F.when(F.col("high_flags") >= 3, 1.25).otherwise(1.0)
     level = F.when(F.col("raw") >= 65, "CRITICAL").when(F.col("raw") >= 40, "HIGH").when(F.col("raw") >= 20, "MEDIUM").otherwise("LOW")
-    return s.select(A, F.round(F.col("raw"), 3).alias("fraud_score"), level.alias("risk"), F.round(points).cast("long").alias("penalty_points"), "high_flags", "flags")
+    return s.select(A, F.round(F.col("raw"), 3).alias("fraud_score"), level.alias("risk"), F.round(points).cast("long").alias("penalty_points"), "high_flags", "flags", "mirrored", "structured")
 
 
 def state_windows(ledger: DataFrame, days: tuple[int, ...] = (30, 90, 180, 365)) -> DataFrame:

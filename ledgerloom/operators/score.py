@@ -47,9 +47,7 @@ def features(ledger: DataFrame) -> DataFrame:
     )
     base = base.withColumn("foir", F.round(ratio(F.col("owed_c"), F.col("true_income_c")), 4)).drop("owed_c", "true_income_c")
     balance = engines.balance_summary(daily).select(A, "negative_days", "volatility", F.round(F.col("sum_c") / F.col("days")).cast("long").alias("mean_balance_c"))
-    flags = fraud.all_flags(ledger)
-    scores = fraud.fraud_score(flags)
-    marks = scores.select(A, "fraud_score", "penalty_points", "high_flags").join(risk.aml_score(flags, scores), A)
+    marks = risk.aml_score(fraud.fraud_score(fraud.all_flags(ledger))).select(A, "fraud_score", "penalty_points", "high_flags", "aml_band")
     plans = ledger.where((F.col("category") == "Investment") & (F.col("debit_c") > 0))
     sips = engines.sip_clusters(plans).groupBy(A).agg(F.count("*").alias("sip_count"))
     paid = debt.discipline(debt.loans(classify.lenders(ledger), ledger.groupBy(A).agg(F.max("d").alias("end_d")))).select(A, F.col("pct").alias("discipline_pct"))

@@ -136,7 +136,7 @@ add("s18_point_lookup", lambda s, d: read(s, d, "orders").where("o_orderkey = 7"
 add("s17_scan_by_key", lambda s, d: read(s, d, "orders").where("o_custkey = 5").select("o_orderkey", "o_orderdate").orderBy("o_orderdate", "o_orderkey"), "select o_orderkey, o_orderdate from orders where o_custkey = 5")
 on_ledger("a29_facilities", risk.facilities, "select account_id, count(*) filter (where credit_c > 0) as drawn, count(*) filter (where debit_c > 0) as repaid, sum(credit_c)::bigint as drawn_c, sum(debit_c)::bigint as repaid_c from ledger where regexp_matches(upper(description), 'EMI|FINANCE|LENDER') group by 1")
 on_ledger("a34_salary_cycle", risk.salary_cycle, "select account_id, count(*) as n, median(day(d))::double as day, median(credit_c)::double as median_c from ledger where credit_c > 0 and regexp_matches(upper(description), 'SALARY|PAYROLL') group by 1")
-on_classified("a44_aml_score", lambda c: (lambda flags: risk.aml_score(flags, fraud.fraud_score(flags)))(fraud.all_flags(c)))
+on_classified("a44_aml_score", lambda c: risk.aml_score(fraud.fraud_score(fraud.all_flags(c))).select("account_id", "aml_score", "aml_band"))
 on_slim("x2_deposits_withdrawal", spec.deposits_then_withdrawal, "select account_id, seq, debit_c, in_c::bigint as in_c from (select *, count(*) filter (where credit_c > 0) over w as n, sum(credit_c) over w as in_c from ledger window w as (partition by account_id order by d range between interval 3 day preceding and current row)) where debit_c >= 5000000 and n >= 2 and in_c >= debit_c")
 on_slim("x4_high_spending", spec.high_spending, "select account_id, seq, debit_c from ledger join (select account_id, sum(credit_c) as i from ledger group by 1) using (account_id) where debit_c > 0 and debit_c * 100 > i * 5")
 add("x16_consolidation", lambda s, d: spec.consolidated(ledger_items(s, d, False, False), read(s, d, "customer").select(F.col("c_custkey").alias("account_id"), F.col("c_nationkey").alias("owner"))),
