@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, chat, decontam, flac, fm_dedup, secrets, simhash, toxicity, url_filters, warc
+from ledgerloom.llm import bpe, chat, decontam, flac, fm_dedup, merkle, secrets, simhash, toxicity, url_filters, warc
 from ledgerloom.llm.shared import fresh_path, materialize
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,6 +60,10 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(materialize(flac.encode_table(_table(spark, sf_dir, "documents")), "media"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_warc": op2_warc,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fm_dedup": op8_fm_dedup,
     "op9_secrets": op9_secrets,
     "op10_flac": op10_flac,
+    "op13_merkle": op13_merkle,
 }
 
 SQL: dict[str, str] = {
