@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, chat, decontam, flac, fm_dedup, merkle, secrets, simhash, toxicity, url_filters, warc
+from ledgerloom.llm import alignment, bpe, chat, decontam, flac, fm_dedup, merkle, secrets, simhash, toxicity, url_filters, warc
 from ledgerloom.llm.shared import fresh_path, materialize
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,10 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(materialize(flac.encode_table(_table(spark, sf_dir, "documents")), "media"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.statistics(_table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fm_dedup": op8_fm_dedup,
     "op9_secrets": op9_secrets,
     "op10_flac": op10_flac,
+    "op12_alignment": op12_alignment,
     "op13_merkle": op13_merkle,
 }
 
