@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import alignment, bpe, chat, decontam, flac, fm_dedup, merkle, secrets, simhash, toxicity, url_filters, warc
+from ledgerloom.llm import alignment, bpe, chat, decontam, flac, fm_dedup, merkle, minhash, secrets, simhash, toxicity, url_filters, warc
 from ledgerloom.llm.shared import fresh_path, materialize
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,10 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(materialize(flac.encode_table(_table(spark, sf_dir, "documents")), "media"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.statistics(_table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fm_dedup": op8_fm_dedup,
     "op9_secrets": op9_secrets,
     "op10_flac": op10_flac,
+    "op11_minhash": op11_minhash,
     "op12_alignment": op12_alignment,
     "op13_merkle": op13_merkle,
 }
