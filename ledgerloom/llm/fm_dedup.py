@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm.shared import materialize, partitions, with_fields
 from ledgerloom.llm.textkit import ASCII_SPACE, Words, chunks, mix
@@ -31,8 +32,8 @@ WINDOW = 50
 GRAM = 8
 #: Words of an index from which on a shard is closed at the next key.
 SHARD_WORDS = 1 << 18
-#: Distinct segments of a key in a part.
-PART = 3_000
+#: Distinct segments of a key in a part, and their words.
+PART, PART_WORDS = 3_000, 1 << 20
 _SLIDE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,39 +163,56 @@ class FMIndex:
             row = self.first[c] + self.bwt.place(c, row) - self.run[c]
             yield step, row
 
-    def least_owners(self) -> list[np.ndarray]:
-        """Of each segment, for each of its windows, the smallest owner of a segment that has the window."""
-        out = [np.zeros(n - self.window + 1, np.int64) for n in self.size]
-        width = int(self.size.max()) - self.window + 1
-        grid = np.zeros((width, len(self.size)), np.int64)
+    def runs(self) -> tuple[np.ndarray, ...]:
+        """(segment, first, stop, least), ordered: of each segment the runs of windows with one smallest owner of a
+        segment that has the window. A run is written when it ends, so memory follows the runs, not the longest segment."""
+        out: list[np.ndarray] = []
+        now, since, w = np.zeros(0, np.int64), np.zeros(0, np.int64), -1
+
+        def close(which: np.ndarray, at: int) -> None:
+            segment = self.order[which]
+            last = self.size[segment] - self.window
+            out.append(np.stack([segment, last - at + 1, last - since[which] + 1, now[which]]))
+
         for step, row in self.stream():
-            if step >= self.window - 1:
-                grid[step - self.window + 1, : len(row)] = self.least[row]
-        flat = np.ascontiguousarray(grid.T)
-        for i, s in enumerate(self.order):
-            out[s] = flat[i, : len(out[s])][::-1]
-        return out
+            if step < self.window - 1:
+                continue
+            w = step - self.window + 1  # windows before it, from the right
+            least = self.least[row]
+            if w == 0:
+                now, since = least.copy(), np.zeros(len(row), np.int64)
+                continue
+            if len(row) < len(now):
+                close(np.arange(len(row), len(now)), w)
+                now, since = now[: len(row)], since[: len(row)]
+            if len(other := np.flatnonzero(now != least)):
+                close(other, w)
+                now[other], since[other] = least[other], w
+        close(np.arange(len(now)), w + 1)
+        found = np.concatenate(out, axis=1)
+        return tuple(found[:, np.lexsort((found[1], found[0]))])
 
 
 def _find_segments(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, start, n, key, content) of each segment of each document."""
+    """(doc_id, digest, start, n, key, content) of each segment of each row of docs (doc_id, text, digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, texts in chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for rows, texts in chunks(list(range(b.num_rows)), b.column(1).to_pylist()):
                 w = Words(texts, ASCII_SPACE)
                 text, start, n, key, content = _segments(w.first, w.hashes(), window)
-                own = np.array(ids, np.int64)[text]
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))], ["doc_id", "start", "n", "key", "content"])
+                own = pa.array(np.array(rows, np.int64)[text])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(2).take(own), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))], ["doc_id", "digest", "start", "n", "key", "content"])
 
-    return docs.mapInArrow(run, "doc_id long, start int, n int, key long, content long")
+    return docs.mapInArrow(run, with_fields(docs, "doc_id", "digest long, start int, n int, key long, content long"))
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The words of the wanted segments: (key, content, low, high, doc_id, words), once for each index that
-    a segment is in."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "content", "start", "n", "parts", "part")).alias("own")).withColumnRenamed("doc_id", "of")
-    joined = docs.join(lists.hint("shuffle_hash"), F.col("doc_id") == F.col("of")).select("doc_id", "text", "own")
+    a segment is in. A segment is cut from the text it was found in: texts are told apart by doc_id and digest."""
+    lists = wanted.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("key", "content", "start", "n", "parts", "part")).alias("own")).withColumnsRenamed({"doc_id": "of", "digest": "of_digest"})
+    once = docs.dropDuplicates(["doc_id", "digest"])
+    joined = once.join(lists.hint("shuffle_hash"), (F.col("doc_id") == F.col("of")) & (F.col("digest") == F.col("of_digest"))).select("doc_id", "text", "own")
     names = ["key", "content", "low", "high", "doc_id", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,12 +238,11 @@ def _statistics(cut: DataFrame, window: int) -> DataFrame:
     def index(rows: list[tuple]) -> pa.RecordBatch:
         w = Words([r[5] for r in rows], ASCII_SPACE)
         h = w.hashes()
-        found = FMIndex([h[w.first[i] : w.first[i + 1]] for i in range(len(rows))], np.array([r[4] for r in rows]), window).least_owners()
-        runs = []
-        for least in found:
-            at = np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1]
-            runs.append([{"first": f, "stop": s, "least": v} for f, s, v in zip(at.tolist(), [*at[1:].tolist(), len(least)], least[at].tolist(), strict=True)])
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array(runs, kind)], ["key", "content", "runs"])
+        segment, first, stop, least = FMIndex([h[w.first[i] : w.first[i + 1]] for i in range(len(rows))], np.array([r[4] for r in rows]), window).runs()
+        edge = np.searchsorted(segment, np.arange(len(rows) + 1))
+        values = pa.StructArray.from_arrays([pa.array(first.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(least)], fields=list(kind.value_type))
+        runs = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), values)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), runs], ["key", "content", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, load = [], 0
@@ -243,22 +260,31 @@ def _statistics(cut: DataFrame, window: int) -> DataFrame:
     return cut.repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high", "content").mapInArrow(run, "key long, content long, runs array<struct<first:int,stop:int,least:bigint>>")
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, digest) of docs; the digest tells texts with one doc_id apart."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be a whole number")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, spans): of each document with such words, ranges (first, stop) of words in windows whose word
+    """(doc_id, digest, spans): of each text with such words, ranges (first, stop) of words in windows whose word
     sequence also starts in a document with a smaller doc_id. Ranges may overlap. Rows with a null doc_id take
-    no part; null texts have no words; rows that repeat a doc_id are one document with several texts, each of
-    which is cut at the ranges of all."""
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    no part; null texts have no words; rows that repeat a doc_id are texts of one document, each with ranges of its
+    own. Segments are told apart by key and content, two 64-bit hashes."""
+    own = _told_apart(docs.where("doc_id is not null"))
     found = materialize(_find_segments(own, window), "segments")
     shared = found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     kept = materialize(found.join(shared, "key"), "repeated")
-    distinct = kept.groupBy("key", "content").agg(F.min(F.struct("doc_id", "start", "n")).alias("at")).select("key", "content", "at.*")
-    hot = distinct.groupBy("key").count().where(F.col("count") > PART).select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
+    distinct = kept.groupBy("key", "content").agg(F.min(F.struct("doc_id", "digest", "start", "n")).alias("at")).select("key", "content", "at.*")
+    load = distinct.groupBy("key").agg(F.count("*").alias("many"), F.sum(F.col("n") + window - 1).alias("words"))
+    parts = F.ceil(F.greatest(F.col("many") / PART, F.col("words") / PART_WORDS)).cast("int")
+    hot = load.select("key", F.least(parts, F.col("many").cast("int")).alias("parts")).where("parts > 1")
     wanted = distinct.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("content"), F.col("parts")).cast("int"))
     statistics = _statistics(_cut(own, wanted, window), window)
     spans = F.transform(F.filter("runs", lambda r: r["least"] < F.col("doc_id")), lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["stop"] + window - 1).alias("stop")))
-    hits = kept.join(statistics, ["key", "content"]).select("doc_id", spans.alias("spans")).where(F.size("spans") > 0)
-    return hits.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    hits = kept.join(statistics, ["key", "content"]).select("doc_id", "digest", spans.alias("spans")).where(F.size("spans") > 0)
+    return hits.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -285,9 +311,10 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 kept.append(b" ".join(own).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    spans = materialize(covered(docs, window), "covered").withColumnRenamed("doc_id", "of")
-    joined = docs.select("doc_id", "text").join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, with_fields(docs, "doc_id", "n_words long, n_removed long, kept string"))
+    spans = materialize(covered(docs, window), "covered").withColumnsRenamed({"doc_id": "of", "digest": "of_digest"})
+    same = (F.col("doc_id") == F.col("of")) & (F.col("digest") == F.col("of_digest"))
+    joined = _told_apart(docs).join(spans.hint("shuffle_hash"), same, "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(run, with_fields(joined, "doc_id", "n_words long, n_removed long, kept string"))
 
 
 def digests(kept: DataFrame) -> DataFrame:

@@ -273,6 +273,27 @@ def test_fm_dedup_salts_and_ties(spark, part, monkeypatch):
     assert got == {d: (len(w) - len(k), b" ".join(k).decode()) for d, (w, k) in want.items()}
 
 
+def test_fm_dedup_of_repeated_ids(spark):
+    """Different texts with one doc_id, equal rows, and a periodic text."""
+    passage = " ".join(f"w{i}" for i in range(100))
+    other = " ".join(f"v{i}" for i in range(300))
+    rows = [(1, passage), (1, "short one"), (2, passage), (2, passage), (3, other), (3, passage + " " + other), (4, other), (5, "tick tock " * 3000), (6, "tick tock " * 100), (6, "x " + passage + " y")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in fm_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    first, want = {}, []
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 49):
+            at = tuple(w[i : i + 50])
+            first[at] = min(d, first.get(at, d))
+    for d, t in rows:
+        w = t.split()
+        gone = {k for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < d for k in range(i, i + 50)}
+        want.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    assert got == sorted(want)
+    with pytest.raises(TypeError):
+        fm_dedup.dedup(spark.createDataFrame([("a", passage)], "doc_id string, text string"))
+
+
 def test_fm_dedup_awkward(spark, nasty):
     got = fm_dedup.dedup(nasty).collect()
     assert len(got) == nasty.count() and {r.n_words for r in got if r.doc_id in (3, 4, 5)} == {0}
