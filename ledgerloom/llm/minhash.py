@@ -14,7 +14,7 @@ table grows with the square of a group's size, and no link is lost."""
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -192,14 +192,19 @@ def _near(a: str, b: str) -> str:
     return f"bit_count({a}.low ^ {b}.low) + bit_count({a}.high ^ {b}.high) <= {SKETCH_BITS}"
 
 
-def star_places(members: DataFrame, turn: int) -> DataFrame:
-    """Places of each bucket's hub, another one each turn, and of its members that have another label and a near
-    sketch. A hub of many members has several places."""
+def star_edges(members: DataFrame, turn: int) -> DataFrame:
+    """(hub, hub_label, node, label): each bucket's hub, another one each turn, with its members that have another
+    label and a near sketch."""
     order = F.xxhash64("node", "key") if turn else F.col("node")
     hub = members.groupBy("key").agg(F.min_by(F.struct("node", "label", "low", "high"), order).alias("hub"))
     own = F.struct("node", "label", "low", "high")
     edges = members.withColumn("own", own).join(hub, "key").where("own.label <> hub.label").where(_near("own", "hub"))
-    edges = materialize(edges.select(F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label"), "node", "label").distinct(), "edges")
+    return edges.select(F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label"), "node", "label").distinct()
+
+
+def edge_places(edges: DataFrame) -> DataFrame:
+    """Places of hubs with their partners, of edges (hub, hub_label, node, label). A hub of many has several places."""
+    edges = materialize(edges, "edges")
     parts = edges.groupBy("hub", "hub_label").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     place = F.xxhash64("hub", "part").alias("place")
     hubs = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(place, F.lit(HELD).alias("side"), F.col("hub").alias("node"), F.col("hub_label").alias("label"))
@@ -265,14 +270,15 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def features(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text_digest, n_shingles, digest, low, high, bytes, bands) of docs (doc_id, text, text_digest); digest
-    tells sets apart and is null where a text has no word."""
-    names = ["doc_id", "text_digest", "n_shingles", "digest", "low", "high", "bytes", "bands"]
+def features(docs: DataFrame, shingle: int, fingerprint: Callable[[str], int] | None = None) -> DataFrame:
+    """(doc_id, text_digest, n_shingles, digest, low, high, bytes, bands, fp) of docs (doc_id, text, text_digest);
+    digest tells sets apart and is null where a text has no word; fp: its fingerprint, 0 where none is asked for."""
+    names = ["doc_id", "text_digest", "n_shingles", "digest", "low", "high", "bytes", "bands", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rows, texts in chunks(list(range(b.num_rows)), b.column(1).to_pylist()):
+            every = b.column(1).to_pylist()
+            for rows, texts in chunks(list(range(b.num_rows)), every):
                 texts = [t.lower() for t in texts]
                 text, values = shingle_sets(texts, shingle)
                 own, low = signatures(text, values)
@@ -284,45 +290,79 @@ def features(docs: DataFrame, shingle: int) -> DataFrame:
                 keys[own] = band_keys(low)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
                 size = np.fromiter(map(len, texts), np.int64, len(texts))
+                fp = np.array([fingerprint(every[i]) for i in rows] if fingerprint else np.zeros(len(rows)), np.uint64)
                 cols = [b.column(i).slice(rows[0], len(rows)) for i in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(many), pa.array(digest, pa.string()), *(pa.array(sketch[:, i].view(np.int64)) for i in (0, 1)), pa.array(size), bands], names)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(many), pa.array(digest, pa.string()), *(pa.array(sketch[:, i].view(np.int64)) for i in (0, 1)), pa.array(size), bands, pa.array(fp.view(np.int64))], names)
 
-    return docs.select("doc_id", "text", "text_digest").mapInArrow(run, with_fields(docs, "doc_id", "text_digest string, n_shingles long, digest string, low long, high long, bytes long, bands array<long>"))
+    return docs.select("doc_id", "text", "text_digest").mapInArrow(run, with_fields(docs, "doc_id", "text_digest string, n_shingles long, digest string, low long, high long, bytes long, bands array<long>, fp long"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 2, least: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs.
+def _same_document(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links among the nodes of doc_ids that have several."""
+    several = rows.where("digest is not null").groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first < last").select("doc_id")
+    named = rows.select("doc_id", "digest").join(several, "doc_id").distinct().join(nodes.select("digest", "node"), "digest").select("doc_id", "node")
+    named = materialize(named, "named")
+    return named.join(named.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("node > a").select("a", F.col("node").alias("b"))
 
-    Sets hold a text's distinct shingles of `shingle` words (A-Z lower-cased; fewer words: the whole sequence). Texts
-    are linked where 100 * (shingles of both) >= least * (shingles of either); bands are chosen for a `least` of 80 or
-    more. component_id is the smallest doc_id that can be reached, kept whether it is the row's own. Texts that are
-    null or have no word are linked with nothing. Equal sets are one node, of any number of rows. Rows with a null
-    doc_id take part and never name a component that another row is in. A very long text is compared whole; an empty
-    table gives an empty result; further columns are not carried. doc_id may be of any type that has an order."""
+
+def _fingerprint_edges(nodes: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges between the nodes of linked fingerprints, and from one node of each fingerprint to its others."""
+    hub = nodes.groupBy("fp").agg(F.min("node").alias("hub"))
+    hub = materialize(hub, "fingerprints")
+    near = link(hub).join(hub.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(hub.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b").select("x", "y")
+    same = nodes.select("fp", "node").join(hub, "fp").where("node > hub").select(F.col("hub").alias("x"), F.col("node").alias("y"))
+    pairs = near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionAll(same).distinct()
+    return pairs.select(F.col("x").alias("hub"), F.col("x").alias("hub_label"), F.col("y").alias("node"), F.col("y").alias("label"))
+
+
+def grouped(docs: DataFrame, shingle: int, least: int, fingerprint: Callable[[str], int] | None = None, link: Callable[[DataFrame], DataFrame] | None = None, same_ids: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs; see near_duplicates.
+
+    fingerprint, link: a fingerprint of texts, and links (a, b) between those of a table (fp); then texts whose
+    fingerprints are linked are the first candidates, instead of a second round of stars. same_ids: rows that share a
+    doc_id are of one component."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_digest", F.md5("text"))
-    rows = materialize(features(own, shingle), "features")
-    nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_digest")).alias("of"), *[F.first(c).alias(c) for c in ("low", "high", "bytes", "bands")])
+    rows = materialize(features(own, shingle, fingerprint), "features")
+    nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_digest")).alias("of"), *[F.first(c).alias(c) for c in ("low", "high", "bytes", "bands", "fp")])
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     spread = nodes.select(F.explode("bands").alias("key"), "node", "low", "high", "bytes")
     buckets = spread.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long, low long, high long, bytes long")
     buckets = materialize(buckets, "buckets")
+    first = materialize(_fingerprint_edges(nodes, link), "edges") if link else None
 
-    wanted = buckets.select("node").distinct().join(nodes.select("node", "of.*"), "node")
-    wanted = materialize(wanted.select(F.col("doc_id").alias("__id"), F.col("text_digest").alias("__digest"), "node"), "wanted")
+    met = buckets.select("node") if first is None else buckets.select("node").unionAll(first.select("hub")).unionAll(first.select("node"))
+    wanted = materialize(met.distinct().join(nodes.select("node", "of.*"), "node").select(F.col("doc_id").alias("__id"), F.col("text_digest").alias("__digest"), "node"), "wanted")
     text = own.join(checked(wanted), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_digest") == F.col("__digest"))).select("node", "text")
     text = materialize(text.dropDuplicates(["node"]), "texts")
 
-    links, roots = None, None
+    links = materialize(_same_document(rows, nodes), "links") if same_ids else None
+    roots = connected_components(links) if same_ids else None
     for turn in range(ROUNDS + 1):
         members = buckets.withColumn("label", F.col("node")) if roots is None else buckets.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        places = star_places(members, turn) if turn < ROUNDS else rest_places(members)
+        if turn == ROUNDS:
+            places = rest_places(members)
+        elif turn == 0 and first is not None:
+            places = edge_places(first)
+        else:
+            places = edge_places(star_edges(members, 0 if first is not None else turn))
         found = materialize(compared(places, text, shingle, least), "links")
         links = found if links is None else links.unionAll(found)
-        if turn < ROUNDS or not found.isEmpty():
+        if roots is None or not found.isEmpty():
             roots = connected_components(links)
     reached = roots.join(nodes.select("node", "digest", "least"), "node")
     low = reached.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = nodes.select("digest", "node", "least").join(reached.join(low, "root").select("node", "component_id"), "node", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
     found = rows.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return found.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 2, least: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs.
+
+    Sets hold a text's distinct shingles of `shingle` words (A-Z lower-cased; fewer words: the whole sequence). Texts
+    are linked where 100 * (shingles of both) >= least * (shingles of either); bands are chosen for a `least` of 80 or
+    more. component_id is the smallest doc_id that can be reached, kept whether it is the row's own. Texts that are
+    null or have no word are linked with nothing. Equal sets are one node, of any number of rows. Rows with a null
+    doc_id take part and never name a component that another row is in. A very long text is compared whole; an empty
+    table gives an empty result; further columns are not carried. doc_id may be of any type that has an order."""
+    return grouped(docs, shingle, least).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
