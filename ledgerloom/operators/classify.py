@@ -157,8 +157,8 @@ def keyword_of(text: Column, entries: list[tuple] = KEYWORDS) -> Column:
 
 def longest_keyword(rows: DataFrame, text: str = "description") -> DataFrame:
     """The keyword, category and subcategory of each row's longest dictionary match (ties: by order)."""
-    k = keyword_of(F.col(text))
-    return rows.withColumn("__k", k).select(*rows.columns, *[F.col(f"__k.{c}") for c in ("keyword", "k_category", "k_subcategory", "k_label")])
+    known = rows.select(*rows.columns, F.inline(F.array(keyword_of(F.col(text)))))
+    return known.drop("ord")
 
 
 def vpa_directory(rows: DataFrame, text: str = "description") -> DataFrame:
@@ -195,7 +195,8 @@ def classify(ledger: DataFrame) -> DataFrame:
     by_rail = lambda test, c, s, p: F.when(test, tier(F.lit(c), F.lit(s), F.lit("Unknown" if c == "Expense" else "Not Applicable"), p, "rail"))
     rails = [by_rail(F.contains(u, F.lit("UPI/P2M/")) & (F.col("debit_c") > 0), "Expense", "Merchant", 0.6), by_rail(F.contains(u, F.lit("UPI")), "Transfer", "UPI Transfer", 0.5), by_rail(u.rlike("NEFT|IMPS|RTGS"), "Transfer", "Bank Transfer", 0.5)]
     none = tier(F.lit("Uncategorized"), F.lit("Unknown"), F.lit("Unknown"), 0.0, "none")
-    return k.withColumn("t", F.coalesce(one, two, *rails, none)).select(*ledger.columns, "t.*")
+    # A generator, as Catalyst would copy a column's expression into each field and filter that uses the label.
+    return k.select(*ledger.columns, F.inline(F.array(F.coalesce(one, two, *rails, none))))
 
 
 def tags(d: Column, subcategory: Column, debit: Column) -> Column:
@@ -222,23 +223,6 @@ def counterparty_key(payee: Column, vpa: Column, bank: Column) -> Column:
     return F.when(vpa != "", F.upper(F.substring_index(vpa, "@", 1))).when(F.length(squeezed) <= 10, F.concat(squeezed, F.lit("|"), F.upper(F.coalesce(bank, F.lit(""))))).otherwise(squeezed)
 
 
-def canonical_keys(keys: DataFrame, least: int = 6) -> DataFrame:
-    """(account_id, key, canonical): spellings cut short under the longest one. Keys are taken longest first (ties: by
-    name); a key equal, but for the bank after `|` and blanks, to one kept before, or its beginning of `least`
-    characters or more, joins the first such. Candidates share an account and the first `least` characters; a task
-    walks one such block."""
-    flat = F.regexp_replace(F.substring_index("key", "|", 1), " ", "")
-    k = keys.select(A, "key").where("key <> ''").distinct().withColumn("flat", flat).withColumn("head", F.when(F.length("flat") >= least, F.substring("flat", 1, least)).otherwise(F.concat(F.lit("="), F.col("flat"))))
-    block = k.groupBy(A, "head").agg(F.array_sort(F.collect_list(F.struct((-F.length("key")).alias("n"), "key", "flat"))).alias("all"))
-    start = F.array().cast("array<struct<key: string, flat: string, canonical: string>>")
-
-    def place(kept: Column, x: Column) -> Column:
-        found = F.get(F.filter(kept, lambda e: (e["canonical"] == e["key"]) & (e["flat"].startswith(x["flat"]) | x["flat"].startswith(e["flat"]))), F.lit(0))
-        return F.array_append(kept, F.struct(x["key"].alias("key"), x["flat"].alias("flat"), F.coalesce(found["canonical"], x["key"]).alias("canonical")))
-
-    return block.select(A, F.inline(F.aggregate("all", start, place))).select(A, "key", "canonical")
-
-
 #: Fixed: words that are no part of a name.
 TITLES = r"\b(MR|MRS|MS|MISS|DR|SHRI|SMT|SRI|PROF)\b"
 

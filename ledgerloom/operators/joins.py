@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
+from ledgerloom.operators import scan
 
 A = "account_id"
 
@@ -70,10 +71,9 @@ def two_sided(ledger: DataFrame, least_c: int = 1_000_000, within: float = 0.15)
 
 def salary_phase(ledger: DataFrame, is_salary: Column) -> DataFrame:
     """Spending by days since the latest salary."""
-    w = Window.partitionBy(A).orderBy("d").rangeBetween(Window.unboundedPreceding, 0)
-    days = F.datediff("d", F.max(F.when(is_salary, F.col("d"))).over(w))
+    days = F.datediff("d", "salary_d")
     phase = F.when(days.isNull(), "Pre-Salary").when(days <= 7, "Week 1").when(days <= 15, "Week 2").when(days <= 22, "Week 3").otherwise("Week 4+")
-    return ledger.withColumn("phase", phase).groupBy(A, "phase").agg(F.sum("debit_c").alias("spent_c"), F.count("*").alias("n"))
+    return scan.as_of_day(ledger, "salary_d", F.when(is_salary, F.col("d"))).withColumn("phase", phase).groupBy(A, "phase").agg(F.sum("debit_c").alias("spent_c"), F.count("*").alias("n"))
 
 
 def latest_labels(rows: DataFrame, labels: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -82,10 +82,16 @@ def latest_labels(rows: DataFrame, labels: DataFrame, keys: list[str], order: st
     return rows.join(last, keys, "left")
 
 
+def missing_ranges(seen: DataFrame, number: str, key: str = A) -> DataFrame:
+    """(key, first, last): runs of numbers absent between each key's least and greatest, a row for each run."""
+    after = F.lead(number).over(Window.partitionBy(key).orderBy(number))
+    gaps = seen.select(key, number).distinct().withColumn("__after", after).where(F.col("__after") > F.col(number) + 1)
+    return gaps.select(key, (F.col(number) + 1).alias("first"), (F.col("__after") - 1).alias("last"))
+
+
 def missing_numbers(seen: DataFrame, number: str, key: str = A) -> DataFrame:
-    """Numbers absent between each key's least and greatest."""
-    span = seen.groupBy(key).agg(F.min(number).alias("lo"), F.max(number).alias("hi")).select(key, F.explode(F.sequence("lo", "hi")).alias(number))
-    return span.join(seen.select(key, number).distinct(), [key, number], "left_anti")
+    """Numbers absent between each key's least and greatest, one by one."""
+    return missing_ranges(seen, number, key).select(key, F.explode(F.sequence("first", "last")).alias(number))
 
 
 def annotate(ledger: DataFrame, flags: DataFrame) -> DataFrame:

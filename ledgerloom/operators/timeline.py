@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import scan
+
 A = "account_id"
 
 
@@ -51,27 +53,27 @@ def velocity(rows: DataFrame, n: int = 3, days: int = 7, order: tuple[str, ...]
 
 def exhaustion_day(ledger: DataFrame, share: float = 0.8, default: int = 25) -> DataFrame:
     """(account_id, days): days from the first row until debits pass `share` of all credits; `default` where
-    they never do, 1 at least."""
-    run = ledger.withColumn("spent", F.sum("debit_c").over(by_account("seq").rowsBetween(Window.unboundedPreceding, 0))).withColumn("income", F.sum("credit_c").over(Window.partitionBy(A)))
+    they never do, 1 at least. Debits only add up, so the day is found among sums of days."""
+    days = ledger.groupBy(A, "d").agg(F.sum("debit_c").alias("out_c"), F.sum("credit_c").alias("in_c"))
+    run = days.withColumn("spent", F.sum("out_c").over(by_account("d").rowsBetween(Window.unboundedPreceding, 0))).withColumn("income", F.sum("in_c").over(Window.partitionBy(A)))
     at = run.groupBy(A).agg(F.min("d").alias("first"), F.min(F.when((F.col("income") > 0) & (F.col("spent") * 10 >= F.col("income") * int(share * 10)), F.col("d"))).alias("hit"))
     return at.select(A, F.greatest(F.coalesce(F.datediff("hit", "first"), F.lit(default)), F.lit(1)).cast("long").alias("days"))
 
 
 def as_of(ledger: DataFrame, is_anchor: Column, name: str = "anchor_d") -> DataFrame:
     """The date of the latest anchor row on or before each row's date."""
-    w = by_account("d").rangeBetween(Window.unboundedPreceding, 0)
-    return ledger.withColumn(name, F.max(F.when(is_anchor, F.col("d"))).over(w))
+    return scan.as_of_day(ledger, name, F.when(is_anchor, F.col("d")))
 
 
-def carry_forward(rows: DataFrame, column: str, order: str = "seq") -> DataFrame:
-    w = by_account(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(column, F.last(column, ignorenulls=True).over(w))
+def carry_forward(rows: DataFrame, column: str, order: str = "seq", size: int = scan.PIECE) -> DataFrame:
+    known = scan.scanned(rows, scan.by_number(order, size), [order], lasts={"__known": F.col(column)})
+    return known.withColumn(column, F.col("__known")).drop("__known")
 
 
-def chain_mismatches(ledger: DataFrame, tolerance_c: int = 50, order: str = "seq") -> DataFrame:
+def chain_mismatches(ledger: DataFrame, tolerance_c: int = 50, order: str = "seq", size: int = scan.PIECE) -> DataFrame:
     """Rows whose balance doesn't follow from the row before."""
-    before = F.lag("balance_c").over(by_account(order))
-    return ledger.withColumn("off_c", F.col("balance_c") - (before - F.col("debit_c") + F.col("credit_c"))).where(F.abs("off_c") > tolerance_c)
+    before = scan.scanned(ledger, scan.by_number(order, size), [order], lags={"before_c": F.col("balance_c")})
+    return before.withColumn("off_c", F.col("balance_c") - (F.col("before_c") - F.col("debit_c") + F.col("credit_c"))).drop("before_c").where(F.abs("off_c") > tolerance_c)
 
 
 def _settle(left: list[tuple], running: int | None, tolerance_c: int) -> tuple[list[int], int]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import classify, engines, fraud, joins, query, report, score, spec, timeline
+from ledgerloom.operators import classify, engines, fraud, joins, names, query, report, score, spec, timeline
 from ledgerloom.sources.tables import EVENTS_SQL, LEDGER_SQL, ledger_events, ledger_items, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,11 @@ def on_events(name: str, op: Callable[[DataFrame], DataFrame], sql: str | None =
     add(name, lambda spark, sf: op(ledger_events(spark, sf)), f"with {EVENTS_SQL}{', ' + more if more else ''} {sql}" if sql else None)
 
 
+def in_pieces(name: str, source: Callable[..., DataFrame], op: Callable[[DataFrame], DataFrame], sql: str, more: str = "", **options: bool) -> None:
+    """A query over a ledger that is numbered and summed in pieces of an account, as are the operators given here."""
+    add(name, lambda spark, sf: op(source(spark, sf, pieces=True, **options)), f"with {EVENTS_SQL if source is ledger_events else LEDGER_SQL}{', ' + more if more else ''} {sql}")
+
+
 # Sources and cleaning ------------------------------------------------------------------------------------
 RAW = """raw as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_shipdate, l_extendedprice, l_discount,
 case mod(l_orderkey + l_partkey, 7) when 0 then 'Rs ' || a when 1 then a || ' Dr' when 2 then '(' || a || ')' when 3 then '-' || a when 4 then 'INR ' || a || ' Cr' when 5 then 'n/a' else '$' || a end as cell,
@@ -166,7 +171,7 @@ def _spellings(l: DataFrame) -> DataFrame:
     return l.select("account_id", F.explode(F.array(whole, F.substring(whole, 1, 9), F.concat(F.substring(whole, 1, 10), F.lit("|BANK")))).alias("key"))
 
 
-on_slim("c28_canonical_keys", lambda l: classify.canonical_keys(_spellings(l)),
+on_slim("c28_canonical_keys", lambda l: names.canonical_keys(_spellings(l)),
     """select account_id, key, canonical from (select account_id, key, (select (list_sort(list((-length(o.key), o.key))))[1][2] from k o where o.account_id = k.account_id and starts_with(o.flat, k.flat)) as canonical from k)""",
     "k0 as (select distinct account_id, unnest([replace(counterparty, ' ', ''), substring(replace(counterparty, ' ', ''), 1, 9), substring(replace(counterparty, ' ', ''), 1, 10) || '|BANK']) as key from ledger), k as (select account_id, key, string_split(key, '|')[1] as flat from k0)")
 _HOLDERS = ["SUPPLIER", "Mr. Paytm Bank", "EMPLOYER 3", "Dr X", None]
@@ -190,12 +195,12 @@ on_ledger("c35_lenders", lambda l: classify.lenders(l).groupBy("account_id", "le
 
 # Time ----------------------------------------------------------------------------------------------------
 on_ledger("w1_reorder_by_balance", timeline.reorder_by_balance)
-on_ledger("w2_chain_mismatch", lambda l: timeline.chain_mismatches(l.withColumn("balance_c", F.col("balance_c") + F.when(F.col("seq") % 7 == 0, 1000).otherwise(0))).select("account_id", "seq", "off_c"),
+in_pieces("w2_chain_mismatch", ledger_items, lambda l: timeline.chain_mismatches(l.withColumn("balance_c", F.col("balance_c") + F.when(F.col("seq") % 7 == 0, 1000).otherwise(0))).select("account_id", "seq", "off_c"),
     "select account_id, seq, off_c from (select account_id, seq, b - (lag(b) over (partition by account_id order by seq) - debit_c + credit_c) as off_c from (select *, balance_c + case when seq % 7 = 0 then 1000 else 0 end as b from ledger)) where abs(off_c) > 50")
 on_slim("w4_gap_days", lambda l: l.select("account_id", "seq", F.datediff("d", F.lag("d").over(timeline.by_account("seq"))).cast("long").alias("gap")), "select account_id, seq, date_diff('day', lag(d) over (partition by account_id order by seq), d) as gap from ledger")
 on_slim("w5_month_over_month", lambda l: timeline.month_over_month(engines.monthly_cashflow(l).select("account_id", "ym", "outflow_c"), "outflow_c"),
     "select account_id, ym, outflow_c, case when p = 0 then 0 else round((outflow_c - p) * 100.0::double / abs(p), 2) end as change_pct from (select account_id, ym, outflow_c, lag(outflow_c) over (partition by account_id order by ym) as p from m)", MONTHLY_SQL)
-on_events("w7_daily_balance", timeline.daily_balance, "select account_id, d, balance_c from daily", DAILY_SQL.format(t="ev"))
+in_pieces("w7_daily_balance", ledger_events, timeline.daily_balance, "select account_id, d, balance_c from daily", DAILY_SQL.format(t="ev"))
 on_events("w6_daily_change", lambda l: engines.daily_change(timeline.daily_balance(l)), "select account_id, round(avg(p), 2) as mean_pct, round(max(p), 2) as max_pct from (select account_id, case when b <> 0 then abs((balance_c - b)::double * 100 / b) end as p from (select *, lag(balance_c) over (partition by account_id order by d) as b from daily)) group by 1", DAILY_SQL.format(t="ev"))
 on_events("w8_recovery_runs", lambda l: timeline.recovery_runs(timeline.daily_balance(l)),
     "select account_id, count(*) as runs, sum(days)::bigint as days from (select account_id, g, count(*) as days, max(d) as hi from (select *, row_number() over (partition by account_id order by d) - row_number() over (partition by account_id, low order by d) as g from lo) where low group by 1, 2) r join (select account_id, max(d) as last_d from lo group by 1) using (account_id) where hi < last_d group by 1",
@@ -205,11 +210,11 @@ on_ledger("w9_velocity", lambda l: timeline.velocity(l.where(F.contains("descrip
 on_events("w9b_velocity_dense", lambda l: timeline.velocity(l.where("debit_c > 5000"), order=("ts", "seq")).select("account_id", "seq", "d", "until"), "select account_id, seq, d, until from (select *, lead(d, 2) over (partition by account_id order by ts, seq) as until from ev where debit_c > 5000) where date_diff('day', d, until) <= 7")
 on_slim("w10_exhaustion", timeline.exhaustion_day,
     "select account_id, greatest(coalesce(date_diff('day', min(d), min(d) filter (where income > 0 and spent * 10 >= income * 8)), 25), 1)::bigint as days from (select *, sum(debit_c) over (partition by account_id order by seq rows between unbounded preceding and current row) as spent, sum(credit_c) over (partition by account_id) as income from ledger) group by 1")
-on_ledger("w11_opening_closing", lambda l: engines.opening_closing(l, ("account_id", "ym")), "select account_id, ym, arg_min(balance_c + debit_c - credit_c, seq)::bigint as opening_c, arg_max(balance_c, seq)::bigint as closing_c from ledger group by 1, 2")
+in_pieces("w11_opening_closing", ledger_items, lambda l: engines.opening_closing(l, ("account_id", "ym")), "select account_id, ym, arg_min(balance_c + debit_c - credit_c, seq)::bigint as opening_c, arg_max(balance_c, seq)::bigint as closing_c from ledger group by 1, 2")
 on_slim("w14_day_clusters", lambda l: timeline.day_clusters(l.select("account_id", "counterparty", "seq", "d"), ["account_id", "counterparty"], 30).groupBy("account_id", "counterparty").agg((F.max("cluster") + 1).alias("clusters")),
     "select account_id, counterparty, (sum(t) + 1)::bigint as clusters from (select account_id, counterparty, case when date_diff('day', lag(d) over (partition by account_id, counterparty order by d), d) > 30 then 1 else 0 end as t from ledger) group by 1, 2")
 on_slim("w15_txn_id", lambda l: l.select("account_id", "seq", F.format_string("TXN_%04d", "seq").alias("txn_id")), "select account_id, seq, 'TXN_' || lpad(cast(seq as string), 4, '0') as txn_id from ledger")
-on_events("j4_salary_phase", lambda l: joins.salary_phase(l, F.col("kind") == "purchase"),
+in_pieces("j4_salary_phase", ledger_events, lambda l: joins.salary_phase(l, F.col("kind") == "purchase"),
     "select account_id, case when n is null then 'Pre-Salary' when n <= 7 then 'Week 1' when n <= 15 then 'Week 2' when n <= 22 then 'Week 3' else 'Week 4+' end as phase, sum(debit_c)::bigint as spent_c, count(*) as n from (select account_id, debit_c, date_diff('day', max(case when kind = 'purchase' then d end) over (partition by account_id order by d range between unbounded preceding and current row), d) as n from ev) group by 1, 2")
 
 # Aggregations --------------------------------------------------------------------------------------------

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.operators import scan
+
 #: The canonical ledger as it is exchanged in files.
 STATEMENT = T.StructType([T.StructField("date", T.DateType()), T.StructField("description", T.StringType()), T.StructField("debit", T.DecimalType(18, 2)), T.StructField("credit", T.DecimalType(18, 2)), T.StructField("balance", T.DecimalType(18, 2))])
 
@@ -36,13 +38,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ledger_items(spark: SparkSession, sf_dir: str, narration: bool = True, balance: bool = True) -> DataFrame:
+def ledger_items(spark: SparkSession, sf_dir: str, narration: bool = True, balance: bool = True, pieces: bool = False) -> DataFrame:
     """account_id, seq, d, ym, description, debit_c, credit_c, balance_c (cents), counterparty, p_type, is_return.
 
     One order of rows per account: seq by date, then by all columns. One shuffle on the account serves seq and
     the running balance, and both windows drop out of plans that use neither. Without `narration` (description,
     p_type) or `balance` the join that only they need is left out: every part and customer key is known to
-    exist, but Spark can't know, so it would keep an inner join for nothing."""
+    exist, but Spark can't know, so it would keep an inner join for nothing. With `pieces`, an account's days are
+    numbered and summed each by itself and then by what came before, so that no account is one task's work."""
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     rows = read(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -55,11 +58,16 @@ def ledger_items(spark: SparkSession, sf_dir: str, narration: bool = True, balan
         F.col("o_custkey").alias("account_id"), F.to_date("l_shipdate").alias("d"), cents("l_extendedprice").alias("amount_c"), (F.col("l_linestatus") == "F").alias("is_credit"),
         F.concat(F.lit("SUPPLIER "), F.col("l_suppkey").cast("string")).alias("counterparty"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", *texts, *(["opening_c"] if balance else []),
     )
-    w = Window.partitionBy("account_id").orderBy(*[c.strip() for c in ORDER.split(",")])
+    order = [c.strip() for c in ORDER.split(",")]
+    w = Window.partitionBy("account_id").orderBy(*order)
     signed = F.when(F.col("is_credit"), F.col("amount_c")).otherwise(-F.col("amount_c"))
-    running = (F.col("opening_c") + F.sum(signed).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("balance_c") if balance else None
+    number = F.row_number().over(w).cast("long").alias("seq")
+    if pieces:
+        rows = scan.scanned(rows, F.col("d"), order, {"seq": F.lit(1).cast("long")} | ({"moved_c": signed} if balance else {}))
+        number = F.col("seq")
+    running = (F.col("opening_c") + F.col("moved_c")).alias("balance_c") if pieces and balance else (F.col("opening_c") + F.sum(signed).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("balance_c") if balance else None
     return rows.select(
-        "account_id", F.row_number().over(w).cast("long").alias("seq"), "d", F.date_format("d", "yyyy-MM").alias("ym"), *(["description"] if narration else []),
+        "account_id", number, "d", F.date_format("d", "yyyy-MM").alias("ym"), *(["description"] if narration else []),
         F.when(F.col("is_credit"), F.lit(0)).otherwise(F.col("amount_c")).cast("long").alias("debit_c"), F.when(F.col("is_credit"), F.col("amount_c")).otherwise(F.lit(0)).cast("long").alias("credit_c"),
         *([running] if balance else []), "counterparty", *(["p_type"] if narration else []), (F.col("l_returnflag") == "R").alias("is_return"),
     )
@@ -75,11 +83,13 @@ cast(opening_c + sum(case when is_credit then amount_c else -amount_c end) over
 counterparty, p_type, l_returnflag = 'R' as is_return from base window w as (partition by account_id order by {ORDER}))"""
 
 
-def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ledger_events(spark: SparkSession, sf_dir: str, pieces: bool = False) -> DataFrame:
     """account_id, seq, ts, d, ym, kind, debit_c, credit_c, balance_c: a dense month of activity."""
     credit = F.col("event_type").isin("purchase", "signup")
     amount = F.round(F.col("value") * 100).cast("long")
     rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("account_id"), F.col("event_id").alias("seq"), "ts", F.to_date("ts").alias("d"), F.date_format("ts", "yyyy-MM").alias("ym"), F.col("event_type").alias("kind"), F.when(credit, 0).otherwise(amount).cast("long").alias("debit_c"), F.when(credit, amount).otherwise(0).cast("long").alias("credit_c"))
+    if pieces:
+        return scan.scanned(rows, F.col("d"), ["ts", "seq"], {"balance_c": F.col("credit_c") - F.col("debit_c")})
     w = Window.partitionBy("account_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("balance_c", F.sum(F.col("credit_c") - F.col("debit_c")).over(w))
 
