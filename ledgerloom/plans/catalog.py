@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import exchange, more, recurring, registry, score_sql
+from ledgerloom.plans import exchange, more, moves, recurring, registry, score_sql, statements
 
 QUERIES, SQL = registry.QUERIES, registry.SQL
-__all__ = ["QUERIES", "SQL", "exchange", "more", "recurring", "score_sql"]
+__all__ = ["QUERIES", "SQL", "exchange", "more", "moves", "recurring", "score_sql", "statements"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators import classify, cleaning, engines, fraud, joins, labels, query, report, risk, score, spec, timeline
-from ledgerloom.plans.registry import DAILY_SQL, INCOME, KEYWORDS_SQL, MONTHLY_SQL, add, on_classified, on_events, on_ledger, on_slim, raw_cells
+from ledgerloom.plans.registry import DAILY_SQL, INCOME, KEYWORDS_SQL, MONTHLY_SQL, add, on_classified, on_events, on_ledger, on_shared, on_slim, raw_cells
 from ledgerloom.sources import scans
 from ledgerloom.sources.tables import LEDGER_SQL, ledger_items, merge_statements, read
 
@@ -90,7 +90,7 @@ on_ledger("a52_business_profile", lambda l: risk.business_profile(l, {"metal": "
     "select account_id, n, case when (m, 'metal') > (h, 'home') then 'metal' else 'home' end as sector, greatest(m, h)::bigint as hits, case when greatest(m, h)::double / n >= 0.4 then 'FORMAL' when greatest(m, h)::double / n >= 0.15 then 'MIXED' else 'INFORMAL' end as profile from (select account_id, count(*) as n, count(*) filter (where regexp_matches(lower(description), 'rod|bolt|gear|anvil')) as m, count(*) filter (where regexp_matches(lower(description), 'plate|widget|ring|gizmo')) as h from ledger group by 1)")
 on_ledger("a53_credit_audit", risk.audit,
     "select account_id, bounces, cleared, bounces - cleared as confirmed, employer from (select account_id, count(*) filter (where contains(description, 'RETURN CHARGES')) as bounces, count(*) filter (where contains(description, 'RETURN CHARGES') and exists (select 1 from ledger x where x.account_id = l.account_id and x.description like 'ACH/%' and x.debit_c > 0 and x.d between l.d and l.d + interval 7 day)) as cleared, arg_min(description, seq) filter (where description like 'SALARY%' and credit_c > 0) as employer from ledger l group by 1)")
-on_classified("a56_result_gate", lambda c: score.gate(score.composite(score.features(c)), score.ledger_checks(c)))
+on_shared("a56_result_gate", lambda c: score.gate(score.composite(score.features(c)), score.ledger_checks(c)))
 on_ledger("a60_cashflow_sheet", lambda l: l.groupBy("account_id", "ym").agg(F.sum("credit_c").alias("in_c"), F.sum("debit_c").alias("out_c"), F.count_if(F.col("credit_c") > 0).alias("n_in"), F.count_if(F.col("debit_c") > 0).alias("n_out"), F.sum("balance_c").alias("balance_sum_c")), "select account_id, ym, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c, count(*) filter (where credit_c > 0) as n_in, count(*) filter (where debit_c > 0) as n_out, sum(balance_c)::bigint as balance_sum_c from ledger group by 1, 2")
 on_ledger("w3_printed_balance", lambda l: risk.printed_balance_breaks(l.withColumn("balance_c", F.col("balance_c") * F.when(F.col("seq") % 11 == 0, 2).otherwise(1))), "select account_id, seq, off_c from (select account_id, seq, b, abs(lag(b) over (partition by account_id order by seq) - debit_c + credit_c - b) as off_c from (select *, balance_c * case when seq % 11 = 0 then 2 else 1 end as b from ledger)) where b <> 0 and off_c > 0.02::double * abs(b)")
 
@@ -136,7 +136,7 @@ add("s18_point_lookup", lambda s, d: read(s, d, "orders").where("o_orderkey = 7"
 add("s17_scan_by_key", lambda s, d: read(s, d, "orders").where("o_custkey = 5").select("o_orderkey", "o_orderdate").orderBy("o_orderdate", "o_orderkey"), "select o_orderkey, o_orderdate from orders where o_custkey = 5")
 on_ledger("a29_facilities", risk.facilities, "select account_id, count(*) filter (where credit_c > 0) as drawn, count(*) filter (where debit_c > 0) as repaid, sum(credit_c)::bigint as drawn_c, sum(debit_c)::bigint as repaid_c from ledger where regexp_matches(upper(description), 'EMI|FINANCE|LENDER') group by 1")
 on_ledger("a34_salary_cycle", risk.salary_cycle, "select account_id, count(*) as n, median(day(d))::double as day, median(credit_c)::double as median_c from ledger where credit_c > 0 and regexp_matches(upper(description), 'SALARY|PAYROLL') group by 1")
-on_classified("a44_aml_score", lambda c: risk.aml_score(fraud.fraud_score(fraud.all_flags(c))).select("account_id", "aml_score", "aml_band"))
+on_shared("a44_aml_score", lambda c: risk.aml_score(fraud.fraud_score(fraud.all_flags(c))).select("account_id", "aml_score", "aml_band"))
 on_slim("x2_deposits_withdrawal", spec.deposits_then_withdrawal, "select account_id, seq, debit_c, in_c::bigint as in_c from (select *, count(*) filter (where credit_c > 0) over w as n, sum(credit_c) over w as in_c from ledger window w as (partition by account_id order by d range between interval 3 day preceding and current row)) where debit_c >= 5000000 and n >= 2 and in_c >= debit_c")
 on_slim("x4_high_spending", spec.high_spending, "select account_id, seq, debit_c from ledger join (select account_id, sum(credit_c) as i from ledger group by 1) using (account_id) where debit_c > 0 and debit_c * 100 > i * 5")
 add("x16_consolidation", lambda s, d: spec.consolidated(ledger_items(s, d, False, False), read(s, d, "customer").select(F.col("c_custkey").alias("account_id"), F.col("c_nationkey").alias("owner"))),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators import classify, engines, fraud, joins, names, query, report, score, spec, timeline
-from ledgerloom.sources.tables import EVENTS_SQL, LEDGER_SQL, ledger_events, ledger_items, read
+from ledgerloom.sources.tables import EVENTS_SQL, LEDGER_SQL, ledger_events, ledger_items, read, shared_copy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,6 +60,11 @@ def on_classified(name: str, op: Callable[[DataFrame], DataFrame], sql: str | No
     add(name, lambda spark, sf: op(classify.classify(ledger_items(spark, sf))), f"with {CLASSIFIED_SQL}{', ' + more if more else ''} {sql}" if sql else None)
 
 
+def on_shared(name: str, op: Callable[[DataFrame], DataFrame], sql: str | None = None, more: str = "") -> None:
+    """As on_classified, for operators of many branches: the classified ledger is written once and read by each."""
+    add(name, lambda spark, sf: op(shared_copy(classify.classify(ledger_items(spark, sf)), "classified")), f"with {CLASSIFIED_SQL}{', ' + more if more else ''} {sql}" if sql else None)
+
+
 def on_events(name: str, op: Callable[[DataFrame], DataFrame], sql: str | None = None, more: str = "") -> None:
     add(name, lambda spark, sf: op(ledger_events(spark, sf)), f"with {EVENTS_SQL}{', ' + more if more else ''} {sql}" if sql else None)
 
@@ -256,12 +261,12 @@ on_slim("a40_equal_flows", fraud.equal_flows, "select account_id, count(*) as n,
 _FLAG = "select account_id, '{0}' as detector, {3} as severity, {4}::double as confidence, count(*) as hits, sum(debit_c + credit_c)::bigint as amount_c from (select *, debit_c + credit_c as a, upper(description) as u from ledger) where {1} group by 1 having count(*) >= {2}"
 _DETECTORS = [("structuring", "contains(u, 'CASH WDL') and a between 4000000 and 5000000", 2, "'HIGH'", 0.85), ("high_structuring", "a between 9000000 and 10000000", 1, "'HIGH'", 0.92), ("cash_cycling", "contains(u, 'CASH WDL') and debit_c >= 2500000", 3, "'MEDIUM'", 0.75), ("inward_bounce", "regexp_matches(u, 'RETURN CHARGES|CHQ RET|ACH RTN')", 1, "case when count(*) >= 2 then 'CRITICAL' else 'HIGH' end", 0.95), ("rtgs_minimum", "starts_with(u, 'RTGS') and debit_c > 0 and debit_c < 20000000", 1, "'MEDIUM'", 0.85), ("round_tax", "contains(u, 'TAX') and debit_c > 0 and debit_c % 100000 = 0", 2, "'LOW'", 0.70), ("atm_high", "contains(u, 'CASH WDL') and debit_c >= 5000000", 1, "'MEDIUM'", 0.80), ("negative_balance", "balance_c < 0", 1, "'HIGH'", 0.95)]
 on_ledger("a41_threshold_detectors", fraud.simple_flags, " union all ".join(_FLAG.format(*x) for x in _DETECTORS))
-on_classified("a43_fraud_score", lambda c: fraud.fraud_score(fraud.all_flags(c)).drop("mirrored", "structured"))
+on_shared("a43_fraud_score", lambda c: fraud.fraud_score(fraud.all_flags(c)).drop("mirrored", "structured"))
 on_slim("a45_data_sufficiency", score.data_sufficiency, "select account_id, days, n, case when days / 30.4375 < 6 then 'INSUFFICIENT' when days / 30.4375 <= 24 then 'SUFFICIENT' else 'RICH' end as sufficiency from (select account_id, (date_diff('day', min(d), max(d)) + 1)::int as days, count(*) as n from ledger group by 1)")
 on_classified("a46_method_counts", lambda c: c.groupBy("method").agg(F.count("*").alias("n")), "select method, count(*) as n from cl group by 1")
-on_classified("a47_composite_score", lambda c: score.composite(score.features(c)).drop("items"))
-on_classified("a49_itemised_score", lambda c: score.itemised(score.composite(score.features(c))))
-on_classified("a50_eligibility", lambda c: score.eligibility(_scored(c)))
+on_shared("a47_composite_score", lambda c: score.composite(score.features(c)).drop("items"))
+on_shared("a49_itemised_score", lambda c: score.itemised(score.composite(score.features(c))))
+on_shared("a50_eligibility", lambda c: score.eligibility(_scored(c)))
 
 
 def _scored(c: DataFrame) -> DataFrame:

@@ -151,6 +151,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def shared_copy(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: for a table that is dear to make and read by many branches."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """Nested rows as JSON lines."""
     df.write.mode("overwrite").json(path)
