@@ -16,6 +16,16 @@ POINTS = {"LOW": 15, "MEDIUM": 40, "HIGH": 85, "CRITICAL": 200}
 WEIGHTS = {"LOW": 2.5, "MEDIUM": 6.0, "HIGH": 15.0, "CRITICAL": 35.0}
 
 
+#: Fixed: narrations of payments that were dishonoured, and of returned deposits, which are none.
+INWARD = r"\bCHQ\s+(?:RET(?:URN)?|RTN)\b|\bINW(?:ARD)?\s+(?:RET(?:URN)?|RTN|CLG\s+RET)\b|\bNACH\s+(?:RET(?:URN)?|RTN|REJECT|FAIL)\b|\bECS\s+(?:RET(?:URN)?|RTN|REJECT|FAIL)\b|\bBOUNCE\s+CH(?:AR)?G|\bRETURN\s+CH(?:AR)?G|\bRET(?:URN)?\s+CHARGES?\b|\bDISHONO?UR\b|\bMANDATE\s+(?:REJECT|FAIL|RETURN)\b|\bINSUFFICIENT\s+FUNDS?\b|\bCHEQUE\s+BOUNCE\b|\bCHQ\s+BOUNCE\b|\bACH\s+DEBIT\s+RETURN\b"
+OUTWARD = r"\b(?:OUT(?:WARD)?\s+RET|DEP\s+RET|CLG\s+RET\s+DEP)\b"
+
+
+def is_bounce(description: Column) -> Column:
+    u = F.upper(F.coalesce(description, F.lit("")))
+    return u.rlike(INWARD) & ~u.rlike(OUTWARD)
+
+
 def _cash(d: Column) -> Column:
     return F.contains(F.upper(d), F.lit("CASH WDL"))
 
@@ -28,7 +38,7 @@ def row_detectors() -> list[tuple[str, Column, int, str, float]]:
         ("structuring", _cash(d) & amount.between(4_000_000, 5_000_000), 2, "HIGH", 0.85),
         ("high_structuring", amount.between(9_000_000, 10_000_000), 1, "HIGH", 0.92),
         ("cash_cycling", _cash(d) & (debit >= 2_500_000), 3, "MEDIUM", 0.75),
-        ("inward_bounce", F.upper(d).rlike("RETURN CHARGES|CHQ RET|ACH RTN"), 1, "HIGH", 0.95),
+        ("inward_bounce", is_bounce(d), 1, "HIGH", 0.95),
         ("rtgs_minimum", F.upper(d).startswith("RTGS") & (debit > 0) & (debit < 20_000_000), 1, "MEDIUM", 0.85),
         ("round_tax", F.upper(d).rlike("TAX") & (debit > 0) & (debit % 100_000 == 0), 2, "LOW", 0.70),
         ("atm_high", _cash(d) & (debit >= 5_000_000), 1, "MEDIUM", 0.80),

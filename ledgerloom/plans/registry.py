@@ -296,8 +296,8 @@ add("j1_applications_results", lambda s, d: joins.applications_with_results(read
     "select c_custkey as application_id, c_name, latest, n from customer left join (select o_custkey, max(o_orderdate) as latest, count(*) as n from orders where o_orderstatus = 'F' group by 1) on o_custkey = c_custkey")
 on_classified("j2_rapid_transfer", joins.rapid_transfers)
 on_classified("j3_quick_debits", lambda c: joins.quick_debits(c, (F.col("credit_c") > 0) & F.col("description").startswith("SALARY")),
-    """select s.account_id, s.seq as salary_seq, x.seq as debit_seq, x.debit_c from cl s join (select * from cl where debit_c > 0 and not regexp_matches(lower(category), 'investment|debt|loan|tax|insurance|savings|transfer') and not regexp_matches(lower(subcategory), 'loan|emi|sip|mutual|nps|ppf|tax|insurance|direct|card|securities|trading') and not regexp_matches(lower(description), 'loan|emi|sip|mutual|ach|nach|insurance|tax|direct|securities|broking|ppf|nps')) x
-on x.account_id = s.account_id and x.d between s.d and s.d + interval 1 day and x.debit_c * 2 > s.credit_c where s.credit_c > 0 and s.description like 'SALARY%'""")
+    """select s.account_id, s.seq as salary_seq, x.seq as debit_seq, x.debit_c from (select *, cast(d + k as date) as pay_d from (select *, unnest([0, 1]) as k from cl where credit_c > 0 and description like 'SALARY%')) s join (select * from cl where debit_c > 0 and not regexp_matches(lower(category), 'investment|debt|loan|tax|insurance|savings|transfer') and not regexp_matches(lower(subcategory), 'loan|emi|sip|mutual|nps|ppf|tax|insurance|direct|card|securities|trading') and not regexp_matches(lower(description), 'loan|emi|sip|mutual|ach|nach|insurance|tax|direct|securities|broking|ppf|nps')) x
+on x.account_id = s.account_id and x.d = s.pay_d where x.debit_c * 2 > s.credit_c""")
 on_ledger("j6_latest_labels", lambda l: joins.latest_labels(l.select("account_id", "seq", "counterparty"), l.groupBy("account_id", "counterparty", "seq").agg(F.max("p_type").alias("label")), ["account_id", "counterparty"], "seq").groupBy("label").agg(F.count("*").alias("n")),
     "select label, count(*) as n from ledger join (select account_id, counterparty, arg_max(p_type, seq) as label from ledger group by 1, 2) using (account_id, counterparty) group by 1")
 on_slim("j10_semi_both_sides", lambda l: l.where("credit_c > 0").join(l.where("debit_c > 0").select("account_id", "counterparty").distinct(), ["account_id", "counterparty"], "left_semi").groupBy("account_id").agg(F.count("*").alias("n"), F.sum("credit_c").alias("in_c")),
@@ -327,7 +327,7 @@ for _name, _q, _sql in [
 
 # Specified, not in the reference's code --------------------------------------------------------------------
 on_ledger("x3_same_day_cash", spec.same_day_cash, "select account_id, d, count(*) as n, sum(debit_c + credit_c)::bigint as amount_c from ledger where contains(description, 'CASH WDL') group by 1, 2 having count(*) >= 2")
-on_slim("x6_circular_pairs", lambda l: spec.circular_pairs(l), "select a.account_id, a.seq as out_seq, b.seq as in_seq, a.debit_c as out_c, b.credit_c as in_c from ledger a join ledger b on b.account_id = a.account_id and b.counterparty = a.counterparty and b.d between a.d and a.d + interval 3 day and abs(b.credit_c - a.debit_c) * 20 <= a.debit_c where a.debit_c > 0 and b.credit_c > 0")
+on_slim("x6_circular_pairs", lambda l: spec.circular_pairs(l), "select a.account_id, a.seq as out_seq, b.seq as in_seq, a.debit_c as out_c, b.credit_c as in_c from (select *, cast(d + k as date) as back_d from (select *, unnest([0, 1, 2, 3]) as k from ledger where debit_c > 0)) a join (select * from ledger where credit_c > 0) b on b.account_id = a.account_id and b.counterparty = a.counterparty and b.d = a.back_d where abs(b.credit_c - a.debit_c) * 20 <= a.debit_c")
 on_slim("x9_dormancy", spec.dormancy, "select account_id, count(*) as gaps, max(g) as longest from (select account_id, date_diff('day', lag(d) over (partition by account_id order by seq), d) as g from ledger) where g > 30 group by 1")
 on_ledger("x10_balance_before_emi", spec.balance_before_emi, "select account_id, seq, debit_c, before_c, before_c < debit_c as short from (select *, lag(balance_c) over (partition by account_id order by seq) as before_c from ledger) where description like 'ACH/%' and debit_c > 0")
 on_slim("x17_missing_months", spec.missing_months, "select account_id, count(*) as missing from (select account_id, strftime(unnest(generate_series(lo, hi, interval 1 month)), '%Y-%m') as ym from (select account_id, date_trunc('month', min(d)) as lo, date_trunc('month', max(d)) as hi from ledger group by 1)) a where not exists (select 1 from ledger l where l.account_id = a.account_id and l.ym = a.ym) group by 1")
