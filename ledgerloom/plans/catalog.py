@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import exchange, more, moves, period_queries, recurring, registry, score_sql, statements
+from ledgerloom.plans import exchange, more, moves, period_queries, recurring, registry, score_sql, statements, streams
 
 QUERIES, SQL = registry.QUERIES, registry.SQL
-__all__ = ["QUERIES", "SQL", "exchange", "more", "moves", "period_queries", "recurring", "score_sql", "statements"]
+__all__ = ["QUERIES", "SQL", "exchange", "more", "moves", "period_queries", "recurring", "score_sql", "statements", "streams"]
