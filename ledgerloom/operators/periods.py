@@ -15,7 +15,7 @@ MEASURES = {
 }
 
 
-def _half_up(total: Column, n: Column) -> Column:
+def half_up(total: Column, n: Column) -> Column:
     """Whole cents of an average, halves upward, by whole numbers."""
     twice, by = 2 * total + n, 2 * n
     return F.floor((twice - F.pmod(twice, by)) / by).cast("long")
@@ -31,7 +31,7 @@ def month_sheet(ledger: DataFrame) -> DataFrame:
     total, n, paid_in = lambda test, of: F.sum(F.when(test, of).otherwise(0)), F.count_if, c > 0
     at = F.struct("d", "seq")
     sums = {
-        "opening": F.min_by(b + d - c, at), "closing": F.max_by(b, at), "debits": F.sum(d), "credits": F.sum(c), "n_debits": n(d > 0), "n_credits": n(paid_in), "net": F.sum(c - d), "lowest": F.min(b), "highest": F.max(b), "average": _half_up(F.sum(b), F.count("*")),
+        "opening": F.min_by(b + d - c, at), "closing": F.max_by(b, at), "debits": F.sum(d), "credits": F.sum(c), "n_debits": n(d > 0), "n_credits": n(paid_in), "net": F.sum(c - d), "lowest": F.min(b), "highest": F.max(b), "average": half_up(F.sum(b), F.count("*")),
         "salary": total(has("Salary"), c), "obligations": total(has("EMI") | has("Loan"), d), "investments": total(F.col("category") == "Investment", d), "cash_in": total(has("Cash") & paid_in, c), "cash_out": total(has("Cash") & (d > 0), d),
         "n_cash_in": n(has("Cash") & paid_in), "n_cash_out": n(has("Cash") & (d > 0)), "cheque_in": total(has("Cheque") & paid_in, c), "cheque_out": total(has("Cheque") & ~paid_in, d), "n_self": n(has("Self Transfer")),
         "interest_in": total(has("Interest") & paid_in, c), "interest_out": total(has("Interest") & ~paid_in, d),
@@ -39,7 +39,7 @@ def month_sheet(ledger: DataFrame) -> DataFrame:
     both = ledger.groupingSets([[F.col(A), F.col("ym")], [F.col(A)]], F.col(A), F.col("ym")).agg(F.grouping("ym").alias("whole"), *[v.cast("long").alias(k) for k, v in sums.items()])
     own = Window.partitionBy(A)
     month = F.when(F.col("whole") == 0, F.col("average"))
-    mean = _half_up(F.sum(month).over(own), F.count(month).over(own))
+    mean = half_up(F.sum(month).over(own), F.count(month).over(own))
     done = both.withColumn("average", F.when(F.col("whole") == 1, mean).otherwise(F.col("average"))).withColumn("ym", F.when(F.col("whole") == 1, "Total").otherwise(F.col("ym")))
     return done.select(A, "ym", F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in MEASURES])))
 
