@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import alignment, bpe, chat, decontam, flac, fm_dedup, merkle, minhash, secrets, simhash, toxicity, url_filters, warc
+from ledgerloom.llm import alignment, bpe, chat, decontam, flac, fm_dedup, merkle, merkle_sql, minhash, secrets, simhash, toxicity, url_filters, warc
 from ledgerloom.llm.shared import fresh_path, materialize
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -94,4 +94,5 @@ SQL: dict[str, str] = {
     "op2_warc": warc.SQL,
     "op4_chat": chat.sql(),
     "op9_secrets": secrets.sql(),
+    "op13_merkle": merkle_sql.SQL,
 }

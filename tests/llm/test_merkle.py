@@ -102,3 +102,15 @@ def test_every_changed_field_is_seen(spark, documents):
     docs = documents.limit(20)
     for c, v in (("text", F.concat("text", F.lit(" "))), ("source", F.lit(None).cast("string")), ("lang", F.lit("xx")), ("doc_id", F.col("doc_id") + 1000)):
         assert [r.verified for r in merkle.verify(docs, {c: v}, F.lit(True)).collect()] == [False] * 20
+
+
+def test_sql(sf_dir):
+    """The SQL against plain Python, too, so that the three agree."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
+    got = con.execute(queries.SQL["op13_merkle"]).fetchall()
+    rows = con.execute("select doc_id, source, lang, n_chars, text from documents")
+    names = [d[0] for d in rows.description]
+    assert sorted(got) == sorted(manifest([dict(zip(names, r, strict=True)) for r in rows.fetchall()]))
