@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import exchange, more, moves, period_queries, recurring, registry, score_sql, settled, statements, streams
+from ledgerloom.plans import checked, exchange, more, moves, period_queries, recurring, registry, score_sql, settled, statements, streams
 
 QUERIES, SQL = registry.QUERIES, registry.SQL
-__all__ = ["QUERIES", "SQL", "exchange", "more", "moves", "period_queries", "recurring", "score_sql", "settled", "statements", "streams"]
+__all__ = ["QUERIES", "SQL", "checked", "exchange", "more", "moves", "period_queries", "recurring", "score_sql", "settled", "statements", "streams"]
