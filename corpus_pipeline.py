@@ -16,8 +16,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays: texts that are equal or whose
-    five-word shingles have a similarity of 0.8 or more, found among candidates that share a band of MinHash values.
+    """Of each group of near copies the document with the smallest doc_id stays: texts whose five-word shingles have a
+    similarity of 0.8 or more, found among those with linked SimHash fingerprints and those that share a band of
+    MinHash values.
 
     Documents without a word have no content to compare and stay, as do rows with a null doc_id."""
     return without(docs, simhash.near_copies(docs.select("doc_id", "text")).where("doc_id <> group_id"))
