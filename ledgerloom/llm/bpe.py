@@ -31,9 +31,10 @@ from ledgerloom.llm.shared import with_fields
 from ledgerloom.llm.textkit import chunks, hash_sums, range_hashes, ranges
 
 #: Words a worker keeps the ids of, and bytes of words; beyond, the table starts anew.
-KEPT, KEPT_BYTES = 200_000, 1 << 22
-#: States of the automaton over bytes that a worker keeps, with four times as many transitions at most; beyond, their table starts anew.
-STATES = 150_000
+KEPT, KEPT_BYTES = 100_000, 1 << 21
+#: States of the automaton over bytes that a worker keeps, with four times as many transitions at most, and answers
+#: about arcs; beyond, their tables start anew.
+STATES, ARCS = 90_000, 200_000
 LETTER, NUMBER, SPACE = 1, 2, 3
 
 
@@ -49,6 +50,8 @@ class Automaton:
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> None:
         self.size = {i: len(t) for t, i in vocab.items()}
+        if max(self.size, default=0) >= 1 << 20:
+            raise ValueError("a vocabulary has 2^20 ids at most")
         #: Tokens that some gadget, or the first state, has an arc for, with the parts they were merged from and when.
         self.made: dict[int, tuple[int, int, int]] = {i: (-1, -1, -1) for t, i in vocab.items() if len(t) == 1}
         #: Of each token: the arcs that gadgets took from the state it leads to, and when.
@@ -111,6 +114,8 @@ class Automaton:
                 pair = last << 20 | t
                 can = last < 0 or self._arcs.get(pair)
                 if can is None:
+                    if len(self._arcs) >= ARCS:
+                        self._arcs.clear()
                     can = self._arcs[pair] = self.arc(last, t)
                 if can:
                     token = t
