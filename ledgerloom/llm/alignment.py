@@ -30,8 +30,8 @@ from ledgerloom.llm.bpe import SPACE, Table, Tokenizer
 from ledgerloom.llm.shared import fresh_path, materialize, partitions, with_fields
 from ledgerloom.llm.textkit import chunks, hash_sums, range_hashes, ranges
 
-#: Chunks and their bytes that a worker keeps, and words of A; beyond, its table starts anew.
-KEPT, KEPT_BYTES, KEPT_WORDS = 180_000, 6 << 20, 50_000
+#: Chunks and their bytes that a worker keeps, and words and states of A's automaton; beyond, its tables start anew.
+KEPT, KEPT_BYTES, KEPT_WORDS, STATES = 300_000, 1 << 23, 200_000, 150_000
 #: Links of a group beyond which only its distinct ids are paired.
 WIDE = 1 << 12
 #: Keys that a partition's table of counts holds before it is merged or passed on.
@@ -83,9 +83,12 @@ class Grown:
 class PlainTokenizer(Tokenizer):
     """A byte-level tokenizer to which the strings of added tokens are text like other text."""
 
+    def __init__(self, spec: str) -> None:
+        super().__init__(spec)
+        self.kept, self.kept_bytes = KEPT_WORDS, 1 << 22
+        self.automaton.states, self.automaton.arcs = STATES, 1 << 21
+
     def encode_batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._met) > KEPT_WORDS:
-            self._forget()
         return self._encode(texts)
 
     def white(self, code: np.ndarray) -> np.ndarray:

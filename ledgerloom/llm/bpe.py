@@ -50,6 +50,8 @@ class Automaton:
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> None:
         self.size = {i: len(t) for t, i in vocab.items()}
+        #: Bounds of the tables of states and arcs.
+        self.states, self.arcs = STATES, ARCS
         if max(self.size, default=0) >= 1 << 20:
             raise ValueError("a vocabulary has 2^20 ids at most")
         #: Tokens that some gadget, or the first state, has an arc for, with the parts they were merged from and when.
@@ -114,7 +116,7 @@ class Automaton:
                 pair = last << 20 | t
                 can = last < 0 or self._arcs.get(pair)
                 if can is None:
-                    if len(self._arcs) >= ARCS:
+                    if len(self._arcs) >= self.arcs:
                         self._arcs.clear()
                     can = self._arcs[pair] = self.arc(last, t)
                 if can:
@@ -126,7 +128,7 @@ class Automaton:
         key = (*live, 0, token)
         found = self._numbers.get(key)
         if found is None:
-            if len(self._threads) >= STATES or len(self.step) >= 4 * STATES:
+            if len(self._threads) >= self.states or len(self.step) >= 4 * self.states:
                 self._clear()
                 state = -1
             found = self._numbers[key] = len(self._threads)
@@ -236,6 +238,7 @@ class Tokenizer:
         self.labels, self.digits = Table([labels.get(i, b"") for i in every]), Table([b"%d," % i for i in every])
         self._added = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
         self._classes = character_classes()
+        self.kept, self.kept_bytes = KEPT, KEPT_BYTES
         self._forget()
 
     def _forget(self) -> None:
@@ -254,7 +257,7 @@ class Tokenizer:
 
     def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many of each text), texts without added tokens."""
-        if len(self._met) > KEPT or self._bytes > KEPT_BYTES:
+        if len(self._met) > self.kept or self._bytes > self.kept_bytes:
             self._forget()
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         data = b"".join(texts)
