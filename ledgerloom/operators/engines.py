@@ -119,16 +119,26 @@ def category_spending(expenses: DataFrame) -> DataFrame:
     return expenses.groupBy(A, "category", "subcategory").agg(F.sum("debit_c").alias("spent_c"), F.count("*").alias("n"))
 
 
-def balance_summary(daily: DataFrame, low_c: int = 300_000) -> DataFrame:
+def _marked_days(until: Column) -> Column:
+    """A count of days 1, 14 and 28 to 31 of months up to a date: of a month with n days, n - 25."""
+    day, month = F.dayofmonth(until), F.year(until) * 12 + F.month(until)
+    return F.unix_date(until) - day - 25 * month + 1 + (day >= 14).cast("int") + F.greatest(day - 27, F.lit(0))
+
+
+def balance_summary(stretches: DataFrame, low_c: int = 300_000) -> DataFrame:
     """Mean, median, extremes, days below bounds and the average on days 1, 14 and the end of months; spread
-    over mean as a score from 0 to 1 with its band."""
-    b = F.col("balance_c")
-    abb = F.dayofmonth("d").isin(1, 14, 28, 29, 30, 31)
-    s = daily.groupBy(A).agg(
-        F.count("*").alias("days"), F.sum("balance_c").alias("sum_c"), F.median("balance_c").alias("median_c"), F.min("balance_c").alias("min_c"), F.max("balance_c").alias("max_c"),
-        F.count_if(b < 0).alias("negative_days"), F.count_if(b < low_c).alias("low_days"), F.stddev_samp(b.cast("double")).alias("s"), F.avg(b.cast("double")).alias("mean"),
-        F.sum(F.when(abb, b)).alias("abb_sum_c"), F.count_if(abb).alias("abb_days"),
+    over mean as a score from 0 to 1 with its band. stretches: (account_id, d, days, balance_c), see timeline; each
+    counts as many times as it has days. The variance is a fraction of whole numbers."""
+    b, days, whole = F.col("balance_c"), F.col("days"), F.col("balance_c").cast("decimal(18,0)")
+    held = stretches.withColumn("abb", (_marked_days(F.date_add("d", days - 1)) - _marked_days(F.date_sub("d", 1))).cast("long"))
+    s = held.groupBy(A).agg(
+        F.sum(days).alias("days"), F.sum(b * days).alias("sum_c"), F.percentile("balance_c", 0.5, days).alias("median_c"), F.min("balance_c").alias("min_c"), F.max("balance_c").alias("max_c"),
+        F.sum(F.when(b < 0, days).otherwise(0)).alias("negative_days"), F.sum(F.when(b < low_c, days).otherwise(0)).alias("low_days"), F.sum(whole * whole * days).alias("squares"),
+        F.sum(F.when(F.col("abb") > 0, b * F.col("abb"))).alias("abb_sum_c"), F.sum("abb").alias("abb_days"),
     )
+    n, total = F.col("days").cast("decimal(10,0)"), F.col("sum_c").cast("decimal(19,0)")
+    spread = (n * F.col("squares") - total * total).cast("double") / F.col("days") / (F.col("days") - 1)
+    s = s.withColumns({"s": F.when(F.col("days") > 1, F.sqrt(spread)), "mean": F.col("sum_c") / F.col("days")})
     score = F.when(F.col("mean") <= 0, 1.0).otherwise(clamp(F.coalesce(F.col("s"), F.lit(0.0)) / F.col("mean"), 0, 1))
     band = F.when(score < 0.15, "LOW").when(score < 0.40, "MODERATE").when(score < 0.70, "HIGH").otherwise("VERY_HIGH")
     return s.select(A, "days", "sum_c", "median_c", "min_c", "max_c", "negative_days", "low_days", "abb_sum_c", "abb_days", F.round(score, 4).alias("volatility"), band.alias("band"))
@@ -162,14 +172,13 @@ def savings_summary(ledger: DataFrame) -> DataFrame:
     return m.select(A, "months", "saved_c", *more, F.round(ratio(F.col("saved_c"), F.col("inflow_c")), 4).alias("rate"), F.round(steady, 4).alias("consistency"))
 
 
-def emergency_fund(ledger: DataFrame, daily: DataFrame) -> DataFrame:
+def emergency_fund(ledger: DataFrame) -> DataFrame:
     """Months of need that the closing balance covers, against a target of three and six. The need is the average
-    monthly outflow, or that of needs where a classified ledger has more of them."""
+    monthly outflow, or that of needs where a classified ledger has more of them. One aggregation gives all of it."""
     needs = F.when(F.col("needs_wants") == "Need", F.col("debit_c")).otherwise(0) if "needs_wants" in ledger.columns else F.lit(0)
-    out = ledger.groupBy(A).agg(F.sum("debit_c").alias("out_c"), F.sum(needs).alias("needs_c"), F.countDistinct("ym").alias("months"))
-    last = daily.groupBy(A).agg(F.max_by("balance_c", "d").alias("closing_c"))
+    out = ledger.groupBy(A).agg(F.sum("debit_c").alias("out_c"), F.sum(needs).alias("needs_c"), F.countDistinct("ym").alias("months"), F.max_by("balance_c", F.struct("d", "seq")).alias("closing_c"))
     need = F.greatest("out_c", "needs_c").cast("double") / F.col("months")
-    return out.join(last, A).select(A, "closing_c", F.round(need * 3).cast("long").alias("target3_c"), F.round(need * 6).cast("long").alias("target6_c"), F.round(F.try_divide(F.greatest(F.col("closing_c"), F.lit(0)).cast("double"), need), 4).alias("coverage_months"))
+    return out.select(A, "closing_c", F.round(need * 3).cast("long").alias("target3_c"), F.round(need * 6).cast("long").alias("target6_c"), F.round(F.try_divide(F.greatest(F.col("closing_c"), F.lit(0)).cast("double"), need), 4).alias("coverage_months"))
 
 
 def investment_by_type(investments: DataFrame) -> DataFrame:

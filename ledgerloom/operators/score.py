@@ -38,7 +38,6 @@ def steps() -> list[tuple[str, Column]]:
 def features(ledger: DataFrame) -> DataFrame:
     """INPUTS of the score for each account, from a classified ledger. What can be summed in one pass is; no engine
     gives a bounce rate, so it keeps its default."""
-    daily = timeline.daily_balance(ledger)
     income = (F.col("category") == "Income") & (F.col("subcategory") != "Refund") & ~F.col("is_return")
     base = ledger.groupBy(A).agg(
         F.datediff(F.max("d"), F.min("d")).alias("history_days"), F.count_if(F.contains(F.upper("description"), F.lit("RETURN CHARGES"))).alias("bounces"), F.sum("credit_c").alias("turnover_c"),
@@ -46,7 +45,7 @@ def features(ledger: DataFrame) -> DataFrame:
         F.countDistinct(F.when(income, F.col("ym"))).alias("income_months"), F.sum(F.when(F.col("subcategory") == "Loan EMI", F.col("debit_c")).otherwise(0)).alias("owed_c"), F.sum(F.when((F.col("category") != "Transfer") & ~F.col("is_return"), F.col("credit_c")).otherwise(0)).alias("true_income_c"),
     )
     base = base.withColumn("foir", F.round(ratio(F.col("owed_c"), F.col("true_income_c")), 4)).drop("owed_c", "true_income_c")
-    balance = engines.balance_summary(daily).select(A, "negative_days", "volatility", F.round(F.col("sum_c") / F.col("days")).cast("long").alias("mean_balance_c"))
+    balance = engines.balance_summary(timeline.stretches(ledger)).select(A, "negative_days", "volatility", F.round(F.col("sum_c") / F.col("days")).cast("long").alias("mean_balance_c"))
     marks = risk.aml_score(fraud.fraud_score(fraud.all_flags(ledger))).select(A, "fraud_score", "penalty_points", "high_flags", "aml_band")
     plans = ledger.where((F.col("category") == "Investment") & (F.col("debit_c") > 0))
     sips = engines.sip_clusters(plans).groupBy(A).agg(F.count("*").alias("sip_count"))

@@ -29,11 +29,17 @@ def end_of_day(ledger: DataFrame, order: str = "seq") -> DataFrame:
 
 def daily_balance(ledger: DataFrame, order: str = "seq") -> DataFrame:
     """(account_id, d, balance_c) for every day between an account's first and last: gaps take the last known
-    balance. Only the spine and the days' balances are joined, not the rows."""
-    eod = end_of_day(ledger, order)
-    spine = eod.groupBy(A).agg(F.min("d").alias("lo"), F.max("d").alias("hi")).select(A, F.explode(F.sequence("lo", "hi")).alias("d"))
+    balance. Each stretch is spread where it stands, so the days are never shuffled or joined."""
+    return stretches(ledger, order).select(A, F.explode(F.sequence("d", F.date_add("d", F.col("days") - 1))).alias("d"), "balance_c")
+
+
+def stretches(ledger: DataFrame, order: str = "seq") -> DataFrame:
+    """(account_id, d, days, balance_c): the balance of each day with rows and the number of days, itself included, for
+    which it holds: up to the account's next one, 1 for the last. Sums over days are sums over these."""
+    eod = end_of_day(ledger.where(F.col(A).isNotNull() & F.col("d").isNotNull()), order)
     filled = F.last("balance_c", ignorenulls=True).over(by_account("d").rowsBetween(Window.unboundedPreceding, 0))
-    return spine.join(eod, [A, "d"], "left").select(A, "d", filled.alias("balance_c"))
+    days = F.coalesce(F.datediff(F.lead("d").over(by_account("d")), "d"), F.lit(1))
+    return eod.select(A, "d", days.alias("days"), filled.alias("balance_c"))
 
 
 def recovery_runs(daily: DataFrame) -> DataFrame:
