@@ -115,11 +115,12 @@ def consolidated(ledger: DataFrame, owners: DataFrame) -> DataFrame:
     return ledger.join(owners, A).groupBy("owner", "ym").agg(F.sum("credit_c").alias("in_c"), F.sum("debit_c").alias("out_c"), F.countDistinct(A).alias("accounts"))
 
 
-def credit_line_use(daily: DataFrame, limits: DataFrame) -> DataFrame:
+def credit_line_use(stretches: DataFrame, limits: DataFrame) -> DataFrame:
     """Use of an overdraft by end-of-day balances: mean and largest use in percent of the limit, days beyond it, and
-    the band of the mean. limits: (account_id, limit_c); accounts without one are left out. Fixed bounds."""
-    used = F.greatest(F.lit(0), -F.col("balance_c"))
-    s = daily.join(limits.where("limit_c > 0"), A).groupBy(A, "limit_c").agg(F.sum(used).alias("used_c"), F.count("*").alias("days"), F.max(used).alias("most_c"), F.count_if(used > F.col("limit_c")).alias("overdrawn_days"))
+    the band of the mean. stretches: (account_id, days, balance_c), see timeline. limits: (account_id, limit_c); accounts
+    without one are left out. Fixed bounds."""
+    used, days = F.greatest(F.lit(0), -F.col("balance_c")), F.col("days")
+    s = stretches.join(limits.where("limit_c > 0").hint("merge"), A).groupBy(A, "limit_c").agg(F.sum(used * days).alias("used_c"), F.sum(days).alias("days"), F.max(used).alias("most_c"), F.sum(F.when(used > F.col("limit_c"), days).otherwise(0)).alias("overdrawn_days"))
     mean = F.col("used_c") * 100.0 / F.col("days") / F.col("limit_c")
     most = F.col("most_c") * 100.0 / F.col("limit_c")
     return s.select(A, F.round(mean + 1e-9, 2).alias("mean_pct"), F.round(most + 1e-9, 2).alias("most_pct"), "overdrawn_days", F.when(mean < 30, "HEALTHY").when(mean <= 50, "MODERATE").otherwise("RISKY").alias("band"), (most > 100).alias("beyond"))

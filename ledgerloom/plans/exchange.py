@@ -174,7 +174,7 @@ on_classified("q11_router", lambda c: query.ask(c, "hello there").withColumn("n"
 on_classified("t5_context_rows", lambda c: query.context_rows(c, "anything about gizmos").select("account_id", "rank", "seq"), f"select account_id, rank, seq from (select account_id, seq, row_number() over (partition by account_id order by debit_c + credit_c desc, seq) as rank from (select *, contains({_HAY}, 'gizmo') as hit, max(contains({_HAY}, 'gizmo')::int) over (partition by account_id) as known from cl) where hit or known = 0) where rank <= 12")
 
 # Specified -----------------------------------------------------------------------------------------------
-on_ledger("x13_credit_line", lambda l: spec.credit_line_use(timeline.daily_balance(l), l.select("account_id").distinct().withColumn("limit_c", F.lit(50_000_000) * (F.col("account_id") % 4))),
+on_ledger("x13_credit_line", lambda l: spec.credit_line_use(timeline.stretches(l), l.select("account_id").distinct().withColumn("limit_c", F.lit(50_000_000) * (F.col("account_id") % 4))),
     "select account_id, round(u * 100.0::double / n / lim + 1e-9, 2) as mean_pct, round(m * 100.0::double / lim + 1e-9, 2) as most_pct, over_days as overdrawn_days, case when u * 100.0::double / n / lim < 30 then 'HEALTHY' when u * 100.0::double / n / lim <= 50 then 'MODERATE' else 'RISKY' end as band, m * 100.0::double / lim > 100 as beyond from (select account_id, 50000000 * (account_id % 4) as lim, sum(greatest(0, -balance_c)) as u, count(*) as n, max(greatest(0, -balance_c)) as m, count(*) filter (where greatest(0, -balance_c) > 50000000 * (account_id % 4)) as over_days from daily group by 1) where lim > 0", DAILY_SQL.format(t="ledger"))
 
 
