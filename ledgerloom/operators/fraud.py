@@ -89,14 +89,13 @@ _EQUAL = "n >= 15 and in_c > 10000000 and abs(in_c - out_c) * 50 < in_c"
 
 def mad_outliers(ledger: DataFrame, bound: float = 6.0, least: int = 10) -> DataFrame:
     """Debits whose distance from the account's median is over `bound` scaled median deviations; payments to
-    obligations count for the median, but are no outliers where the ledger is classified. Two exact medians are
-    aggregated; only they are joined back to the rows."""
+    obligations count for the median, but are no outliers where the ledger is classified. Both medians are
+    windows over one placing of the debits by account, so no table of accounts is joined or broadcast."""
     free = ~joins.is_obligation(F.col("category"), F.col("subcategory")) if "category" in ledger.columns else F.lit(True)
-    debits = ledger.where(F.col("debit_c") > 0).select(A, "seq", "debit_c", free.alias("free"))
-    mid = debits.groupBy(A).agg(F.median("debit_c").alias("median"), F.count("*").alias("n"))
-    far = debits.join(mid, A).withColumn("dev", F.abs(F.col("debit_c") - F.col("median")))
-    mad = far.groupBy(A).agg(F.median("dev").alias("mad"))
-    return far.join(mad, A).where(F.col("free") & (F.col("n") >= least) & (F.col("mad") > 0) & (0.6745 * F.col("dev") > bound * F.col("mad"))).select(A, "seq", "debit_c")
+    debits = ledger.where(F.col(A).isNotNull() & (F.col("debit_c") > 0)).select(A, "seq", "debit_c", free.alias("free"))
+    own = Window.partitionBy(A)
+    far = debits.select("*", F.median("debit_c").over(own).alias("median"), F.count("*").over(own).alias("n")).withColumn("dev", F.abs(F.col("debit_c") - F.col("median")))
+    return far.withColumn("mad", F.median("dev").over(own)).where(F.col("free") & (F.col("n") >= least) & (F.col("mad") > 0) & (0.6745 * F.col("dev") > bound * F.col("mad"))).select(A, "seq", "debit_c")
 
 
 def concentration(ledger: DataFrame, share: float = 0.45) -> DataFrame:
