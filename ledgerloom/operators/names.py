@@ -62,6 +62,24 @@ def canonical(keys: list[tuple[str, str]], least: int = LEAST) -> list[str]:
     return out
 
 
+def longest(keys: list[tuple[str, str]], least: int = LEAST) -> list[str]:
+    """The longest (ties: first by name) of a family's keys (key, flat) whose name equals that of each key or goes on
+    from it. Names are visited last first, so what a name leads to is known before it is told to its prefix."""
+    flats = sorted({f for _, f in keys})
+    number, parent = {f: i for i, f in enumerate(flats)}, open_prefixes(flats, least)
+    best: list[tuple[int, str] | None] = [None] * len(flats)
+
+    def offer(at: int, x: tuple[int, str]) -> None:
+        best[at] = x if best[at] is None else min(best[at], x)
+
+    for k, f in keys:
+        offer(number[f], (-len(k), k))
+    for i in range(len(flats) - 1, -1, -1):
+        if parent[i] >= 0:
+            offer(parent[i], best[i])
+    return [best[number[f]][1] for _, f in keys]
+
+
 def by_family(rows: DataFrame, fn: Callable[[list[tuple]], list[tuple]], out: str, least: int = LEAST) -> DataFrame:
     """What fn makes of each family of an account: rows (account_id, flat, ...) as tuples without the account, sorted
     by all columns. Names that no other one can begin, being under `least` characters, are families of their own."""
@@ -95,13 +113,13 @@ def by_family(rows: DataFrame, fn: Callable[[list[tuple]], list[tuple]], out: st
     return placed.mapInArrow(run, f"{A} {kind}, {out}")
 
 
-def canonical_keys(keys: DataFrame, least: int = LEAST) -> DataFrame:
-    """(account_id, key, canonical): spellings cut short under the longest one; see `canonical`. Blank and null keys
-    are left out."""
+def canonical_keys(keys: DataFrame, least: int = LEAST, rule: Callable[[list[tuple[str, str]], int], list[str]] = canonical) -> DataFrame:
+    """(account_id, key, canonical): spellings cut short under the one that `rule` says: `canonical`, by which a name
+    may also join a longer spelling of its own beginning, or `longest`. Blank and null keys are left out."""
     own = keys.select(A, F.col("key")).where("key <> ''").distinct().select(A, flat(F.col("key")).alias("flat"), "key")
 
     def family(rows: list[tuple]) -> list[tuple]:
-        return list(zip([k for _, k in rows], canonical([(k, f) for f, k in rows], least), strict=True))
+        return list(zip([k for _, k in rows], rule([(k, f) for f, k in rows], least), strict=True))
 
     return by_family(own, family, "key string, canonical string", least)
 
