@@ -33,8 +33,9 @@ def overridden(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     rows: account_id, key, category, subcategory, needs_wants, confidence, method, rule. overrides: (o_key, o_account,
     o_category, o_subcategory, o_label, updated_at), o_account null for all accounts. A key meets those that equal it,
     begin it or are begun by it (see names). Entries of the account come before those for all, later ones before
-    earlier (ties: by subcategory). Keys are matched apart from rows, each distinct key once."""
-    given = shared_copy(overrides, "overrides")
+    earlier (ties: by subcategory). Keys are matched apart from rows, each distinct key once. rows are written once, as
+    they are read twice and dear to make."""
+    rows, given = shared_copy(rows, "rows"), shared_copy(overrides, "overrides")
     open_ = is_open(F.col("subcategory")) & (F.coalesce("key", F.lit("")) != "")
     every = rows.where(open_).select(F.lit(0).alias(A), "key").distinct()
     pairs = shared_copy(names.matching_keys(every, given.select(F.lit(0).alias(A), F.col("o_key").alias("key")).distinct()).select("key", F.col("other").alias("o_key")), "pairs")
