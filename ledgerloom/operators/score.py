@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import clamp, ratio
 from ledgerloom.operators import classify, debt, engines, fraud, risk, timeline
+from ledgerloom.sources.tables import shared_copy
 
 A = "account_id"
 
@@ -160,6 +161,7 @@ def reconciliation(ledger: DataFrame, tolerance_c: int = 100) -> DataFrame:
     the movement of the balance, net cash flow, savings, credits as income or something else, spending as needs or
     wants (where there is spending), and debits that have a category."""
     c, spent = F.col, F.col("category") == "Expense"
+    ledger = shared_copy(ledger.select(A, "seq", "ym", "debit_c", "credit_c", "balance_c", "category", "subcategory", "needs_wants", "is_return"), "reconciled")
     income = (c("category") == "Income") & (c("subcategory") != "Refund") & ~c("is_return")
     total = lambda test, of: F.sum(F.when(test, c(of)).otherwise(0))
     s = ledger.groupBy(A).agg(
