@@ -9,11 +9,12 @@ keywords of several words are also looked for in the narration without blanks, w
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 MOST_BYTES, MOST_ENTRIES = 256 << 20, 200_000
 #: Fixed: what a narration loses before words that run together are looked for.
 SQUASHED = re.compile(r"[\s\-_.]")
+#: The same for Arrow, whose blanks are fewer.
+_SQUASHED = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\\-_.]"
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -89,6 +92,14 @@ def _packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts) + b"\0", np.uint8), np.cumsum(size) - size, size
 
 
+def _of_arrow(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _packed, off the array's own buffers; null counts as empty."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    edge = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]]
+    return np.append(data, np.uint8(0)), edge[:-1] - edge[0], np.diff(edge)
+
+
 @dataclass
 class Dictionary:
     """Entries (keyword, category, subcategory, needs or wants), in order of preference among equally long ones.
@@ -120,14 +131,15 @@ class Dictionary:
         self._excluded = {i: [number[plain(m)] for m in self.excluded[u]] for i, u in enumerate(upper) if u in self.excluded}
         self._required = {i: [number[plain(m)] for m in self.required[u]] for i, u in enumerate(upper) if u in self.required}
         self.category = [e[1] for e in self.entries]
+        self._kind = np.unique(self.category, return_inverse=True)[1].astype(np.int64)
         self.rank = sorted(range(len(self.entries)), key=lambda i: (-len(self.entries[i][0]), i))
         self._place = np.argsort(self.rank)
         kinds = ("keyword", "k_category", "k_subcategory", "k_label")
         self.values = pa.StructArray.from_arrays([*(pa.array([e[k] for e in self.entries], pa.string()) for k in range(4)), pa.array(self._place.astype(np.int32))], [*kinds, "rank"])
 
-    def _standing(self, part: int, automaton: Automaton, texts: list[bytes], right: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _standing(self, part: int, automaton: Automaton, packed: tuple[np.ndarray, np.ndarray, np.ndarray], right: bool) -> tuple[np.ndarray, np.ndarray]:
         """(row, entry) of patterns with no letter or digit before them and, if `right`, after."""
-        buf, start, size = _packed(texts)
+        buf, start, size = packed
         row, end, pattern = automaton.hits(_UPPER[buf], start, size)
         begin = start[row] + end - automaton.lengths[pattern]
         stop = start[row] + end
@@ -141,11 +153,11 @@ class Dictionary:
         at = np.repeat(first[pattern] - (np.cumsum(many[pattern]) - many[pattern]), many[pattern]) + np.arange(int(many[pattern].sum()))
         return np.repeat(row, many[pattern]), flat[at]
 
-    def _marked(self, texts: list[bytes]) -> set[tuple[int, int]]:
+    def _marked(self, packed: tuple[np.ndarray, np.ndarray, np.ndarray]) -> set[tuple[int, int]]:
         """(row, pattern) wherever the pattern stands."""
         if not (self._excluded or self._required):
             return set()
-        buf, start, size = _packed(texts)
+        buf, start, size = packed
         row, _, pattern = self.whole.hits(_UPPER[buf], start, size)
         wanted = np.unique([p for d in (self._excluded, self._required) for ps in d.values() for p in ps])
         keep = np.isin(pattern, wanted)
@@ -154,23 +166,35 @@ class Dictionary:
     def best(self, texts: list[str | None]) -> list[list[int]]:
         """Of each text the longest keyword of each category that stands in it (ties: by order), as entry numbers,
         longest first. Null: none."""
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        row, entry = self._chosen(_packed([(t or "").encode("utf-8", "surrogatepass") for t in texts]), lambda: _packed([SQUASHED.sub("", t or "").encode("utf-8", "surrogatepass") for t in texts]))
+        out: list[list[int]] = [[] for _ in texts]
+        for r, e in zip(row.tolist(), entry.tolist(), strict=True):
+            out[r].append(e)
+        return out
+
+    def best_of(self, texts: pa.Array) -> pa.ListArray:
+        """`best` of an array of texts, as values of the entries; only rows with a keyword cost more than array steps."""
+        row, entry = self._chosen(_of_arrow(texts), lambda: _of_arrow(pc.replace_substring_regex(texts, _SQUASHED, "")))
+        edge = np.r_[0, np.cumsum(np.bincount(row, minlength=len(texts)))]
+        return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), self.values.take(pa.array(entry, pa.int64())))
+
+    def _chosen(self, raw: tuple[np.ndarray, np.ndarray, np.ndarray], squashed: Callable[[], tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, entry) of what `best` gives, by row and longest first."""
         row, entry = self._standing(0, self.whole, raw, True)
         if len(self.squashed.lengths):
-            more = self._standing(1, self.squashed, [SQUASHED.sub("", t or "").encode("utf-8", "surrogatepass") for t in texts], False)
+            more = self._standing(1, self.squashed, squashed(), False)
             row, entry = np.r_[row, more[0]], np.r_[entry, more[1]]
-        marked = self._marked(raw)
         order = np.lexsort((self._place[entry], row))
-        out: list[list[int]] = [[] for _ in texts]
-        seen: set[tuple[int, str]] = set()
-        for r, e in zip(row[order].tolist(), entry[order].tolist(), strict=True):
-            if (r, self.category[e]) in seen:
-                continue
-            if any((r, p) in marked for p in self._excluded.get(e, ())) or (e in self._required and not any((r, p) in marked for p in self._required[e])):
-                continue
-            seen.add((r, self.category[e]))
-            out[r].append(e)
-        return out
+        row, entry = row[order], entry[order]
+        if len(row) and (self._excluded or self._required):
+            marked = self._marked(raw)
+            lacks = lambda r, e: any((r, p) in marked for p in self._excluded.get(e, ())) or (e in self._required and not any((r, p) in marked for p in self._required[e]))
+            bound = np.isin(entry, [*self._excluded, *self._required])
+            drop = bound.copy()
+            drop[bound] = [lacks(r, e) for r, e in zip(row[bound].tolist(), entry[bound].tolist(), strict=True)]
+            row, entry = row[~drop], entry[~drop]
+        first = np.sort(np.unique(row * (int(self._kind.max(initial=0)) + 1) + self._kind[entry], return_index=True)[1])
+        return row[first], entry[first]
 
 
 def of_table(table: DataFrame, excluded: dict[str, list[str]] | None = None, required: dict[str, list[str]] | None = None) -> Dictionary:
@@ -195,11 +219,7 @@ def matches(spark: SparkSession, dictionary: Dictionary, text: Column) -> Column
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
         for texts in batches:
-            parts = []
-            for at in range(0, len(texts), 4096):
-                own = known.best(texts.slice(at, 4096).to_pylist())
-                edge = pa.array(np.r_[0, np.cumsum([len(x) for x in own])], pa.int32())
-                parts.append(pa.ListArray.from_arrays(edge, known.values.take(pa.array([e for x in own for e in x], pa.int64()))))
+            parts = [known.best_of(texts.slice(at, 4096)) for at in range(0, len(texts), 4096)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(known.values.type))
 
     return found(text)

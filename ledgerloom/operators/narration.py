@@ -57,6 +57,12 @@ def whole(d: Column) -> Column:
     return d
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value evaluated once however often `then` uses it: fields of a CASE are otherwise read by
+    evaluating the whole of it for each."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def looks_like_bank(c: Column) -> Column:
     return c.rlike(BANK_FIELD)
 
@@ -165,7 +171,10 @@ def by_forms(bank: str, d: Column) -> Column:
 def by_tokens(narration: Column) -> Column:
     """Any narration: its rail by a word, its delimiter by count; the handle and the number by their look; the payee is
     the first field that reads like a name, and the last one the remark."""
-    d = F.trim(narration)
+    return once(F.trim(narration), _tokens)
+
+
+def _tokens(d: Column) -> Column:
     u = F.upper(d)
     rail = None
     for word, name in RAIL_WORDS:
@@ -177,15 +186,22 @@ def by_tokens(narration: Column) -> Column:
     for c, n in zip("/-*:", counts, strict=True):
         own = F.split(F.translate(d, c, "\x01"), "\x01")
         cut = F.when(n == most, own) if cut is None else cut.when(n == most, own)
-    fields = F.transform(F.when(most >= 2, cut).otherwise(F.array(d)), lambda x: F.trim(x))
     first = lambda xs: F.coalesce(F.get(xs, F.lit(0)), F.lit(""))
-    vpa = first(F.filter(F.transform(fields, lambda x: F.regexp_extract(x, VPA, 0)), lambda x: x != ""))
     letters = lambda x: F.length(F.regexp_replace(x, r"[^\p{L}]", ""))
-    named = F.filter(fields, lambda x: (F.length(x) >= 3) & ~x.rlike(NO_PAYEE) & ~F.replace(x, F.lit(" "), F.lit("")).rlike(r"^\d+$") & ~F.contains(x, F.lit("@")) & ~looks_like_bank(x) & (letters(x) >= 3) & (letters(x) * 2 > F.length(x)))
-    payee = F.when(F.size(named) > 0, F.substring(first(named), 1, 40)).when(vpa != "", F.substring(F.substring_index(vpa, "@", 1), 1, 40)).when(F.length(d) <= 30, d).otherwise("")
-    remarks = F.when(F.size(named) > 1, F.substring(F.element_at(named, -1), 1, 40)).otherwise("")
-    own = {"rail": F.coalesce(rail, F.lit("")), "ref": first(F.filter(fields, lambda x: x.rlike(NUMBER))), "payee": payee, "vpa": vpa, "remarks": remarks, "bank": F.lit("")}
-    return F.struct(*[F.coalesce(own[f], F.lit("")).alias(f) for f in FIELDS], *[F.lit(False).alias(f) for f in FLAGS])
+    is_name = lambda x: (F.length(x) >= 3) & ~F.contains(x, F.lit("@")) & (letters(x) >= 3) & (letters(x) * 2 > F.length(x)) & ~x.rlike(NO_PAYEE) & ~F.replace(x, F.lit(" "), F.lit("")).rlike(r"^\d+$") & ~looks_like_bank(x)
+
+    def read(seen: Column) -> Column:
+        vpa, named = seen["vpa"], seen["named"]
+        payee = F.when(F.size(named) > 0, F.substring(first(named), 1, 40)).when(vpa != "", F.substring(F.substring_index(vpa, "@", 1), 1, 40)).when(F.length(d) <= 30, d).otherwise("")
+        remarks = F.when(F.size(named) > 1, F.substring(F.element_at(named, -1), 1, 40)).otherwise("")
+        own = {"rail": F.coalesce(rail, F.lit("")), "ref": seen["ref"], "payee": payee, "vpa": vpa, "remarks": remarks, "bank": F.lit("")}
+        return F.struct(*[F.coalesce(own[f], F.lit("")).alias(f) for f in FIELDS], *[F.lit(False).alias(f) for f in FLAGS])
+
+    def look(fields: Column) -> Column:
+        vpa = first(F.filter(F.transform(fields, lambda x: F.regexp_extract(x, VPA, 0)), lambda x: x != ""))
+        return once(F.struct(vpa.alias("vpa"), F.filter(fields, is_name).alias("named"), first(F.filter(fields, lambda x: x.rlike(NUMBER))).alias("ref")), read)
+
+    return once(F.transform(F.when(most >= 2, cut).otherwise(F.array(d)), lambda x: F.trim(x)), look)
 
 
 def parse(bank: Column, narration: Column) -> Column:
@@ -195,7 +211,9 @@ def parse(bank: Column, narration: Column) -> Column:
     own = None
     for name in FORMS:
         own = F.when(bank == name, by_forms(name, d)) if own is None else own.when(bank == name, by_forms(name, d))
-    own, other = own.otherwise(_BLANK.read(d)), by_tokens(d)
-    whole_ = (own["rail"] != "") & (own["payee"] != "")
-    filled = F.struct(*[F.coalesce(F.nullif(own[f], F.lit("")), other[f]).alias(f) for f in FIELDS], *[own[f].alias(f) for f in FLAGS])
-    return F.when(whole_, own).otherwise(filled)
+
+    def whole_or_filled(own: Column) -> Column:
+        filled = lambda other: F.struct(*[F.coalesce(F.nullif(own[f], F.lit("")), other[f]).alias(f) for f in FIELDS], *[own[f].alias(f) for f in FLAGS])
+        return F.when((own["rail"] != "") & (own["payee"] != ""), own).otherwise(once(by_tokens(d), filled))
+
+    return once(own.otherwise(_BLANK.read(d)), whole_or_filled)
