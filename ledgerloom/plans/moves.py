@@ -12,10 +12,11 @@ from ledgerloom.sources.tables import LEDGER_SQL, ledger_items
 
 
 def owned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger_items(spark, sf_dir, narration=False, balance=False).select((F.col("account_id") % 25).alias("owner"), "account_id", "seq", "d", "debit_c", "credit_c")
+    rows = ledger_items(spark, sf_dir, narration=False, balance=False, place=True).select((F.col("account_id") % 25).alias("owner"), "account_id", "seq", "d", "debit_c", "credit_c")
     late = F.element_at(F.array(*[F.lit(x) for x in (0, 1, -1, 2)]), (F.pmod(F.col("account_id") + F.col("seq"), F.lit(4)) + 1).cast("int"))
-    moved = rows.where("debit_c > 0 and seq % 3 = 0").select("owner", (F.col("account_id") + 25).alias("account_id"), (F.col("seq") + 1_000_000).alias("seq"), F.date_add("d", late).alias("d"), F.lit(0).cast("long").alias("debit_c"), F.col("debit_c").alias("credit_c"))
-    return rows.unionByName(moved)
+    row = F.struct(*rows.columns)
+    moved = F.struct("owner", (F.col("account_id") + 25).alias("account_id"), (F.col("seq") + 1_000_000).alias("seq"), F.date_add("d", late).alias("d"), F.lit(0).cast("long").alias("debit_c"), F.col("debit_c").alias("credit_c"))
+    return rows.select(F.inline(F.when(F.expr("debit_c > 0 and seq % 3 = 0"), F.array(row, moved)).otherwise(F.array(row))))
 
 
 OWNED_SQL = """r0 as (select account_id % 25 as owner, account_id, seq, d, debit_c, credit_c from ledger),
@@ -29,16 +30,8 @@ side{_k + 1} as (select s.* from side{_k} s where not exists (select 1 from pair
 OWNED_SQL += ",\npairs as (" + " union all ".join(f"select * from pair{k}" for k in range(len(transfers.OFFSETS))) + "), used as (select from_account as account_id, out_seq as seq from pairs union all select to_account, in_seq from pairs)"
 
 
-def _with_pairs(fn):  # noqa: ANN001, ANN202
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = owned(spark, sf_dir)
-        return fn(rows, transfers.match(rows))
-
-    return run
-
-
-add("x8b_matched_transfers", _with_pairs(lambda rows, pairs: pairs), f"with {LEDGER_SQL}, {OWNED_SQL} select * from pairs")
-add("x8c_transfer_velocity", _with_pairs(transfers.velocity),
+add("x8b_matched_transfers", lambda s, d: transfers.match(owned(s, d)), f"with {LEDGER_SQL}, {OWNED_SQL} select * from pairs")
+add("x8c_transfer_velocity", lambda s, d: transfers.marked_velocity(transfers.marked(owned(s, d))),
     f"with {LEDGER_SQL}, {OWNED_SQL} select owner, coalesce(t, 0) as transfers, days, round(coalesce(t, 0)::double / days, 6) as per_day from (select owner, date_diff('day', min(d), max(d)) + 1 as days from rows_ group by 1) left join (select owner, count(*) as t from pairs group by 1) using (owner)")
-add("x16b_without_transfers", _with_pairs(transfers.consolidated),
+add("x16b_without_transfers", lambda s, d: transfers.months(transfers.marked(owned(s, d)).where("not used")),
     f"with {LEDGER_SQL}, {OWNED_SQL} select owner, strftime(d, '%Y-%m') as ym, sum(credit_c)::bigint as in_c, sum(debit_c)::bigint as out_c, count(distinct account_id) as accounts from rows_ r where not exists (select 1 from used u where u.account_id = r.account_id and u.seq = r.seq) group by 1, 2")

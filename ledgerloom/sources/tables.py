@@ -38,26 +38,59 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ledger_items(spark: SparkSession, sf_dir: str, narration: bool = True, balance: bool = True, pieces: bool = False) -> DataFrame:
+#: Bytes of input files for each partition of a placing that the session's number of partitions would make too large.
+SHARE = 8 << 20
+#: Bytes of files up to which a table that is joined with is likely broadcast, so that the other side isn't placed for it.
+SMALL = 32 << 20
+
+
+def file_bytes(rows: DataFrame) -> int:
+    """The size of the files that rows are read from."""
+    sc = rows.sparkSession.sparkContext
+    paths, conf = [sc._jvm.org.apache.hadoop.fs.Path(f) for f in set(rows.inputFiles())], sc._jsc.hadoopConfiguration()
+    return sum(x.getFileSystem(conf).getFileStatus(x).getLen() for x in paths)
+
+
+def parts(rows: DataFrame, share: int = SHARE) -> int:
+    """Partitions for a placing of rows: the session's number, or more, one for each `share` bytes of the files that rows
+    are read from, so that a task's memory doesn't grow with the tables."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-file_bytes(rows) // share))
+
+
+def placed(rows: DataFrame, *keys: str, share: int = SHARE) -> DataFrame:
+    """rows placed by keys in as many parts as they need; later windows and groups by these and more keys stay in place."""
+    return rows.repartition(parts(rows, share), *keys)
+
+
+def ledger_items(spark: SparkSession, sf_dir: str, narration: bool = True, balance: bool = True, pieces: bool = False, place: bool = False) -> DataFrame:
     """account_id, seq, d, ym, description, debit_c, credit_c, balance_c (cents), counterparty, p_type, is_return.
 
     One order of rows per account: seq by date, then by all columns. One shuffle on the account serves seq and
     the running balance, and both windows drop out of plans that use neither. Without `narration` (description,
     p_type) or `balance` the join that only they need is left out: every part and customer key is known to
     exist, but Spark can't know, so it would keep an inner join for nothing. With `pieces`, an account's days are
-    numbered and summed each by itself and then by what came before, so that no account is one task's work."""
+    numbered and summed each by itself and then by what came before, so that no account is one task's work. With
+    `place`, rows are placed by account in parts of bounded size, for queries that hold much of a part in memory."""
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    rows = read(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = read(spark, sf_dir, "lineitem")
+    many = parts(rows) if place else 0
+    known = many > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # For joins with large tables, too, there are more parts than the session's.
+    at = lambda x, key, other: x.repartition(many, key) if known and file_bytes(other) > SMALL else x
+    rows = at(rows, "l_orderkey", orders).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if narration:
-        rows = rows.join(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+        part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+        rows = at(rows, "l_partkey", part).join(part, F.col("l_partkey") == F.col("p_partkey"))
     if balance:
-        rows = rows.join(read(spark, sf_dir, "customer").select("c_custkey", cents("c_acctbal").alias("opening_c")), F.col("o_custkey") == F.col("c_custkey"))
+        customer = read(spark, sf_dir, "customer").select("c_custkey", cents("c_acctbal").alias("opening_c"))
+        rows = at(rows, "o_custkey", customer).join(customer, F.col("o_custkey") == F.col("c_custkey"))
     texts = [F.expr(NARRATION).alias("description"), "p_type"] if narration else []
     rows = rows.select(
         F.col("o_custkey").alias("account_id"), F.to_date("l_shipdate").alias("d"), cents("l_extendedprice").alias("amount_c"), (F.col("l_linestatus") == "F").alias("is_credit"),
         F.concat(F.lit("SUPPLIER "), F.col("l_suppkey").cast("string")).alias("counterparty"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", *texts, *(["opening_c"] if balance else []),
     )
+    rows = rows.repartition(many, "account_id") if place else rows
     order = [c.strip() for c in ORDER.split(",")]
     w = Window.partitionBy("account_id").orderBy(*order)
     signed = F.when(F.col("is_credit"), F.col("amount_c")).otherwise(-F.col("amount_c"))
