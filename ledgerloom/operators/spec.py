@@ -57,6 +57,19 @@ def inter_account(ledger: DataFrame) -> DataFrame:
     return out.join(back, ["amount_c", "d"]).where("from_account <> to_account").select("from_account", "out_seq", "to_account", "in_seq", "amount_c")
 
 
+def inter_account_counts(ledger: DataFrame) -> DataFrame:
+    """(amount_c, n): how many pairs inter_account gives of each amount, without making them: debits times credits of an
+    amount and day, less those of one account."""
+    days = F.when(F.col("debit_c") > 0, F.array("d", F.date_add("d", 1))).otherwise(F.array().cast("array<date>"))
+    ends = ledger.where(F.col(A).isNotNull()).select(A, F.explode(F.concat(
+        F.transform(days, lambda x: F.struct(F.col("debit_c").alias("amount_c"), x.alias("d"), F.lit(1).alias("outs"), F.lit(0).alias("ins"))),
+        F.when(F.col("credit_c") > 0, F.array(F.struct(F.col("credit_c").alias("amount_c"), F.col("d"), F.lit(0).alias("outs"), F.lit(1).alias("ins")))).otherwise(F.array()),
+    )).alias("e")).select(A, "e.*").where("d is not null")
+    own = ends.groupBy("amount_c", "d", A).agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins"))
+    every = own.groupBy("amount_c", "d").agg((F.sum("outs") * F.sum("ins") - F.sum(F.col("outs") * F.col("ins"))).alias("n"))
+    return every.groupBy("amount_c").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def deposit_then_withdrawal(ledger: DataFrame, least_c: int = 5_000_000) -> DataFrame:
     """Large credits with as much or more taken out on the day or the next."""
     big = _side(ledger.where(F.col("credit_c") >= least_c), "l", "seq", "d", "credit_c")

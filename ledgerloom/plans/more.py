@@ -107,7 +107,7 @@ for _name, _q, _sql in [
 # Specified, not in the reference's code ------------------------------------------------------------------
 on_ledger("x1_deposit_withdrawal", spec.deposit_then_withdrawal, "select c.account_id, c.seq, c.credit_c, sum(x.debit_c)::bigint as out_c from ledger c join ledger x on x.account_id = c.account_id and x.d between c.d and c.d + interval 1 day and x.debit_c > 0 where c.credit_c >= 5000000 group by 1, 2, 3 having sum(x.debit_c) >= c.credit_c")
 on_ledger("x5_international", lambda l: l.where(F.upper("description").rlike("SWIFT|FOREX|USD|(^|[^A-Z])INTL([^A-Z]|$)|PLATE")).groupBy("account_id").agg(F.count("*").alias("n")), "select account_id, count(*) as n from ledger where regexp_matches(upper(description), 'SWIFT|FOREX|USD|(^|[^A-Z])INTL([^A-Z]|$)|PLATE') group by 1")
-on_slim("x8_inter_account", lambda l: spec.inter_account(l.withColumns({"debit_c": F.floor(F.col("debit_c") / 1_000_000).cast("long"), "credit_c": F.floor(F.col("credit_c") / 1_000_000).cast("long")})).groupBy("amount_c").agg(F.count("*").alias("n")), "select a.debit_c // 1000000 as amount_c, count(*) as n from ledger a join ledger b on b.account_id <> a.account_id and b.credit_c // 1000000 = a.debit_c // 1000000 and b.d between a.d and a.d + interval 1 day where a.debit_c >= 1000000 and b.credit_c >= 1000000 group by 1")
+on_slim("x8_inter_account", lambda l: spec.inter_account_counts(l.withColumns({"debit_c": F.floor(F.col("debit_c") / 1_000_000).cast("long"), "credit_c": F.floor(F.col("credit_c") / 1_000_000).cast("long")})), "select a.debit_c // 1000000 as amount_c, count(*) as n from ledger a join ledger b on b.account_id <> a.account_id and b.credit_c // 1000000 = a.debit_c // 1000000 and b.d between a.d and a.d + interval 1 day where a.debit_c >= 1000000 and b.credit_c >= 1000000 group by 1")
 on_ledger("x11_bounce_rates", spec.bounce_rates, "select account_id, b as bounces, c as cheques, date_diff('day', lb, last_d) as days_since, round(b::double / nullif(c, 0), 4) as rate from (select account_id, count(*) filter (where contains(description, 'RETURN CHARGES')) as b, count(*) filter (where description like 'CLG/%') as c, max(d) filter (where contains(description, 'RETURN CHARGES')) as lb, max(d) as last_d from ledger group by 1)")
 on_ledger("x12_discipline_score", risk.discipline_score, "select account_id, greatest(0, least(100, 100 - least(40, 10 * b) - least(30, n) - case when o > i then 20 else 0 end))::bigint as points from (select account_id, count(*) filter (where contains(description, 'RETURN CHARGES')) as b, count(*) filter (where balance_c < 0) as n, sum(credit_c) as i, sum(debit_c) as o from ledger group by 1)")
 on_ledger("x14_holiday_cheques", lambda l: spec.weekend_rows(l, l.sparkSession.sql("select date'1998-01-26' as d union all select date'1999-08-15'")), "select account_id, count(*) as n from ledger where description like 'CLG/%' and (d in (date '1998-01-26', date '1999-08-15') or dayofweek(d) = 0) group by 1")
