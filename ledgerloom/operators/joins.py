@@ -112,3 +112,9 @@ def duplicate_references(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy(A, "ref", "amount_c", "d").orderBy("seq")
     tagged = rows.withColumn("amount_c", F.col("debit_c") + F.col("credit_c")).withColumn("ref", ref).where(F.col("ref").rlike("[A-Z]"))
     return tagged.withColumn("n", F.row_number().over(w)).where("n > 1").select(A, "seq", "ref", "amount_c")
+
+
+def surplus(rows: DataFrame, keys: list[str], left: Column, right: Column) -> DataFrame:
+    """(*keys, copies): what EXCEPT ALL leaves of the keys of rows where `left` holds when those where `right` holds are
+    taken away, a row for each distinct key with its number of copies. One aggregation, as both sides are one table."""
+    return rows.groupBy(*keys).agg((F.count_if(left) - F.count_if(right)).alias("copies")).where("copies > 0")

@@ -68,7 +68,7 @@ on_classified("c22_rail_fallback", lambda c: c.where("method = 'rail'").groupBy(
 on_slim("j11_anti_override", lambda l: l.join(l.where("counterparty like '%1'").select("account_id", "counterparty").distinct(), ["account_id", "counterparty"], "left_anti").groupBy("account_id").agg(F.count("*").alias("n")), "select account_id, count(*) as n from ledger where counterparty not like '%1' group by 1")
 on_events("j13_date_spine", lambda l: timeline.daily_balance(l).join(l.select("account_id", "d").distinct(), ["account_id", "d"], "left_anti"), "select account_id, d, balance_c from daily where (account_id, d) not in (select account_id, d from ev)", DAILY_SQL.format(t="ev"))
 on_slim("j15_month_alignment", lambda l: l.where("credit_c > 0").groupBy("account_id", "ym").agg(F.sum("credit_c").alias("a")).join(l.where("debit_c > 0").groupBy("account_id", "ym").agg(F.sum("debit_c").alias("b")), ["account_id", "ym"], "full_outer").select("account_id", "ym", F.coalesce("a", F.lit(0)).alias("in_c"), F.coalesce("b", F.lit(0)).alias("out_c")), "select account_id, ym, inflow_c as in_c, outflow_c as out_c from m", MONTHLY_SQL)
-on_ledger("u1_union_promoted", lambda l: l.where("credit_c > 9000000").select("account_id", "seq").unionByName(l.where("description like 'SALARY%'").select("account_id", "seq")).groupBy("account_id").agg(F.count("*").alias("n")), "select account_id, count(*) as n from (select account_id from ledger where credit_c > 9000000 union all select account_id from ledger where description like 'SALARY%') group by 1")
+on_ledger("u1_union_promoted", lambda l: l.select("account_id", F.explode(F.array_compact(F.array(F.when(F.col("credit_c") > 9_000_000, 1), F.when(F.col("description").startswith("SALARY"), 2)))).alias("promoted")).groupBy("account_id").agg(F.count("*").alias("n")), "select account_id, count(*) as n from (select account_id from ledger where credit_c > 9000000 union all select account_id from ledger where description like 'SALARY%') group by 1", place=True)
 on_slim("u5_distinct_parties", lambda l: l.select("account_id", "counterparty").distinct().groupBy("account_id").agg(F.count("*").alias("n")), "select account_id, count(distinct counterparty) as n from ledger group by 1")
 on_slim("t3_topn_amount", lambda l: l.select("account_id", "seq", (F.col("debit_c") + F.col("credit_c")).alias("amount_c")).orderBy(F.desc("amount_c"), "account_id", "seq").limit(25), "select account_id, seq, debit_c + credit_c as amount_c from ledger order by 3 desc, 1, 2 limit 25")
 on_ledger("t7_evidence_first_five", lambda l: l.where("balance_c < 0").groupBy("account_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("seq")), 1, 5), lambda x: x.cast("string")), ",").alias("evidence")),
