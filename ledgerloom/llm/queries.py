@@ -58,7 +58,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.digests(materialize(flac.encode_table(_table(spark, sf_dir, "documents")), "media"))
+    return flac.digests(materialize(flac.encode_table(_table(spark, sf_dir, "documents")), "media", "zstd"))
 
 
 def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,12 +25,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back.
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder, by the session's codec unless one is named, and reads it back.
 
     It cuts the lineage, so an executor that is lost later never makes the work before it run again."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
