@@ -35,8 +35,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, as count and digests."""
-    return bpe.digests(docs, VOCABULARY)
+    """Token ids of each document, as count and digests; with small tables, as workers hold memory of earlier stages."""
+    return bpe.digests(docs, VOCABULARY, room=0.4)
 
 
 STAGES = [

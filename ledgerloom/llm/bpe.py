@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.shared import with_fields
 from ledgerloom.llm.textkit import chunks, hash_sums, range_hashes, ranges
 
-#: Words a worker keeps the ids of, and bytes of words; beyond, the table starts anew.
+#: Words a worker keeps the ids of, and bytes of words; beyond, the table starts anew with the words met in several
+#: batches, up to half of it.
 KEPT, KEPT_BYTES = 100_000, 1 << 21
 #: States of the automaton over bytes that a worker keeps, with four times as many transitions at most, and answers
 #: about arcs; beyond, their tables start anew.
@@ -49,10 +50,12 @@ class Automaton:
     """The automaton over tokens of a vocabulary, and that over bytes, state 0 being the start of both."""
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> None:
-        self.size = {i: len(t) for t, i in vocab.items()}
+        self.size = array("i", bytes(4 * (max(vocab.values(), default=-1) + 1)))
+        for t, i in vocab.items():
+            self.size[i] = len(t)
         #: Bounds of the tables of states and arcs.
         self.states, self.arcs = STATES, ARCS
-        if max(self.size, default=0) >= 1 << 20:
+        if len(self.size) > 1 << 20:
             raise ValueError("a vocabulary has 2^20 ids at most")
         #: Tokens that some gadget, or the first state, has an arc for, with the parts they were merged from and when.
         self.made: dict[int, tuple[int, int, int]] = {i: (-1, -1, -1) for t, i in vocab.items() if len(t) == 1}
@@ -63,11 +66,14 @@ class Automaton:
             self._taken.setdefault(vocab[a], {}).setdefault(vocab[b], k)
         #: The spellings of arcs: node << 8 | byte -> node, and the token each node ends, or -1.
         self._next: dict[int, int] = {}
-        self._ends: list[int] = [-1]
+        self._ends = array("i", [-1])
         for t, i in vocab.items():
             if i in self.made:
                 self._spell(t, i)
-        self._inner = {node >> 8 for node in self._next}
+        #: Nodes that have arcs.
+        self._inner = bytearray(len(self._ends))
+        for node in self._next:
+            self._inner[node >> 8] = 1
         self._clear()
 
     def _spell(self, token: bytes, number: int) -> None:
@@ -121,7 +127,7 @@ class Automaton:
                     can = self._arcs[pair] = self.arc(last, t)
                 if can:
                     token = t
-            if node in self._inner:
+            if self._inner[node]:
                 live += node, last
         if token < 0:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
@@ -219,9 +225,10 @@ class Table:
 
 class Tokenizer:
     """An automaton with the pre-tokenizer and the added tokens of a vocabulary file (its JSON text). Files that ask
-    for another pre-tokenizer, a normalizer or options of BPE that the automaton doesn't have are refused."""
+    for another pre-tokenizer, a normalizer or options of BPE that the automaton doesn't have are refused. `room` scales
+    the bounds of all tables: more memory for less time, with the same ids."""
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, room: float = 1.0) -> None:
         data = json.loads(spec)
         model, cut = data["model"], data.get("pre_tokenizer") or {}
         odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
@@ -238,12 +245,28 @@ class Tokenizer:
         self.labels, self.digits = Table([labels.get(i, b"") for i in every]), Table([b"%d," % i for i in every])
         self._added = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
         self._classes = character_classes()
-        self.kept, self.kept_bytes = KEPT, KEPT_BYTES
+        self.kept, self.kept_bytes = int(KEPT * room), int(KEPT_BYTES * room)
+        self.automaton.states, self.automaton.arcs = int(STATES * room), int(ARCS * room)
         self._forget()
 
     def _forget(self) -> None:
         self._met: dict[bytes, int] = {}
         self._ids, self._begin, self._bytes = array("i"), array("q", [0]), 0
+        #: Of each word: in how many batches it was met since the table started.
+        self._uses = np.zeros(0, np.int32)
+
+    def _shrink(self) -> None:
+        """Starts the table of words anew with those met in several batches, the first of them if they are too many."""
+        met, ids, begin, uses = self._met, self._ids, self._begin, self._uses
+        self._forget()
+        for word, n in met.items():  # in order of their numbers
+            if uses[n] > 1:
+                if 2 * len(self._met) >= self.kept or 2 * (self._bytes + len(word)) > self.kept_bytes:
+                    break
+                self._ids.extend(ids[begin[n] : begin[n + 1]])
+                self._begin.append(len(self._ids))
+                self._bytes += len(word)
+                self._met[word] = len(self._met)
 
     def _number(self, word: bytes) -> int:
         """The number of a word in the table of words met."""
@@ -258,7 +281,7 @@ class Tokenizer:
     def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many of each text), texts without added tokens."""
         if len(self._met) > self.kept or self._bytes > self.kept_bytes:
-            self._forget()
+            self._shrink()
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         data = b"".join(texts)
         if not data:
@@ -270,7 +293,11 @@ class Tokenizer:
         alike = np.array_equal(end - start, (end - start)[one][which]) and np.array_equal(buf[ranges(start[one][which], end - start)], buf)
         if not alike:  # two words have one hash
             one, which = np.arange(len(start)), np.arange(len(start))
-        number = np.fromiter((self._number(data[a:b]) for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)), np.int64, len(one))[which]
+        number = np.fromiter((self._number(data[a:b]) for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)), np.int64, len(one))
+        if len(self._uses) < len(self._met):
+            self._uses = np.r_[self._uses, np.zeros(len(self._met), np.int32)]
+        self._uses[number] += 1
+        number = number[which]
         begin = np.array(self._begin, np.int64)
         many = begin[number + 1] - begin[number]
         ids = np.array(self._ids, np.int32)[ranges(begin[number], many)]
@@ -305,15 +332,22 @@ class Tokenizer:
 _BUILT: dict[str, Tokenizer] = {}
 
 
-def tokenizer_of(spec: str) -> Tokenizer:
+def tokenizer_of(spec: str, room: float = 1.0) -> Tokenizer:
     """One automaton a worker process; it is built once from the vocabulary file's text."""
-    key = hashlib.sha1(spec.encode()).hexdigest()
+    key = f"{hashlib.sha1(spec.encode()).hexdigest()} {room}"
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = Tokenizer(spec)
+        _BUILT[key] = Tokenizer(spec, room)
     return _BUILT[key]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of a few rows, so that a batch's texts never stand as Python strings together."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def encode_table(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids) for each row: ids array<int> of the whole text; null text: empty.
 
@@ -344,17 +378,17 @@ def decode_table(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") ->
     return encoded.select(id_col, "ids").mapInArrow(run, with_fields(encoded, id_col, "text string"))
 
 
-def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
+def digests(docs: DataFrame, vocabulary: str, room: float = 1.0) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs, of whole texts: encoded, then
     decoded from the ids. Null texts count as empty; repeated rows stay; further columns are not carried; an
-    empty table gives an empty result. A very long text is handled whole, in memory of some 100 times its bytes."""
+    empty table gives an empty result. `room` scales the tables that a worker keeps. A very long text is handled whole, in memory of some 100 times its bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer_of(shared.value)
+        t = tokenizer_of(shared.value, room)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
+        for b in pieces(batches):
             for rows, texts in chunks(list(range(b.num_rows)), b.column(1).to_pylist()):
                 ids, many = t.encode_batch(texts)
                 spelled = [sha(x[:-1]) for x in t.digits.gather(ids, many)]

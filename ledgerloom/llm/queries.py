@@ -46,7 +46,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return bpe.digests(_table(spark, sf_dir, "documents"), VOCABULARY, room=3.0)
 
 
 def op8_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
