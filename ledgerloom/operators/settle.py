@@ -74,11 +74,22 @@ def salary_cycle(credits: DataFrame, is_salary: Column, least_c: int = 500_000)
     )
 
 
+def _digest(version: str) -> Column:
+    return F.unhex(F.sha2(F.concat(F.lit(version), F.lit("\x00"), "text"), 256))
+
+
+def with_labels(rows: DataFrame, path: str, version: str) -> DataFrame:
+    """rows with the labels of their column text that cached_labels has put under `path`; rows without one go. Rows meet
+    labels by the digest, so no text travels."""
+    keyed = rows.where("text is not null").select(*[c for c in rows.columns if c != "text"], _digest(version).alias("digest"))
+    return keyed.join(rows.sparkSession.read.parquet(path), "digest").drop("digest")
+
+
 def cached_labels(spark: SparkSession, texts: DataFrame, path: str, version: str, rule: Column) -> DataFrame:
     """(text, label) of each distinct text, by `rule` over a column text, remembered under `path` by the digest of text
     and version: a run labels only texts that no run before it labelled with that version. A cache that only grows; a
     run that fails leaves no part of its labels."""
-    own = texts.select("text").where("text is not null").distinct().withColumn("digest", F.sha2(F.concat(F.lit(version), F.lit("\x00"), "text"), 256))
+    own = texts.select("text").where("text is not null").distinct().withColumn("digest", _digest(version))
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     known = spark.read.parquet(path) if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder) else None
     unseen = own if known is None else own.join(known.select("digest"), "digest", "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import cascade, labels, settle
 from ledgerloom.plans.registry import add, on_ledger
 from ledgerloom.plans.statements import _CASE_PAYEE, _ID, _LABELS, _NAMED_ROWS, RULES, statements
-from ledgerloom.sources.tables import LEDGER_SQL, ledger_items, read, scratch_dir
+from ledgerloom.sources.tables import LEDGER_SQL, ledger_items, read, scratch_dir, shared_copy
 
 #: Overrides made of suppliers: for all accounts, for account s % 7 + 1, and older and newer ones of one key.
 OVERRIDES = """select 'SUPPLIER ' || cast(s_suppkey as string) as o_key, cast(null as bigint) as o_account, 'Expense' as o_category, 'Rent' as o_subcategory, 'Need' as o_label, 1 as updated_at from supplier where mod(s_suppkey, 3) = 0
@@ -47,11 +47,11 @@ left join (select account_id, counterparty as payee, n as pn, m as p_median from
 
 def cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of last resort for all narrations, of which the first run has seen those of even accounts."""
-    l = ledger_items(spark, sf_dir, balance=False).select("account_id", F.col("description").alias("text"))  # noqa: E741
+    l = shared_copy(ledger_items(spark, sf_dir, balance=False).select("account_id", F.col("description").alias("text")), "texts")  # noqa: E741
     path, rule = scratch_dir(spark, "labels"), labels.heuristic(F.col("text"), F.lit(1))
     settle.cached_labels(spark, l.where("account_id % 2 = 0"), path, "1", rule)
-    found = settle.cached_labels(spark, l, path, "1", rule)
-    return l.join(found, "text").groupBy("account_id", "label").agg(F.count("*").alias("n"))
+    settle.cached_labels(spark, l, path, "1", rule)
+    return settle.with_labels(l, path, "1").groupBy("account_id", "label").agg(F.count("*").alias("n"))
 
 
 add("c24b_cached_labels", cached,

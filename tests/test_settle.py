@@ -35,3 +35,12 @@ def test_salary_cycle(spark):
     df = spark.createDataFrame(rows, "account_id long, seq long, d date, credit_c long, payee string, paid boolean")
     got = {r.account_id: (r.income_c, r.detected, r.source, r.payee, r.n, [x.day for x in r.days]) for r in settle.salary_cycle(df, F.col("paid")).collect()}
     assert got == {1: (900_000.0, True, "keyword", None, 1, [9]), 2: (650_001.0, False, "mean", None, 0, []), 4: (800_000.0, True, "payee", "A", 2, [2, 4])}
+
+
+def test_rows_meet_their_labels_by_digest(spark, tmp_path):
+    path = f"{tmp_path}/labels"
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, None), (4, "z")], "account_id long, text string")
+    settle.cached_labels(spark, rows.where("account_id < 4"), path, "1", F.upper("text"))
+    found = settle.with_labels(rows, path, "1")
+    assert found.columns == ["account_id", "label"] and sorted(map(tuple, found.collect())) == [(1, "A"), (1, "A"), (2, "B")]
+    assert settle.with_labels(rows, path, "2").count() == 0
