@@ -30,6 +30,8 @@ when 8 then 'TO TRANSFER-UPI/DR/' || cast(l_orderkey as string) || '/SUPPLIER '
 when 9 then 'SALARY EMPLOYER ' || cast(mod(l_suppkey, 15) as string) || ' PAYROLL'
 when 10 then 'EBA/MFP-' || cast(l_orderkey as string) || '-SIP-' || p_type
 else 'ECS RETURN CHARGES ' || cast(l_suppkey as string) end"""
+#: Of a part, only the text that a row's narration holds, as `item`: so much less than narrations travels to accounts.
+ITEM = "case mod(l_orderkey + l_linenumber + l_partkey, 12) when 0 then p_name when 1 then p_name when 8 then p_name when 10 then p_type end"
 #: Which columns order a day's rows; rows equal in all of them are interchangeable.
 ORDER = "d, l_orderkey, l_linenumber, l_partkey, l_suppkey, amount_c, is_credit, l_returnflag"
 
@@ -62,7 +64,7 @@ def placed(rows: DataFrame, *keys: str, share: int = SHARE) -> DataFrame:
     return rows.repartition(parts(rows, share), *keys)
 
 
-def ledger_items(spark: SparkSession, sf_dir: str, narration: bool = True, balance: bool = True, pieces: bool = False, place: bool = False) -> DataFrame:
+def ledger_items(spark: SparkSession, sf_dir: str, narration: bool = True, balance: bool = True, pieces: bool = False, place: bool = False, share: int = SHARE) -> DataFrame:
     """account_id, seq, d, ym, description, debit_c, credit_c, balance_c (cents), counterparty, p_type, is_return.
 
     One order of rows per account: seq by date, then by all columns. One shuffle on the account serves seq and
@@ -70,7 +72,9 @@ def ledger_items(spark: SparkSession, sf_dir: str, narration: bool = True, balan
     p_type) or `balance` the join that only they need is left out: every part and customer key is known to
     exist, but Spark can't know, so it would keep an inner join for nothing. With `pieces`, an account's days are
     numbered and summed each by itself and then by what came before, so that no account is one task's work. With
-    `place`, rows are placed by account in parts of bounded size, for queries that hold much of a part in memory."""
+    `place`, rows are placed by account in parts of bounded size (`share` bytes of files), for queries that hold much of a
+    part in memory.
+    Narrations are put together after that, from the keys that order rows anyway."""
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     rows = read(spark, sf_dir, "lineitem")
@@ -85,12 +89,12 @@ def ledger_items(spark: SparkSession, sf_dir: str, narration: bool = True, balan
     if balance:
         customer = read(spark, sf_dir, "customer").select("c_custkey", cents("c_acctbal").alias("opening_c"))
         rows = at(rows, "o_custkey", customer).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    texts = [F.expr(NARRATION).alias("description"), "p_type"] if narration else []
+    texts = [F.expr(ITEM).alias("item"), "p_type"] if narration else []
     rows = rows.select(
         F.col("o_custkey").alias("account_id"), F.to_date("l_shipdate").alias("d"), cents("l_extendedprice").alias("amount_c"), (F.col("l_linestatus") == "F").alias("is_credit"),
-        F.concat(F.lit("SUPPLIER "), F.col("l_suppkey").cast("string")).alias("counterparty"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", *texts, *(["opening_c"] if balance else []),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", *texts, *(["opening_c"] if balance else []),
     )
-    rows = rows.repartition(many, "account_id") if place else rows
+    rows = rows.repartition(parts(read(spark, sf_dir, "lineitem"), share), "account_id") if place else rows
     order = [c.strip() for c in ORDER.split(",")]
     w = Window.partitionBy("account_id").orderBy(*order)
     signed = F.when(F.col("is_credit"), F.col("amount_c")).otherwise(-F.col("amount_c"))
@@ -99,10 +103,12 @@ def ledger_items(spark: SparkSession, sf_dir: str, narration: bool = True, balan
         rows = scan.scanned(rows, F.col("d"), order, {"seq": F.lit(1).cast("long")} | ({"moved_c": signed} if balance else {}))
         number = F.col("seq")
     running = (F.col("opening_c") + F.col("moved_c")).alias("balance_c") if pieces and balance else (F.col("opening_c") + F.sum(signed).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("balance_c") if balance else None
+    # Two steps, as what is made beside a window is made before its rows travel.
+    rows = rows.select("account_id", number, "d", "amount_c", "is_credit", *([running] if balance else []), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", *(["item", "p_type"] if narration else []))
     return rows.select(
-        "account_id", number, "d", F.date_format("d", "yyyy-MM").alias("ym"), *(["description"] if narration else []),
+        "account_id", "seq", "d", F.date_format("d", "yyyy-MM").alias("ym"), *([F.expr(NARRATION.replace("p_name", "item").replace("p_type", "item")).alias("description")] if narration else []),
         F.when(F.col("is_credit"), F.lit(0)).otherwise(F.col("amount_c")).cast("long").alias("debit_c"), F.when(F.col("is_credit"), F.col("amount_c")).otherwise(F.lit(0)).cast("long").alias("credit_c"),
-        *([running] if balance else []), "counterparty", *(["p_type"] if narration else []), (F.col("l_returnflag") == "R").alias("is_return"),
+        *(["balance_c"] if balance else []), F.concat(F.lit("SUPPLIER "), F.col("l_suppkey").cast("string")).alias("counterparty"), *(["p_type"] if narration else []), (F.col("l_returnflag") == "R").alias("is_return"),
     )
 
 
@@ -191,6 +197,16 @@ def shared_copy(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared_parts(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """As shared_copy, for branches that all work by `key`: the copy remembers that its rows lie in n parts by it, so that
+    groups, windows and joins by it (and more columns) move no row. df: placed by `key` in n parts, else a task writes a
+    file for each part that it has rows of. Only the session's catalog knows the parts; the files are in the shared folder."""
+    path = scratch_dir(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """Nested rows as JSON lines."""
     df.write.mode("overwrite").json(path)
