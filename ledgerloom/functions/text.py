@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +54,11 @@ def clean_description(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[\r\n\t]+", " "), r"\s*-\s*", "-"), r" {2,}", " "))
 
 
+def holds(text: Column, words: str) -> Column:
+    """The text holds one of the plain words of `A|B|C`: as `rlike` without a regular expression."""
+    return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words.split("|")])
+
+
 def rail(description: Column) -> Column:
     """The payment rail: the first of an ordered list of marks that a narration holds."""
     u = F.upper(description)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text
 from ledgerloom.operators import joins, timeline
 
 A = "account_id"
@@ -23,7 +24,8 @@ OUTWARD = r"\b(?:OUT(?:WARD)?\s+RET|DEP\s+RET|CLG\s+RET\s+DEP)\b"
 
 def is_bounce(description: Column) -> Column:
     u = F.upper(F.coalesce(description, F.lit("")))
-    return u.rlike(INWARD) & ~u.rlike(OUTWARD)
+    # Every form of INWARD holds one of these words; the regular expressions run only where one is.
+    return text.holds(u, "RET|RTN|REJECT|FAIL|BOUNCE|DISHON|INSUFFICIENT") & u.rlike(INWARD) & ~u.rlike(OUTWARD)
 
 
 def _cash(d: Column) -> Column:
@@ -40,7 +42,7 @@ def row_detectors() -> list[tuple[str, Column, int, str, float]]:
         ("cash_cycling", _cash(d) & (debit >= 2_500_000), 3, "MEDIUM", 0.75),
         ("inward_bounce", is_bounce(d), 1, "HIGH", 0.95),
         ("rtgs_minimum", F.upper(d).startswith("RTGS") & (debit > 0) & (debit < 20_000_000), 1, "MEDIUM", 0.85),
-        ("round_tax", F.upper(d).rlike("TAX") & (debit > 0) & (debit % 100_000 == 0), 2, "LOW", 0.70),
+        ("round_tax", F.contains(F.upper(d), F.lit("TAX")) & (debit > 0) & (debit % 100_000 == 0), 2, "LOW", 0.70),
         ("atm_high", _cash(d) & (debit >= 5_000_000), 1, "MEDIUM", 0.80),
         ("negative_balance", F.col("balance_c") < 0, 1, "HIGH", 0.95),
     ]
@@ -79,7 +81,7 @@ def _account_sums() -> list[Column]:
     """Sums that the detectors of whole accounts share."""
     whole, d = (F.col("debit_c") > 1_000_000) & (F.col("debit_c") % 100_000 == 0), F.col("description")
     total = lambda test, of: F.sum(F.when(test, F.col(of)).otherwise(0))
-    return [F.count_if(whole).alias("round_n"), total(whole, "debit_c").alias("round_c"), total(_cash(d), "credit_c").alias("cash_c"), total(F.upper(d).rlike("SALARY"), "credit_c").alias("salary_c"), F.sum("credit_c").alias("in_c"), F.sum("debit_c").alias("out_c")]
+    return [F.count_if(whole).alias("round_n"), total(whole, "debit_c").alias("round_c"), total(_cash(d), "credit_c").alias("cash_c"), total(F.contains(F.upper(d), F.lit("SALARY")), "credit_c").alias("salary_c"), F.sum("credit_c").alias("in_c"), F.sum("debit_c").alias("out_c")]
 
 
 _ROUND = "round_n >= 5 and round_n * 4 > n"

@@ -44,9 +44,9 @@ def rapid_transfers(ledger: DataFrame, least_c: int = 2_000_000) -> DataFrame:
     """Large credits passed on to another party within a day at 85 to 105 percent: the first debit of each. Neither
     side is a reversal, both are not cash at a machine, and the debit is no investment or known obligation. The
     ledger is classified."""
-    own = ledger.where(~F.upper(F.concat_ws(" ", "subcategory", "description")).rlike(REVERSAL)).withColumn("cash", text.rail(F.col("description")) == "ATM_CASH")
+    own = ledger.where(~text.holds(F.upper(F.concat_ws(" ", "subcategory", "description")), REVERSAL)).withColumn("cash", text.rail(F.col("description")) == "ATM_CASH")
     credits = _side(own.where(F.col("credit_c") >= least_c), "l", "seq", "d", "credit_c", "counterparty", "cash")
-    paid = (F.col("debit_c") > 0) & (F.col("category") != "Investment") & ~F.upper("subcategory").rlike(PAYDAY) & ~F.col("counterparty").rlike("EBA_|PPF")
+    paid = (F.col("debit_c") > 0) & (F.col("category") != "Investment") & ~text.holds(F.upper("subcategory"), PAYDAY) & ~text.holds(F.col("counterparty"), "EBA_|PPF")
     debits = _side(own.where(paid), "r", "seq", "d", "debit_c", "counterparty", "cash")
     near = (F.col("r_debit_c") * 100 >= F.col("l_credit_c") * 85) & (F.col("r_debit_c") * 100 <= F.col("l_credit_c") * 105)
     pairs = within_days(credits, debits, 1).where(near & (F.col("l_counterparty") != F.col("r_counterparty")) & ~(F.col("l_cash") & F.col("r_cash")))

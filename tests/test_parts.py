@@ -29,3 +29,10 @@ def test_score_and_flags_shuffle_little(spark, sf_dir):
     # Left: both sides of the passed-on credits and the flags, which are few.
     assert plan(fraud.all_flags(rows)).count("Exchange hashpartitioning") <= 3
     assert plan(score.composite(score.features(rows))).count("Exchange hashpartitioning") <= 5
+
+
+def test_bounces_are_told_by_every_form(spark):
+    forms = ["CHQ RTN", "INW RET", "INWARD CLG RET", "NACH REJECT", "NACH FAIL", "ECS RTN", "BOUNCE CHG", "RETURN CHARGES", "RET CHARGE", "DISHONUR", "DISHONOUR", "MANDATE FAIL", "INSUFFICIENT FUND", "CHEQUE BOUNCE", "CHQ BOUNCE", "ach debit return"]
+    rows = spark.createDataFrame([(t,) for t in [*forms, "CHQ RET DEP RET", "SALARY", None]], "t string").select("t", fraud.is_bounce(F.col("t")).alias("b"), (F.upper("t").rlike(fraud.INWARD)).alias("r"))
+    got = {r.t: (r.b, r.r) for r in rows.collect()}
+    assert all(got[t] == (True, True) for t in forms) and not got["CHQ RET DEP RET"][0] and not got["SALARY"][0] and not got[None][0]
