@@ -10,6 +10,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text
+
 A = "account_id"
 #: Rows of a dictionary up to which it is broadcast; a larger one is left to Catalyst.
 BROADCAST_ROWS = 10_000
@@ -137,28 +139,25 @@ def boundary(text: Column, keyword: Column) -> Column:
     return F.regexp(text, F.concat(F.lit("(^|[^a-z0-9])"), keyword, F.lit("([^a-z0-9]|$)")))
 
 
-def _by_first_word(entries: list[tuple]) -> Column:
-    """A dictionary of bounded size as a constant map: first word -> its entries."""
-    by: dict[str, list[dict]] = {}
-    for keyword, category, subcategory, label, order in entries:
-        by.setdefault(keyword.split(" ")[0], []).append({"keyword": keyword, "k_category": category, "k_subcategory": subcategory, "k_label": label, "ord": order})
-    return F.from_json(F.lit(json.dumps(by)), "map<string, array<struct<keyword: string, k_category: string, k_subcategory: string, k_label: string, ord: int>>>")
+def keyword_of(text: Column, entries: list[tuple] = KEYWORDS) -> Column:
+    """The entry (a struct) of the longest keyword that stands in the text (ties: by order), else null."""
+    return _keyword_in(F.lower(text), entries)
 
 
-def keyword_of(text: Column, entries: list[tuple] = KEYWORDS) -> Column:
-    """The entry (a struct) of the longest keyword that stands in the text (ties: by order), else null. The words of
-    the text look up candidates in a constant map, so rows never travel."""
-    low, known = F.lower(text), _by_first_word(entries)
-    met = F.flatten(F.transform(F.array_distinct(F.split(low, "[^a-z0-9]+")), lambda w: F.coalesce(F.try_element_at(known, w), F.array())))
-    hits = F.filter(met, lambda k: F.contains(low, k["keyword"]) & boundary(low, k["keyword"]))
-    ranked = F.transform(hits, lambda k: F.struct(F.length(k["keyword"]).alias("n"), (-k["ord"]).alias("order"), k.alias("k")))
-    return F.array_max(ranked)["k"]
+def _keyword_in(low: Column, entries: list[tuple]) -> Column:
+    """keyword_of a text in small letters. The few entries are tried one after another, the longest first; a regular
+    expression only runs where the keyword's letters are."""
+    ranked = sorted(entries, key=lambda e: (-len(e[0]), e[-1]))
+    known = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("keyword", "k_category", "k_subcategory", "k_label", "ord"), e, strict=True)]) for e in ranked])
+    at = F.coalesce(*[F.when(F.contains(low, F.lit(e[0])) & boundary(low, F.lit(e[0])), F.lit(i)) for i, e in enumerate(ranked)])
+    return F.get(known, at)
 
 
 def longest_keyword(rows: DataFrame, text: str = "description") -> DataFrame:
     """The keyword, category and subcategory of each row's longest dictionary match (ties: by order)."""
-    known = rows.select(*rows.columns, F.inline(F.array(keyword_of(F.col(text)))))
-    return known.drop("ord")
+    # A column of its own, as each of the tests would else make small letters for itself.
+    low = rows.withColumn("__low", F.lower(text))
+    return low.select(*rows.columns, F.inline(F.array(_keyword_in(F.col("__low"), KEYWORDS)))).drop("ord")
 
 
 def vpa_directory(rows: DataFrame, text: str = "description") -> DataFrame:
@@ -172,7 +171,11 @@ def vpa_directory(rows: DataFrame, text: str = "description") -> DataFrame:
 
 def tier_one(d: Column, debit: Column) -> Column:
     """Bank rules in order; null where none fits."""
-    u = F.upper(d)
+    return _tier_one(F.upper(d), debit)
+
+
+def _tier_one(u: Column, debit: Column) -> Column:
+    """tier_one of a narration in capitals."""
     has = lambda s: F.contains(u, F.lit(s))
     out = lambda c, s, p: F.struct(F.lit(c).alias("category"), F.lit(s).alias("subcategory"), F.lit(p).alias("confidence"))
     return (
@@ -185,11 +188,11 @@ def classify(ledger: DataFrame) -> DataFrame:
     """The ledger with category, subcategory, needs_wants, confidence and method: bank rules, then the longest
     keyword whose direction fits, then the rail, then nothing. Each tier is a column, and `coalesce` takes the
     first that knows the row."""
-    k = longest_keyword(ledger)
+    k = longest_keyword(ledger).withColumn("__up", F.upper("description"))
     fits = ~((F.col("credit_c") > 0) & (F.col("k_category") == "Expense")) & ~((F.col("debit_c") > 0) & (F.col("k_category") == "Income"))
-    u = F.upper("description")
+    u = F.col("__up")
     tier = lambda c, s, label, p, m: F.struct(c.alias("category"), s.alias("subcategory"), label.alias("needs_wants"), F.lit(p).cast("double").alias("confidence") if not isinstance(p, Column) else p.alias("confidence"), F.lit(m).alias("method"))
-    t1 = tier_one(F.col("description"), F.col("debit_c"))
+    t1 = _tier_one(u, F.col("debit_c"))
     one = F.when(t1.isNotNull(), tier(t1["category"], t1["subcategory"], F.lit("Not Applicable"), t1["confidence"], "bank_rule"))
     two = F.when(F.col("keyword").isNotNull() & fits, tier(F.col("k_category"), F.col("k_subcategory"), F.col("k_label"), 0.90, "keyword"))
     by_rail = lambda test, c, s, p: F.when(test, tier(F.lit(c), F.lit(s), F.lit("Unknown" if c == "Expense" else "Not Applicable"), p, "rail"))
@@ -202,18 +205,19 @@ def classify(ledger: DataFrame) -> DataFrame:
 def tags(d: Column, subcategory: Column, debit: Column) -> Column:
     """All labels that hold, each once, in fixed order. Marks and their order are fixed values."""
     u = F.upper(d)
-    has = lambda *marks: F.greatest(F.lit(False), *[F.contains(u, F.lit(m)) for m in marks])
+    has = lambda *marks: text.holds(u, "|".join(marks))
     upi, is_loan = has("UPI"), has("LOAN") | subcategory.isin("Loan / EMI", "Home Loan EMI", "Personal Loan")
     merchant = has("@BHARATPE", "@RAZORPAY", "@HDFCBANKSMARTPAY", "@PAYTMQR", "@BILLDESK", "P2M")
     person = has("@YBL", "@PAYTM", "@OKSBI", "@OKHDFCBANK", "@OKAXIS", "@OKICICI", "P2P")
     cash_machine = has("ATM", "ATW", "NFS/")
     rules = [
-        ("UPI", upi), ("UPI/P2M", upi & merchant), ("UPI/P2P", upi & ~merchant & person), ("NEFT", has("NEFT")), ("IMPS", has("IMPS", "MMT/")), ("RTGS", has("RTGS")), ("NACH", has("NACH")), ("ECS", has("ECS")), ("NACH", has("ECS")),
+        ("UPI", upi), (F.when(merchant, "UPI/P2M").when(person, "UPI/P2P"), upi), ("NEFT", has("NEFT")), ("IMPS", has("IMPS", "MMT/")), ("RTGS", has("RTGS")), ("NACH", has("NACH")), ("ECS", has("ECS")), ("NACH", has("ECS")),
         ("Cheque", has("CLG", "CHEQUE", "CHQ")), ("ATM", cash_machine), ("Cash", cash_machine | has("CASH DEP", "BY CASH", "CDM")), ("Loan", is_loan), ("EMI", is_loan & ((debit > 0) | has("EMI", "NACH", "ECS"))),
         ("Salary", has("SALARY") | (subcategory == "Salary")), ("Insurance", has("INSURANCE", "LIC") | (subcategory == "Insurance")), ("Tax", has("TAX", "GST", "CBIC")),
         ("Return", has("RETURN", "BOUNCE", "REVERSAL", "RVSL", "INSUFFICIENT FUNDS")), ("Bank Charges", has("CHARGE", "FEE", "MIN BAL", "PENAL", "CHG")),
     ]
-    return F.array_distinct(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules])))
+    # Nulls and repetitions go at once, without a lambda: what stands inside one is never compiled.
+    return F.array_except(F.array(*[F.when(test, F.lit(name) if isinstance(name, str) else name) for name, test in rules]), F.array(F.lit(None).cast("string")))
 
 
 def counterparty_key(payee: Column, vpa: Column, bank: Column) -> Column:

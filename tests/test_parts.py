@@ -36,3 +36,10 @@ def test_bounces_are_told_by_every_form(spark):
     rows = spark.createDataFrame([(t,) for t in [*forms, "CHQ RET DEP RET", "SALARY", None]], "t string").select("t", fraud.is_bounce(F.col("t")).alias("b"), (F.upper("t").rlike(fraud.INWARD)).alias("r"))
     got = {r.t: (r.b, r.r) for r in rows.collect()}
     assert all(got[t] == (True, True) for t in forms) and not got["CHQ RET DEP RET"][0] and not got["SALARY"][0] and not got[None][0]
+
+
+def test_labels_and_tags_are_compiled(spark):
+    rows = spark.createDataFrame([("UPI/P2M/1/ECS LOAN",), ("UPI/x@ybl/ECS",), (None,)], "t string")
+    tagged = rows.select("t", classify.tags(F.col("t"), F.lit(None).cast("string"), F.lit(1)).alias("tags"), classify.keyword_of(F.col("t")).alias("k"))
+    assert "lambda" not in plan(tagged)
+    assert {r.t: r.tags for r in tagged.collect()} == {"UPI/P2M/1/ECS LOAN": ["UPI", "UPI/P2M", "ECS", "NACH", "Loan", "EMI"], "UPI/x@ybl/ECS": ["UPI", "UPI/P2P", "ECS", "NACH"], None: []}
