@@ -24,23 +24,27 @@ def half_up(total: Column, n: Column) -> Column:
 def month_sheet(ledger: DataFrame) -> DataFrame:
     """(account_id, ym, measure, value): the 22 lines of the month sheet for each month and, as ym `Total`, for all.
 
-    One aggregation by grouping sets gives months and totals; only the total of the averages, which is the mean of the
-    months' own, looks at months again. ledger: classified; amounts in cents. Balances are those of rows."""
+    Rows are added up by month only; totals are windows over an account's months, which stay where its rows are, and
+    that of the averages is the mean of the months' own. ledger: classified; amounts in cents; seq: from 0 up to 2^40.
+    Balances are those of rows."""
     c, d, b, sub = F.col("credit_c"), F.col("debit_c"), F.col("balance_c"), F.coalesce("subcategory", F.lit(""))
     has = lambda w: F.contains(sub, F.lit(w))
     total, n, paid_in = lambda test, of: F.sum(F.when(test, of).otherwise(0)), F.count_if, c > 0
-    at = F.struct("d", "seq")
+    # A date and a number as one number: by a struct, rows would be sorted to be added up.
+    at = F.shiftleft(F.coalesce(F.unix_date("d"), F.lit(-(1 << 22))).cast("long"), 40) + F.col("seq")
     sums = {
         "opening": F.min_by(b + d - c, at), "closing": F.max_by(b, at), "debits": F.sum(d), "credits": F.sum(c), "n_debits": n(d > 0), "n_credits": n(paid_in), "net": F.sum(c - d), "lowest": F.min(b), "highest": F.max(b), "average": half_up(F.sum(b), F.count("*")),
         "salary": total(has("Salary"), c), "obligations": total(has("EMI") | has("Loan"), d), "investments": total(F.col("category") == "Investment", d), "cash_in": total(has("Cash") & paid_in, c), "cash_out": total(has("Cash") & (d > 0), d),
         "n_cash_in": n(has("Cash") & paid_in), "n_cash_out": n(has("Cash") & (d > 0)), "cheque_in": total(has("Cheque") & paid_in, c), "cheque_out": total(has("Cheque") & ~paid_in, d), "n_self": n(has("Self Transfer")),
         "interest_in": total(has("Interest") & paid_in, c), "interest_out": total(has("Interest") & ~paid_in, d),
     }
-    both = ledger.groupingSets([[F.col(A), F.col("ym")], [F.col(A)]], F.col(A), F.col("ym")).agg(F.grouping("ym").alias("whole"), *[v.cast("long").alias(k) for k, v in sums.items()])
+    months = ledger.groupBy(A, "ym").agg(*[v.cast("long").alias(k) for k, v in sums.items()], F.min(at).alias("__first"), F.max(at).alias("__last"))
     own = Window.partitionBy(A)
-    month = F.when(F.col("whole") == 0, F.col("average"))
-    mean = half_up(F.sum(month).over(own), F.count(month).over(own))
-    done = both.withColumn("average", F.when(F.col("whole") == 1, mean).otherwise(F.col("average"))).withColumn("ym", F.when(F.col("whole") == 1, "Total").otherwise(F.col("ym")))
+    whole = {"first": lambda k: F.min_by(k, "__first").over(own), "last": lambda k: F.max_by(k, "__last").over(own), "sum": lambda k: F.sum(k).over(own), "min": lambda k: F.min(k).over(own), "max": lambda k: F.max(k).over(own), "avg": lambda k: half_up(F.sum(k).over(own), F.count(k).over(own))}
+    both = months.select("*", *[whole[how](k).alias(f"__{k}") for k, how in MEASURES.items()], F.row_number().over(own.orderBy("ym")).alias("__n"))
+    line = lambda ym, of: F.struct(ym.alias("ym"), *[F.col(of + k).alias(k) for k in MEASURES])
+    month, total = line(F.col("ym"), ""), line(F.lit("Total"), "__")
+    done = both.select(A, F.inline(F.when(F.col("__n") == 1, F.array(month, total)).otherwise(F.array(month))))
     return done.select(A, "ym", F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in MEASURES])))
 
 

@@ -38,6 +38,17 @@ def test_bounces_are_told_by_every_form(spark):
     assert all(got[t] == (True, True) for t in forms) and not got["CHQ RET DEP RET"][0] and not got["SALARY"][0] and not got[None][0]
 
 
+def test_month_sheet_adds_up_rows_once_and_unsorted(spark):
+    kind = "account_id long, seq long, d date, ym string, debit_c long, credit_c long, balance_c long, category string, subcategory string"
+    rows = spark.createDataFrame([(1, 2, "2024-01-05", "2024-01", 30, 0, 70, "Expense", "Cash"), (1, 1, "2024-01-05", "2024-01", 0, 60, 100, "Income", "Salary"), (1, 3, "2024-02-01", "2024-02", 10, 0, 60, "Expense", None)], re.sub("d date", "d string", kind)).withColumn("d", F.to_date("d"))
+    sheet = periods.month_sheet(rows)
+    assert "SortAggregate" not in plan(sheet) and "Expand" not in plan(sheet)
+    got = {(r.ym, r.measure): r.value for r in sheet.collect()}
+    assert len(got) == 3 * len(periods.MEASURES)
+    assert [got["Total", m] for m in ("opening", "closing", "debits", "credits", "n_debits", "lowest", "highest", "average", "salary", "cash_out")] == [40, 60, 40, 60, 2, 60, 100, 73, 60, 30]
+    assert [got["2024-01", m] for m in ("opening", "closing", "average")] == [40, 70, 85]
+
+
 def test_labels_and_tags_are_compiled(spark):
     rows = spark.createDataFrame([("UPI/P2M/1/ECS LOAN",), ("UPI/x@ybl/ECS",), (None,)], "t string")
     tagged = rows.select("t", classify.tags(F.col("t"), F.lit(None).cast("string"), F.lit(1)).alias("tags"), classify.keyword_of(F.col("t")).alias("k"))
