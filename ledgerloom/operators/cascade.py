@@ -2,16 +2,22 @@
 
 Each tier is a struct that is null where it doesn't know the row, and the first one that does decides. Keywords are
 looked up for the narration and for the payee at once, where rows stand (see dictionary); employers known by their
-salaries are one array for each account."""
+salaries are one array for each account. It joins rows as they come, before anything is made of them, and all that
+follows is made in steps, each a projection of its own (see narration)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import holds
 from ledgerloom.operators import dictionary, labels, narration
 
 A = "account_id"
@@ -74,16 +80,67 @@ def _of_bank(table: dict[str, str], u: Column, prefix: str = "") -> Column:
 
 def salary_payers(rows: DataFrame, least: int = 2) -> DataFrame:
     """(account_id, payers): payees of `least` or more salary-like credits of an account, with names of six characters
-    or more that are no number. rows: account_id, description, credit_c, p (parsed)."""
-    payee = F.upper(F.trim(F.col("p.payee")))
-    credits = rows.where((F.col("credit_c") > 0) & F.upper("description").rlike(SALARY)).select(A, payee.alias("payer"))
+    or more that are no number. rows: account_id, bank_name, description, credit_c. Only such credits are parsed."""
+    # One look at the narration: a filter is pushed down to where it is made, and makes it for each look.
+    credits = narration.parsed(rows.where((F.col("credit_c") > 0) & F.upper("description").rlike(SALARY)).select(A, "bank_name", "description")).select(A, F.upper(F.trim(F.col("p.payee"))).alias("payer"))
     named = credits.where((F.length("payer") >= 6) & ~F.replace("payer", F.lit(" "), F.lit("")).rlike(r"^\d+$"))
     return named.groupBy(A, "payer").agg(F.count("*").alias("n")).where(F.col("n") >= least).groupBy(A).agg(F.array_sort(F.collect_list("payer")).alias("payers"))
 
 
+_ENTRY = "struct<keyword: string, k_category: string, k_subcategory: string, k_label: string, rank: int>"
+
+
+def _keywords(spark: SparkSession, rules: Rules) -> Column:
+    """Of a row (p parsed, `only`: 1 if it can be no expense, 2 no income, 3 neither): kd, kp, the keyword of the narration
+    and of the payee that its direction allows; kb, its bank's own word; kt, the keyword of which the payee is a beginning
+    cut short; entity, payee_entity, the merchants' names or ''. A text is stepped through once for all dictionaries."""
+    words, banks, names = rules.words, rules.bank_words, rules.names
+    every, (_, at_bank, at_name) = dictionary.together(words, banks, names)
+    codes = {"Expense": 1, "Income": 2}
+    forbidden = np.array([codes.get(c, 0) for c in words.category], np.int8)
+    own_bank = [c.split("|")[0] for c in banks.category]
+    known = list(dict.fromkeys(own_bank))
+    kinds = list(dict.fromkeys(e[2] for e in banks.entries))
+    bank_of = np.array([known.index(b) for b in own_bank], np.int64)
+    # A bank's words by kind, and the longest of a kind first.
+    place = np.array([kinds.index(e[2]) * len(banks.entries) + banks._place[i] for i, e in enumerate(banks.entries)], np.int64)
+    shared = spark.sparkContext.broadcast((every, words.values, banks.values, names.values.field("k_subcategory"), dictionary.truncated(words), forbidden, known, bank_of, place))
+
+    @F.arrow_udf(f"struct<kd: {_ENTRY}, kp: {_ENTRY}, kb: {_ENTRY}, kt: {_ENTRY}, entity: string, payee_entity: string>")
+    def found(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        every, words, banks, names, cut, forbidden, known, bank_of, place = shared.value
+        take = lambda values, entry: values.take(pa.array(entry, pa.int64(), mask=entry < 0))
+
+        for texts, payees, bank, only in batches:
+            n, only = len(texts), only.to_numpy(zero_copy_only=False)
+
+            def told(texts: pa.Array, n: int = n, only: np.ndarray = only) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+                row, entry = every.found_in(texts)
+                mine = entry < at_bank
+                r, e = row[mine], entry[mine]
+                free = (forbidden[e] & only[r]) == 0
+                word = dictionary.first_of(r[free], e[free], n)
+                mine = entry >= at_name
+                name = dictionary.first_of(row[mine], entry[mine] - at_name, n)
+                return row, entry, take(words, word), pc.fill_null(take(names, name), "")
+
+            row, entry, kd, entity = told(texts)
+            _, _, kp, payee_entity = told(payees)
+            own = pc.fill_null(pc.index_in(bank, pa.array(known)), -1).to_numpy(zero_copy_only=False)
+            mine = (entry >= at_bank) & (entry < at_name)
+            r, e = row[mine], entry[mine] - at_bank
+            r, e = r[bank_of[e] == own[r]], e[bank_of[e] == own[r]]
+            order = np.lexsort((place[e], r))
+            kb = take(banks, dictionary.first_of(r[order], e[order], n))
+            kt = words.take(pa.array([cut.get((x or "").strip().upper()) for x in payees.to_pylist()], pa.int64()))
+            yield pa.StructArray.from_arrays([kd, kp, kb, kt, entity, payee_entity], ["kd", "kp", "kb", "kt", "entity", "payee_entity"])
+
+    return found(F.col("description"), F.col("p.payee"), F.col("bank_name"), F.col("only"))
+
+
 def _bank_rules(kd: Column, kp: Column, kb: Column) -> list[Column]:
     """Tier one, in order. kd, kp: the keyword of the narration and of the payee; kb: the bank's own word."""
-    d, u, p, debit, credit, bank = F.col("description"), F.upper("description"), F.col("p"), F.col("debit_c") > 0, F.col("credit_c") > 0, F.col("bank_name")
+    d, u, p, debit, credit, bank = F.col("description"), F.col("u"), F.col("p"), F.col("debit_c") > 0, F.col("credit_c") > 0, F.col("bank_name")
     icici, method = bank == "ICICI", "bank_rule"
     is_ = lambda pattern: d.rlike(f"(?i){pattern}")
     word = lambda k, merchant, sure, rule: _verdict(k["k_category"], k["k_subcategory"], merchant, k["k_label"], sure, method, rule)
@@ -114,9 +171,9 @@ def _bank_rules(kd: Column, kp: Column, kb: Column) -> list[Column]:
 
 
 def _handle(handles: tuple) -> Column:
-    """The directory entry of the first handle that the user or the handle of the narration's VPA holds; a credit from
-    a merchant is a refund."""
-    vpa = F.lower(F.regexp_extract("description", narration.VPA, 0))
+    """The directory entry of the first handle that the user or the handle of the narration's VPA (vpa) holds; a credit
+    from a merchant is a refund."""
+    vpa = F.col("vpa")
     user, host, out = F.substring_index(vpa, "@", 1), F.substring_index(vpa, "@", -1), None
     for part, category, subcategory, label, merchant, sure in handles:
         met = (vpa != "") & (F.contains(user, F.lit(part)) | F.contains(host, F.lit(part)))
@@ -128,16 +185,17 @@ def _handle(handles: tuple) -> Column:
 
 
 def _rails(kp: Column, kt: Column) -> list[Column]:
-    """What is left to say of a transfer, in order. kt: the keyword of which the payee is a beginning cut short."""
-    u, p, debit, credit = F.upper("description"), F.col("p"), F.col("debit_c") > 0, F.col("credit_c") > 0
+    """What is left to say of a transfer (rail), in order. kt: the keyword of which the payee is a beginning cut short;
+    purpose: what its remark says."""
+    u, p, debit, credit = F.col("u"), F.col("p"), F.col("debit_c") > 0, F.col("credit_c") > 0
     payee, method = F.trim(p["payee"]), "rail_transfer_rule"
     number = F.replace(F.replace(payee, F.lit("."), F.lit("")), F.lit(" "), F.lit("")).rlike(r"^\d+$")
-    purpose, label = labels.remark_subcategory(p["remarks"]), F.coalesce(labels.remark_label(p["remarks"]), F.lit("Unknown"))
-    rail = u.rlike(TRANSFERS)
+    purpose, label = F.col("purpose"), F.coalesce(labels.remark_label(p["remarks"]), F.lit("Unknown"))
+    rail = F.col("rail")
     person = p["is_p2a"] | ((p["rail"] == "UPI") & ~p["is_p2m"] & (payee != "") & ~F.replace(payee, F.lit("."), F.lit("")).rlike(r"^\d+$"))
     one = lambda test, v: F.when(rail & test, v)
     return [
-        F.when(u.rlike(REGISTRARS), _verdict("Investment", F.when(F.contains(u, F.lit("NPS")), "NPS").otherwise("Mutual Funds / SIP"), "", "Not Applicable", 0.92, "bank_rule", "investment_handle")),
+        F.when(holds(u, REGISTRARS), _verdict("Investment", F.when(F.contains(u, F.lit("NPS")), "NPS").otherwise("Mutual Funds / SIP"), "", "Not Applicable", 0.92, "bank_rule", "investment_handle")),
         F.when(credit & F.exists("payers", lambda x: F.contains(u, x)), _verdict("Income", "Salary", payee, "Not Applicable", 0.88, "bank_rule", "known_salary_payer")),
         one(debit & (kp["k_category"] == "Expense"), _verdict(kp["k_category"], kp["k_subcategory"], F.col("payee_entity"), kp["k_label"], 0.90, method, "payee_merchant")),
         one(debit & (kt["k_category"] == "Expense"), _verdict(kt["k_category"], kt["k_subcategory"], kt["keyword"], kt["k_label"], 0.70, method, "payee_truncated")),
@@ -152,26 +210,22 @@ def _rails(kp: Column, kt: Column) -> list[Column]:
 def classify(rows: DataFrame, rules: Rules, least: int = 2) -> DataFrame:
     """rows with category, subcategory, merchant, needs_wants, confidence, method and rule, and the parsed narration p.
 
-    rows: account_id, bank_name, description, debit_c, credit_c. Keywords that a row's direction forbids are no
-    candidates. An employer needs `least` salary-like credits. Null narrations count as empty."""
-    spark = rows.sparkSession
-    own = rows.withColumn("description", F.coalesce("description", F.lit("")))
-    parsed = own.select(*rows.columns, F.inline(F.array(F.struct(narration.parse(F.col("bank_name"), F.col("description")).alias("p")))))
-    found = parsed.withColumns({
-        "kd": dictionary.matches(spark, rules.words, F.col("description")), "kp": dictionary.matches(spark, rules.words, F.col("p.payee")), "kb": dictionary.matches(spark, rules.bank_words, F.col("description")),
-        "kt": dictionary.truncated_match(spark, rules.words, F.col("p.payee")), "nd": dictionary.matches(spark, rules.names, F.col("description")), "np": dictionary.matches(spark, rules.names, F.col("p.payee")),
-    })
-    allowed = lambda k: dictionary.allowed(F.col(k), F.col("debit_c"), F.col("credit_c"))
-    first = lambda k: F.get(F.col(k), F.lit(0))["k_subcategory"]
-    order = [k for kinds in BANK_WORDS.values() for k in kinds]
-    kinds = list(dict.fromkeys(order))
-    mine = F.filter("kb", lambda k: F.substring_index(k["k_category"], "|", 1) == F.col("bank_name"))
-    ranked = F.array_sort(mine, lambda a, b: (F.array_position(F.array(*map(F.lit, kinds)), a["k_subcategory"]) - F.array_position(F.array(*map(F.lit, kinds)), b["k_subcategory"])).cast("int"))
-    payers = salary_payers(parsed, least)
-    known = found.withColumns({"kd": allowed("kd"), "kp": allowed("kp"), "kb": F.get(ranked, F.lit(0)), "entity": F.coalesce(first("nd"), F.lit("")), "payee_entity": F.coalesce(first("np"), F.lit(""))}).drop("nd", "np")
-    known = known.join(payers, A, "left").withColumn("payers", F.coalesce("payers", F.array().cast("array<string>")))
+    rows: account_id, bank_name, description, debit_c, credit_c, and payers, if salary_payers has joined them already.
+    Keywords that a row's direction forbids are no candidates. An employer needs `least` salary-like credits. Null
+    narrations count as empty."""
+    out = [c for c in rows.columns if c != "payers"]
+    own = rows if "payers" in rows.columns else rows.join(salary_payers(rows, least), A, "left").select(*rows.columns, "payers")
+    own = own.withColumn("description", F.coalesce("description", F.lit("")))
+    debit, credit = F.col("debit_c") > 0, F.col("credit_c") > 0
+    only = F.when(F.coalesce(credit & ~debit, F.lit(True)), 1).otherwise(0) + F.when(F.coalesce(debit & ~credit, F.lit(True)), 2).otherwise(0)
+    found = narration.parsed(own).withColumn("only", only.cast("byte"))
+    known = found.select(*out, "payers", "p", _keywords(rows.sparkSession, rules).alias("k"))
+    u, vpa = F.upper("description"), F.when(F.contains("description", F.lit("@")), F.lower(F.regexp_extract("description", narration.VPA, 0))).otherwise("")
+    # The test of payers holds a function over an array, by which the long CASEs of this step and the next are split.
+    known = known.select(*out, "payers", "p", *[F.col(f"k.{c}").alias(c) for c in ("kd", "kp", "kb", "kt", "entity", "payee_entity")], u.alias("u"), vpa.alias("vpa"))
+    known = known.select("*", F.col("u").rlike(TRANSFERS).alias("rail"), labels.remark_subcategory(F.col("p.remarks")).alias("purpose"))
     kd, kp, kb, kt = (F.col(c) for c in ("kd", "kp", "kb", "kt"))
     keyword = F.when(kd.isNotNull(), _verdict(kd["k_category"], kd["k_subcategory"], F.when(kd["k_category"] == "Banking", "").otherwise(F.col("entity")), kd["k_label"], 0.90, "keyword", kd["keyword"]))
     none = _verdict("Uncategorized", "Unknown", "", "Unknown", 0.0, "none", "")
     tiers = [*_bank_rules(kd, kp, kb), _handle(rules.handles), keyword, *_rails(kp, kt), none]
-    return known.select(*rows.columns, "p", F.inline(F.array(F.coalesce(*tiers))))
+    return known.select(*out, "p", F.coalesce(*tiers).alias("verdict")).select(*out, "p", F.inline(F.array("verdict")))

@@ -27,6 +27,8 @@ _SQUASHED = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_KEPT = np.ones(256, bool)
+_KEPT[[*range(0x09, 0x0E), *range(0x1C, 0x21), *b"-_."]] = False
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[0x61:0x7B] -= 32
 
@@ -65,22 +67,27 @@ class Automaton:
             for c, child in children[node].items():
                 fail[child] = self.table[back, c] if node else 0
                 self.table[node, c] = child
+        #: Where a node's patterns begin to be told: itself, a shorter pattern that ends it, or none (0).
+        self.told = np.where(self.ends >= 0, np.arange(len(children)), self.link)
 
     def hits(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, end, pattern) for texts at buf[start:start + size], ends exclusive and within the text."""
         order = np.argsort(-size, kind="stable")
         begin, longest = start[order], size[order]
         active = np.searchsorted(-longest, -np.arange(1, int(longest[0]) + 1 if len(longest) else 1), side="right")
-        cls, state = self.classes[buf], np.zeros(len(order), np.int64)
+        cls, state = self.classes[buf], np.zeros(len(order), np.int32)
+        table, width, any_ = self.table.reshape(-1), self.table.shape[1], self.told > 0
         rows, places, found = [], [], []
         for i, m in enumerate(active):
-            state = self.table[state[:m], cls[begin[:m] + i]].astype(np.int64)
-            at, row = np.where(self.ends[state] >= 0, state, self.link[state]), np.arange(m)
-            while len(row := row[at[row] > 0] if len(row) else row):
+            state = table[state[:m] * width + cls[begin[:m] + i]]
+            row = np.flatnonzero(any_[state])
+            at = self.told[state[row]]
+            while len(row):
                 rows.append(order[row])
                 places.append(np.full(len(row), i + 1))
-                found.append(self.ends[at[row]])
-                at[row] = self.link[at[row]]
+                found.append(self.ends[at])
+                at = self.link[at]
+                row, at = row[at > 0], at[at > 0]
         if not rows:
             none = np.zeros(0, np.int64)
             return none, none, none
@@ -100,6 +107,16 @@ def _of_arrow(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.append(data, np.uint8(0)), edge[:-1] - edge[0], np.diff(edge)
 
 
+def _squash(texts: pa.Array, raw: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`raw`, the bytes of texts, without what SQUASHED drops: a mask over bytes, unless some are no ASCII."""
+    buf, start, size = raw
+    if (buf > 0x7F).any():
+        return _of_arrow(pc.replace_substring_regex(texts, _SQUASHED, ""))
+    keep = _KEPT[buf]
+    edge = np.r_[0, np.cumsum(keep)]
+    return np.append(buf[:-1][keep[:-1]], np.uint8(0)), edge[start], edge[start + size] - edge[start]
+
+
 @dataclass
 class Dictionary:
     """Entries (keyword, category, subcategory, needs or wants), in order of preference among equally long ones.
@@ -127,6 +144,7 @@ class Dictionary:
                 self._of[0][number[s]].append(i)
                 if b" " in s:
                     self._of[1][at[s.replace(b" ", b"")]].append(i)
+        self._flat = [(np.fromiter(map(len, of), np.int64, len(of)), np.array([i for x in of for i in x], np.int64)) for of in self._of]
         upper = [e[0].strip(" ").upper() for e in self.entries]
         self._excluded = {i: [number[plain(m)] for m in self.excluded[u]] for i, u in enumerate(upper) if u in self.excluded}
         self._required = {i: [number[plain(m)] for m in self.required[u]] for i, u in enumerate(upper) if u in self.required}
@@ -137,32 +155,21 @@ class Dictionary:
         kinds = ("keyword", "k_category", "k_subcategory", "k_label")
         self.values = pa.StructArray.from_arrays([*(pa.array([e[k] for e in self.entries], pa.string()) for k in range(4)), pa.array(self._place.astype(np.int32))], [*kinds, "rank"])
 
-    def _standing(self, part: int, automaton: Automaton, packed: tuple[np.ndarray, np.ndarray, np.ndarray], right: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(row, entry) of patterns with no letter or digit before them and, if `right`, after."""
+    def _standing(self, part: int, automaton: Automaton, packed: tuple[np.ndarray, np.ndarray, np.ndarray], hits: tuple[np.ndarray, np.ndarray, np.ndarray], right: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(row, entry) of the hits of patterns with no letter or digit before them and, if `right`, after."""
         buf, start, size = packed
-        row, end, pattern = automaton.hits(_UPPER[buf], start, size)
+        row, end, pattern = hits
         begin = start[row] + end - automaton.lengths[pattern]
         stop = start[row] + end
         own = lambda at: _ALNUM[buf[at]]
         before = (begin > start[row]) & _ALNUM[buf[np.maximum(begin - 1, 0)]] & (own(begin) | (part == 1))
         after = (end < size[row]) & own(np.minimum(stop, len(buf) - 1)) & own(stop - 1) if right else np.zeros(len(row), bool)
         row, pattern = row[~before & ~after], pattern[~before & ~after]
-        many = np.fromiter(map(len, self._of[part]), np.int64, len(self._of[part]))
-        flat = np.fromiter((i for x in self._of[part] for i in x), np.int64, int(many.sum()))
+        many, flat = self._flat[part]
         first = np.cumsum(many) - many
         at = np.repeat(first[pattern] - (np.cumsum(many[pattern]) - many[pattern]), many[pattern]) + np.arange(int(many[pattern].sum()))
         return np.repeat(row, many[pattern]), flat[at]
 
-    def _marked(self, packed: tuple[np.ndarray, np.ndarray, np.ndarray]) -> set[tuple[int, int]]:
-        """(row, pattern) wherever the pattern stands."""
-        if not (self._excluded or self._required):
-            return set()
-        buf, start, size = packed
-        row, _, pattern = self.whole.hits(_UPPER[buf], start, size)
-        wanted = np.unique([p for d in (self._excluded, self._required) for ps in d.values() for p in ps])
-        keep = np.isin(pattern, wanted)
-        return set(zip(row[keep].tolist(), pattern[keep].tolist(), strict=True))
-
     def best(self, texts: list[str | None]) -> list[list[int]]:
         """Of each text the longest keyword of each category that stands in it (ties: by order), as entry numbers,
         longest first. Null: none."""
@@ -174,28 +181,69 @@ class Dictionary:
 
     def best_of(self, texts: pa.Array) -> pa.ListArray:
         """`best` of an array of texts, as values of the entries; only rows with a keyword cost more than array steps."""
-        row, entry = self._chosen(_of_arrow(texts), lambda: _of_arrow(pc.replace_substring_regex(texts, _SQUASHED, "")))
+        raw = _of_arrow(texts)
+        row, entry = self._chosen(raw, lambda: _squash(texts, raw))
         edge = np.r_[0, np.cumsum(np.bincount(row, minlength=len(texts)))]
         return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), self.values.take(pa.array(entry, pa.int64())))
 
-    def _chosen(self, raw: tuple[np.ndarray, np.ndarray, np.ndarray], squashed: Callable[[], tuple]) -> tuple[np.ndarray, np.ndarray]:
-        """(row, entry) of what `best` gives, by row and longest first."""
-        row, entry = self._standing(0, self.whole, raw, True)
+    def _found(self, raw: tuple[np.ndarray, np.ndarray, np.ndarray], squashed: Callable[[], tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, entry) of all keywords that stand in the texts, by row and longest first; one may come twice."""
+        hits = self.whole.hits(_UPPER[raw[0]], raw[1], raw[2])
+        row, entry = self._standing(0, self.whole, raw, hits, True)
         if len(self.squashed.lengths):
-            more = self._standing(1, self.squashed, squashed(), False)
+            packed = squashed()
+            more = self._standing(1, self.squashed, packed, self.squashed.hits(_UPPER[packed[0]], packed[1], packed[2]), False)
             row, entry = np.r_[row, more[0]], np.r_[entry, more[1]]
         order = np.lexsort((self._place[entry], row))
         row, entry = row[order], entry[order]
-        if len(row) and (self._excluded or self._required):
-            marked = self._marked(raw)
+        bound = np.isin(entry, [*self._excluded, *self._required])
+        if bound.any():
+            # Only of rows with such an entry is it asked which marks they hold.
+            wanted = np.unique([p for d in (self._excluded, self._required) for ps in d.values() for p in ps])
+            keep = np.isin(hits[2], wanted) & np.isin(hits[0], row[bound])
+            marked = set(zip(hits[0][keep].tolist(), hits[2][keep].tolist(), strict=True))
             lacks = lambda r, e: any((r, p) in marked for p in self._excluded.get(e, ())) or (e in self._required and not any((r, p) in marked for p in self._required[e]))
-            bound = np.isin(entry, [*self._excluded, *self._required])
             drop = bound.copy()
             drop[bound] = [lacks(r, e) for r, e in zip(row[bound].tolist(), entry[bound].tolist(), strict=True)]
             row, entry = row[~drop], entry[~drop]
+        return row, entry
+
+    def _chosen(self, raw: tuple[np.ndarray, np.ndarray, np.ndarray], squashed: Callable[[], tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, entry) of what `best` gives, by row and longest first."""
+        row, entry = self._found(raw, squashed)
         first = np.sort(np.unique(row * (int(self._kind.max(initial=0)) + 1) + self._kind[entry], return_index=True)[1])
         return row[first], entry[first]
 
+    def found_in(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, entry) of all keywords that stand in the texts, by row and longest first; one may come twice."""
+        raw = _of_arrow(texts)
+        return self._found(raw, lambda: _squash(texts, raw))
+
+
+def together(*parts: Dictionary) -> tuple[Dictionary, list[int]]:
+    """One dictionary of the entries of several, each with its own exclusions and requirements, so that a text is stepped
+    through once for all; and the number of each one's first entry. Entries keep their order of preference within each."""
+    out, starts = Dictionary([e for p in parts for e in p.entries]), np.cumsum([0, *(len(p.entries) for p in parts)]).tolist()
+    marks = [m for p in parts for d in (p._excluded, p._required) for ms in d.values() for m in (p.patterns[i] for i in ms)]
+    if marks:
+        out.patterns = list(dict.fromkeys([*out.patterns, *marks]))
+        number = {p: i for i, p in enumerate(out.patterns)}
+        out.whole = Automaton(out.patterns)
+        out._of = (out._of[0] + [[] for _ in range(len(out.patterns) - len(out._of[0]))], out._of[1])
+        out._flat[0] = (np.r_[out._flat[0][0], np.zeros(len(out._of[0]) - len(out._flat[0][0]), np.int64)], out._flat[0][1])
+        for p, at in zip(parts, starts, strict=False):
+            for own, d in ((out._excluded, p._excluded), (out._required, p._required)):
+                own.update({at + e: [number[p.patterns[i]] for i in ms] for e, ms in d.items()})
+    return out, starts[:-1]
+
+
+def first_of(row: np.ndarray, entry: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n rows the first entry among (row, entry), sorted by row, or -1."""
+    out = np.full(n, -1, np.int64)
+    at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+    out[row[at]] = entry[at]
+    return out
+
 
 def of_table(table: DataFrame, excluded: dict[str, list[str]] | None = None, required: dict[str, list[str]] | None = None) -> Dictionary:
     """A dictionary of the rows (keyword, category, subcategory, label, ord) of a table, which is counted before the

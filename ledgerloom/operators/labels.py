@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,10 +55,10 @@ SAYS_NOTHING = ("upi", "payment", "paymen", "pay", "pay to", "payvia", "transf",
 def remark_subcategory(remark: Column) -> Column:
     """The subcategory of the longest known beginning of a remark (ties: the group that comes first); else null."""
     r = F.lower(F.trim(remark))
+    prefixes = sorted((p for _, group in REMARK_SUBCATEGORIES for p in group), key=len, reverse=True)
     known = F.from_json(F.lit(json.dumps({p: name for name, group in REMARK_SUBCATEGORIES for p in group})), "map<string, string>")
-    longest = max(len(p) for _, group in REMARK_SUBCATEGORIES for p in group)
-    tried = F.transform(F.sequence(F.lit(longest), F.lit(1)), lambda n: F.when(F.length(r) >= n, F.try_element_at(known, F.substring(r, F.lit(1), n))))
-    return F.when(~r.isin(*SAYS_NOTHING), F.get(F.filter(tried, lambda x: x.isNotNull()), F.lit(0)))
+    found = F.regexp_extract(r, f"^(?:{'|'.join(map(re.escape, prefixes))})", 0)
+    return F.when((r != "") & ~r.isin(*SAYS_NOTHING), F.try_element_at(known, found))
 
 
 #: Fixed: the order in which groups of keywords are looked through.
