@@ -34,7 +34,7 @@ def overridden(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     o_category, o_subcategory, o_label, updated_at), o_account null for all accounts. A key meets those that equal it,
     begin it or are begun by it (see names). Entries of the account come before those for all, later ones before
     earlier (ties: by subcategory). Keys are matched apart from rows, each distinct key once. rows are written once, as
-    they are read twice and dear to make."""
+    they are read often and dear to make; those that can't change aren't joined."""
     rows, given = shared_copy(rows, "rows"), shared_copy(overrides, "overrides")
     open_ = is_open(F.col("subcategory")) & (F.coalesce("key", F.lit("")) != "")
     every = rows.where(open_).select(F.lit(0).alias(A), "key").distinct()
@@ -42,10 +42,11 @@ def overridden(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     entry = F.struct("updated_at", "o_subcategory", "o_category", "o_label")
     last = pairs.join(given, "o_key").groupBy("key", "o_account").agg(F.max(entry).alias("e"))
     own, everyone = last.where("o_account is not null").select(F.col("key").alias("__key"), F.col("o_account").alias("__account"), F.col("e").alias("__own")), last.where("o_account is null").select(F.col("key").alias("__all_key"), F.col("e").alias("__all"))
-    met = rows.join(own, (F.col("key") == F.col("__key")) & (F.col(A) == F.col("__account")), "left").join(everyone, F.col("key") == F.col("__all_key"), "left")
-    e, hit = F.coalesce("__own", "__all"), open_ & F.coalesce("__own", "__all").isNotNull()
+    met = rows.where(open_).join(own, (F.col("key") == F.col("__key")) & (F.col(A) == F.col("__account")), "left").join(everyone, F.col("key") == F.col("__all_key"), "left")
+    e, hit = F.coalesce("__own", "__all"), F.coalesce("__own", "__all").isNotNull()
     new = {"category": e["o_category"], "subcategory": e["o_subcategory"], "needs_wants": e["o_label"], "confidence": F.lit(0.99), "method": F.lit("counterparty_override"), "rule": F.when(F.col("__own").isNotNull(), "override:applicant").otherwise("override:global")}
-    return met.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns])
+    changed = met.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns])
+    return changed.unionAll(rows.where(~open_))
 
 
 def needs_wants(category: Column, subcategory: Column, label: Column) -> Column:

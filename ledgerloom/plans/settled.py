@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import cascade, labels, settle
 from ledgerloom.plans.registry import add, on_ledger
-from ledgerloom.plans.statements import _CASE_PAYEE, _ID, _LABELS, _NAMED_ROWS, RULES, statements
+from ledgerloom.plans.statements import _CASE_PAYEE, _ID, _LABELS, _NAMED_ROWS, RULES, classified, statements
 from ledgerloom.sources.tables import LEDGER_SQL, ledger_items, read, scratch_dir, shared_copy
 
 #: Overrides made of suppliers: for all accounts, for account s % 7 + 1, and older and newer ones of one key.
@@ -17,7 +17,7 @@ union all select 'SUPPLIER ' || cast(s_suppkey as string), cast(null as bigint),
 
 
 def overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cascade.classify(statements(spark, sf_dir), RULES).withColumn("key", F.upper("p.payee"))
+    found = classified(spark, sf_dir).withColumn("key", F.upper("p.payee"))
     s, name = read(spark, sf_dir, "supplier"), F.concat(F.lit("SUPPLIER "), F.col("s_suppkey").cast("string")).alias("o_key")
     entry = lambda rows, account, c, sub, label, at: rows.select(name, account.cast("long").alias("o_account"), F.lit(c).alias("o_category"), F.lit(sub).alias("o_subcategory"), F.lit(label).alias("o_label"), F.lit(at).alias("updated_at"))
     given = entry(s.where("s_suppkey % 3 = 0"), F.lit(None), "Expense", "Rent", "Need", 1).unionByName(entry(s.where("s_suppkey % 4 = 0"), F.col("s_suppkey") % 7 + 1, "Expense", "Travel", "Want", 1)).unionByName(entry(s.where("s_suppkey % 9 = 0"), F.lit(None), "Transfer", "Family", "Unknown", 2))
