@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import cascade, labels, settle
 from ledgerloom.plans.registry import add, on_ledger
-from ledgerloom.plans.statements import _CASE_PAYEE, _ID, _LABELS, _NAMED_ROWS, RULES, classified, statements
+from ledgerloom.plans.statements import _CASE_PAYEE, _ID, _LABELS, _NAMED_ROWS, classified
 from ledgerloom.sources.tables import LEDGER_SQL, ledger_items, read, scratch_dir, shared_copy
 
 #: Overrides made of suppliers: for all accounts, for account s % 7 + 1, and older and newer ones of one key.
@@ -35,7 +35,7 @@ select {', '.join(_ID)}, case when hit then e.c else category end as category, c
 case when hit then 'counterparty_override' else method end as method, case when hit and own then 'override:applicant' when hit then 'override:global' else rule end as rule from j""",
 )
 _MAPPED = " ".join(f"when subcategory in ({', '.join(repr(s) for s in group)}) then '{n}'" for n, group in settle.NEEDS_WANTS.items())
-add("c32b_needs_wants_map", lambda s, d: cascade.classify(statements(s, d), RULES).select(*_ID, settle.needs_wants(F.col("category"), F.col("subcategory"), F.col("needs_wants")).alias("label")),
+add("c32b_needs_wants_map", lambda s, d: classified(s, d).select(*_ID, settle.needs_wants(F.col("category"), F.col("subcategory"), F.col("needs_wants")).alias("label")),
     f"with {_NAMED_ROWS}, cl as (select {', '.join(_ID)}, {_LABELS} from named) select {', '.join(_ID)}, case when category <> 'Expense' then 'Not Applicable' {_MAPPED} when needs_wants in ('Need', 'Want', 'Unknown') then needs_wants else 'Unknown' end as label from cl")
 
 _PAID = "description like 'SALARY%' and account_id % 3 = 0"
